@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from gridlark.llm.langid import op9_language_id
 from gridlark.llm.quality import op5_quality_rules
+from gridlark.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op9_language_id": op9_language_id,
+    "op10_warc": op10_warc,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op10_warc": OP10_SQL,
+}
