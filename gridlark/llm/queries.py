@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from gridlark.llm.jaccard import OP7_SQL, op7_ngram_jaccard_join
 from gridlark.llm.langid import op9_language_id
 from gridlark.llm.quality import op5_quality_rules
 from gridlark.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
 
 ORACLE = {
+    "op7_ngram_jaccard_join": OP7_SQL,
     "op10_warc": OP10_SQL,
 }
