@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridlark.llm.decontaminate import op1_benchmark_decontamination
 from gridlark.llm.jaccard import OP7_SQL, op7_ngram_jaccard_join
 from gridlark.llm.langid import op9_language_id
 from gridlark.llm.quality import op5_quality_rules
@@ -9,6 +10,7 @@ from gridlark.llm.suffix import op2_suffix_array_dedup
 from gridlark.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
