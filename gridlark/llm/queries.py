@@ -6,12 +6,14 @@ from gridlark.llm.decontaminate import op1_benchmark_decontamination
 from gridlark.llm.jaccard import OP7_SQL, op7_ngram_jaccard_join
 from gridlark.llm.langid import op9_language_id
 from gridlark.llm.quality import op5_quality_rules
+from gridlark.llm.sentencepiece import op3_sentencepiece
 from gridlark.llm.suffix import op2_suffix_array_dedup
 from gridlark.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
