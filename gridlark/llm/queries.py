@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridlark.llm.counts import op6_token_counts
 from gridlark.llm.decontaminate import op1_benchmark_decontamination
 from gridlark.llm.jaccard import OP7_SQL, op7_ngram_jaccard_join
 from gridlark.llm.langid import op9_language_id
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op5_quality_rules": op5_quality_rules,
+    "op6_token_counts": op6_token_counts,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
