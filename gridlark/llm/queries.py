@@ -6,6 +6,7 @@ from gridlark.llm.counts import op6_token_counts
 from gridlark.llm.decontaminate import op1_benchmark_decontamination
 from gridlark.llm.jaccard import OP7_SQL, op7_ngram_jaccard_join
 from gridlark.llm.langid import op9_language_id
+from gridlark.llm.licenses import OP4_SQL, op4_license_scan
 from gridlark.llm.quality import op5_quality_rules
 from gridlark.llm.sentencepiece import op3_sentencepiece
 from gridlark.llm.suffix import op2_suffix_array_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_license_scan": OP4_SQL,
     "op7_ngram_jaccard_join": OP7_SQL,
     "op10_warc": OP10_SQL,
 }
