@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridlark.llm.chaining import op8_substring_dedup
 from gridlark.llm.counts import op6_token_counts
 from gridlark.llm.decontaminate import op1_benchmark_decontamination
 from gridlark.llm.jaccard import OP7_SQL, op7_ngram_jaccard_join
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_warc": op10_warc,
 }
