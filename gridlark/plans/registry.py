@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gridlark.plans import forecast, roads, series, space
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+QUERIES = series.QUERIES | space.QUERIES | roads.QUERIES | forecast.QUERIES
+ORACLE = series.ORACLE | space.ORACLE | roads.ORACLE | forecast.ORACLE
