@@ -15,13 +15,16 @@ from gridlark.sources import scenario as S
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-KEY = [big("station_id"), big("obs_id")]
 HOL = ", ".join(f"'{d}'" for d in HOLIDAYS)
 W = "PARTITION BY station_id ORDER BY time, obs_id"
 CUT, VALID = "2024-01-20 00:00:00", "2024-01-15 00:00:00"
 NOW = "2024-01-25 14:37:12"
 
 
+def key() -> list:
+    return [big("station_id"), big("obs_id")]
+
+
 def query(sql: str | None = None, *views: str):
     def add(f):
         QUERIES[f.__name__] = f
@@ -42,7 +45,7 @@ def t(text: str):
 
 @query(f"SELECT station_id, obs_id, busy, idle, {s6('occ', 'occ')}, {s6('duration', 'duration')} FROM obs", "obs")
 def occupancy_ratio(spark, sf):
-    return obs(spark, sf).select(*KEY, big("busy"), big("idle"), r6("occ"), r6("duration"))
+    return obs(spark, sf).select(*key(), big("busy"), big("idle"), r6("occ"), r6("duration"))
 
 
 @query(
@@ -50,7 +53,7 @@ def occupancy_ratio(spark, sf):
     f"(strftime(time, '%Y-%m-%d') IN ({HOL}))::BIGINT AS is_holiday, (hour(time) BETWEEN 7 AND 9)::BIGINT AS is_morning_peak, (hour(time) BETWEEN 17 AND 19)::BIGINT AS is_evening_peak FROM obs", "obs",
 )
 def time_features(spark, sf):
-    return calendar(obs(spark, sf)).select(*KEY, big("hour"), big("weekday"), r6("hour_sin"), r6("hour_cos"), big("is_holiday"), big("is_morning_peak"), big("is_evening_peak"))
+    return calendar(obs(spark, sf)).select(*key(), big("hour"), big("weekday"), r6("hour_sin"), r6("hour_cos"), big("is_holiday"), big("is_morning_peak"), big("is_evening_peak"))
 
 
 @query(
@@ -60,7 +63,7 @@ def time_features(spark, sf):
 )
 def clock_mapping(spark, sf):
     c = F.col("time")
-    return obs(spark, sf).select(*KEY, stamp("slot", floor_minutes(c, 5)), stamp("next_hour", ceil_hour(c)), stamp("replay", replay_clock(c)))
+    return obs(spark, sf).select(*key(), stamp("slot", floor_minutes(c, 5)), stamp("next_hour", ceil_hour(c)), stamp("replay", replay_clock(c)))
 
 
 LAGS = ", ".join(s6(f"lag(occ, {k}) OVER ({W})", f"lag_{k}") for k in (1, 3, 6, 12))
@@ -68,7 +71,7 @@ LAGS = ", ".join(s6(f"lag(occ, {k}) OVER ({W})", f"lag_{k}") for k in (1, 3, 6,
 
 @query(f"SELECT station_id, obs_id, {LAGS} FROM obs", "obs")
 def lag_features(spark, sf):
-    return T.lags(obs(spark, sf)).select(*KEY, *[r6(f"lag_{k}") for k in (1, 3, 6, 12)])
+    return T.lags(obs(spark, sf)).select(*key(), *[r6(f"lag_{k}") for k in (1, 3, 6, 12)])
 
 
 def _roll(agg: str, n: int) -> str:
@@ -81,7 +84,7 @@ ROLL = f"{s6(_roll('avg', 6), 'mean_6')}, {s6(_roll('avg', 12), 'mean_12')}, {s6
 
 @query(f"SELECT station_id, obs_id, {ROLL} FROM obs", "obs")
 def rolling_features(spark, sf):
-    return T.rolling(obs(spark, sf)).select(*KEY, r6("mean_6"), r6("mean_12"), r6("std_12"))
+    return T.rolling(obs(spark, sf)).select(*key(), r6("mean_6"), r6("mean_12"), r6("std_12"))
 
 
 TREND = s6(f"lag(occ, 1) OVER ({W}) - lag(occ, 12) OVER ({W})", "trend_12")
@@ -89,7 +92,7 @@ TREND = s6(f"lag(occ, 1) OVER ({W}) - lag(occ, 12) OVER ({W})", "trend_12")
 
 @query(f"SELECT * FROM (SELECT station_id, obs_id, {LAGS}, {ROLL}, {TREND} FROM obs) WHERE lag_12 IS NOT NULL", "obs")
 def trend_warmup(spark, sf):
-    return T.train_state(obs(spark, sf)).select(*KEY, *[r6(c) for c in ("lag_1", "lag_3", "lag_6", "lag_12", "mean_6", "mean_12", "std_12", "trend_12")])
+    return T.train_state(obs(spark, sf)).select(*key(), *[r6(c) for c in ("lag_1", "lag_3", "lag_6", "lag_12", "mean_6", "mean_12", "std_12", "trend_12")])
 
 
 HOR = (5, 10, 30, 60)
@@ -97,7 +100,7 @@ HOR = (5, 10, 30, 60)
 
 @query(f"SELECT station_id, obs_id, {', '.join(s6(f'lead(occ, {h // 5}) OVER ({W})', f'target_{h}') for h in HOR)} FROM obs", "obs")
 def horizon_targets(spark, sf):
-    return T.horizon_targets(obs(spark, sf), HOR).select(*KEY, *[r6(f"target_{h}") for h in HOR])
+    return T.horizon_targets(obs(spark, sf), HOR).select(*key(), *[r6(f"target_{h}") for h in HOR])
 
 
 @query(
@@ -106,7 +109,7 @@ def horizon_targets(spark, sf):
 )
 def horizon_explode(spark, sf):
     out = T.horizon_explode(T.horizon_targets(obs(spark, sf), HOR), HOR)
-    return out.select(*KEY, big("horizon_min"), r6("target"), r6("horizon_sqrt"), stamp("target_time"))
+    return out.select(*key(), big("horizon_min"), r6("target"), r6("horizon_sqrt"), stamp("target_time"))
 
 
 @query(
@@ -131,7 +134,7 @@ W3 = "w3 AS (SELECT * FROM weather WHERE hour(weather_hour) % 3 = 0)"
 @query(f", {W3} SELECT o.station_id, o.obs_id, {s6('temperature', 'temperature')}, {s6('humidity', 'humidity')}, {s6('rain', 'rain')} FROM obs o LEFT JOIN w3 ON date_trunc('hour', o.time) = weather_hour", "obs", "weather")
 def weather_left_join(spark, sf):
     o = obs(spark, sf).withColumn("weather_hour", F.date_trunc("hour", "time").cast("timestamp_ntz"))
-    return o.join(_weather3(spark, sf), "weather_hour", "left").select(*KEY, r6("temperature"), r6("humidity"), r6("rain"))
+    return o.join(_weather3(spark, sf), "weather_hour", "left").select(*key(), r6("temperature"), r6("humidity"), r6("rain"))
 
 
 @query(
@@ -139,7 +142,7 @@ def weather_left_join(spark, sf):
 )
 def weather_asof(spark, sf):
     out = T.asof(obs(spark, sf), _weather3(spark, sf), "time", "weather_hour", ["temperature", "rain"])
-    return out.select(*KEY, r6("temperature"), r6("rain"))
+    return out.select(*key(), r6("temperature"), r6("rain"))
 
 
 @query(
@@ -148,7 +151,7 @@ def weather_asof(spark, sf):
 )
 def weather_fill(spark, sf):
     o = obs(spark, sf).withColumn("weather_hour", F.date_trunc("hour", "time").cast("timestamp_ntz")).join(_weather3(spark, sf), "weather_hour", "left")
-    return T.fill_both(o, ["temperature"], ["station_id", "time", "obs_id"], F.col("station_id")).select(*KEY, r6("temperature"))
+    return T.fill_both(o, ["temperature"], ["station_id", "time", "obs_id"], F.col("station_id")).select(*key(), r6("temperature"))
 
 
 @query(f", p AS (SELECT *, CASE WHEN time >= TIMESTAMP '{CUT}' THEN 'test' ELSE 'train' END AS part FROM obs) SELECT part, count(*) AS n_rows, count(DISTINCT station_id) AS n_stations, {st('min(time)', 'first_time')}, {st('max(time)', 'last_time')} FROM p GROUP BY part", "obs")
@@ -176,12 +179,12 @@ def station_holdout(spark, sf):
     "SELECT DISTINCT r.station_id, r.obs_id FROM r WHERE n <= 20 OR i IN (SELECT floor(k * (r.n - 1) / 19::DOUBLE)::BIGINT FROM range(20) q(k))", "obs",
 )
 def systematic_sample(spark, sf):
-    return T.systematic_sample(obs(spark, sf), 20).select(*KEY)
+    return T.systematic_sample(obs(spark, sf), 20).select(*key())
 
 
 @query("SELECT station_id, obs_id FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY time DESC, obs_id DESC) AS rn FROM obs) WHERE rn <= 5", "obs")
 def tail_n(spark, sf):
-    return T.tail_rows(obs(spark, sf), 5).select(*KEY)
+    return T.tail_rows(obs(spark, sf), 5).select(*key())
 
 
 PK = "hour(time) BETWEEN 7 AND 9 OR hour(time) BETWEEN 17 AND 19"
@@ -210,7 +213,7 @@ def grouped_means(spark, sf):
 def same_hour_profiles(spark, sf):
     o = T.split_at(calendar(obs(spark, sf)), t(CUT))
     out = P.profile_features(o.filter("part = 'train'"), o.filter("part = 'test'"))
-    return out.select(*KEY, *[r6(c) for c in ("p_avg", "p_peak", "p_duration", "p_hour", "p_weekday_hour", "p_global_hour")])
+    return out.select(*key(), *[r6(c) for c in ("p_avg", "p_peak", "p_duration", "p_hour", "p_weekday_hour", "p_global_hour")])
 
 
 @query(
@@ -254,7 +257,7 @@ def access_list_filter(spark, sf):
 def clip_and_escape(spark, sf):
     text = F.concat(F.lit("<b>"), F.col("station_id").cast("string"), F.lit("</b> & co"))
     back = F.replace(F.replace(F.replace(html_escape(text), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    return obs(spark, sf).select(*KEY, r6("clipped", clip(F.col("occ"), 0.2, 0.8)), back.alias("label"))
+    return obs(spark, sf).select(*key(), r6("clipped", clip(F.col("occ"), 0.2, 0.8)), back.alias("label"))
 
 
 @query("SELECT station_id, charge_count FROM station WHERE charge_count > 15 OR NOT EXISTS (SELECT 1 FROM station WHERE charge_count > 15)", "station")
