@@ -2,10 +2,10 @@
 
 Items are cut into units of at most 64 words. A unit's BM25 weights are divided by the score of
 the unit against itself, so one threshold (a share of the own score) serves all. Every passage
-of the training texts (128 words, one each 64 words) is a query. Bounds come from blocks of
-units: passages whose block maxima cannot reach the threshold in any block are left out, all at
-once; the others walk the posting lists with WAND pivots and block maxima and give every unit at
-or above the threshold. A hit is then verified on the words around it: the shares of the 3-grams
+of the training texts (128 words, one each 64 words) is a query. The lists of essential terms are
+read for all passages of a batch at once: a passage that no unit's essential terms can bring to
+the threshold is left out. The others walk the posting lists with WAND pivots and block maxima
+and give every unit at or above the threshold. A hit is then verified on the words around it: the shares of the 3-grams
 of the item's question and of its answer that occur there.
 
 The question of an item ends at its last question mark, else at its last but one sentence end,
@@ -22,6 +22,7 @@ give repeated rows; extra columns are ignored; empty tables give an empty table.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, stored, table
+from gridlark.llm.common import chunks, ranges, stored, table
 
 TILE = 64
 SHARD_BYTES = 8 << 20
@@ -91,11 +92,11 @@ def postings(items: DataFrame, shards: int) -> DataFrame:
 
 
 class Index:
-    """Posting lists by term with block maxima."""
+    """Posting lists by term with block maxima, and the essential postings of each unit."""
 
-    BLOCKS = 64
+    BLOCK = 16
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], least: float):
         units = sorted({(r[1], r[2], str(r[0])) for r in rows})
         at = {u: i for i, u in enumerate(units)}
         ids = {(r[1], r[2], str(r[0])): r[0] for r in rows}
@@ -107,53 +108,84 @@ class Index:
         unit = np.array([at[r[1], r[2], str(r[0])] for r in rows], np.int64)
         weight = np.array([r[4] for r in rows], np.float64)
         order = np.lexsort((unit, term))
-        self.unit, self.weight = unit[order], weight[order]
-        self.begin = np.searchsorted(term[order], np.arange(len(terms) + 1))
-        self.block = max(1, -(-len(units) // self.BLOCKS))
-        blocks = -(-len(units) // self.block) if units else 0
-        self.block_max = np.zeros((blocks, len(terms) + 1), np.float32)  # the last column is for words that no item has
-        np.maximum.at(self.block_max, (unit // self.block, term), np.nextafter(weight.astype(np.float32), np.float32(2)))
-        self.top = self.block_max.max(0, initial=0)
+        term, unit, weight = term[order], unit[order], weight[order]
+        self.begin = np.searchsorted(term, np.arange(len(terms) + 1))
+        self.lists = [(unit[a:b].tolist(), weight[a:b].tolist()) for a, b in zip(self.begin[:-1], self.begin[1:], strict=True)]
+        self.top = [max(w) for _, w in self.lists]
+        self.block_max = [[max(w[i] for i in range(len(u)) if u[i] // self.BLOCK == k) for k in sorted({x // self.BLOCK for x in u})] for u, w in self.lists]
+        self.blocks = [sorted({x // self.BLOCK for x in u}) for u, _ in self.lists]
+        # A unit's rarest terms are essential until what is left adds less than `spare` in all: a
+        # passage that reaches the threshold has essential terms that add up to the difference.
+        spare = 0.4 * least
+        df = np.diff(self.begin)[term]
+        order = np.lexsort((term, -df, unit))  # of each unit, the most frequent terms first
+        left = np.cumsum(weight[order])
+        start = np.searchsorted(unit[order], np.arange(len(units)))
+        left -= np.concatenate([[0.0], left])[start][unit[order]]
+        easy = np.zeros(len(term), bool)
+        easy[order] = left <= spare
+        self.need = least - np.bincount(unit[easy], weight[easy], len(units)) - 1e-9
+        self.e_unit, self.e_weight = unit[~easy], weight[~easy]
+        self.e_begin = np.searchsorted(term[~easy], np.arange(len(terms) + 1))
         self.parts: dict[str, tuple] = {}
 
-    def wand(self, query: np.ndarray, least: float) -> list[tuple[int, float]]:
+    def passages(self, tile: np.ndarray, term: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Tiles whose passage (the tile and the next one) may reach the threshold, by essential terms."""
+        n = self.e_begin[term + 1] - self.e_begin[term]
+        at = ranges(self.e_begin[term], n)
+        t, u, w = np.repeat(tile, n), self.e_unit[at], self.e_weight[at]
+        back = (t > 0) & pair[np.maximum(t - 1, 0)]
+        key = np.concatenate([t, t[back] - 1]) * len(self.items) + np.concatenate([u, u[back]])
+        order = np.argsort(key, kind="stable")
+        key, w = key[order], np.concatenate([w, w[back]])[order]
+        if not len(key):
+            return key
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        ok = np.add.reduceat(w, new) >= self.need[key[new] % len(self.items)]
+        return np.unique(key[new][ok] // len(self.items))
+
+    def _bound(self, t: int, b: int) -> float:
+        i = bisect_left(self.blocks[t], b)
+        return self.block_max[t][i] if i < len(self.blocks[t]) and self.blocks[t][i] == b else 0.0
+
+    def wand(self, query: list[int], least: float) -> list[tuple[int, float]]:
         """All units whose weights of the query's terms sum to least or more."""
-        cursors = [[int(self.begin[t]), int(self.begin[t + 1]), int(t)] for t in query]
+        least -= 1e-9
+        cur = [[self.lists[t][0][0], 0, t] for t in query]  # unit, place in the list, term
         out = []
-        unit, weight, size = self.unit, self.weight, self.block
         while True:
-            cursors = [c for c in cursors if c[0] < c[1]]
-            cursors.sort(key=lambda c: unit[c[0]])
+            cur.sort()
             bound, pivot = 0.0, -1
-            for i, c in enumerate(cursors):
+            for i, c in enumerate(cur):
                 bound += self.top[c[2]]
                 if bound >= least:
                     pivot = i
                     break
             if pivot < 0:
                 return out
-            u = int(unit[cursors[pivot][0]])
-            while pivot + 1 < len(cursors) and unit[cursors[pivot + 1][0]] == u:
+            u = cur[pivot][0]
+            while pivot + 1 < len(cur) and cur[pivot + 1][0] == u:
                 pivot += 1
-            b = u // size
-            if sum(float(self.block_max[b, c[2]]) for c in cursors[: pivot + 1]) < least:
+            b = u // self.BLOCK
+            if sum(self._bound(c[2], b) for c in cur[: pivot + 1]) < least:
                 # no unit up to the block's end, or to the next list's place, can reach it
-                to = (b + 1) * size
-                if pivot + 1 < len(cursors):
-                    to = min(to, int(unit[cursors[pivot + 1][0]]))
+                to = (b + 1) * self.BLOCK
+                if pivot + 1 < len(cur):
+                    to = min(to, cur[pivot + 1][0])
                 to = max(to, u + 1)
-                for c in cursors[: pivot + 1]:
-                    c[0] += int(np.searchsorted(unit[c[0] : c[1]], to))
-            elif unit[cursors[0][0]] == u:
-                s = 0.0
-                for c in cursors[: pivot + 1]:
-                    s += float(weight[c[0]])
-                    c[0] += 1
+            elif cur[0][0] == u:
+                s = sum(self.lists[c[2]][1][c[1]] for c in cur[: pivot + 1])
                 if s >= least:
                     out.append((u, s))
+                to = u + 1
             else:
-                for c in cursors[:pivot]:
-                    c[0] += int(np.searchsorted(unit[c[0] : c[1]], u))
+                to = u
+            for c in cur[: pivot + 1]:
+                if c[0] < to:
+                    units = self.lists[c[2]][0]
+                    c[1] = bisect_left(units, to, c[1])
+                    c[0] = units[c[1]] if c[1] < len(units) else -1
+            cur = [c for c in cur if c[0] >= 0]
 
     def overlap(self, text: str, around: list[bytes]) -> tuple[float, float, float, int]:
         """Shares of the 3-grams of question, answer and item in these words, and the item's words."""
@@ -188,18 +220,13 @@ def leaks_in(index: Index, texts: list[str | None], least: float, overlap: float
     n_tiles = int(tiles.sum())
     doc_of = np.repeat(np.arange(len(docs)), tiles)
     pair = np.concatenate([doc_of[1:] == doc_of[:-1], [False]]) if n_tiles else np.zeros(0, bool)
-    hit = np.zeros(n_tiles, bool)
-    for m in index.block_max:
-        s = np.bincount(kt, m[kw], n_tiles)
-        s[:-1] += np.where(pair[:-1], s[1:], 0)
-        hit |= s >= least
     found: dict[tuple[int, int], list] = {}
     cut = np.searchsorted(kt, np.arange(n_tiles + 2))
-    for i in np.flatnonzero(hit).tolist():
+    for i in index.passages(kt, kw, pair).tolist():
         end = cut[i + 2] if pair[i] else cut[i + 1]
         d = int(doc_of[i])
         p = i - int(base[d])
-        for u, s in index.wand(np.unique(kw[cut[i] : end]), least):
+        for u, s in index.wand(np.unique(kw[cut[i] : end]).tolist(), least):
             f = found.setdefault((d, u), [0.0, []])
             f[0] = max(f[0], s)
             f[1].append(p)
@@ -229,7 +256,7 @@ def leaks_in(index: Index, texts: list[str | None], least: float, overlap: float
     return list(best.values())
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: float = 0.4, overlap: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, overlap: float = 0.5) -> DataFrame:
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap, kind), one for each item in a document."""
     spark = docs.sparkSession
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -247,7 +274,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.4, overlap: float
         def run(it: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
             index = None
             for t in chunks(it, "text", BATCH):
-                index = index or Index(bc.value)
+                index = index or Index(bc.value, least)
                 ids = t["doc_id"].to_pylist()
                 rows = [(ids[r[0]], *r[1:]) for r in leaks_in(index, t["text"].to_pylist(), least, overlap)]
                 names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "kind"]
