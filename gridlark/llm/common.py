@@ -41,6 +41,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Write df to the shared folder in n buckets of key: joins on key then leave it where it is."""
+    spark = df.sparkSession
+    name = f"gridlark_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, key).option("path", new_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables that stored() wrote and nothing will read again, and let Spark drop the shuffle files of finished steps."""
     gc.collect()

@@ -2,12 +2,12 @@
 
 Exact repeats of `span` bytes across documents are found in four steps.
 
-1. Texts are packed into batches of a few MB, once, and kept partitioned by batch.
+1. Texts are packed into batches of a few MB, once, and kept bucketed by batch, so joins move only what is sent to them.
 2. Each window of `span` bytes belongs to its minimizer (its `seed`-byte string of least hash),
    and windows in a row with one minimizer form a segment of less than 2 * span bytes. Equal
    windows have equal minimizers, so minimizers that only one document has are left out.
-3. The remaining segments are dealt by minimizer. In each part the distinct segments form a
-   collection whose Burrows-Wheeler transform is built column-wise: round j puts the j-th symbol
+3. The remaining segments are dealt by minimizer. In each part equal segments are merged, and the
+   distinct ones that have a side of their minimizer in common with another form a collection whose Burrows-Wheeler transform is built column-wise: round j puts the j-th symbol
    from the end of every segment in its place, which its rank among equal symbols of the
    transform gives, and updates the common-prefix array from range minima. Transform, prefixes
    and the rows' origins are sequential files that each round reads and writes anew. Rows that
@@ -36,11 +36,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import MIX1, MIX2, MULT, chunks, mix, ranges, shared_dir, shuffle_width
+from gridlark.llm.common import MIX1, MIX2, MULT, bucketed, chunks, mix, ranges, shuffle_width
 
 SPAN = 50
 SEED = 20
-BATCH = 4 << 20
+SIDE = SEED + (SPAN - SEED) // 2  # every window has its minimizer with that many bytes on one side, the minimizer included
+BATCH = 2 << 20
 COLLECTION = 40_000  # segments that one Burrows-Wheeler transform holds, groups of one minimizer stay whole
 NO_DOC = np.iinfo(np.int64).max
 
@@ -74,15 +75,15 @@ def _at(b: np.ndarray, offset: int, n: int) -> np.ndarray:
     return np.ndarray((n,), np.uint64, b, offset, (1,))
 
 
-def segments(text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, minimizer hash and identity hash of each segment.
+def segments(text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, minimizer hash and place, and identity hash of each segment.
 
     text: the concatenated texts; doc: the texts' ends. Windows over an end are left out.
     """
     n = len(text) - SPAN + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint8), empty.astype(np.uint64)
     pad = np.concatenate([text, np.zeros(SPAN + 16, np.uint8)])
     m = len(text) - SEED + 1
     h = _at(pad, 0, m) * MULT
@@ -114,13 +115,29 @@ def segments(text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     size = np.minimum(size, doc[np.minimum(end, len(doc) - 1)] - SPAN + 1 - first)
     first, size = first[live], size[live]
     seed = low[first] >> np.uint64(24)
-    last = first + size - 1
+    place = ((low[first] & np.uint64(0xFFFFFF)).astype(np.int64) - first).astype(np.uint8)
+    return first, size, seed, place, identity(pad, first, size)
+
+
+def identity(pad: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of whole segments: their first and last windows overlap, so these tell all bytes."""
+    n = len(pad) - 8
     ident = size.astype(np.uint64)
-    for at in (first, last):
+    for at in (first, first + size - 1):
         for o in (0, 8, 16, 24, 32, 40, SPAN - 8):
-            ident = ident * MULT + _at(pad, o, n)[at]
+            ident = ident * MULT + _at(pad, 0, n)[at + o]
             ident ^= ident >> np.uint64(29)
-    return first, size, seed, mix(ident)
+    return mix(ident)
+
+
+def flank(pad: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the SIDE bytes from each place on."""
+    n = len(pad) - 8
+    h = np.zeros(len(at), np.uint64)
+    for o in (*range(0, SIDE - 8, 8), SIDE - 8):
+        h = h * MULT + _at(pad, 0, n)[at + o]
+        h ^= h >> np.uint64(29)
+    return mix(h)
 
 
 def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +155,7 @@ class Batch:
     def __init__(self, block: bytes):
         self.ids, self.size, self.text = _unzip(block, np.int64, np.int64, np.uint8)
         self.ends = np.cumsum(self.size)
-        self.first, self.count, self.seed, self.ident = segments(self.text, self.ends)
+        self.first, self.count, self.seed, self.place, self.ident = segments(self.text, self.ends)
         self.owner = self.ids[np.searchsorted(self.ends, self.first, "right")] if len(self.first) else np.zeros(0, np.int64)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +237,7 @@ def _candidates(n_parts: int):
                     r = r[np.argsort(b.seed[r], kind="stable")]
                     size = b.count[r] + SPAN - 1
                     flat = b.text[ranges(b.first[r], size)]
-                    rows.append((i, _zip(b.seed[r], b.ident[r], b.owner[r], b.first[r].astype(np.int32), size.astype(np.uint8), flat)))
+                    rows.append((i, _zip(b.seed[r], b.owner[r], b.first[r].astype(np.int32), b.place[r], size.astype(np.uint8), flat)))
                 if rows:
                     yield pa.record_batch({"part": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -320,12 +337,15 @@ def window_docs(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np
 def _resolve(t: pa.Table) -> pa.Table:
     """Smallest documents of the windows of one part's segments, as runs for each batch."""
     batches = t["batch"].to_numpy()
-    cols = [_unzip(x, np.uint64, np.uint64, np.int64, np.int32, np.uint8, np.uint8) for x in t["block"].to_pylist()]
+    cols = [_unzip(x, np.uint64, np.int64, np.int32, np.uint8, np.uint8, np.uint8) for x in t["block"].to_pylist()]
     who = np.repeat(np.arange(len(cols)), [len(c[0]) for c in cols])
-    seed, ident, owner, place = (np.concatenate([c[i] for c in cols]) for i in range(4))
+    seed, owner, place = (np.concatenate([c[i] for c in cols]) for i in range(3))
+    inner = np.concatenate([c[3] for c in cols]).astype(np.int64)
     size = np.concatenate([c[4] for c in cols]).astype(np.int64)
-    flat = np.concatenate([c[5] for c in cols])
+    flat = np.concatenate([*(c[5] for c in cols), np.zeros(SPAN + 16, np.uint8)])
     begin = np.cumsum(size) - size
+    span = size - SPAN + 1
+    ident = identity(flat, begin, span)
     order = np.lexsort((ident, seed))
     s, i = seed[order], ident[order]
     new = np.concatenate([[True], (s[1:] != s[:-1]) | (i[1:] != i[:-1])])
@@ -334,22 +354,27 @@ def _resolve(t: pa.Table) -> pa.Table:
     kind[order] = np.cumsum(new) - 1
     rep = order[at]  # distinct segments, by minimizer
     doc = np.minimum.reduceat(owner[order], at)
-    lead = np.concatenate([[True], seed[rep][1:] != seed[rep][:-1]])
-    group = np.flatnonzero(lead)
-    span = size - SPAN + 1
+    # a segment that shares a window with another one shares one of its minimizer's sides
+    off, n = inner[rep], size[rep]
+    right, left = np.flatnonzero(off + SIDE <= n), np.flatnonzero(off >= SIDE - SEED)
+    sides = np.concatenate([flank(flat, begin[rep[right]] + off[right]), flank(flat, begin[rep[left]] + off[left] - (SIDE - SEED)) ^ np.uint64(1)])
+    _, back, many = np.unique(sides, return_inverse=True, return_counts=True)
+    near = np.zeros(len(rep), bool)
+    near[np.concatenate([right, left])[many[back] > 1]] = True
+    near = np.flatnonzero(near)
+    base = np.cumsum(span[rep]) - span[rep]
+    least_of = np.repeat(doc, span[rep])
     # collections of whole minimizer groups
-    cuts, have = [0], 0
-    for g, e in zip(group.tolist(), [*group[1:].tolist(), len(rep)], strict=True):
+    lead = np.flatnonzero(np.concatenate([[True], seed[rep[near]][1:] != seed[rep[near]][:-1]])) if len(near) else []
+    cuts = [0]
+    for g, e in zip(lead, [*lead[1:], len(near)], strict=True):
         if e - cuts[-1] > COLLECTION and g > cuts[-1]:
-            cuts.append(g)
-        have = e
-    cuts.append(have)
-    least_of = np.zeros(int(span[rep].sum()), np.int64)
-    base = np.cumsum(span[rep]) - span[rep]
-    for a, e in zip(cuts[:-1], cuts[1:], strict=True):
-        r = rep[a:e]
-        own, off, least = window_docs(flat[ranges(begin[r], size[r])], size[r], doc[a:e])
-        least_of[base[a + own] + off] = least
+            cuts.append(int(g))
+    for a, e in zip(cuts, [*cuts[1:], len(near)], strict=True):
+        k = near[a:e]
+        r = rep[k]
+        own, off, least = window_docs(flat[ranges(begin[r], size[r])], size[r], doc[k])
+        least_of[base[k[own]] + off] = least
     rows = []
     for b, mine in _deal(who, len(cols)):
         k = kind[mine]
@@ -400,11 +425,10 @@ def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept): each text without what smaller documents have."""
     spark = docs.sparkSession
-    shared_dir(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = shuffle_width(spark)
-    packed = own.mapInArrow(_pack, "batch long, block binary").repartition(width, "batch").checkpoint()
-    n_parts = max(width, packed.count() // 4)
+    packed = bucketed(own.mapInArrow(_pack, "batch long, block binary"), "batch", width)
+    n_parts = max(width, packed.count() // 8)
     row = "part int, batch long, block binary"
     seeds = packed.mapInArrow(_seeds(n_parts), row)
     lists = seeds.groupBy("part").applyInArrow(_shared, "batch long, block binary").groupBy("batch").agg(F.collect_list("block").alias("lists"))
