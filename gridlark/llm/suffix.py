@@ -367,7 +367,7 @@ def _resolve(t: pa.Table) -> pa.Table:
     # collections of whole minimizer groups
     lead = np.flatnonzero(np.concatenate([[True], seed[rep[near]][1:] != seed[rep[near]][:-1]])) if len(near) else []
     cuts = [0]
-    for g, e in zip(lead, [*lead[1:], len(near)], strict=True):
+    for g, e in zip(lead, [*lead[1:], len(near)][: len(lead)], strict=True):
         if e - cuts[-1] > COLLECTION and g > cuts[-1]:
             cuts.append(int(g))
     for a, e in zip(cuts, [*cuts[1:], len(near)], strict=True):
