@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from gridlark.llm.common import chunks, ranges
 from gridlark.llm.pieces import BYTE, CONTROL, NORMAL, SPACE, Parts, Pieces, default_model, read_pieces
 
-BATCH = 8 << 20
-BLOCK = 600_000  # characters in one suffix array
+BATCH = 3 << 20
+BLOCK = 300_000  # characters in one suffix array
 LONG = 200  # words of more characters are merged one by one
 NEVER = np.iinfo(np.int64).max
 
@@ -342,7 +342,7 @@ def decode(docs: DataFrame, model: str | None = None) -> DataFrame:
     docs = docs.drop("decoded")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(it, "ids", 4 * BATCH):
+        for t in chunks(it, "ids", BATCH):
             c = t["ids"].combine_chunks()
             n = np.array(c.value_lengths().fill_null(0), np.int64)
             texts = tokenizer(bc.value).decode(np.array(c.flatten().fill_null(-1), np.int64), n)
