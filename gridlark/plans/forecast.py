@@ -12,7 +12,6 @@ from gridlark.plans import series as Q
 from gridlark.plans.helpers import big, r6, s6, sb
 from gridlark.plans.series import W
 from gridlark.plans.space import query as _query
-from gridlark.sources import scenario as S
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -124,6 +123,14 @@ def gbt_ablation(spark, sf):
     return spark.createDataFrame([(r["feature_set"], r["n_features"], r["mae"], r["r2"]) for r in rows], "feature_set string, n_features int, mae double, r2 double")
 
 
+def random_search(spark, sf):
+    """Two-stage search over tree settings, validated on the days before the test part."""
+    f = _frame(spark, sf).filter("part = 'train'")
+    f = T.split_at(f, F.lit("2024-01-15").cast("timestamp_ntz"))
+    rows = ml.random_search(f.filter("part = 'train'"), f.filter("part = 'test'"), FEATURES[:8], "target", {"trees": [2, 3, 4], "depth": [2, 3]}, 2, 1)
+    return spark.createDataFrame([(r["trees"], r["depth"], r["mae"], r["r2"]) for r in rows], "trees int, depth int, mae double, r2 double")
+
+
+QUERIES["random_search"] = random_search
 QUERIES["gbt_predict"] = gbt_predict
 QUERIES["gbt_ablation"] = gbt_ablation
-_ = S

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlark.operators import graph as R
+from gridlark.operators import linear as L
 from gridlark.operators import ranking as K
 from gridlark.operators.constraints import Limits, post_check, pre_check
 from gridlark.operators.iterate import saved
@@ -229,4 +230,37 @@ def _ranking(metric: str):
 for _m in K.METRICS:
     _ranking(_m)
 
-_ = sb
+@query(
+    f", {SEG}, pt AS (SELECT u, v, t, station_id FROM sn UNION ALL SELECT v, u, 1 - t, station_id FROM sn), c AS (SELECT u, v, count(DISTINCT t) AS n FROM pt WHERE t > 0 AND t < 1 GROUP BY 1, 2) "
+    f"SELECT e.u, e.v, coalesce(c.n, 0) + 1 AS n_parts, {s6('e.seconds', 'seconds')}, {s6('e.seconds * 10', 'length_m')} FROM road_edge e LEFT JOIN c ON c.u = e.u AND c.v = e.v", *VIEWS[:3],
+)
+def edge_split_conservation(spark, sf):
+    e = S.road_edge(spark, sf).withColumn("length_m", F.col("seconds") * 10)
+    p = snap(S.station(spark, sf), S.road_node(spark, sf), e).select("station_id", "u", "v", "t")
+    parts = L.split_edges(e, p)
+    return parts.groupBy("u", "v").agg(F.count("*").alias("n_parts"), F.sum("seconds").alias("seconds"), F.sum("length_m").alias("length_m")).select("u", "v", "n_parts", r6("seconds"), r6("length_m"))
+
+
+@query(", one AS (SELECT u, v, 1.0::DOUBLE AS seconds FROM road_edge), " + from_node("0", e="one") + f" SELECT {sb('d', 'step')}, count(*) AS n, {sb('min(id)', 'first_node')} FROM r WHERE d > 0 GROUP BY d", "road_edge")
+def bfs_frontiers(spark, sf):
+    out = L.frontiers(edges(spark, sf), R.source_rows(spark, [0]))
+    return out.select(big("step"), big("n", F.size("nodes")), big("first_node", F.array_min("nodes")))
+
+
+@query(", one AS (SELECT u, v, 1.0::DOUBLE AS seconds FROM road_edge), " + from_node("0", e="one") + f" SELECT {sb('d', 'hops')} FROM r WHERE id = 9", "road_edge")
+def bidirectional_bfs(spark, sf):
+    return L.bidirectional_hops(edges(spark, sf), R.source_rows(spark, [0]), R.source_rows(spark, [9])).select(big("hops"))
+
+
+@query(f"SELECT tazid, {s6('min(lon)', 'west')}, {s6('max(lon)', 'east')}, {s6('min(lat)', 'south')}, {s6('max(lat)', 'north')} FROM station GROUP BY tazid", "station")
+def convex_hull_bounds(spark, sf):
+    """A hull has the same bounds as its points."""
+    s = S.station(spark, sf).select("tazid", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    h = L.convex_hull(s, "tazid").groupBy("tazid").agg(F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("n"))
+    return h.select(big("tazid"), r6("west", "w"), r6("east", "e"), r6("south", "s"), r6("north", "n"))
+
+
+@query(f", a AS (SELECT id, x, y, 0 AS o FROM road_node UNION ALL SELECT id, x + 1, y, 1 FROM road_node WHERE id % 3 = 0) SELECT id, {s6('arg_max(x, o)', 'x')}, {s6('arg_max(y, o)', 'y')} FROM a GROUP BY id", "road_node")
+def tile_union(spark, sf):
+    n = S.road_node(spark, sf)
+    return L.keyed_union([n, n.filter("id % 3 = 0").withColumn("x", F.col("x") + 1)], ["id"]).select("id", r6("x"), r6("y"))

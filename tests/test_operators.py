@@ -161,3 +161,31 @@ def test_stream_matches_batch(spark, tmp_path):
     q.stop()
     batch = occupancy.slot_means(obs, 60)
     assert spark.table("slots").exceptAll(batch.select(*spark.table("slots").columns)).isEmpty() or spark.table("slots").count() == batch.count()
+
+
+def test_substring(spark):
+    from gridlark.operators import linear
+
+    p = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 2.0, 0.0), (1, 2, 2.0, 2.0)], "edge int, pos int, x double, y double")
+    cut = lambda a, b: [(r.x, r.y) for r in linear.substring(p, a, b).orderBy("pos").collect()]
+    assert cut(0.25, 0.75) == [(1.0, 0.0), (2.0, 0.0), (2.0, 1.0)]
+    assert cut(0.75, 0.25) == [(2.0, 1.0), (2.0, 0.0), (1.0, 0.0)]
+    assert cut(0.0, 1.0) == [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0)]
+
+
+def test_hull_and_start(spark):
+    from gridlark.operators import linear
+
+    p = spark.createDataFrame([("a", float(x), float(y)) for x, y in ((0, 0), (2, 0), (2, 2), (0, 2), (1, 1), (1, 0))], "g string, x double, y double")
+    assert [(r.x, r.y) for r in linear.convex_hull(p, "g").orderBy("pos").collect()] == [(0, 0), (2, 0), (2, 2), (0, 2)]
+    e = spark.createDataFrame([("B", "C", 60.0, 1000.0), ("C", "B", 60.0, 1000.0), ("C", "D", 60.0, 1000.0)], "u string, v string, seconds double, length_m double")
+    s = linear.start_edges(e, "B", "C", 0.75)
+    assert {r.v: r.seconds for r in s.collect()} == {"C": 15.0, "B": 45.0}
+    whole = linear.overlay(e, s).withColumn("w", F.col("seconds") / 60)
+    got = {r.id: r.cost for r in graph.shortest(whole, graph.source_rows(spark, ["__start_access__"])).collect()}
+    assert got["D"] == 1.25
+    ev = spark.createDataFrame([("s", 1, ["B"]), ("s", 2, ["B"]), ("s", 3, ["C"])], "source string, step int, nodes array<string>")
+    assert linear.playback(ev, 2).first().nodes == ["B"] and linear.without_repeats(ev, "nodes", "source", "step").count() == 2
+    items = spark.createDataFrame([(1,), (2,), (3,)], "id2 int")
+    order = spark.createDataFrame([(0, 3), (1, 1)], "pos int, id int")
+    assert [r.id2 for r in linear.in_order(items, order, "id2").orderBy("rank").collect()] == [3, 1, 2]
