@@ -49,16 +49,21 @@ def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
     return spark.table(name)
 
 
-def forget(*tables: DataFrame) -> None:
-    """Delete tables that stored() wrote and nothing will read again, and let Spark drop the shuffle files of finished steps."""
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect garbage."""
     gc.collect()
+    spark._jvm.System.gc()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote and nothing will read again, and the shuffle files of finished steps."""
     for df in tables:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        release(tables[0].sparkSession)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import MIX1, MIX2, MULT, bucketed, chunks, mix, ranges, shuffle_width
+from gridlark.llm.common import MIX1, MIX2, MULT, bucketed, chunks, mix, ranges, release, shuffle_width, stored
 
 SPAN = 50
 SEED = 20
@@ -446,6 +446,8 @@ def _decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeats cut from their texts; those of which nothing is left go."""
     cut = remove_repeats(docs).filter("n_removed > 0").select("doc_id", "kept").mapInArrow(_decode, "_id long, _text string").dropDuplicates(["_id"])
+    cut = stored(cut, "cut")
+    release(docs.sparkSession)
     both = docs.join(cut, docs["doc_id"] == F.col("_id"), "left").filter("_text is null or length(trim(_text)) > 0")
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long")))
