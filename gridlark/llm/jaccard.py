@@ -12,7 +12,9 @@ the set's size, so a document has about as many combinations as n-grams in its p
 Equal sets are one node. Candidates of an index key are first compared with the key's smallest
 document only; what links is joined to components, and then only nodes of different components
 that share a key are compared, all of them. So no group of copies is expanded into pairs and no
-link between components is lost. Every candidate is verified on the whole sets.
+link between components is lost. Candidates must also pass bounds from sizes, from the place of
+the first common n-gram and from 256 parity bits of each set, which no linked pair fails; then
+they are verified on the whole sets.
 
 Defined results: null or empty text and text of white space only has an empty set and is linked
 with nothing; repeated rows have equal sets and share a component; rows without doc_id are judged
@@ -29,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, mix, ranges, stored, word_hashes
+from gridlark.llm.common import chunks, forget, mix, ranges, release, stored, word_hashes
 from gridlark.llm.graph import components
 
 BATCH = 4 << 20
 BUCKET_BITS = 18
+MARKS = ("m0", "m1", "m2", "m3")
 BLOOM_WORDS = 1 << 20  # 8 MB, whatever the input
 
 
@@ -76,6 +79,16 @@ def signature(s: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(v) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
+def parity(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """256 bits of each set, bit i set if an odd number of members hash to i.
+
+    Two sets differ in at least as many members as their bits do, which bounds their overlap.
+    """
+    bits = np.stack([np.bincount((mix(s) & np.uint64(255)).astype(np.int64), minlength=256) & 1 for s in sets]).astype(np.uint8) if sets else np.zeros((0, 256), np.uint8)
+    words = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
+    return [np.ascontiguousarray(words[:, i]) for i in range(4)]
+
+
 def _sets(t: pa.Table, k: int) -> list[np.ndarray]:
     return shingle_sets(t["text"].cast(pa.binary()).to_pylist(), k)
 
@@ -96,6 +109,7 @@ def _base(k: int):
                 "n": pa.array(np.concatenate([[len(s) for s in sets], count[used]]).astype(np.int64)),
                 "sig": pa.array([signature(s) if len(s) else None for s in sets] + [None] * len(used), pa.int64()),
                 "bucket": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(used.astype(np.int32))]),
+                **{m: pa.concat_arrays([pa.array(c), pa.nulls(len(used), pa.int64())]) for m, c in zip(MARKS, parity(sets), strict=True)},
             })
 
     return run
@@ -107,7 +121,7 @@ def need(n: int, num: int, den: int) -> int:
 
 
 def prefix_keys(s: np.ndarray, count: np.ndarray, frequent: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set and the place of each in the set's order (0 for combinations)."""
+    """Index keys of a set and the place of each in the set's order (of the first frequent one for combinations)."""
     c = count[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
     order = np.argsort(c, kind="stable")
     n = len(s)
@@ -133,7 +147,7 @@ def prefix_keys(s: np.ndarray, count: np.ndarray, frequent: int, num: int, den:
             if not same.any():
                 break
             keys.append(mix(f[:-d][same] * np.uint64(0x9E3779B97F4A7C15) + f[d:][same] + np.uint64(level)))
-            place.append(np.zeros(int(same.sum()), np.int64))
+            place.append(np.full(int(same.sum()), int((c <= frequent).sum())))  # all that a pair shares is frequent then
     return np.concatenate(keys), np.concatenate(place)
 
 
@@ -165,8 +179,8 @@ def bloom(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     bits = ids.select(F.explode(F.array(*h)).alias("h")).select(
         F.pmod("h", F.lit(BLOOM_WORDS)).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 58) AS INT))").alias("bit")
     )
-    w = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    return w["word"].to_numpy(np.int64), w["bits"].to_numpy(np.int64)
+    w = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    return w["word"].to_numpy().astype(np.int64), w["bits"].to_numpy()
 
 
 def _members(it_k: int, bc):
@@ -213,63 +227,72 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     spark: SparkSession = docs.sparkSession
     own = docs.select("doc_id", "text")
     kind = dict(own.dtypes)["doc_id"]
-    both = stored(own.mapInArrow(_base(k), f"doc_id {kind}, n long, sig long, bucket int"), "sets")
-    base = both.filter("bucket is null").select("doc_id", "n", "sig")
-    c = both.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("c")).toPandas()  # 2**18 rows at most
+    both = stored(own.mapInArrow(_base(k), f"doc_id {kind}, n long, sig long, bucket int, " + ", ".join(f"{m} long" for m in MARKS)), "sets")
+    base = both.filter("bucket is null").select("doc_id", "n", "sig", *MARKS)
+    c = both.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("c")).toArrow()  # 2**18 rows at most
     count = np.zeros(1 << BUCKET_BITS, np.int64)
     count[c["bucket"].to_numpy()] = c["c"].to_numpy()
     frequent = int(4 * count.sum() / len(count)) + 64
-    nodes = stored(base.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("d"), F.max("n").alias("n")), "nodes")
+    nodes = stored(base.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("d"), F.max("n").alias("n"), *[F.min(m).alias(m) for m in MARKS]), "nodes")
 
     index = own.mapInArrow(_index(k, num, den, spark.sparkContext.broadcast((count, frequent))), "key long, sig long, n int, place int")
     w = Window.partitionBy("key")
     index = index.groupBy("key", "sig").agg(F.min("n").alias("n"), F.min("place").alias("place"))
     index = index.withColumn("many", F.count("*").over(w)).filter("many > 1").select("key", "sig", "n", "place")
-    index = stored(index, "index")
-    index = stored(index.join(nodes.select("sig", "d"), "sig"), "index")
+    plain = stored(index, "index")
+    index = stored(plain.join(nodes.select("sig", "d", *MARKS), "sig"), "index")
+    forget(plain)
 
     fits = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
-    enough = (den + num) * (1 + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1) >= num * (F.col("na") + F.col("nb"))
-    star = index.withColumn("c", F.min(F.struct("d", "sig", "n", "place")).over(w)).select(
-        F.col("c.sig").alias("a"), F.col("sig").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"), F.col("c.place").alias("pa"), F.col("place").alias("pb")
+    total = F.col("na") + F.col("nb")
+    enough = (den + num) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= num * total
+    differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MARKS), F.lit(0))
+    fits = fits & enough & ((den + num) * (total - differ) >= 2 * num * total)
+    sides = lambda one, two: [F.col(x + m).alias(f"{y}_{m}") for x, y in ((one, "a"), (two, "b")) if x is not None for m in MARKS]
+    center = F.struct("d", "sig", "n", "place", *MARKS)
+    star = index.withColumn("c", F.min(center).over(w)).select(
+        F.col("c.sig").alias("a"), F.col("sig").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"), F.col("c.place").alias("pa"), F.col("place").alias("pb"), *sides("c.", "")
     )
-    star = stored(star.filter((F.col("a") != F.col("b")) & fits & enough).select("a", "b").distinct(), "pairs")
-
-    ids = index.select("sig").distinct().join(nodes, "sig").select(F.col("d").alias("id"))
-    bc = spark.sparkContext.broadcast(bloom(ids))
-    hashed = own.select("text", *[F.xxhash64("doc_id", F.lit(i)).alias(f"h{i}") for i in (1, 2, 3)])
-    sets = stored(hashed.mapInArrow(_members(k, bc), "sig long, s binary").dropDuplicates(["sig"]), "members")
+    star = stored(star.filter((F.col("a") != F.col("b")) & fits).select("a", "b").distinct(), "pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
+        """The pairs that reach the threshold; only sets of documents in pairs are gathered."""
+        ids = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct().join(nodes, "sig").select(F.col("d").alias("id"))
+        bc = spark.sparkContext.broadcast(bloom(ids))
+        hashed = own.select("text", *[F.xxhash64("doc_id", F.lit(i)).alias(f"h{i}") for i in (1, 2, 3)])
+        sets = stored(hashed.mapInArrow(_members(k, bc), "sig long, s binary"), "members")
         p = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
-        return stored(p.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long, ok boolean").filter("ok").select("a", "b"), "verified")
+        out = stored(p.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long, ok boolean").filter("ok").select("a", "b").distinct(), "verified")
+        forget(sets)
+        return out
 
     links = linked(star)
     label = components(links)
     index = index.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     index = index.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).filter("lo <> hi")
-    index = stored(index.select("key", "sig", "n", "place", "label"), "rest")
-    x = index.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"))
-    y = index.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"))
-    rest = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits & enough).select("a", "b").distinct()
+    index = stored(index.select("key", "sig", "n", "place", "label", *MARKS), "rest")
+    x = index.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), *sides("", None))
+    y = index.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), *sides(None, ""))
+    rest = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits).select("a", "b").distinct()
     known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(known, ["a", "b"], "left_anti"), "pairs")
-    more = linked(rest)
-    links = links.unionByName(more)
+    if not rest.isEmpty():
+        links = links.unionByName(linked(rest))
     label = components(links)
 
     ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("n_links"))
     node = nodes.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")).join(ends, "sig", "left")
     least = node.groupBy("label").agg(F.min("d").alias("component_id"))
     node = stored(node.join(least, "label").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    out = base.join(node, "sig", "left")
+    out = base.drop(*MARKS).join(node, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that are near copies of a document with a smaller doc_id; documents without words stay."""
     c = jaccard_components(docs)
-    gone = c.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = stored(c.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    release(docs.sparkSession)
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
 
 
