@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from gridlark.llm.common import chunks, ranges
 from gridlark.llm.pieces import NORMAL, SPACE, UNUSED, USER, Parts, Pieces, default_model, read_pieces
 
-BATCH = 8 << 20
+BATCH = 3 << 20
 BLOCK = 1 << 19  # bytes of words that are read in step
 
 
