@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, forget, mix, ranges, release, stored, word_hashes
+from gridlark.llm.common import chunks, forget, mix, ranges, release, shuffle_width, stored, word_hashes
 from gridlark.llm.graph import components
 
 BATCH = 4 << 20
@@ -156,8 +156,8 @@ def _index(k: int, num: int, den: int, bc):
         count, frequent = bc.value
         seen: set[int] = set()
         for t in chunks(it, "text", BATCH):
-            key, sig, size, place = [], [], [], []
-            for s in _sets(t, k):
+            key, sig, size, place, owner = [], [], [], [], []
+            for row, s in enumerate(_sets(t, k)):
                 if not len(s) or (g := signature(s)) in seen:
                     continue
                 if len(seen) < 500_000:  # copies in one task give their keys once; later ones go in the shuffle
@@ -165,10 +165,12 @@ def _index(k: int, num: int, den: int, bc):
                 x, p = prefix_keys(s, count, frequent, num, den)
                 key.append(x)
                 place.append(p)
+                owner.append(np.full(len(x), row))
                 sig.append(np.full(len(x), g, np.int64))
                 size.append(np.full(len(x), len(s), np.int32))
             if key:
-                yield pa.record_batch({"key": np.concatenate(key).view(np.int64), "sig": np.concatenate(sig), "n": np.concatenate(size), "place": np.concatenate(place).astype(np.int32)})
+                d = t["doc_id"].combine_chunks().take(pa.array(np.concatenate(owner)))
+                yield pa.record_batch({"key": np.concatenate(key).view(np.int64), "sig": np.concatenate(sig), "d": d, "n": np.concatenate(size), "place": np.concatenate(place).astype(np.int32)})
 
     return run
 
@@ -235,25 +237,27 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     frequent = int(4 * count.sum() / len(count)) + 64
     nodes = stored(base.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("d"), F.max("n").alias("n"), *[F.min(m).alias(m) for m in MARKS]), "nodes")
 
-    index = own.mapInArrow(_index(k, num, den, spark.sparkContext.broadcast((count, frequent))), "key long, sig long, n int, place int")
-    w = Window.partitionBy("key")
-    index = index.groupBy("key", "sig").agg(F.min("n").alias("n"), F.min("place").alias("place"))
-    index = index.withColumn("many", F.count("*").over(w)).filter("many > 1").select("key", "sig", "n", "place")
-    plain = stored(index, "index")
-    index = stored(plain.join(nodes.select("sig", "d", *MARKS), "sig"), "index")
-    forget(plain)
-
     fits = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     total = F.col("na") + F.col("nb")
-    enough = (den + num) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= num * total
+    fits = fits & ((den + num) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= num * total)
     differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MARKS), F.lit(0))
-    fits = fits & enough & ((den + num) * (total - differ) >= 2 * num * total)
-    sides = lambda one, two: [F.col(x + m).alias(f"{y}_{m}") for x, y in ((one, "a"), (two, "b")) if x is not None for m in MARKS]
-    center = F.struct("d", "sig", "n", "place", *MARKS)
-    star = index.withColumn("c", F.min(center).over(w)).select(
-        F.col("c.sig").alias("a"), F.col("sig").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb"), F.col("c.place").alias("pa"), F.col("place").alias("pb"), *sides("c.", "")
-    )
-    star = stored(star.filter((F.col("a") != F.col("b")) & fits).select("a", "b").distinct(), "pairs")
+    alike = (den + num) * (total - differ) >= 2 * num * total
+    marks = lambda side: [F.col(m).alias(f"{side}_{m}") for m in MARKS]
+
+    # dealt by key once: equal sets of a key are merged, and its smallest document is its center
+    index = own.mapInArrow(_index(k, num, den, spark.sparkContext.broadcast((count, frequent))), f"key long, sig long, d {kind}, n int, place int")
+    index = index.repartition(shuffle_width(spark), "key").groupBy("key", "sig").agg(F.min("d").alias("d"), F.min("n").alias("nb"), F.min("place").alias("pb"))
+    w = Window.partitionBy("key")
+    index = index.withColumns({"many": F.count("*").over(w), "c": F.min(F.struct("d", "sig", "nb", "pb")).over(w)}).filter("many > 1")
+    index = index.select("key", "many", F.col("c.sig").alias("a"), F.col("c.nb").alias("na"), F.col("c.pb").alias("pa"), F.col("sig").alias("b"), "nb", "pb")
+    index = index.withColumn("ok", (F.col("a") != F.col("b")) & fits)
+    index = index.withColumn("some", F.max("ok").over(w)).filter((F.col("many") > 2) | F.col("some")).drop("many", "some")  # two that do not fit are no candidates
+    index = stored(index, "index")
+    release(spark)
+
+    star = index.filter("ok").select("a", "b", "na", "nb").distinct()
+    star = star.join(nodes.select(F.col("sig").alias("a"), *marks("a")), "a").join(nodes.select(F.col("sig").alias("b"), *marks("b")), "b")
+    star = stored(star.filter(alike).select("a", "b"), "pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that reach the threshold; only sets of documents in pairs are gathered."""
@@ -268,12 +272,13 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
     links = linked(star)
     label = components(links)
+    index = index.select("key", F.col("b").alias("sig"), F.col("nb").alias("n"), F.col("pb").alias("place"))
     index = index.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    index = index.withColumn("lo", F.min("label").over(w)).withColumn("hi", F.max("label").over(w)).filter("lo <> hi")
-    index = stored(index.select("key", "sig", "n", "place", "label", *MARKS), "rest")
-    x = index.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), *sides("", None))
-    y = index.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), *sides(None, ""))
-    rest = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits).select("a", "b").distinct()
+    index = index.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).filter("lo <> hi").select("key", "sig", "n", "place", "label")
+    index = stored(index.join(nodes.select("sig", *MARKS), "sig"), "rest")
+    x = index.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), *marks("a"))
+    y = index.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), *marks("b"))
+    rest = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits & alike).select("a", "b").distinct()
     known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = stored(rest.join(known, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
