@@ -133,6 +133,32 @@ def window_hash(b: np.ndarray, k: int) -> np.ndarray:
     return mix(out[:n])
 
 
+POSITION_BITS = 24
+
+
+def window_minima(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least upper 40 bits of each window of w hashes, and the leftmost place that has them.
+
+    Places are packed under the hashes, so windows are taken in pieces that POSITION_BITS can number.
+    """
+    n = len(h) - w + 1
+    bits = np.uint64(POSITION_BITS)
+    value, place = np.zeros(max(0, n), np.uint64), np.zeros(max(0, n), np.int64)
+    step = (1 << POSITION_BITS) - w + 1
+    for a in range(0, n, step):
+        low = h[a : a + step + w - 1] >> np.uint64(24) << bits
+        m = len(low) - w + 1
+        low |= np.arange(len(low), dtype=np.uint64)
+        k = 1
+        while 2 * k <= w:
+            low = np.minimum(low[:-k], low[k:])
+            k *= 2
+        low = np.minimum(low[:m], low[w - k : w - k + m])
+        value[a : a + m] = low >> bits
+        place[a : a + m] = (low & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64) + a
+    return value, place
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hash of each byte string (the same on every machine)."""
     if not words:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import MIX1, MIX2, MULT, bucketed, chunks, mix, ranges, release, shuffle_width, stored
+from gridlark.llm.common import MIX1, MIX2, MULT, bucketed, chunks, mix, ranges, release, shuffle_width, stored, window_minima
 
 SPAN = 50
 SEED = 20
@@ -91,21 +91,14 @@ def segments(text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     h += _at(pad, SEED - 8, m) * MIX2
     h ^= h >> np.uint64(32)
     h *= MIX1
-    h &= np.uint64(0xFFFFFFFFFF000000)
-    h |= np.arange(m, dtype=np.uint64)
-    w, k = SPAN - SEED + 1, 1
-    low = h
-    while 2 * k <= w:
-        low = np.minimum(low[:-k], low[k:])
-        k *= 2
-    low = np.minimum(low[:n], low[w - k : w - k + n])
+    low, least = window_minima(h, SPAN - SEED + 1)
     ok = np.zeros(len(text) + 1, np.int32)
     starts = np.concatenate([[0], doc[:-1]])
     full = doc - starts >= SPAN
     np.add.at(ok, starts[full], 1)
     np.add.at(ok, doc[full] - SPAN + 1, -1)
     ok = np.cumsum(ok)[:n] > 0
-    change = np.concatenate([[True], low[1:] != low[:-1]])
+    change = np.concatenate([[True], least[1:] != least[:-1]])
     change[1:] |= ok[1:] & ~ok[:-1]
     first = np.flatnonzero(change)
     size = np.diff(np.append(first, n))
@@ -114,8 +107,8 @@ def segments(text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     end = np.searchsorted(doc, first, "right")
     size = np.minimum(size, doc[np.minimum(end, len(doc) - 1)] - SPAN + 1 - first)
     first, size = first[live], size[live]
-    seed = low[first] >> np.uint64(24)
-    place = ((low[first] & np.uint64(0xFFFFFF)).astype(np.int64) - first).astype(np.uint8)
+    seed = low[first]
+    place = (least[first] - first).astype(np.uint8)
     return first, size, seed, place, identity(pad, first, size)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.llm import chaining, counts, decontaminate, jaccard, langid, licenses, pieces, quality, suffix, warc
+from gridlark.llm import chaining, common, counts, decontaminate, jaccard, langid, licenses, pieces, quality, suffix, warc
 from gridlark.llm import sentencepiece as sp
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -375,3 +375,22 @@ def test_pipeline(spark, tmp_path):
     assert 0 in ids and not ids & {1, 2, 3, 4, 5, 6, 7, 8, 12, 16}
 
 
+def test_minimizers_beyond_position_width(monkeypatch):
+    """The same bytes and words have the same seeds wherever they stand, also past the places that a hash can carry."""
+    monkeypatch.setattr(common, "POSITION_BITS", 8)
+    part = prose(60, 51).encode()
+    text = part + b" " + prose(400, 52).encode() + b" " + part
+    flat = np.frombuffer(text, np.uint8)
+    first, size, seed, place, ident = suffix.segments(flat, np.array([len(text)]))
+    shift = len(text) - len(part)
+    inner = lambda a: {(f - a, n, s, p, i) for f, n, s, p, i in zip(first.tolist(), size.tolist(), seed.tolist(), place.tolist(), ident.tolist(), strict=True) if a + 80 <= f and f + n + 80 <= a + len(part)}
+    assert inner(0) and inner(0) == inner(shift)
+    words = chaining.Words(suffix._zip(np.array([1]), np.array([len(text)]), flat))
+    at, key = words.seeds()
+    n = len(words.hash) - 60
+    near = lambda a: {(x - a, k) for x, k in zip(at.tolist(), key.tolist(), strict=True) if a + 15 <= x < a + 40}
+    assert near(0) and near(0) == near(n)
+    h = np.random.default_rng(1).integers(0, 1 << 63, 3000).astype(np.uint64)
+    low, least = common.window_minima(h, 31)
+    want = [min((int(h[j]) >> 24, j) for j in range(i, i + 31)) for i in range(len(h) - 30)]
+    assert list(zip(low.tolist(), least.tolist(), strict=True)) == want
