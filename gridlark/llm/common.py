@@ -9,7 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 MASK = 0xFFFFFFFFFFFFFFFF
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -70,6 +71,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(*columns: str) -> Column:
+    """A digest of these columns, nulls told apart: rows with one key are alike in all of them."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

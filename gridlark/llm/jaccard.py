@@ -294,11 +294,17 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that are near copies of a document with a smaller doc_id; documents without words stay."""
-    c = jaccard_components(docs)
-    gone = stored(c.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    """One row of each group of near copies, that with the smallest doc_id (null last); rows without words stay.
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, are judged each by its own text.
+    """
+    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    c = jaccard_components(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    own = docs.select(key.alias("_key"), F.col("doc_id").alias("_own")).distinct()
+    first = c.join(own, "_key").groupBy("component_id").agg(F.min(F.struct(F.col("_own").isNull().alias("none"), "_own", "_key")).alias("f"))
+    kept = stored(first.select(F.col("f._key").alias("_kept")), "kept")
     release(docs.sparkSession)
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.join(kept, key == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, mix, ranges, release, stored
+from gridlark.llm.common import chunks, mix, ranges, release, row_key, stored
 
 ORDER = 4
 SEP = "\n"  # stands for a word's begin and end; words cannot hold it
@@ -289,10 +289,11 @@ def quality(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, widt
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their columns; of rows that share doc_id, text and lang all are judged alike."""
-    ok = stored(quality(docs).filter("kept").select(F.col("doc_id").alias("_kept_id")).distinct(), "good")
+    """The documents that pass, with their columns: each row by its own text and language, whatever its doc_id."""
+    own = docs.select(row_key("text", "lang").alias("doc_id"), "text", "lang")
+    ok = stored(quality(own).filter("kept").select(F.col("doc_id").alias("_kept_key")).distinct(), "good")
     release(docs.sparkSession)
-    return docs.join(ok, docs["doc_id"] == F.col("_kept_id"), "left_semi")
+    return docs.join(ok, row_key("text", "lang") == F.col("_kept_key"), "left_semi")
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -412,11 +412,12 @@ def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = np.bincount(doc[runs], minlength=len(b.ids))
             kept = [b.text[x:y][~cut[x:y]].tobytes() if removed[i] else b.text[x:y].tobytes() for i, (x, y) in enumerate(zip(begin, b.ends, strict=True))]
             ids = pa.array(b.ids, pa.int64(), mask=b.ids == NO_DOC)
-            yield pa.record_batch({"doc_id": ids, "n_bytes": b.size, "n_removed": removed.astype(np.int64), "n_spans": spans.astype(np.int64), "kept": pa.array(kept, pa.binary())})
+            digest = [hashlib.sha256(b.text[x:y].tobytes()).hexdigest() if removed[i] else None for i, (x, y) in enumerate(zip(begin, b.ends, strict=True))]
+            yield pa.record_batch({"doc_id": ids, "n_bytes": b.size, "n_removed": removed.astype(np.int64), "n_spans": spans.astype(np.int64), "kept": pa.array(kept, pa.binary()), "text_sha256": pa.array(digest, pa.string())})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept): each text without what smaller documents have."""
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept, text_sha256): each text without what smaller documents have, and the digest of a text that lost bytes."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = shuffle_width(spark)
@@ -427,21 +428,21 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lists = seeds.groupBy("part").applyInArrow(_shared, "batch long, block binary").groupBy("batch").agg(F.collect_list("block").alias("lists"))
     found = packed.join(lists, "batch").mapInArrow(_candidates(n_parts), row)
     runs = found.groupBy("part").applyInArrow(_resolve, "batch long, block binary").groupBy("batch").agg(F.collect_list("block").alias("lists"))
-    return packed.join(runs, "batch", "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return packed.join(runs, "batch", "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text_sha256 string")
 
 
 def _decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         text = [x.decode("utf-8", "ignore") for x in b["kept"].to_pylist()]  # a cut may leave part of a character
-        yield pa.record_batch({"_id": b["doc_id"], "_text": pa.array(text, pa.string())})
+        yield pa.record_batch({"_id": b["doc_id"], "_sha": b["text_sha256"], "_text": pa.array(text, pa.string())})
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeats cut from their texts; those of which nothing is left go."""
-    cut = remove_repeats(docs).filter("n_removed > 0").select("doc_id", "kept").mapInArrow(_decode, "_id long, _text string").dropDuplicates(["_id"])
+    """The documents with repeats cut from their texts; those of which nothing is left go. Rows that share a doc_id have each their own text."""
+    cut = remove_repeats(docs).filter("n_removed > 0").select("doc_id", "kept", "text_sha256").mapInArrow(_decode, "_id long, _sha string, _text string").dropDuplicates(["_id", "_sha"])
     cut = stored(cut, "cut")
     release(docs.sparkSession)
-    both = docs.join(cut, docs["doc_id"] == F.col("_id"), "left").filter("_text is null or length(trim(_text)) > 0")
+    both = docs.join(cut, (docs["doc_id"] == F.col("_id")) & (F.sha2(docs["text"], 256) == F.col("_sha")), "left").filter("_text is null or length(trim(_text)) > 0")
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long")))
     return both.withColumn("text", F.coalesce("_text", "text")).select(*docs.columns)

@@ -394,3 +394,16 @@ def test_minimizers_beyond_position_width(monkeypatch):
     low, least = common.window_minima(h, 31)
     want = [min((int(h[j]) >> 24, j) for j in range(i, i + 31)) for i in range(len(h) - 30)]
     assert list(zip(low.tolist(), least.tolist(), strict=True)) == want
+
+
+def test_stages_judge_rows_without_or_with_repeated_ids(spark):
+    a, b, c, p = prose(80, 61), prose(80, 62), prose(80, 63), prose(30, 64)
+    near = " ".join([*a.split()[:-1], "changed"])
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], DOCS)
+    pairs = lambda df: sorted((r.doc_id or -1, r.text or "") for r in df.collect())
+    assert pairs(quality.keep_good(frame([(None, a), (None, "one two"), (5, b), (5, "too short"), (6, c)]))) == sorted([(-1, a), (5, b), (6, c)])
+    assert pairs(jaccard.keep_one(frame([(1, a), (5, near), (5, b), (None, a + " x"), (None, c), (None, None)]))) == sorted([(1, a), (5, b), (-1, c), (-1, "")])
+    got = pairs(suffix.cut_repeats(frame([(1, p + " " + a), (5, b + " " + p), (5, c), (5, "left " + p), (None, p + " " + b)])))
+    assert len(got) == 5 and (5, c) in got and (-1, p + " " + b) in got and p not in "".join(t for i, t in got if i == 5)
+    bench = spark.createDataFrame([(1, p)], "item_id long, text string")
+    assert pairs(decontaminate.drop_leaks(frame([(None, a + " " + p), (None, a), (7, p + " " + b), (7, b), (8, None)]), bench)) == sorted([(-1, a), (7, b), (8, "")])
