@@ -1,0 +1,168 @@
+"""Word bigrams of the collection and each document's perplexity under all other documents.
+
+1. Texts are packed into batches, once. A batch sends its distinct words and word pairs with their
+   counts, by language, to the hash partition of the pair's first word.
+2. A partition keeps them as sorted hash arrays, without a bound on their number, sums the counts
+   of all batches and answers each batch in the order it sent: a join on pre-aggregated keys.
+3. A batch takes each document's own counts off, so text that stands in one document only does not
+   vouch for itself, and scores it by absolute discounting: pairs, then words, then one unseen word.
+
+Pairs cross word borders, so word salad and shuffled text score worse than text in order. A text's
+first pair begins with a mark. Copies of a text vouch for each other.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+
+from gridlark.llm.common import MULT, chunks, mix, word_hashes
+from gridlark.llm.suffix import _deal, _part, _unzip, _zip
+
+D = 0.75
+BATCH = 4 << 20
+BLOCK = "batch long, block binary"
+SENT = "lang string, part int, batch long, block binary"
+ANSWER = "lang string, part int, batch long, block binary, n_words long, n_kinds long"
+
+
+def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    part = TaskContext.get().partitionId()
+    for i, t in enumerate(chunks(it, "text", BATCH)):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(t)
+        yield pa.record_batch({"batch": pa.array([part << 20 | i], pa.int64()), "block": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+
+def unpack(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
+class Pairs:
+    """Distinct words and pairs of the texts of one language; `doc` is the text of each token."""
+
+    def __init__(self, texts: list[bytes | None]):
+        names: dict[bytes, int] = {b"\n": 0}  # the mark before a text: no word holds it
+        flat: list[int] = []
+        size = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            w = t.split() if t else []
+            size[i] = len(w)
+            flat += [names.setdefault(x, len(names)) for x in w]
+        key = word_hashes(list(names))
+        order = np.argsort(key)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.size, self.key = size, key[order]
+        self.doc = np.repeat(np.arange(len(texts)), size)
+        self.word = rank[np.array(flat, np.int64)]
+        first = (np.cumsum(size) - size)[size > 0]
+        self.before = np.concatenate([[0], self.word[:-1]]) if len(flat) else self.word
+        self.before[first] = rank[0]
+        m = len(key)
+        self.pair, self.at, self.count = np.unique(self.before * m + self.word, return_inverse=True, return_counts=True)
+        self.a, self.b = self.pair // m, self.pair % m
+        second = self.key[self.b] >> np.uint64(24)
+        order = np.lexsort((second, self.a))  # pairs are in the order of their words' hashes already
+        assert (order == np.arange(len(order))).all()
+        self.second = second
+
+    def deal(self, n_parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(part, its words, its pairs)"""
+        part = _part(self.key, n_parts)
+        pairs = dict(_deal(part[self.a], n_parts))
+        for i, k in _deal(part, n_parts):
+            yield i, k, pairs.get(i, np.zeros(0, np.int64))
+
+
+def languages(t: pa.Table) -> Iterator[tuple[str, np.ndarray, Pairs]]:
+    """(language, its rows, their pairs)"""
+    langs = [x or "und" for x in t["lang"].to_pylist()]
+    texts = t["text"].cast(pa.binary()).to_pylist()
+    rows: dict[str, list[int]] = {}
+    for i, x in enumerate(langs):
+        rows.setdefault(x, []).append(i)
+    for lang, at in rows.items():
+        yield lang, np.array(at), Pairs([texts[i] for i in at])
+
+
+def send(n_parts: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            for batch, block in zip(rb["batch"].to_pylist(), rb["block"].to_pylist(), strict=True):
+                for lang, _, p in languages(unpack(block)):
+                    m = len(p.key)
+                    c, f = np.bincount(p.word, minlength=m), np.bincount(p.before, minlength=m)
+                    fan = np.bincount(p.a, minlength=m)
+                    rows = [(i, _zip(np.diff(p.key[k], prepend=np.uint64(0)), c[k], f[k], fan[k], p.second[j], p.count[j])) for i, k, j in p.deal(n_parts)]
+                    yield pa.record_batch({"lang": pa.array([lang] * len(rows)), "part": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
+
+    return run
+
+
+def answer(t: pa.Table) -> pa.Table:
+    """Counts over all batches of one part's words and pairs, for each batch in its order; a first row has the part's sums."""
+    lang, part = t["lang"][0].as_py(), t["part"][0].as_py()
+    cols = [_unzip(x, np.uint64, np.int64, np.int64, np.int64, np.uint64, np.int64) for x in t["block"].to_pylist()]
+    key, back = np.unique(np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in cols]), return_inverse=True)
+    c, f = (np.bincount(back, np.concatenate([x[i] for x in cols]), len(key)).astype(np.int64) for i in (1, 2))
+    first = np.repeat(back, np.concatenate([x[3] for x in cols]))
+    second = np.concatenate([x[4] for x in cols])
+    order = np.lexsort((second, first))
+    new = np.concatenate([[True], (first[order][1:] != first[order][:-1]) | (second[order][1:] != second[order][:-1])])[: len(order)]
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    total = np.bincount(kind, np.concatenate([x[5] for x in cols])).astype(np.int64)
+    fan = np.bincount(first[order[new]], minlength=len(key))
+    blocks, w, p = [], 0, 0
+    for x in cols:
+        k, j = back[w : w + len(x[0])], kind[p : p + len(x[4])]
+        w, p = w + len(k), p + len(j)
+        blocks.append(_zip(c[k], f[k], fan[k], total[j]))
+    n = len(cols)
+    return pa.table({
+        "lang": pa.array([lang] * (n + 1)), "part": pa.array([part] * (n + 1), pa.int32()), "batch": pa.array([-1, *t["batch"].to_pylist()], pa.int64()),
+        "block": pa.array([None, *blocks], pa.binary()), "n_words": pa.array([int(c.sum())] + [None] * n, pa.int64()), "n_kinds": pa.array([int((c > 0).sum())] + [None] * n, pa.int64()),
+    })
+
+
+def score(t: pa.Table, answers: dict[tuple[str, int], bytes], n_parts: int, sizes: dict[str, tuple[int, int]]) -> np.ndarray:
+    """Mean negative log probability of each text's words given all other texts; NaN where there is none."""
+    out = np.full(t.num_rows, np.nan)
+    for lang, rows, p in languages(t):
+        if not len(p.word):
+            continue
+        m = len(p.key)
+        c, f, fan = (np.zeros(m, np.int64) for _ in range(3))
+        total = np.zeros(len(p.pair), np.int64)
+        for i, k, j in p.deal(n_parts):
+            c[k], f[k], fan[k], total[j] = _unzip(answers[lang, i], np.int64, np.int64, np.int64, np.int64)
+        n, kinds = sizes[lang]
+
+        def own(at: np.ndarray, width: int, doc: np.ndarray = p.doc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Distinct (text, at), the index of each token in them, and their counts."""
+            return np.unique(doc * width + at, return_inverse=True, return_counts=True)
+
+        d = len(p.size)
+        x, word_at, k = own(p.word, m)
+        gone = np.bincount(x // m, c[x % m] == k, d)
+        cu = np.maximum(c[p.word] - k[word_at] - D, 0)
+        left, v = (n - p.size)[p.doc], (kinds - gone)[p.doc]
+        x, first_at, k = own(p.before, m)
+        ca = f[p.before] - k[first_at]
+        x2, pair_at, k = own(p.at, len(p.pair))
+        cb = np.maximum(total[p.at] - k[pair_at] - D, 0)
+        lost = total[x2 % len(p.pair)] == k
+        ctx = x2 // len(p.pair) * m + p.a[x2 % len(p.pair)]
+        t1 = fan[p.before] - np.bincount(np.searchsorted(x, ctx), lost, len(x)).astype(np.int64)[first_at]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            low = (cu + D * v / (v + 1)) / left
+            prob = np.where(ca > 0, cb / np.maximum(ca, 1) + D * t1 / np.maximum(ca, 1) * low, low)
+            mean = np.bincount(p.doc, -np.log(prob), d) / p.size
+        mean[(p.size == 0) | (n == p.size) | ~np.isfinite(mean)] = np.nan
+        out[rows] = mean
+    return out

@@ -1,4 +1,4 @@
-"""Quality rules: base statistics and perplexity bands of a character n-gram model.
+"""Quality rules: base statistics and perplexity bands of a character and a word n-gram model.
 
 The model is an interpolated modified Kneser-Ney model of character n-grams inside word
 borders, one for each language, counted by Spark over all documents. It is kept as sorted
@@ -11,7 +11,9 @@ is the language `und`; repeated rows give repeated results; an empty table gives
 table; columns other than doc_id, text and lang are ignored. Words are split on ASCII white
 space only. A document is kept if it passes the base rule and its log perplexity lies within
 the band of its language, [q1 - width * iqr - slack, q3 + width * iqr + slack], with quartiles
-over all documents of that language that pass the base rule.
+over all documents of that language that pass the base rule. Its log perplexity by word pairs
+(see bigrams), given all other documents, must not be above q2 + word_width * (q3 - q2) + slack; it
+has no lower bound, since copies score low.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, mix, ranges, release, row_key, stored
+from gridlark.llm import bigrams
+from gridlark.llm.common import bucketed, chunks, mix, ranges, release, row_key, shuffle_width, stored
 
 ORDER = 4
 SEP = "\n"  # stands for a word's begin and end; words cannot hold it
@@ -243,49 +246,66 @@ def base_stats(texts: list[bytes | None]) -> tuple[dict[str, np.ndarray], np.nda
     return out, word_of, names, doc
 
 
-def _score(model_bc):
+def _score(model_bc, n_parts: int, sizes: dict[str, tuple[int, int]]):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for t in chunks(it, "text", BATCH):
-            if model is None:
-                model = Model(*model_bc.value)
-            texts = t["text"].cast(pa.binary()).to_pylist()
-            stats, word_of, names, doc = base_stats(texts)
-            langs = [x or "und" for x in t["lang"].to_pylist()]
-            logp, chars = np.zeros(len(texts)), np.zeros(len(texts))
-            code = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-            lang_of = np.array([code[x] for x in langs], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
-            for lang, c in code.items():
-                own = np.flatnonzero(lang_of == c)
-                if len(own):
-                    used, back = np.unique(word_of[own], return_inverse=True)
-                    s, m = model.words(lang, [names[i] for i in used])
-                    logp += np.bincount(doc[own], s[back], len(texts))
-                    chars += np.bincount(doc[own], m[back], len(texts))
-            ppl = np.where(chars > 0, -logp / np.maximum(chars, 1), np.nan)
-            yield pa.record_batch(
-                {"doc_id": t["doc_id"].combine_chunks(), "lang": pa.array(langs, pa.string()), **stats, "log_perplexity": pa.array(ppl, pa.float64(), from_pandas=True)}
-            )
+        for rb in it:
+            for block, answers in zip(rb["block"].to_pylist(), rb["answers"].to_pylist(), strict=True):
+                if model is None:
+                    model = Model(*model_bc.value)
+                t = bigrams.unpack(block)
+                texts = t["text"].cast(pa.binary()).to_pylist()
+                stats, word_of, names, doc = base_stats(texts)
+                langs = [x or "und" for x in t["lang"].to_pylist()]
+                logp, chars = np.zeros(len(texts)), np.zeros(len(texts))
+                code = {x: i for i, x in enumerate(dict.fromkeys(langs))}
+                lang_of = np.array([code[x] for x in langs], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
+                for lang, c in code.items():
+                    own = np.flatnonzero(lang_of == c)
+                    if len(own):
+                        used, back = np.unique(word_of[own], return_inverse=True)
+                        s, m = model.words(lang, [names[i] for i in used])
+                        logp += np.bincount(doc[own], s[back], len(texts))
+                        chars += np.bincount(doc[own], m[back], len(texts))
+                ppl = np.where(chars > 0, -logp / np.maximum(chars, 1), np.nan)
+                words = bigrams.score(t, {(x["lang"], x["part"]): x["block"] for x in answers}, n_parts, sizes)
+                yield pa.record_batch(
+                    {
+                        "doc_id": t["doc_id"].combine_chunks(), "lang": pa.array(langs, pa.string()), **stats,
+                        "log_perplexity": pa.array(ppl, pa.float64(), from_pandas=True), "word_log_perplexity": pa.array(words, pa.float64(), from_pandas=True),
+                    }
+                )
 
     return run
 
 
-def quality(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, width: float = 6.0, slack: float = 0.25) -> DataFrame:
-    """One row for each document: base statistics, log perplexity, its band, base_failed and kept."""
+def quality(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, width: float = 6.0, slack: float = 0.25, word_width: float = 3.0) -> DataFrame:
+    """One row for each document: base statistics, log perplexities, their bands, base_failed and kept."""
     spark = docs.sparkSession
     own = docs.select("doc_id", "text", "lang")
     m = kneser_ney(own).select("key", "logp", "logb").toArrow()
     model = (m["key"].to_numpy().view(np.uint64), *(m[c].to_numpy().astype(np.float32) for c in ("logp", "logb")))
     bc = spark.sparkContext.broadcast(model)
     kind = dict(own.dtypes)["doc_id"]
-    scored = stored(own.mapInArrow(_score(bc), f"doc_id {kind}, lang string, {STATS}, log_perplexity double"), "scored")
+    n_parts = shuffle_width(spark)
+    packed = bucketed(own.mapInArrow(bigrams.pack, bigrams.BLOCK), "batch", n_parts)
+    n_parts = max(n_parts, packed.count() // 8)
+    answers = stored(packed.mapInArrow(bigrams.send(n_parts), bigrams.SENT).groupBy("lang", "part").applyInArrow(bigrams.answer, bigrams.ANSWER), "answers")
+    sums = answers.filter("batch = -1").groupBy("lang").agg(F.sum("n_words").alias("n"), F.sum("n_kinds").alias("v")).collect()  # a row a language
+    sizes = {r.lang: (r.n, r.v) for r in sums}
+    answers = answers.filter("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("lang", "part", "block")).alias("answers"))
+    scored = packed.join(answers, "batch").select("block", "answers")
+    scored = stored(scored.mapInArrow(_score(bc, n_parts, sizes), f"doc_id {kind}, lang string, {STATS}, log_perplexity double, word_log_perplexity double"), "scored")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed)
-    q = scored.filter("not base_failed").groupBy("lang").agg(F.percentile_approx("log_perplexity", [0.25, 0.75], 10000).alias("q"))
+    q = scored.filter("not base_failed").groupBy("lang").agg(
+        F.percentile_approx("log_perplexity", [0.25, 0.75], 10000).alias("q"), F.percentile_approx("word_log_perplexity", [0.5, 0.75], 10000).alias("w")
+    )
     iqr = F.col("q")[1] - F.col("q")[0]
-    q = q.select("lang", (F.col("q")[0] - width * iqr - slack).alias("low"), (F.col("q")[1] + width * iqr + slack).alias("high"))
-    inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
-    return scored.join(q, "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+    top = F.col("w")[0] + word_width * (F.col("w")[1] - F.col("w")[0]) + slack
+    q = q.select("lang", (F.col("q")[0] - width * iqr - slack).alias("low"), (F.col("q")[1] + width * iqr + slack).alias("high"), top.alias("word_high"))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True)) & F.coalesce(F.col("word_log_perplexity") <= F.col("word_high"), F.lit(True))
+    return scored.join(q, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -298,4 +318,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "word_log_perplexity")

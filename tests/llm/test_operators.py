@@ -407,3 +407,39 @@ def test_stages_judge_rows_without_or_with_repeated_ids(spark):
     assert len(got) == 5 and (5, c) in got and (-1, p + " " + b) in got and p not in "".join(t for i, t in got if i == 5)
     bench = spark.createDataFrame([(1, p)], "item_id long, text string")
     assert pairs(decontaminate.drop_leaks(frame([(None, a + " " + p), (None, a), (7, p + " " + b), (7, b), (8, None)]), bench)) == sorted([(-1, a), (7, b), (8, "")])
+
+
+def word_perplexity_brute(texts, i):
+    from collections import Counter
+
+    rest = [["\n", *t.split()] for k, t in enumerate(texts) if k != i]
+    words, pairs = Counter(w for t in rest for w in t[1:]), Counter(p for t in rest for p in itertools.pairwise(t))
+    first, fan = Counter(), Counter()
+    for (a, _), c in pairs.items():
+        first[a] += c
+        fan[a] += 1
+    n, v, logs = sum(words.values()), len(words), []
+    for a, b in itertools.pairwise(["\n", *texts[i].split()]):
+        low = (max(words[b] - 0.75, 0) + 0.75 * v / (v + 1)) / n
+        logs.append(np.log(max(pairs[a, b] - 0.75, 0) / first[a] + 0.75 * fan[a] / first[a] * low if first[a] else low))
+    return -np.mean(logs)
+
+
+def test_shuffled_words_are_rejected(spark):
+    """Texts of one chain of words; the last ones have the same words in another order, which the words' letters cannot tell."""
+    r = random.Random(8)
+    follow = {w: r.sample(WORDS, 3) for w in WORDS}
+    texts = []
+    for _ in range(60):
+        w = [r.choice(WORDS)]
+        while len(w) < 120:
+            w.append(r.choice(follow[w[-1]]))
+        texts.append(w)
+    for w in texts[55:]:
+        r.shuffle(w)
+    texts = [" ".join(w) for w in texts]
+    d = spark.createDataFrame([(i, t, "en", None, None) for i, t in enumerate(texts)], DOCS).repartition(3)
+    got = dicts(quality.quality(d))
+    for i in (0, 30, 58):
+        assert got[i]["word_log_perplexity"] == pytest.approx(word_perplexity_brute(texts, i))
+    assert [i for i in got if not got[i]["kept"]] and {i for i in got if not got[i]["kept"]} == set(range(55, 60))
