@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MASK = 0xFFFFFFFFFFFFFFFF
@@ -47,7 +47,9 @@ def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
     spark = df.sparkSession
     name = f"gridlark_{uuid.uuid4().hex}"
     df.write.bucketBy(n, key).option("path", new_path(spark, name)).saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: files at a path of one's own stay, and so does the resolved frame
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -72,8 +74,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key(*columns: str) -> Column:
-    """A digest of these columns, nulls told apart: rows with one key are alike in all of them."""
-    return F.sha2(F.to_json(F.struct(*columns)), 256)
+    """A digest of these text columns, nulls told apart: rows with one key are alike in all of them."""
+    parts = [F.concat(F.when(F.col(c).isNull(), "-").otherwise("+"), F.coalesce(F.octet_length(c), F.lit(0)).cast("string"), F.lit(":"), F.coalesce(c, F.lit(""))) for c in columns]
+    return F.sha2(F.concat(*parts), 256)
+
+
+def quartiles(df: DataFrame, group: str, *columns: str, digits: int = 3) -> DataFrame:
+    """Rows (group, q1_<column>, q2_<column>, q3_<column>): exact quartiles of the values rounded to `digits` places.
+
+    Values are counted first, so what a group's window sees is bounded by the number of rounded values.
+    """
+    out = None
+    for c in columns:
+        n = df.filter(F.col(c).isNotNull()).groupBy(group, F.round(c, digits).alias("v")).agg(F.count("*").alias("n"))
+        w = Window.partitionBy(group)
+        n = n.withColumns({"below": F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(w)})
+        q = n.groupBy(group).agg(*[F.min(F.when(4 * F.col("below") >= i * F.col("all"), F.col("v"))).alias(f"q{i}_{c}") for i in (1, 2, 3)])
+        out = q if out is None else out.join(q, group, "full")
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:

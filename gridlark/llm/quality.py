@@ -1,24 +1,24 @@
-"""Quality rules: base statistics and perplexity bands of a character and a word n-gram model.
+"""Quality rules: base statistics and perplexity bands of a modified Kneser-Ney word model.
 
-The model is an interpolated modified Kneser-Ney model of character n-grams inside word
-borders, one for each language, counted by Spark over all documents. It is kept as sorted
-arrays of 64-bit hashes with a log probability and a log back-off weight. The arrays have at
-most 2**slot_bits entries (of two n-grams in one slot the more frequent one stays; the other
-is then scored by back-off), so what is broadcast has a fixed bound.
+The model (see wordmodel) is counted by Spark over all documents that pass the base rule, is kept in
+sorted hash arrays in hash partitions, and grows with the input; each document is judged by what all
+others say. Two perplexities are banded for each language, q1 to q3 its quartiles over the documents that
+pass the base rule, n a document's number of words (few words vary more):
+
+* by the model, an upper bound: q2 + 4 (q3 - q2) + 4 / sqrt(n). It has no lower bound, since copies, which
+  later stages remove, vouch for each other and score low.
+* by its lower order, which copies hardly move: from q1 - 1.75 (q3 - q1) - 1.5 / sqrt(n) to
+  q3 + 2 (q3 - q1) + 3 / sqrt(n). Menus and lists of few common words lie below, strange words above.
 
 Defined results: null or empty text has no words and fails the base rule; a null language
-is the language `und`; repeated rows give repeated results; an empty table gives an empty
-table; columns other than doc_id, text and lang are ignored. Words are split on ASCII white
-space only. A document is kept if it passes the base rule and its log perplexity lies within
-the band of its language, [q1 - width * iqr - slack, q3 + width * iqr + slack], with quartiles
-over all documents of that language that pass the base rule. Its log perplexity by word pairs
-(see bigrams), given all other documents, must not be above q2 + word_width * (q3 - q2) + slack; it
-has no lower bound, since copies score low.
+is the language `und`; repeated rows give repeated results and vouch for each other; an empty table gives
+an empty table; columns other than doc_id, text and lang are ignored. Words are split on ASCII white
+space only. A document is kept if it passes the base rule and lies within the bands; perplexities are null
+for documents that fail the base rule and where a language has no other document, and then decide nothing.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,177 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm import bigrams
-from gridlark.llm.common import bucketed, chunks, mix, ranges, release, row_key, shuffle_width, stored
+from gridlark.llm import wordmodel
+from gridlark.llm.common import chunks, mix, quartiles, ranges, release, row_key, stored, word_hashes
 
-ORDER = 4
-SEP = "\n"  # stands for a word's begin and end; words cannot hold it
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
-BATCH = 6 << 20
-
-STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-
-
-def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the words with borders; the index and word of each predicted character."""
-    text = SEP + SEP.join(w.decode("utf-8", "replace") for w in words) + SEP
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.arange(1, len(cp))
-    return cp, at, np.cumsum(cp == ord(SEP))[:-1] - 1
-
-
-def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    by_lang: dict[str, Counter] = {}
-
-    def flush(lang: str, words: Counter) -> pa.RecordBatch:
-        keys = list(words)
-        cp, at, word = _grams(keys)
-        weight = np.fromiter(words.values(), np.int64, len(keys))[word]
-        begin = np.flatnonzero(cp == ord(SEP))[word]
-        size = np.minimum(at - begin + 1, ORDER)
-        code = np.zeros(len(at), np.uint64)
-        code2 = np.zeros(len(at), np.uint64)
-        for k in range(ORDER):  # the k-th character from the end, 21 bits and a length mark each
-            ok = k < size
-            v = np.where(ok, cp[at - np.minimum(k, size - 1)].astype(np.uint64) + np.uint64(1), np.uint64(0))
-            if k < 2:
-                code |= v << np.uint64(22 * k)
-            else:
-                code2 |= v << np.uint64(22 * (k - 2))
-        order = np.lexsort((code, code2))
-        code, code2, weight = code[order], code2[order], weight[order]
-        new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (code2[1:] != code2[:-1])]))
-        total = np.add.reduceat(weight, new)
-        m = np.uint64((1 << 22) - 1)
-        cols = [(code2[new] >> np.uint64(22)) & m, code2[new] & m, (code[new] >> np.uint64(22)) & m, code[new] & m]
-        grams = ["".join([chr(x - 1) for x in row if x]) for row in zip(*(c.tolist() for c in cols), strict=True)]
-        return pa.record_batch({"lang": [lang] * len(grams), "gram": grams, "c": total.astype(np.int64)})
-
-    for t in chunks(it, "text", BATCH):
-        for lang, text in zip(t["lang"].to_pylist(), t["text"].cast(pa.binary()).to_pylist(), strict=True):
-            if text:
-                c = by_lang.setdefault(lang or "und", Counter())
-                c.update(text.split())
-                if len(c) > 400_000:
-                    yield flush(lang or "und", by_lang.pop(lang or "und"))
-    for lang, c in by_lang.items():
-        if c:
-            yield flush(lang, c)
-
-
-def kneser_ney(docs: DataFrame, slot_bits: int = 22) -> DataFrame:
-    """The model as rows (slot, key, logp, logb), at most one for each slot."""
-    top = (
-        docs.select("text", "lang").mapInArrow(_count, "lang string, gram string, c long")
-        .groupBy("lang", "gram").agg(F.sum("c").alias("a"))
-    )
-    top = stored(top, "grams")
-    tables = top.filter(F.length("gram") == ORDER)
-    level = top
-    for n in range(ORDER, 1, -1):
-        # a shorter n-gram counts once for each character that precedes it; one at a word's begin keeps its own count
-        cur = level.filter(F.length("gram") == n).select("lang", F.expr("substring(gram, 2)").alias("gram"), F.lit(1).cast("long").alias("a"))
-        rest = level.filter(F.length("gram") < n)
-        level = stored(cur.unionByName(rest).groupBy("lang", "gram").agg(F.sum("a").alias("a")), "grams")
-        tables = tables.unionByName(level.filter(F.length("gram") == n - 1))
-    adj = stored(tables.withColumn("n", F.length("gram")), "adjusted")
-    cc = adj.groupBy("lang", "n").agg(*[F.count_if(F.col("a") == i).cast("double").alias(f"t{i}") for i in (1, 2, 3, 4)])
-    y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
-
-    def discount(i: int):
-        d = i - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}")
-        ok = (F.col(f"t{i}") > 0) & (F.col("t1") > 0)
-        return F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.when(ok, d).otherwise(F.lit(0.5 * i))))
-
-    cc = cc.select("lang", "n", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
-    adj = adj.join(cc, ["lang", "n"]).withColumn("ctx", F.expr("substring(gram, 1, n - 1)"))
-    a, d = F.col("a"), F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
-    ctx = adj.groupBy("lang", "n", "ctx").agg(F.sum("a").alias("total"), F.sum(d).alias("off"))
-    ctx = stored(ctx, "contexts")
-    adj = adj.join(ctx, ["lang", "n", "ctx"]).select("lang", "n", "gram", "a", ((a - d) / F.col("total")).alias("own"), (F.col("off") / F.col("total")).alias("gam"))
-    adj = stored(adj, "weights")
-    size = adj.filter("n = 1").groupBy("lang").agg((F.count("*") + 1).alias("v"))
-    prob = adj.filter("n = 1").join(size, "lang").select("lang", "gram", "a", (F.col("own") + F.col("gam") / F.col("v")).alias("p"))
-    probs = prob
-    for n in range(2, ORDER + 1):
-        low = prob.select("lang", F.col("gram").alias("tail"), F.col("p").alias("q"))
-        prob = (
-            adj.filter(F.col("n") == n).withColumn("tail", F.expr("substring(gram, 2)")).join(low, ["lang", "tail"], "left")
-            .select("lang", "gram", "a", (F.col("own") + F.col("gam") * F.coalesce("q", F.lit(1e-7))).alias("p"))
-        )
-        prob = stored(prob, "probabilities")
-        probs = probs.unionByName(prob)
-    back = ctx.select("lang", F.col("ctx").alias("gram"), F.log(F.col("off") / F.col("total")).alias("logb"), F.col("total").alias("b"))
-    both = probs.join(back, ["lang", "gram"], "full").select(
-        F.xxhash64("lang", "gram").alias("key"), F.log("p").cast("float").alias("logp"), F.col("logb").cast("float").alias("logb"),
-        F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))).alias("w"),
-    )
-    slot = F.shiftrightunsigned("key", 64 - slot_bits)
-    return both.groupBy(slot.alias("slot")).agg(F.max_by(F.struct("key", "logp", "logb"), F.struct("w", "key")).alias("e")).select("slot", "e.*")
+BATCH = 4 << 20
+LANGUAGES = 10_000  # so many rows of bands are broadcast at most
 
-
-def gram_keys(lang: bytes, gram: list[bytes]) -> np.ndarray:
-    import xxhash
-
-    def one(b: bytes, seed: int) -> int:
-        return xxhash.xxh64_intdigest(b, seed)
-
-    first = one(lang, 42)
-    return np.fromiter((one(g, first) for g in gram), np.uint64, len(gram))
-
-
-class Model:
-    """Sorted hash arrays with look-up of whole arrays."""
-
-    def __init__(self, key: np.ndarray, logp: np.ndarray, logb: np.ndarray):
-        order = np.argsort(key)
-        self.key, self.logp, self.logb = key[order], logp[order], logb[order]
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.key):
-            return np.full(len(keys), np.nan, np.float32), np.zeros(len(keys), np.float32)
-        i = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
-        hit = self.key[i] == keys
-        return np.where(hit, self.logp[i], np.float32(np.nan)), np.where(hit, np.nan_to_num(self.logb[i]), np.float32(0))
-
-    def words(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of log probabilities and number of predicted characters for each word."""
-        cp, at, word = _grams(words)
-        begin = np.flatnonzero(cp == ord(SEP))[word]
-        size = np.minimum(at - begin + 1, ORDER)
-        logp = np.full(len(at), np.nan, np.float64)
-        add = np.zeros(len(at))
-        cp64 = cp.astype(np.uint64) + np.uint64(1)
-        name = lang.encode()
-
-        def table(n: int, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Look up the distinct n-grams that end at these places."""
-            code = np.zeros(len(ends), np.uint64)
-            for k in range(n):  # n <= 4: exact code of up to three characters, hashed beyond
-                code = code * np.uint64(1 << 21) + cp64[ends - n + 1 + k] if k < 3 else mix(code) + cp64[ends - n + 1 + k]
-            u, first, back = np.unique(code, return_index=True, return_inverse=True)
-            e = ends[first]
-            chars = np.stack([cp[e - n + 1 + k] for k in range(n)], 1).astype(np.uint32)
-            raw = chars.tobytes()
-            grams = [raw[i * 4 * n : (i + 1) * 4 * n].decode("utf-32-le", "surrogatepass").encode("utf-8", "replace") for i in range(len(e))]
-            p, b = self.find(gram_keys(name, grams))
-            return p[back], b[back]
-
-        for n in range(ORDER, 0, -1):
-            todo = np.flatnonzero(np.isnan(logp) & (size >= n))
-            if not len(todo):
-                continue
-            p, _ = table(n, at[todo])
-            found = ~np.isnan(p)
-            logp[todo[found]] = p[found]
-            miss = todo[~found]
-            if n > 1 and len(miss):
-                _, b = table(n - 1, at[miss] - 1)
-                add[miss] += b
-        logp = np.where(np.isnan(logp), np.log(1e-7), logp) + add
-        n_words = len(words)
-        return np.bincount(word, logp, n_words), np.bincount(word, minlength=n_words)
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def base_stats(texts: list[bytes | None]) -> tuple[dict[str, np.ndarray], np.ndarray, list[bytes], np.ndarray]:
@@ -246,66 +84,57 @@ def base_stats(texts: list[bytes | None]) -> tuple[dict[str, np.ndarray], np.nda
     return out, word_of, names, doc
 
 
-def _score(model_bc, n_parts: int, sizes: dict[str, tuple[int, int]]):
+def _units(min_words: int, repeat_percent: int):
+    """Units of the word model with the documents' statistics; documents that fail the base rule have no tokens in them."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = None
-        for rb in it:
-            for block, answers in zip(rb["block"].to_pylist(), rb["answers"].to_pylist(), strict=True):
-                if model is None:
-                    model = Model(*model_bc.value)
-                t = bigrams.unpack(block)
-                texts = t["text"].cast(pa.binary()).to_pylist()
-                stats, word_of, names, doc = base_stats(texts)
-                langs = [x or "und" for x in t["lang"].to_pylist()]
-                logp, chars = np.zeros(len(texts)), np.zeros(len(texts))
-                code = {x: i for i, x in enumerate(dict.fromkeys(langs))}
-                lang_of = np.array([code[x] for x in langs], np.int64)[doc] if len(doc) else np.zeros(0, np.int64)
-                for lang, c in code.items():
-                    own = np.flatnonzero(lang_of == c)
-                    if len(own):
-                        used, back = np.unique(word_of[own], return_inverse=True)
-                        s, m = model.words(lang, [names[i] for i in used])
-                        logp += np.bincount(doc[own], s[back], len(texts))
-                        chars += np.bincount(doc[own], m[back], len(texts))
-                ppl = np.where(chars > 0, -logp / np.maximum(chars, 1), np.nan)
-                words = bigrams.score(t, {(x["lang"], x["part"]): x["block"] for x in answers}, n_parts, sizes)
-                yield pa.record_batch(
-                    {
-                        "doc_id": t["doc_id"].combine_chunks(), "lang": pa.array(langs, pa.string()), **stats,
-                        "log_perplexity": pa.array(ppl, pa.float64(), from_pandas=True), "word_log_perplexity": pa.array(words, pa.float64(), from_pandas=True),
-                    }
-                )
+        units = wordmodel.Units()
+        kind = None
+
+        def batch(batch: int, lang: str, block: bytes, rows: list) -> pa.RecordBatch:
+            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [kind, *[pa.int64()] * len(STATS), pa.bool_()], strict=True)]
+            rows = pa.StructArray.from_arrays(cols, ["doc_id", *STATS, "base_failed"])
+            return pa.record_batch({"batch": pa.array([batch], pa.int64()), "lang": pa.array([lang]), "block": pa.array([block], pa.binary()), "rows": pa.ListArray.from_arrays([0, len(rows)], rows)})
+
+        for t in chunks(it, "text", BATCH):
+            kind = t["doc_id"].type
+            stats, word_of, names, _ = base_stats(t["text"].cast(pa.binary()).to_pylist())
+            n = stats["n_words"]
+            failed = (n < min_words) | (100 * stats["n_repeat_words"] > repeat_percent * n)
+            token = word_hashes(names)[word_of]
+            start = np.cumsum(n) - n
+            used = np.where(failed, 0, n)
+            rows = list(zip(t["doc_id"].to_pylist(), *(stats[c].tolist() for c in STATS), failed.tolist(), strict=True))
+            of: dict[str, list[int]] = {}
+            for i, x in enumerate(t["lang"].to_pylist()):
+                of.setdefault(x or "und", []).append(i)
+            for lang, at in of.items():
+                for u in units.add(lang, used[at], token[ranges(start[at], used[at])], [rows[i] for i in at]):
+                    yield batch(*u)
+        for u in units.rest():
+            yield batch(*u)
 
     return run
 
 
-def quality(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30, width: float = 6.0, slack: float = 0.25, word_width: float = 3.0) -> DataFrame:
+def quality(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
     """One row for each document: base statistics, log perplexities, their bands, base_failed and kept."""
-    spark = docs.sparkSession
     own = docs.select("doc_id", "text", "lang")
-    m = kneser_ney(own).select("key", "logp", "logb").toArrow()
-    model = (m["key"].to_numpy().view(np.uint64), *(m[c].to_numpy().astype(np.float32) for c in ("logp", "logb")))
-    bc = spark.sparkContext.broadcast(model)
-    kind = dict(own.dtypes)["doc_id"]
-    n_parts = shuffle_width(spark)
-    packed = bucketed(own.mapInArrow(bigrams.pack, bigrams.BLOCK), "batch", n_parts)
-    n_parts = max(n_parts, packed.count() // 8)
-    answers = stored(packed.mapInArrow(bigrams.send(n_parts), bigrams.SENT).groupBy("lang", "part").applyInArrow(bigrams.answer, bigrams.ANSWER), "answers")
-    sums = answers.filter("batch = -1").groupBy("lang").agg(F.sum("n_words").alias("n"), F.sum("n_kinds").alias("v")).collect()  # a row a language
-    sizes = {r.lang: (r.n, r.v) for r in sums}
-    answers = answers.filter("batch >= 0").groupBy("batch").agg(F.collect_list(F.struct("lang", "part", "block")).alias("answers"))
-    scored = packed.join(answers, "batch").select("block", "answers")
-    scored = stored(scored.mapInArrow(_score(bc, n_parts, sizes), f"doc_id {kind}, lang string, {STATS}, log_perplexity double, word_log_perplexity double"), "scored")
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
-    scored = scored.withColumn("base_failed", failed)
-    q = scored.filter("not base_failed").groupBy("lang").agg(
-        F.percentile_approx("log_perplexity", [0.25, 0.75], 10000).alias("q"), F.percentile_approx("word_log_perplexity", [0.5, 0.75], 10000).alias("w")
-    )
-    iqr = F.col("q")[1] - F.col("q")[0]
-    top = F.col("w")[0] + word_width * (F.col("w")[1] - F.col("w")[0]) + slack
-    q = q.select("lang", (F.col("q")[0] - width * iqr - slack).alias("low"), (F.col("q")[1] + width * iqr + slack).alias("high"), top.alias("word_high"))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True)) & F.coalesce(F.col("word_log_perplexity") <= F.col("word_high"), F.lit(True))
-    return scored.join(q, "lang", "left").withColumn("kept", ~F.col("base_failed") & inside)
+    row = f"doc_id {dict(own.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in STATS) + ", base_failed boolean"
+    inner = ", ".join(x.replace(" ", ":", 1) for x in row.split(", "))
+    units = own.mapInArrow(_units(min_words, repeat_percent), f"batch long, lang string, block binary, rows array<struct<{inner}>>")
+    p, lower = "log_perplexity", "word_log_perplexity"
+    scored = wordmodel.scored(units, row).withColumns({c: F.round(c, 6) for c in (p, lower)})
+    q = quartiles(scored.filter("not base_failed"), "lang", p, lower)
+    spread = F.col(f"q3_{lower}") - F.col(f"q1_{lower}")
+    q = stored(q.select(
+        "lang", (F.col(f"q2_{p}") + 4 * (F.col(f"q3_{p}") - F.col(f"q2_{p}"))).alias("high"),
+        (F.col(f"q1_{lower}") - 1.75 * spread).alias("word_low"), (F.col(f"q3_{lower}") + 2 * spread).alias("word_high"),
+    ), "bands")
+    few = F.sqrt(F.col("n_words"))
+    inside = (F.col(p) <= F.col("high") + 4 / few) & F.col(lower).between(F.col("word_low") - 1.5 / few, F.col("word_high") + 3 / few)
+    q = F.broadcast(q) if q.count() <= LANGUAGES else q
+    return scored.join(q, "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -318,4 +147,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "word_log_perplexity")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "log_perplexity", "word_log_perplexity", "high", "word_low", "word_high")

@@ -36,6 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.llm.blocks import deal, part_of, unzip_arrays, zip_arrays
 from gridlark.llm.common import MIX1, MIX2, MULT, bucketed, chunks, mix, ranges, release, shuffle_width, stored, window_minima
 
 SPAN = 50
@@ -46,30 +47,6 @@ COLLECTION = 40_000  # segments that one Burrows-Wheeler transform holds, groups
 NO_DOC = np.iinfo(np.int64).max
 
 
-def _zip(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed block: lengths, then planes of bytes."""
-    import zstandard
-
-    parts = []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        parts.append(np.array([len(a), a.dtype.itemsize], np.int64).tobytes() + np.frombuffer(a.tobytes(), np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
-
-
-def _unzip(block: bytes, *kinds) -> list[np.ndarray]:
-    import zstandard
-
-    data = zstandard.ZstdDecompressor().decompress(block)
-    out, at = [], 0
-    for kind in kinds:
-        n, size = np.frombuffer(data, np.int64, 2, at)
-        at += 16
-        out.append(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(-1))
-        at += int(n * size)
-    return out
-
-
 def _at(b: np.ndarray, offset: int, n: int) -> np.ndarray:
     """Eight bytes from each place on, as numbers."""
     return np.ndarray((n,), np.uint64, b, offset, (1,))
@@ -140,13 +117,13 @@ def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = t["doc_id"].to_pylist()
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         flat = np.frombuffer(b"".join(texts), np.uint8)
-        block = _zip(np.array([NO_DOC if x is None else x for x in ids], np.int64), size, flat)
+        block = zip_arrays(np.array([NO_DOC if x is None else x for x in ids], np.int64), size, flat)
         yield pa.record_batch({"batch": pa.array([part << 20 | i], pa.int64()), "block": pa.array([block], pa.binary())})
 
 
 class Batch:
     def __init__(self, block: bytes):
-        self.ids, self.size, self.text = _unzip(block, np.int64, np.int64, np.uint8)
+        self.ids, self.size, self.text = unzip_arrays(block, np.int64, np.int64, np.uint8)
         self.ends = np.cumsum(self.size)
         self.first, self.count, self.seed, self.place, self.ident = segments(self.text, self.ends)
         self.owner = self.ids[np.searchsorted(self.ends, self.first, "right")] if len(self.first) else np.zeros(0, np.int64)
@@ -160,18 +137,6 @@ class Batch:
         return order[new], kind
 
 
-def _deal(part: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(n + 1))
-    for i in range(n):
-        if cut[i] < cut[i + 1]:
-            yield i, order[cut[i] : cut[i + 1]]
-
-
-def _part(seed: np.ndarray, n: int) -> np.ndarray:
-    return ((mix(seed) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def _seeds(n_parts: int):
     """Distinct minimizers of each batch, marked where more than one document has them."""
 
@@ -188,7 +153,7 @@ def _seeds(n_parts: int):
                 new = np.flatnonzero(np.concatenate([[True], seed[1:] != seed[:-1]]))
                 many = np.maximum.reduceat(owner, new) != np.minimum.reduceat(owner, new)
                 seed = seed[new]
-                rows = [(i, _zip(np.diff(seed[at], prepend=np.uint64(0)), many[at])) for i, at in _deal(_part(seed, n_parts), n_parts)]
+                rows = [(i, zip_arrays(np.diff(seed[at], prepend=np.uint64(0)), many[at])) for i, at in deal(part_of(seed, n_parts), n_parts)]
                 yield pa.record_batch({"part": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
@@ -197,7 +162,7 @@ def _seeds(n_parts: int):
 def _shared(t: pa.Table) -> pa.Table:
     """Minimizers of one part that more than one document has, for each batch."""
     batches = t["batch"].to_numpy()
-    seeds, many = zip(*(_unzip(x, np.uint64, np.bool_) for x in t["block"].to_pylist()), strict=True)
+    seeds, many = zip(*(unzip_arrays(x, np.uint64, np.bool_) for x in t["block"].to_pylist()), strict=True)
     seeds = [np.cumsum(s, dtype=np.uint64) for s in seeds]
     who = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])
     seed, many = np.concatenate(seeds), np.concatenate(many)
@@ -209,7 +174,7 @@ def _shared(t: pa.Table) -> pa.Table:
     twice[:-1] |= same
     hit = np.zeros(len(seed), bool)
     hit[order] = twice
-    rows = [(int(batches[i]), _zip(np.diff(seed[at][hit[at]], prepend=np.uint64(0)))) for i, at in _deal(who, len(seeds)) if hit[at].any()]
+    rows = [(int(batches[i]), zip_arrays(np.diff(seed[at][hit[at]], prepend=np.uint64(0)))) for i, at in deal(who, len(seeds)) if hit[at].any()]
     return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -220,17 +185,17 @@ def _candidates(n_parts: int):
         for rb in it:
             for batch, block, lists in zip(rb["batch"].to_pylist(), rb["block"].to_pylist(), rb["lists"].to_pylist(), strict=True):
                 b = Batch(block)
-                shared = np.sort(np.concatenate([np.cumsum(_unzip(x, np.uint64)[0], dtype=np.uint64) for x in lists]))
+                shared = np.sort(np.concatenate([np.cumsum(unzip_arrays(x, np.uint64)[0], dtype=np.uint64) for x in lists]))
                 rep, _ = b.distinct()
                 at = np.minimum(np.searchsorted(shared, b.seed[rep]), len(shared) - 1)
                 rep = rep[(shared[at] == b.seed[rep]) & (b.owner[rep] != NO_DOC)]
                 rows = []
-                for i, k in _deal(_part(b.seed[rep], n_parts), n_parts):
+                for i, k in deal(part_of(b.seed[rep], n_parts), n_parts):
                     r = rep[k]
                     r = r[np.argsort(b.seed[r], kind="stable")]
                     size = b.count[r] + SPAN - 1
                     flat = b.text[ranges(b.first[r], size)]
-                    rows.append((i, _zip(b.seed[r], b.owner[r], b.first[r].astype(np.int32), b.place[r], size.astype(np.uint8), flat)))
+                    rows.append((i, zip_arrays(b.seed[r], b.owner[r], b.first[r].astype(np.int32), b.place[r], size.astype(np.uint8), flat)))
                 if rows:
                     yield pa.record_batch({"part": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -330,7 +295,7 @@ def window_docs(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np
 def _resolve(t: pa.Table) -> pa.Table:
     """Smallest documents of the windows of one part's segments, as runs for each batch."""
     batches = t["batch"].to_numpy()
-    cols = [_unzip(x, np.uint64, np.int64, np.int32, np.uint8, np.uint8, np.uint8) for x in t["block"].to_pylist()]
+    cols = [unzip_arrays(x, np.uint64, np.int64, np.int32, np.uint8, np.uint8, np.uint8) for x in t["block"].to_pylist()]
     who = np.repeat(np.arange(len(cols)), [len(c[0]) for c in cols])
     seed, owner, place = (np.concatenate([c[i] for c in cols]) for i in range(3))
     inner = np.concatenate([c[3] for c in cols]).astype(np.int64)
@@ -369,7 +334,7 @@ def _resolve(t: pa.Table) -> pa.Table:
         own, off, least = window_docs(flat[ranges(begin[r], size[r])], size[r], doc[k])
         least_of[base[k[own]] + off] = least
     rows = []
-    for b, mine in _deal(who, len(cols)):
+    for b, mine in deal(who, len(cols)):
         k = kind[mine]
         n = span[mine]
         g = least_of[ranges(base[k], n)]
@@ -380,7 +345,7 @@ def _resolve(t: pa.Table) -> pa.Table:
         tell = g[run] < owner[mine][seg[run]]
         run, length = run[tell], length[tell]
         if len(run):
-            rows.append((int(batches[b]), _zip(place[mine][seg[run]], off[run].astype(np.uint8), length.astype(np.uint8), g[run])))
+            rows.append((int(batches[b]), zip_arrays(place[mine][seg[run]], off[run].astype(np.uint8), length.astype(np.uint8), g[run])))
     return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
 
@@ -393,7 +358,7 @@ def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             least = np.repeat(b.owner[rep], b.count[rep])
             by_place = np.argsort(b.first[rep])
             for x in lists or []:
-                place, off, n, doc = _unzip(x, np.int32, np.uint8, np.uint8, np.int64)
+                place, off, n, doc = unzip_arrays(x, np.int32, np.uint8, np.uint8, np.int64)
                 k = by_place[np.searchsorted(b.first[rep][by_place], place)]
                 least[ranges(base[k] + off, n.astype(np.int64))] = np.repeat(doc, n)
             at = ranges(b.first, b.count)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.llm import chaining, common, counts, decontaminate, jaccard, langid, licenses, pieces, quality, suffix, warc
+from gridlark.llm import blocks, chaining, common, counts, decontaminate, jaccard, langid, licenses, pieces, quality, suffix, warc
 from gridlark.llm import sentencepiece as sp
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -145,57 +145,71 @@ def test_quality(spark, docs, clashing, empty):
     assert quality.quality(empty).isEmpty()
 
 
-def kneser_ney_brute(texts):
-    """Interpolated modified Kneser-Ney probabilities of a character after up to three others."""
-    from collections import Counter, defaultdict
-
-    words = Counter(w.decode() for t in texts for w in (t or "").encode().split())
-    top = Counter()
-    for w, c in words.items():
-        s = "\n" + w + "\n"
-        for i in range(1, len(s)):
-            top[s[max(0, i - 3) : i + 1]] += c
-    levels, cur = {4: {g: c for g, c in top.items() if len(g) == 4}}, dict(top)
-    for n in range(4, 1, -1):
-        low = Counter(g[1:] for g in cur if len(g) == n)
-        for g, c in cur.items():
-            if len(g) < n:
-                low[g] += c
-        cur = dict(low)
-        levels[n - 1] = {g: c for g, c in cur.items() if len(g) == n - 1}
-    disc = {}
-    for n, t in levels.items():
-        k = Counter(t.values())
-        y = k[1] / (k[1] + 2 * k[2]) if k[1] + 2 * k[2] else 0
-        disc[n] = [max(0.05, min(i - 0.05, i - (i + 1) * y * k[i + 1] / k[i] if k[i] and k[1] else 0.5 * i)) for i in (1, 2, 3)]
-    off, total = defaultdict(float), defaultdict(int)
-    for n, t in levels.items():
-        for g, a in t.items():
-            off[n, g[:-1]] += disc[n][min(a, 3) - 1]
-            total[n, g[:-1]] += a
-    v = len(levels[1]) + 1
-
-    def p(g):
-        n = len(g)
-        if n == 0:
-            return 1 / v
-        a = levels[n].get(g, 0)
-        if not total[n, g[:-1]]:
-            return p(g[1:])
-        own = (a - disc[n][min(a, 3) - 1]) / total[n, g[:-1]] if a else 0.0
-        return own + off[n, g[:-1]] / total[n, g[:-1]] * p(g[1:])
-
-    return p
-
-
-def test_perplexity(spark):
-    texts = [prose(200, k) for k in range(4)]
-    rows = [(i, t, "en", None, None) for i, t in enumerate(texts)]
-    got = dicts(quality.quality(spark.createDataFrame(rows, DOCS)))
-    p = kneser_ney_brute(texts)
-    for i, t in enumerate(texts):
-        logs = [np.log(p(s[max(0, k - 3) : k + 1])) for s in ("\n" + w + "\n" for w in t.split()) for k in range(1, len(s))]
-        assert got[i]["log_perplexity"] == pytest.approx(-np.mean(logs), rel=1e-4)
+def perplexities_by_definition(rows):
+    """{id: (log perplexity, that of the lower order)} of rows (id, text, lang), each given all others, one count at a time."""
+    from collections import Counter
+
+    from gridlark.llm.wordmodel import discounts
+
+    out = {}
+    for lang in {r[2] or "und" for r in rows}:
+        docs = {r[0]: (r[1] or "").split() for r in rows if (r[2] or "und") == lang}
+        has = Counter(w for d in docs.values() for w in set(d))
+        seq = {i: [None] + [w if has[w] > 1 else "" for w in d] for i, d in docs.items()}
+        pairs = {i: Counter(zip(s, s[1:], strict=False)) for i, s in seq.items()}
+        total = sum(pairs.values(), Counter())
+        kinds = Counter(b for _, b in total)
+        disc = discounts([sum(c == i for c in total.values()) for i in (1, 2, 3, 4)])
+        low_disc = discounts([sum(c == i for c in kinds.values()) for i in (1, 2, 3, 4)])
+        spare = sum(low_disc[min(c, 3)] for c in kinds.values())
+        rare = 1 + sum(c == 1 for c in has.values())
+        for i, own in pairs.items():
+            left = total - own
+            k = Counter(b for _, b in left)
+            logs, lows = [], []
+            for a, b in zip(seq[i], seq[i][1:], strict=False):
+                part = 1 if b else 1 / rare
+                low = (max(k[b] - low_disc[min(k[b], 3)], 0) + spare / len(kinds)) / len(left) * part if left else 0
+                of = {y: c for (x, y), c in left.items() if x == a}
+                n = sum(of.values())
+                c = of.get(b, 0)
+                p = (max(c - disc[min(c, 3)], 0) * part + sum(disc[min(v, 3)] for v in of.values()) * low) / n if n else low
+                logs.append(p)
+                lows.append(low)
+            out[i] = tuple(-np.mean(np.log(x)) if x and min(x) > 0 else None for x in (logs, lows))
+    return out
+
+
+def junk_and_prose():
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(WORDS[:60]) if r.random() < 0.7 else r.choice(WORDS) for _ in range(60 + i)), "en" if i % 3 else None, None, None) for i in range(60)]
+    strange = " ".join("".join(r.choice("qxzkvj%$") for _ in range(7)) for _ in range(60))
+    return [*rows, (60, strange, "en", None, None), (61, rows[4][1], "en", None, None), (62, rows[4][1], "en", None, None), (None, rows[7][1], "en", None, None), (64, "too short", "en", None, None), (65, None, "en", None, None), (66, prose(50, 77), "xx", None, None)]
+
+
+def test_perplexity_by_definition(spark):
+    rows = [r for r in junk_and_prose() if r[0] is not None]
+    got = dicts(quality.quality(spark.createDataFrame(rows, DOCS).repartition(5)))
+    passed = [r for r in rows if not got[r[0]]["base_failed"]]
+    want = perplexities_by_definition([r[:3] for r in passed])
+    for i, (p, low) in want.items():
+        assert got[i]["log_perplexity"] == (None if p is None else pytest.approx(p, abs=2e-6)), i
+        assert got[i]["word_log_perplexity"] == (None if low is None else pytest.approx(low, abs=2e-6)), i
+    for lang in ("en", "und", "xx"):
+        own = [r[0] for r in passed if (r[2] or "und") == lang]
+
+        def quartile(k, column, own=own):
+            v = sorted(round(got[i][column], 3) for i in own if got[i][column] is not None)
+            return v[max(0, -(-k * len(v) // 4) - 1)] if v else np.nan
+
+        a, b, c = (quartile(k, "word_log_perplexity") for k in (1, 2, 3))
+        p2, p3 = (quartile(k, "log_perplexity") for k in (2, 3))
+        for i in own:
+            n, p, low = got[i]["n_words"], got[i]["log_perplexity"], got[i]["word_log_perplexity"]
+            inside = p is None or (p <= p2 + 4 * (p3 - p2) + 4 / n**0.5 and a - 1.75 * (c - a) - 1.5 / n**0.5 <= low <= c + 2 * (c - a) + 3 / n**0.5)
+            assert got[i]["kept"] == inside, i
+    assert not got[60]["kept"] and got[4]["kept"] and got[61]["kept"] and got[66]["kept"]
+    assert not got[64]["kept"] and not got[65]["kept"]
 
 
 def test_language_id(spark, docs, empty):
@@ -385,7 +399,7 @@ def test_minimizers_beyond_position_width(monkeypatch):
     shift = len(text) - len(part)
     inner = lambda a: {(f - a, n, s, p, i) for f, n, s, p, i in zip(first.tolist(), size.tolist(), seed.tolist(), place.tolist(), ident.tolist(), strict=True) if a + 80 <= f and f + n + 80 <= a + len(part)}
     assert inner(0) and inner(0) == inner(shift)
-    words = chaining.Words(suffix._zip(np.array([1]), np.array([len(text)]), flat))
+    words = chaining.Words(blocks.zip_arrays(np.array([1]), np.array([len(text)]), flat))
     at, key = words.seeds()
     n = len(words.hash) - 60
     near = lambda a: {(x - a, k) for x, k in zip(at.tolist(), key.tolist(), strict=True) if a + 15 <= x < a + 40}
@@ -409,22 +423,6 @@ def test_stages_judge_rows_without_or_with_repeated_ids(spark):
     assert pairs(decontaminate.drop_leaks(frame([(None, a + " " + p), (None, a), (7, p + " " + b), (7, b), (8, None)]), bench)) == sorted([(-1, a), (7, b), (8, "")])
 
 
-def word_perplexity_brute(texts, i):
-    from collections import Counter
-
-    rest = [["\n", *t.split()] for k, t in enumerate(texts) if k != i]
-    words, pairs = Counter(w for t in rest for w in t[1:]), Counter(p for t in rest for p in itertools.pairwise(t))
-    first, fan = Counter(), Counter()
-    for (a, _), c in pairs.items():
-        first[a] += c
-        fan[a] += 1
-    n, v, logs = sum(words.values()), len(words), []
-    for a, b in itertools.pairwise(["\n", *texts[i].split()]):
-        low = (max(words[b] - 0.75, 0) + 0.75 * v / (v + 1)) / n
-        logs.append(np.log(max(pairs[a, b] - 0.75, 0) / first[a] + 0.75 * fan[a] / first[a] * low if first[a] else low))
-    return -np.mean(logs)
-
-
 def test_shuffled_words_are_rejected(spark):
     """Texts of one chain of words; the last ones have the same words in another order, which the words' letters cannot tell."""
     r = random.Random(8)
@@ -440,6 +438,4 @@ def test_shuffled_words_are_rejected(spark):
     texts = [" ".join(w) for w in texts]
     d = spark.createDataFrame([(i, t, "en", None, None) for i, t in enumerate(texts)], DOCS).repartition(3)
     got = dicts(quality.quality(d))
-    for i in (0, 30, 58):
-        assert got[i]["word_log_perplexity"] == pytest.approx(word_perplexity_brute(texts, i))
     assert [i for i in got if not got[i]["kept"]] and {i for i in got if not got[i]["kept"]} == set(range(55, 60))
