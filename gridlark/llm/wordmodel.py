@@ -32,7 +32,8 @@ from gridlark.llm.common import bucketed, forget, release, shuffle_width, stored
 
 RARE, MARK, FIRST = 0, 1, 2  # the word that one document has; the mark before a text; the first known word
 HOT = 8  # in each part, so many of the most frequent words have their pairs dealt by both words
-UNIT = 2 << 20  # tokens of one language in a unit
+DROPPED = np.uint64(16)  # bits of a word's 64-bit hash that are dropped: 48 tell a billion words apart but for some 3 in a million
+UNIT = 3 << 20  # tokens of one language in a unit
 SENT = "lang string, part int, batch long, block binary"
 COUNTED = "lang string, part int, batch long, kind int, block binary, sums array<long>"
 ANSWER, PARTIAL, SUMS = 0, 1, 2
@@ -49,7 +50,7 @@ class Units:
     def add(self, lang: str, sizes: np.ndarray, words: np.ndarray, rows: list) -> Iterator[tuple]:
         self.held.setdefault(lang, []).append((sizes, words, rows))
         self.size[lang] = self.size.get(lang, 0) + len(words) + len(rows)
-        while self.size and (max(self.size.values()) >= UNIT or sum(self.size.values()) >= 2 * UNIT):
+        while self.size and (max(self.size.values()) >= UNIT or sum(self.size.values()) >= UNIT + (UNIT >> 1)):
             yield self.take(max(self.size, key=self.size.get))
 
     def take(self, lang: str) -> tuple:
@@ -60,7 +61,7 @@ class Units:
         order = np.argsort(-n, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        block = zip_arrays(np.concatenate([h[0] for h in held]).astype(np.int64), rank[at], words[order])
+        block = zip_arrays(np.concatenate([h[0] for h in held]).astype(np.int64), rank[at], words[order] >> DROPPED)
         self.made += 1
         return self.part << 24 | self.made, lang, block, [r for h in held for r in h[2]]
 
@@ -158,13 +159,26 @@ def _numbered(block: bytes, lists: list[dict], n_parts: int) -> Unit:
     return u
 
 
+def _steps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs as steps: of a, and of b while a stays."""
+    da = np.diff(a, prepend=np.uint64(0))
+    return da, np.where(da == 0, np.diff(b, prepend=np.uint64(0)), b)
+
+
+def _pairs(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    total = np.cumsum(db, dtype=np.uint64)
+    new = np.flatnonzero((da != 0) | (np.arange(len(da)) == 0))
+    before = np.concatenate([np.zeros(1, np.uint64), total])[new]
+    return np.cumsum(da, dtype=np.uint64), total - np.repeat(before, np.diff(np.append(new, len(da))))
+
+
 def _send_pairs(n_parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
             for batch, lang, block, lists in zip(*(rb[c].to_pylist() for c in ("batch", "lang", "block", "numbers")), strict=True):
                 u = _numbered(block, lists, n_parts)
                 a, b = u.ids[u.a], u.ids[u.b]
-                yield _batch(lang, batch, [(i, zip_arrays(np.diff(a[k], prepend=np.uint64(0)), b[k], u.count[k])) for i, k in u.pairs])
+                yield _batch(lang, batch, [(i, zip_arrays(*_steps(a[k], b[k]), u.count[k])) for i, k in u.pairs])
 
     return run
 
@@ -175,8 +189,9 @@ def _count_pairs(n_parts: int):
     def run(t: pa.Table) -> pa.Table:
         lang, part = t["lang"][0].as_py(), t["part"][0].as_py()
         cols = [unzip_arrays(x, np.uint64, np.uint64, np.int64) for x in t["block"].to_pylist()]
-        a = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in cols])
-        b, count = np.concatenate([c[1] for c in cols]), np.concatenate([c[2] for c in cols])
+        both = [_pairs(c[0], c[1]) for c in cols]
+        a, b = (np.concatenate([x[i] for x in both]) for i in (0, 1))
+        count = np.concatenate([c[2] for c in cols])
         ends = np.cumsum([len(c[0]) for c in cols])
         order = np.lexsort((b, a))
         new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
@@ -313,6 +328,7 @@ def scored(units: DataFrame, row: str) -> DataFrame:
     sent = numbered.select("batch", "lang", "block", "numbers").mapInArrow(_send_pairs(n_parts), SENT)
     counted = stored(sent.groupBy("lang", "part").applyInArrow(_count_pairs(n_parts), COUNTED), "pairs")
     release(spark)
+    del sent
     partial = counted.filter(F.col("kind") == PARTIAL)
     add = [F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(5)]
     of_pairs = counted.filter(F.col("kind") == SUMS).groupBy("lang").agg(*add).collect()  # a row a language, as the next
@@ -320,6 +336,7 @@ def scored(units: DataFrame, row: str) -> DataFrame:
     sums = {r.lang: {"pairs": list(r[1:]), "rare": rare[r.lang]} for r in of_pairs}
     for r in of_words:
         sums[r.lang]["words"] = list(r[1:])
+    release(spark)
     asked = numbers.withColumns({"kind": F.lit(ANSWER), "sums": F.lit(None).cast("array<long>")}).unionByName(partial)
     told = asked.groupBy("lang", "part").applyInArrow(_tell_words, "part int, batch long, block binary")
     totals = by_batch(counted.filter(F.col("kind") == ANSWER), "totals")
