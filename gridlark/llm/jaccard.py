@@ -1,20 +1,22 @@
 """N-gram Jaccard join with token-combination prefixes.
 
-A document's set holds the hashes of its distinct word n-grams. Sets are ordered by a global
-order, rare n-grams first (frequencies are counted over all documents in 2**18 hash buckets;
-any fixed order gives right results, a good one gives few candidates). Two sets that reach the
-threshold share their first common n-gram within their prefixes. If that one is rare, the
-single n-gram finds the pair. If it is frequent, then so are all that they share, and prefixes
-extended by m n-grams share at least m + 1; with the frequent n-grams dealt into m classes, two
-of these fall into one class, so indexing all pairs within a class finds the pair. m follows
-the set's size, so a document has about as many combinations as n-grams in its prefix.
-
-Equal sets are one node. Candidates of an index key are first compared with the key's smallest
-document only; what links is joined to components, and then only nodes of different components
-that share a key are compared, all of them. So no group of copies is expanded into pairs and no
-link between components is lost. Candidates must also pass bounds from sizes, from the place of
-the first common n-gram and from 256 parity bits of each set, which no linked pair fails; then
-they are verified on the whole sets.
+A document's set holds the hashes of its distinct word n-grams. Texts become units of word numbers
+once. Equal sets are one node; of each node one document, its representative, takes part.
+
+1. Units send the distinct n-grams of their representatives to hash partitions, which add up in how many
+   sets an n-gram stands and tell the units. Sets are ordered by that frequency, rare n-grams first.
+2. Two sets that reach the threshold share their first common n-gram within their prefixes. An n-gram that
+   stands in one set only keeps its place in the prefix but needs no index row. If the first common n-gram
+   is rare (in FREQUENT sets at most, whatever the size of the collection), it finds the pair by itself. If it
+   is frequent, then so are all that they share, and prefixes extended by m n-grams share at least m + 1; with
+   the frequent n-grams dealt into m classes, two of these fall into one class, so indexing all pairs within a
+   class finds the pair. m follows the set's size, so a document has about as many combinations as n-grams in
+   its prefix.
+3. Candidates of an index key are first compared with the key's first node only; what links is joined to
+   components, and then only nodes of different components that share a key are compared, all of them, with a
+   key of many nodes dealt in blocks. So no group of copies is expanded into pairs and no link between
+   components is lost. Candidates must also pass bounds from sizes, from the place of the first common n-gram
+   and from 256 parity bits of each set, which no linked pair fails; then they are verified on the whole sets.
 
 Defined results: null or empty text and text of white space only has an empty set and is linked
 with nothing; repeated rows have equal sets and share a component; rows without doc_id are judged
@@ -28,20 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, forget, mix, ranges, release, shuffle_width, stored, word_hashes
+from gridlark.llm.blocks import deal, part_of, unzip_arrays, zip_arrays
+from gridlark.llm.common import bucketed, chunks, forget, mix, ranges, release, row_key, shuffle_width, stored, word_hashes
 from gridlark.llm.graph import components
 
-BATCH = 4 << 20
-BUCKET_BITS = 18
+BATCH = 8 << 20
+FREQUENT = 64
 MARKS = ("m0", "m1", "m2", "m3")
-BLOOM_WORDS = 1 << 20  # 8 MB, whatever the input
+KEY_ROWS = 4096  # nodes of one key that one task compares with each other
 
 
-def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
-    """Sorted hashes of the distinct k-word shingles of each text."""
+def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text, the word numbers of all texts, and the hashes of the words."""
     ids: dict[bytes, int] = {}
     flat: list[int] = []
     size = np.zeros(len(texts), np.int64)
@@ -50,23 +54,27 @@ def shingle_sets(texts: list[bytes | None], k: int) -> list[np.ndarray]:
             words = text.lower().split()  # of bytes: lower-cases A-Z and splits at ASCII white space only
             size[i] = len(words)
             flat += [ids.setdefault(w, len(ids)) for w in words]
-    h = word_hashes(list(ids))[np.array(flat, np.int64)] if flat else np.zeros(0, np.uint64)
+    return size, np.array(flat, np.int64), word_hashes(list(ids))
+
+
+def shingle_sets(size: np.ndarray, token: np.ndarray, word: np.ndarray, k: int) -> list[np.ndarray]:
+    """Sorted hashes of the distinct k-word shingles of each text; with fewer words, of the whole sequence."""
     start = np.cumsum(size) - size
     full = np.where(size >= k, size - k + 1, 0)
     at = ranges(start, full)
     s = np.zeros(len(at), np.uint64)
     for j in range(k):
-        s = s * np.uint64(0x9E3779B97F4A7C15) + mix(h[at + j] + np.uint64(j + 1))
+        s = s * np.uint64(0x9E3779B97F4A7C15) + mix(word + np.uint64(j + 1))[token[at + j]]
     s = mix(s)
     end = np.cumsum(full)
     out = []
-    for i in range(len(texts)):
-        n = int(size[i])
+    for n, a, e, b in zip(size.tolist(), (end - full).tolist(), end.tolist(), start.tolist(), strict=True):
         if n >= k:
-            out.append(np.unique(s[end[i] - full[i] : end[i]]))
+            v = np.sort(s[a:e])
+            out.append(v[np.concatenate([[True], v[1:] != v[:-1]])])
         elif n:
             v = np.full(1, n + 1000, np.uint64)
-            for x in h[start[i] : start[i] + n]:
+            for x in word[token[b : b + n]]:
                 v = mix(v * np.uint64(31) + x)
             out.append(v)
         else:
@@ -89,46 +97,77 @@ def parity(sets: list[np.ndarray]) -> list[np.ndarray]:
     return [np.ascontiguousarray(words[:, i]) for i in range(4)]
 
 
-def _sets(t: pa.Table, k: int) -> list[np.ndarray]:
-    return shingle_sets(t["text"].cast(pa.binary()).to_pylist(), k)
+def _units(k: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for i, t in enumerate(chunks(it, "text", BATCH)):
+            size, token, word = tokens(t["text"].cast(pa.binary()).to_pylist())
+            sets = shingle_sets(size, token, word, k)
+            cols = {
+                "doc_id": t["doc_id"].combine_chunks(), "n": pa.array([len(s) for s in sets], pa.int64()),
+                "sig": pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), **{m: pa.array(c) for m, c in zip(MARKS, parity(sets), strict=True)},
+            }
+            rows = pa.StructArray.from_arrays(list(cols.values()), list(cols))
+            block = zip_arrays(size.astype(np.int32), token.astype(np.uint32), word)
+            yield pa.record_batch({"batch": pa.array([part << 24 | i], pa.int64()), "block": pa.array([block], pa.binary()), "rows": pa.ListArray.from_arrays([0, len(rows)], rows)})
+
+    return run
+
+
+def _chosen(block: bytes, rows: list[int], k: int) -> list[np.ndarray]:
+    """The sets of some rows of a unit."""
+    size, token, word = unzip_arrays(block, np.int32, np.uint32, np.uint64)
+    size = size.astype(np.int64)
+    start = (np.cumsum(size) - size)[rows]
+    return shingle_sets(size[rows], token[ranges(start, size[rows])], word, k)
+
+
+class Grams:
+    """The distinct n-grams of a unit's representatives, by 48 bits of their hashes."""
+
+    def __init__(self, sets: list[np.ndarray], n_parts: int):
+        self.key, self.at, self.count = np.unique(np.concatenate(sets) >> np.uint64(16), return_inverse=True, return_counts=True)
+        self.parts = list(deal(part_of(self.key, n_parts), n_parts))
 
 
-def _base(k: int):
+def _send(k: int, n_parts: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(it, "text", BATCH):
-            sets = _sets(t, k)
-            count = np.zeros(1 << BUCKET_BITS, np.int32)
-            for s in sets:
-                count += np.bincount((s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=1 << BUCKET_BITS).astype(np.int32) if len(s) > 50_000 else 0
-                if len(s) <= 50_000:
-                    np.add.at(count, (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), 1)
-            used = np.flatnonzero(count)
-            n = len(sets)
-            yield pa.record_batch({
-                "doc_id": pa.concat_arrays([*t["doc_id"].chunks, pa.nulls(len(used), t["doc_id"].type)]),
-                "n": pa.array(np.concatenate([[len(s) for s in sets], count[used]]).astype(np.int64)),
-                "sig": pa.array([signature(s) if len(s) else None for s in sets] + [None] * len(used), pa.int64()),
-                "bucket": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(used.astype(np.int32))]),
-                **{m: pa.concat_arrays([pa.array(c), pa.nulls(len(used), pa.int64())]) for m, c in zip(MARKS, parity(sets), strict=True)},
-            })
+        for rb in it:
+            for batch, block, chosen in zip(*(rb[c].to_pylist() for c in ("batch", "block", "chosen")), strict=True):
+                g = Grams(_chosen(block, sorted(chosen), k), n_parts)
+                rows = [(i, zip_arrays(np.diff(g.key[x], prepend=np.uint64(0)), np.minimum(g.count[x], 255).astype(np.uint8))) for i, x in g.parts]
+                yield pa.record_batch({"part": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
     return run
 
 
+def _frequencies(t: pa.Table) -> pa.Table:
+    """In how many sets (255 at most) each n-gram of one part stands, for each unit in its order."""
+    cols = [unzip_arrays(x, np.uint64, np.uint8) for x in t["block"].to_pylist()]
+    key = np.concatenate([np.cumsum(c[0], dtype=np.uint64) for c in cols])
+    count = np.concatenate([c[1] for c in cols]).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+    total = np.minimum(np.add.reduceat(count[order], np.flatnonzero(new)), 255).astype(np.uint8)
+    all_of = np.empty(len(key), np.uint8)
+    all_of[order] = total[np.cumsum(new) - 1]
+    ends = np.cumsum([len(c[0]) for c in cols])
+    return pa.table({"part": t["part"], "batch": t["batch"], "block": pa.array([zip_arrays(x) for x in np.split(all_of, ends[:-1])], pa.binary())})
+
+
 def need(n: int, num: int, den: int) -> int:
     """Least overlap with any set that reaches the threshold."""
     return -(-n * num // den)
 
 
-def prefix_keys(s: np.ndarray, count: np.ndarray, frequent: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set and the place of each in the set's order (of the first frequent one for combinations)."""
-    c = count[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+def prefix_keys(s: np.ndarray, c: np.ndarray, frequent: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index keys of a set and the place of each in the set's order (of the first frequent one for combinations); c: frequencies."""
     order = np.argsort(c, kind="stable")
     n = len(s)
     p = n - need(n, num, den) + 1
     head, hc = s[order[:p]], c[order[:p]]
-    rare = int(np.searchsorted(hc, frequent, "right"))
-    keys, place = [head[:rare]], [np.arange(rare)]
+    alone, rare = (int(np.searchsorted(hc, x, "right")) for x in (1, frequent))
+    keys, place = [head[alone:rare]], [np.arange(alone, rare)]
     low, high = need(n, num, den).bit_length() - 1, (n * den // num).bit_length() - 1
     for level in range(low, high + 1):
         m = max(1, (1 << level) * (den - num) // den)
@@ -151,55 +190,33 @@ def prefix_keys(s: np.ndarray, count: np.ndarray, frequent: int, num: int, den:
     return np.concatenate(keys), np.concatenate(place)
 
 
-def _index(k: int, num: int, den: int, bc):
+def _index(k: int, num: int, den: int, n_parts: int, frequent: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, frequent = bc.value
-        seen: set[int] = set()
-        for t in chunks(it, "text", BATCH):
-            key, sig, size, place, owner = [], [], [], [], []
-            for row, s in enumerate(_sets(t, k)):
-                if not len(s) or (g := signature(s)) in seen:
-                    continue
-                if len(seen) < 500_000:  # copies in one task give their keys once; later ones go in the shuffle
-                    seen.add(g)
-                x, p = prefix_keys(s, count, frequent, num, den)
-                key.append(x)
-                place.append(p)
-                owner.append(np.full(len(x), row))
-                sig.append(np.full(len(x), g, np.int64))
-                size.append(np.full(len(x), len(s), np.int32))
-            if key:
-                d = t["doc_id"].combine_chunks().take(pa.array(np.concatenate(owner)))
-                yield pa.record_batch({"key": np.concatenate(key).view(np.int64), "sig": np.concatenate(sig), "d": d, "n": np.concatenate(size), "place": np.concatenate(place).astype(np.int32)})
+        for rb in it:
+            for block, chosen, told in zip(*(rb[c].to_pylist() for c in ("block", "chosen", "told")), strict=True):
+                sets = _chosen(block, sorted(chosen), k)
+                g = Grams(sets, n_parts)
+                told = {x["part"]: unzip_arrays(x["block"], np.uint8)[0] for x in told}
+                freq = np.zeros(len(g.key), np.uint8)
+                for i, x in g.parts:
+                    freq[x] = told[i]
+                ends = np.cumsum([len(s) for s in sets])
+                rows = [(s, prefix_keys(s, c, frequent, num, den)) for s, c in zip(sets, np.split(freq[g.at], ends[:-1]), strict=True)]
+                n = [len(x[1][0]) for x in rows]
+                yield pa.record_batch({
+                    "key": np.concatenate([x[1][0] for x in rows]).view(np.int64), "sig": np.repeat(np.array([signature(s) for s in sets], np.int64), n),
+                    "n": np.repeat(np.array([len(s) for s in sets], np.int32), n), "place": np.concatenate([x[1][1] for x in rows]).astype(np.int32),
+                })
 
     return run
 
 
-def bloom(ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """A Bloom filter over the column id, of at most BLOOM_WORDS words, built by Spark."""
-    h = [F.xxhash64("id", F.lit(i)) for i in (1, 2, 3)]
-    bits = ids.select(F.explode(F.array(*h)).alias("h")).select(
-        F.pmod("h", F.lit(BLOOM_WORDS)).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 58) AS INT))").alias("bit")
-    )
-    w = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    return w["word"].to_numpy().astype(np.int64), w["bits"].to_numpy()
-
-
-def _members(it_k: int, bc):
+def _members(k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(it, "text", BATCH):
-            word, bits = bc.value
-            filt = np.zeros(BLOOM_WORDS, np.int64)
-            filt[word] = bits
-            hit = np.ones(t.num_rows, bool)
-            for i in (1, 2, 3):
-                h = np.array(t[f"h{i}"].to_pylist(), np.int64)
-                b = np.left_shift(np.int64(1), (h.view(np.uint64) >> np.uint64(58)).astype(np.int64))
-                hit &= (filt[h % BLOOM_WORDS] & b) != 0
-            t = t.filter(pa.array(hit))
-            if t.num_rows:
-                rows = [(signature(s), s.tobytes()) for s in _sets(t, it_k) if len(s)]
-                yield pa.record_batch({"sig": pa.array([r[0] for r in rows], pa.int64()), "s": pa.array([r[1] for r in rows], pa.binary())})
+        for rb in it:
+            for block, chosen in zip(rb["block"].to_pylist(), rb["chosen"].to_pylist(), strict=True):
+                sets = _chosen(block, sorted(chosen), k)
+                yield pa.record_batch({"sig": pa.array([signature(s) for s in sets], pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     return run
 
@@ -220,7 +237,7 @@ def _verify(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, frequent: int = FREQUENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, n_links): links are pairs of sets with |a & b| * den >= num * |a | b|.
 
     n_links counts the verified links of the document's set; links within a component that
@@ -229,42 +246,46 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     spark: SparkSession = docs.sparkSession
     own = docs.select("doc_id", "text")
     kind = dict(own.dtypes)["doc_id"]
-    both = stored(own.mapInArrow(_base(k), f"doc_id {kind}, n long, sig long, bucket int, " + ", ".join(f"{m} long" for m in MARKS)), "sets")
-    base = both.filter("bucket is null").select("doc_id", "n", "sig", *MARKS)
-    c = both.filter("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("c")).toArrow()  # 2**18 rows at most
-    count = np.zeros(1 << BUCKET_BITS, np.int64)
-    count[c["bucket"].to_numpy()] = c["c"].to_numpy()
-    frequent = int(4 * count.sum() / len(count)) + 64
-    nodes = stored(base.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("d"), F.max("n").alias("n"), *[F.min(m).alias(m) for m in MARKS]), "nodes")
+    width = shuffle_width(spark)
+    fields = f"doc_id:{kind},n:long,sig:long," + ",".join(f"{m}:long" for m in MARKS)
+    units = bucketed(own.mapInArrow(_units(k), f"batch long, block binary, rows array<struct<{fields}>>"), "batch", width)
+    n_parts = max(width, units.count() // 4)
+    base = units.select("batch", F.posexplode("rows").alias("row", "r")).select("batch", "row", "r.*")
+    nodes = base.filter("sig is not null").groupBy("sig").agg(
+        F.min("doc_id").alias("d"), F.max("n").alias("n"), F.min(F.struct("batch", "row")).alias("at"), *[F.min(m).alias(m) for m in MARKS]
+    )
+    nodes = stored(nodes, "nodes")
+
+    def chosen(some: DataFrame) -> DataFrame:
+        """Units with the rows that represent some nodes."""
+        rows = some.select("at.batch", "at.row").groupBy("batch").agg(F.collect_list("row").alias("chosen"))
+        return units.select("batch", "block").join(rows, "batch")
+
+    sent = chosen(nodes).mapInArrow(_send(k, n_parts), "part int, batch long, block binary")
+    told = stored(sent.groupBy("part").applyInArrow(_frequencies, "part int, batch long, block binary"), "frequencies")
+    release(spark)
+    told_of = told.groupBy("batch").agg(F.collect_list(F.struct("part", "block")).alias("told"))
+    index = chosen(nodes).join(told_of, "batch").mapInArrow(_index(k, num, den, n_parts, frequent), "key long, sig long, n int, place int")
+    index = stored(index.groupBy("key", "sig").agg(F.min("n").alias("n"), F.min("place").alias("place")), "index")
+    forget(told)
 
     fits = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     total = F.col("na") + F.col("nb")
     fits = fits & ((den + num) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= num * total)
     differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MARKS), F.lit(0))
     alike = (den + num) * (total - differ) >= 2 * num * total
-    marks = lambda side: [F.col(m).alias(f"{side}_{m}") for m in MARKS]
-
-    # dealt by key once: equal sets of a key are merged, and its smallest document is its center
-    index = own.mapInArrow(_index(k, num, den, spark.sparkContext.broadcast((count, frequent))), f"key long, sig long, d {kind}, n int, place int")
-    index = index.repartition(shuffle_width(spark), "key").groupBy("key", "sig").agg(F.min("d").alias("d"), F.min("n").alias("nb"), F.min("place").alias("pb"))
-    w = Window.partitionBy("key")
-    index = index.withColumns({"many": F.count("*").over(w), "c": F.min(F.struct("d", "sig", "nb", "pb")).over(w)}).filter("many > 1")
-    index = index.select("key", "many", F.col("c.sig").alias("a"), F.col("c.nb").alias("na"), F.col("c.pb").alias("pa"), F.col("sig").alias("b"), "nb", "pb")
-    index = index.withColumn("ok", (F.col("a") != F.col("b")) & fits)
-    index = index.withColumn("some", F.max("ok").over(w)).filter((F.col("many") > 2) | F.col("some")).drop("many", "some")  # two that do not fit are no candidates
-    index = stored(index, "index")
-    release(spark)
+    marks = lambda pairs, x: pairs.join(nodes.select(F.col("sig").alias(x), *[F.col(m).alias(f"{x}_{m}") for m in MARKS]), x)
+    near = lambda pairs: marks(marks(pairs, "a"), "b").filter(alike).select("a", "b")
 
-    star = index.filter("ok").select("a", "b", "na", "nb").distinct()
-    star = star.join(nodes.select(F.col("sig").alias("a"), *marks("a")), "a").join(nodes.select(F.col("sig").alias("b"), *marks("b")), "b")
-    star = stored(star.filter(alike).select("a", "b"), "pairs")
+    center = index.groupBy("key").agg(F.min(F.struct("sig", "n", "place")).alias("c"), F.count("*").alias("many")).filter("many > 1")
+    center = center.select("key", "many", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.place").alias("pa"))
+    star = index.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")).join(center, "key").filter((F.col("a") != F.col("b")) & fits)
+    star = stored(near(star.select("a", "b", "na", "nb").distinct()), "pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs that reach the threshold; only sets of documents in pairs are gathered."""
-        ids = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct().join(nodes, "sig").select(F.col("d").alias("id"))
-        bc = spark.sparkContext.broadcast(bloom(ids))
-        hashed = own.select("text", *[F.xxhash64("doc_id", F.lit(i)).alias(f"h{i}") for i in (1, 2, 3)])
-        sets = stored(hashed.mapInArrow(_members(k, bc), "sig long, s binary"), "members")
+        """The pairs that reach the threshold; only sets of nodes in pairs are gathered."""
+        ids = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
+        sets = stored(chosen(ids.join(nodes, "sig")).mapInArrow(_members(k), "sig long, s binary"), "members")
         p = pairs.join(sets.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
         out = stored(p.select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long, ok boolean").filter("ok").select("a", "b").distinct(), "verified")
         forget(sets)
@@ -272,15 +293,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
     links = linked(star)
     label = components(links)
-    index = index.select("key", F.col("b").alias("sig"), F.col("nb").alias("n"), F.col("pb").alias("place"))
-    index = index.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    index = index.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).filter("lo <> hi").select("key", "sig", "n", "place", "label")
-    index = stored(index.join(nodes.select("sig", *MARKS), "sig"), "rest")
-    x = index.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), *marks("a"))
-    y = index.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), *marks("b"))
-    rest = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits & alike).select("a", "b").distinct()
+    part = index.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    part = stored(part, "labelled")
+    mixed = part.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).filter("lo <> hi")
+    # a key's nodes are dealt in blocks, and each two blocks meet in a task of their own
+    mixed = mixed.select("key", F.ceil(F.col("many") / KEY_ROWS).cast("int").alias("blocks"))
+    part = part.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = part.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), F.col("block").alias("i"), every.alias("j"))
+    y = part.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("block").alias("j"), every.alias("i"))
+    rest = x.join(y, ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits).select("a", "b", "na", "nb").distinct()
     known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(known, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(near(rest).join(known, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(linked(rest))
     label = components(links)
@@ -289,7 +313,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     node = nodes.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")).join(ends, "sig", "left")
     least = node.groupBy("label").agg(F.min("d").alias("component_id"))
     node = stored(node.join(least, "label").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    out = base.drop(*MARKS).join(node, "sig", "left")
+    out = base.select("doc_id", "n", "sig").join(node, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -298,13 +322,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, are judged each by its own text.
     """
-    key = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
-    c = jaccard_components(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
-    own = docs.select(key.alias("_key"), F.col("doc_id").alias("_own")).distinct()
-    first = c.join(own, "_key").groupBy("component_id").agg(F.min(F.struct(F.col("_own").isNull().alias("none"), "_own", "_key")).alias("f"))
+    own = docs.select(F.col("doc_id").alias("_own"), F.col("doc_id").cast("string").alias("doc_id"), "text").withColumn("_key", row_key("doc_id", "text"))
+    c = jaccard_components(own.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    first = c.join(own.select("_key", "_own").distinct(), "_key").groupBy("component_id").agg(F.min(F.struct(F.col("_own").isNull().alias("none"), "_own", "_key")).alias("f"))
     kept = stored(first.select(F.col("f._key").alias("_kept")), "kept")
     release(docs.sparkSession)
-    return docs.join(kept, key == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    keyed = docs.withColumn("_keep_id", F.col("doc_id").cast("string")).withColumn("_keep_key", row_key("_keep_id", "text"))
+    return keyed.join(kept, F.col("_keep_key") == F.col("_kept"), "left_semi").dropDuplicates(["_keep_key"]).select(*docs.columns)
 
 
 def op7_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
