@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import MULT, chunks, mix
+from gridlark.llm.common import MULT, chunks, mix, ranges, stored
 
 BITS = 40
 BATCH = 2 << 20
-MAX_PROFILES = 20_000  # languages; a profile has a few kB, so the broadcast stays under 100 MB
+PROFILES = 4_000  # languages in one broadcast; with 400 n-grams of 16 bytes each that is 26 MB
+HELD = 400_000  # distinct words that a task holds, of all languages together
+TABLE = 1 << 22  # sums of documents by languages that are held at once
 
 
 @lru_cache(1)
@@ -73,13 +75,18 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u, back = np.unique(np.concatenate(h), return_inverse=True)
         return pa.record_batch({"lang": [lang] * len(u), "gram": u.view(np.int64), "c": np.bincount(back, np.concatenate(w), len(u)).astype(np.int64)})
 
+    held = 0
     for t in chunks(it, "text", BATCH):
         for lang, text in zip(t["lang"].to_pylist(), t["text"].to_pylist(), strict=True):
             if text:
                 c = by_lang.setdefault(lang, Counter())
+                held -= len(c)
                 c.update(text.split())
-                if len(c) > 200_000:
-                    yield flush(lang, by_lang.pop(lang))
+                held += len(c)
+            while held > HELD:
+                most = max(by_lang, key=lambda x: len(by_lang[x]))
+                held -= len(by_lang[most])
+                yield flush(most, by_lang.pop(most))
     for lang, c in by_lang.items():
         if c:
             yield flush(lang, c)
@@ -95,8 +102,18 @@ def profiles(train: DataFrame, size: int) -> DataFrame:
     return c.withColumn("rank", rank - 1).filter(F.col("rank") < size).select("lang", "gram", "rank")
 
 
-def nearest(texts: list[str | None], langs: list[str], grams: np.ndarray, ranks: np.ndarray, size: int, doc_size: int) -> tuple[list[str], np.ndarray]:
-    """Predicted language and score of each text; ranks[l, g] is a gram's rank in a profile, or size."""
+class Profiles:
+    """Profiles of some languages: the n-grams in order, and the languages and ranks of each."""
+
+    def __init__(self, langs: list[str], gram: np.ndarray, lang: np.ndarray, rank: np.ndarray):
+        order = np.lexsort((lang, gram))
+        self.langs, self.lang, self.rank = langs, lang[order].astype(np.int32), rank[order].astype(np.int32)
+        self.grams, begin = np.unique(gram[order], return_index=True)
+        self.begin = np.append(begin, len(gram))
+
+
+def nearest(texts: list[str | None], p: Profiles, size: int, doc_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the nearest language of each text, its distance, and how many n-grams the text's ranking has."""
     n = len(texts)
     low = [(t or "").lower() for t in texts]
     cp = _points(low)
@@ -106,9 +123,8 @@ def nearest(texts: list[str | None], langs: list[str], grams: np.ndarray, ranks:
         doc = np.searchsorted(ends, at + (cp[at] == 0), "right")
         keys.append((np.minimum(doc, n - 1).astype(np.uint64) << np.uint64(BITS)) | h)
     key = np.sort(np.concatenate(keys))
-    pred, score = ["und"] * n, np.zeros(n)
-    if not len(key) or not langs:
-        return pred, score
+    if not len(key):
+        return np.zeros(n, np.int64), np.full(n, np.inf), np.zeros(n, np.int64)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(first, len(key))).astype(np.uint64)
     key = key[first]
@@ -119,44 +135,55 @@ def nearest(texts: list[str | None], langs: list[str], grams: np.ndarray, ranks:
     rank = np.arange(len(doc)) - begin[doc]
     top = rank < doc_size
     doc, key, rank = doc[top], key[top] & np.uint64((1 << BITS) - 1), rank[top]
-    i = np.minimum(np.searchsorted(grams, key), len(grams) - 1)
-    hit = grams[i] == key
+    i = np.minimum(np.searchsorted(p.grams, key), len(p.grams) - 1)
+    hit = np.flatnonzero(p.grams[i] == key)
     total = np.bincount(doc, minlength=n)
-    best = np.full(n, np.inf)
-    which = np.zeros(n, np.int64)
-    for k in range(len(langs)):  # langs are sorted, so ties stay with the first
-        r = ranks[k][i]
-        d = np.where(hit & (r < size), np.abs(r - rank), size)
-        d = np.bincount(doc, d, n)
-        better = d < best
-        which[better], best[better] = k, d[better]
-    for j in np.flatnonzero(total):
-        pred[j] = langs[which[j]]
-    score = np.where(total > 0, 1 - best / (size * np.maximum(total, 1)), 0.0)
-    return pred, np.clip(score, 0.0, 1.0)
-
-
-def identify(docs: DataFrame, train: DataFrame, size: int = 400, doc_size: int = 300) -> DataFrame:
-    """docs with lang_pred and score; learned from the rows of train."""
-    spark = docs.sparkSession
-    p = profiles(train, size).limit(MAX_PROFILES * size + 1).toPandas()
-    langs = sorted(p["lang"].unique())
-    if len(langs) > MAX_PROFILES:
-        raise ValueError(f"more than {MAX_PROFILES} languages to learn")
-    grams = np.unique(p["gram"].to_numpy(np.int64)).view(np.uint64)
-    ranks = np.full((len(langs), max(1, len(grams))), size, np.int32)
-    code = {x: i for i, x in enumerate(langs)}
-    if len(p):
-        ranks[p["lang"].map(code).to_numpy(), np.searchsorted(grams, p["gram"].to_numpy(np.int64).view(np.uint64))] = p["rank"].to_numpy()
-    bc = spark.sparkContext.broadcast((langs, grams, ranks))
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(it, "text", BATCH):
-            pred, score = nearest(t["text"].to_pylist(), *bc.value, size, doc_size)
-            yield pa.record_batch({"doc_id": t["doc_id"].combine_chunks(), "lang_pred": pa.array(pred, pa.string()), "score": score})
-
+    many = p.begin[i[hit] + 1] - p.begin[i[hit]]
+    at = ranges(p.begin[i[hit]], many)
+    doc, less = np.repeat(doc[hit], many), size - np.abs(p.rank[at] - np.repeat(rank[hit], many))
+    lang = p.lang[at]
+    # all n-grams at the full distance, less what the profiles' own n-grams are nearer
+    m = len(p.langs)
+    which, best = np.zeros(n, np.int64), np.full(n, np.inf)
+    step = max(1, TABLE // m)
+    for a in range(0, n, step):
+        b = min(n, a + step)
+        x, y = np.searchsorted(doc, (a, b))
+        gain = np.bincount((doc[x:y] - a) * m + lang[x:y], less[x:y], (b - a) * m).reshape(b - a, m)
+        which[a:b] = gain.argmax(1)  # langs are sorted, so ties stay with the first
+        best[a:b] = size * total[a:b] - gain.max(1)
+    return which, best, total
+
+
+def identify(docs: DataFrame, train: DataFrame, size: int = 400, doc_size: int = 300, profiles_at_once: int = PROFILES) -> DataFrame:
+    """docs with lang_pred and score; learned from the rows of train.
+
+    Profiles are broadcast in groups of languages, and a text keeps the nearest language of all groups so far, so the
+    number of languages has no limit.
+    """
+    sc = docs.sparkSession.sparkContext
+    p = stored(profiles(train, size), "profiles")
+    langs = [r.lang for r in p.select("lang").distinct().orderBy("lang").collect()]  # names only, one a language
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    out = docs.select("doc_id", "text", F.lit("und").alias("lang_pred"), F.lit(float("inf")).alias("best"), F.lit(0).cast("long").alias("total"))
+    schema = f"doc_id {kind}, text string, lang_pred string, best double, total long"
+    for a in range(0, len(langs), profiles_at_once):
+        some = langs[a : a + profiles_at_once]
+        rows = p.filter(F.col("lang").between(some[0], some[-1])).toArrow()
+        code = {x: i for i, x in enumerate(some)}
+        lang = np.fromiter((code[x] for x in rows["lang"].to_pylist()), np.int64, rows.num_rows)
+        bc = sc.broadcast(Profiles(some, rows["gram"].to_numpy().view(np.uint64), lang, rows["rank"].to_numpy()))
+
+        def run(it: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
+            for t in chunks(it, "text", BATCH):
+                which, best, total = nearest(t["text"].to_pylist(), bc.value, size, doc_size)
+                had = t["best"].to_numpy()
+                pred = [bc.value.langs[k] if n and x < y else z for k, n, x, y, z in zip(which.tolist(), total.tolist(), best.tolist(), had.tolist(), t["lang_pred"].to_pylist(), strict=True)]
+                yield pa.record_batch({"doc_id": t["doc_id"].combine_chunks(), "text": t["text"].combine_chunks(), "lang_pred": pa.array(pred, pa.string()), "best": np.minimum(best, had), "total": total.astype(np.int64)})
+
+        out = out.mapInArrow(run, schema)
+    score = F.when((F.col("total") > 0) & (F.col("best") < float("inf")), 1 - F.col("best") / (size * F.col("total"))).otherwise(0.0)
+    return out.select("doc_id", "lang_pred", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)).alias("score"))
 
 
 def held_out() -> Column:

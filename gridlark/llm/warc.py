@@ -116,10 +116,14 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = []
             for head, block in unpack(data):
                 http, _, payload = block.partition(b"\r\n\r\n")
-                n = int(http.rpartition(b"Content-Length:")[2])
+                n, digest = int(http.rpartition(b"Content-Length:")[2]), head["warc-payload-digest"].removeprefix("sha1:")
                 page, ref = head.get("warc-x-page-id"), head.get("warc-refers-to")
+                if ref is None:  # what was read must be what was written; a revisit has no payload of its own
+                    read = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    if read != (n, digest):
+                        raise ValueError(f"{archive}: a payload differs from its digest")
                 rows.append((
-                    None if page is None else int(page), head["warc-target-uri"], n, head["warc-payload-digest"].removeprefix("sha1:"),
+                    None if page is None else int(page), head["warc-target-uri"], n, digest,
                     head["warc-type"], None if ref is None else page_of(ref), archive, payload if ref is None else None,
                 ))
             cols = zip(*rows, strict=True)
@@ -129,16 +133,16 @@ def _read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Archives as rows (archive, data), stored in the shared folder by Spark's writer.
 
-    Pages meet only the larger page_id of their payload's digest, not each other, so a payload
-    that a third of all pages share costs one row of the small side.
+    Who refers to whom is found from digests and page_ids alone; payloads are then joined by page_id and
+    digest, so a payload that a third of all pages share is spread like any others.
     """
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     last = p.filter(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
     last = last.filter("n > 1 and last is not null").select("sha", "last")
-    p = p.join(last, "sha", "left")
-    same = F.col("page_id").eqNullSafe(F.col("last"))
-    p = p.withColumn("refers_to", F.when(F.col("last").isNotNull() & ~same, F.col("last")))
+    again = p.select(F.col("page_id").alias("_page"), F.col("sha").alias("_sha")).join(last, F.col("_sha") == F.col("sha")).filter(~F.col("_page").eqNullSafe(F.col("last")))
+    again = again.select("_page", "_sha", F.col("last").alias("refers_to")).distinct()
+    p = p.join(again, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("sha") == F.col("_sha")), "left")
     out = p.select(F.col("page_id").cast("long").alias("page_id"), "url", "payload", "refers_to")
     return stored(out.mapInArrow(_write, "archive string, data binary"), "warc")
 
