@@ -5,15 +5,18 @@ the unit against itself, so one threshold (a share of the own score) serves all.
 of the training texts (128 words, one each 64 words) is a query. The lists of essential terms are
 read for all passages of a batch at once: a passage that no unit's essential terms can bring to
 the threshold is left out. The others walk the posting lists with WAND pivots and block maxima
-and give every unit at or above the threshold. A hit is then verified on the words around it: the shares of the 3-grams
-of the item's question and of its answer that occur there.
+and give every unit at or above the threshold. A hit is then verified on the words around it: the shares of
+the 3-grams of the item's question and of its answer that occur there ("question and answer"), else that of the
+whole item ("part"), else, in an item of several units, that of the unit itself, of which UNIT_SHARE must occur ("passage").
 
 The question of an item ends at its last question mark, else at its last but one sentence end,
 else after two thirds of its words; the answer is the rest. Words are lower-cased, ASCII
-punctuation is white space.
+punctuation is white space; they are compared by 64-bit hashes.
 
-The index is built by Spark and used in shards of bounded size (SHARD_BYTES of item text); each
-shard is broadcast, one pass over the texts a shard.
+Items of more than SECTION words are cut into sections of that many words, each verified by itself (with its part of
+question and answer, or of the one that it has). Postings carry numbers only. The index is built by Spark and used
+in shards of about SHARD_WORDS words, which sections are dealt to; each shard is broadcast, one pass over the texts a
+shard, so neither the number of items nor the length of one has a limit.
 
 Defined results: null or empty texts and items match nothing; items of fewer than 8 words must
 occur whole; repeated item rows are one item, items that share an id are judged apart; repeated documents
@@ -23,7 +26,7 @@ give repeated rows; extra columns are ignored; empty tables give an empty table.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, ranges, stored, table
+from gridlark.llm.common import chunks, ranges, stored, table, word_hashes
 
 TILE = 64
-SHARD_BYTES = 8 << 20
+SECTION = 4096
+SHARD_WORDS = 1 << 20
+UNIT_SHARE = 0.8
 BATCH = 4 << 20
 K1, B = 1.2, 0.75
 _PUNCT = bytes(32 if (c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128) else c for c in range(256))
@@ -46,49 +51,51 @@ def words_of(text: str | None) -> list[bytes]:
 
 def split_item(text: str) -> tuple[list[bytes], list[bytes]]:
     """Words of the question and of the answer."""
-    all_words = words_of(text)
-    cut = text.rfind("?") + 1
-    if not cut or not words_of(text[cut:]):
-        ends = [i + 1 for i, c in enumerate(text) if c in ".!?" and words_of(text[i + 1 :])] if len(text) < 20_000 else []
-        cut = ends[-1] if ends else 0
-    if cut and (n := len(words_of(text[:cut]))):
-        return all_words[:n], all_words[n:]
-    n = len(all_words) * 2 // 3
-    return all_words[:n], all_words[n:]
-
-
-def _units(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = words_of(text)
+    last = next((i for i in range(len(text) - 1, -1, -1) if not text[i].isascii() or text[i].isalnum()), 0)  # the last word's end
+    cut = text.rfind("?")
+    if not 0 <= cut < last:
+        cut = max(text.rfind(c, 0, last) for c in ".!?")
+    n = len(words_of(text[: cut + 1])) or len(words) * 2 // 3
+    return words[:n], words[n:]
+
+
+def _sections(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for item, text in zip(b["item_id"], b["text"].to_pylist(), strict=True):
+            q, a = split_item(text)
+            h = word_hashes(q + a)
+            at = range(0, len(h), SECTION)
+            yield pa.record_batch({
+                "item_id": pa.array([item.as_py()] * len(at), b["item_id"].type), "item": pa.array([int(word_hashes([text.encode("utf-8", "replace")]).view(np.int64)[0])] * len(at), pa.int64()),
+                "size": pa.array([len(h)] * len(at), pa.int64()), "question": pa.array([min(max(0, len(q) - i), SECTION) for i in at], pa.int64()),
+                "words": pa.array([h[i : i + SECTION].tobytes() for i in at], pa.binary()),
+            })
+
+
+def units_of(h: np.ndarray) -> list[np.ndarray]:
+    return np.array_split(h, max(1, -(-len(h) // TILE)))
+
+
+def _terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
-        rows = []
-        for item, text, shard in zip(b["item_id"].to_pylist(), b["text"].to_pylist(), b["shard"].to_pylist(), strict=True):
-            w = words_of(text)
-            parts = max(1, -(-len(w) // TILE))
-            step = -(-len(w) // parts)
-            for i in range(0, len(w), max(1, step)):
-                part = w[i : i + step]
-                c: dict[bytes, int] = defaultdict(int)
-                for x in part:
-                    c[x] += 1
-                rows += [(item, text, shard, i, x, n, len(part)) for x, n in c.items()]
-        kinds = [b.schema.field("item_id").type, pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32()]
-        cols = zip(*rows, strict=True) if rows else [[]] * 7
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["item_id", "item", "shard", "unit", "term", "tf", "size"])
-
-
-def postings(items: DataFrame, shards: int) -> DataFrame:
-    """Rows (shard, item_id, item, unit, term, weight); weights of a unit sum to 1."""
-    kind = dict(items.dtypes)["item_id"]
-    src = items.filter("text is not null").select("item_id", "text").distinct().withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int"))
-    p = stored(src.mapInArrow(_units, f"item_id {kind}, item string, shard int, unit int, term binary, tf int, size int"), "units")
-    unit = p.select("item", "item_id", "unit", "size").distinct()
-    total = unit.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+        for section, shard, words in zip(b["section"].to_pylist(), b["shard"].to_pylist(), b["words"].to_pylist(), strict=True):
+            rows = [(i, t, n, len(u)) for i, u in enumerate(units_of(np.frombuffer(words, np.int64))) for t, n in Counter(u.tolist()).items()]
+            unit, term, tf, size = (np.array(c) for c in zip(*rows, strict=True))
+            n = len(rows)
+            yield pa.record_batch({"section": pa.array([section] * n, pa.int64()), "shard": pa.array([shard] * n, pa.int32()), "unit": unit.astype(np.int32), "term": term.astype(np.int64), "tf": tf.astype(np.int32), "size": size.astype(np.int32)})
+
+
+def postings(sections: DataFrame) -> DataFrame:
+    """Rows (shard, section, unit, term, weight); weights of a unit sum to 1."""
+    p = stored(sections.select("section", "shard", "words").mapInArrow(_terms, "section long, shard int, unit int, term long, tf int, size int"), "units")
+    total = p.select("section", "unit", "size").distinct().agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
     df = p.groupBy("term").agg(F.count("*").alias("df"))
     p = p.join(df, "term").crossJoin(F.broadcast(total))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     p = p.withColumn("w", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean"))))
-    own = p.groupBy("item", "item_id", "unit").agg(F.sum("w").alias("own")).withColumnsRenamed({"item": "i2", "item_id": "id2", "unit": "u2"})
-    on = (F.col("item") == F.col("i2")) & F.col("item_id").eqNullSafe(F.col("id2")) & (F.col("unit") == F.col("u2"))
-    return p.join(own, on).select("shard", "item_id", "item", "unit", "term", (F.col("w") / F.col("own")).alias("weight"))
+    own = p.groupBy("section", "unit").agg(F.sum("w").alias("own"))
+    return p.join(own, ["section", "unit"]).select("shard", "section", "unit", "term", (F.col("w") / F.col("own")).alias("weight"))
 
 
 class Index:
@@ -96,38 +103,44 @@ class Index:
 
     BLOCK = 16
 
-    def __init__(self, rows: list[tuple], least: float):
-        units = sorted({(r[1], r[2], str(r[0])) for r in rows})
-        at = {u: i for i, u in enumerate(units)}
-        ids = {(r[1], r[2], str(r[0])): r[0] for r in rows}
-        self.items = [ids[u] for u in units]
-        self.texts = [u[0] for u in units]
-        terms = sorted({r[3] for r in rows})
-        self.vocab = {t: i for i, t in enumerate(terms)}
-        term = np.array([self.vocab[r[3]] for r in rows], np.int64)
-        unit = np.array([at[r[1], r[2], str(r[0])] for r in rows], np.int64)
-        weight = np.array([r[4] for r in rows], np.float64)
+    def __init__(self, sections: pa.Table, rows: pa.Table, least: float):
+        order = np.argsort(sections["section"].to_numpy())
+        number = sections["section"].to_numpy()[order]
+        self.item_id, self.item, self.size, self.question = (sections.column(c).take(order).to_pylist() for c in ("item_id", "item", "size", "question"))
+        self.words = [np.frombuffer(x, np.uint64) for x in sections["words"].take(order).to_pylist()]
+        many = np.array([max(1, -(-len(w) // TILE)) for w in self.words])
+        self.section = np.repeat(np.arange(len(many)), many)  # of each unit
+        self.first = np.cumsum(many) - many
+        self.n_units = int(many.sum())
+        term, weight = rows["term"].to_numpy().view(np.uint64), rows["weight"].to_numpy()
+        unit = self.first[np.searchsorted(number, rows["section"].to_numpy())] + rows["unit"].to_numpy()
+        self.vocab, term = np.unique(term, return_inverse=True)
         order = np.lexsort((unit, term))
         term, unit, weight = term[order], unit[order], weight[order]
-        self.begin = np.searchsorted(term, np.arange(len(terms) + 1))
-        self.lists = [(unit[a:b].tolist(), weight[a:b].tolist()) for a, b in zip(self.begin[:-1], self.begin[1:], strict=True)]
-        self.top = [max(w) for _, w in self.lists]
-        self.block_max = [[max(w[i] for i in range(len(u)) if u[i] // self.BLOCK == k) for k in sorted({x // self.BLOCK for x in u})] for u, w in self.lists]
-        self.blocks = [sorted({x // self.BLOCK for x in u}) for u, _ in self.lists]
+        n_terms = len(self.vocab)
+        self.begin = np.searchsorted(term, np.arange(n_terms + 1))
+        cut = self.begin[1:-1]
+        self.lists = list(zip((x.tolist() for x in np.split(unit, cut)), (x.tolist() for x in np.split(weight, cut)), strict=True))
+        self.top = np.maximum.reduceat(weight, self.begin[:-1]).tolist()
+        block = unit // self.BLOCK
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])]))
+        cut = np.searchsorted(term[new], np.arange(1, n_terms))
+        self.block_max = [x.tolist() for x in np.split(np.maximum.reduceat(weight, new), cut)]
+        self.blocks = [x.tolist() for x in np.split(block[new], cut)]
         # A unit's rarest terms are essential until what is left adds less than `spare` in all: a
         # passage that reaches the threshold has essential terms that add up to the difference.
         spare = 0.4 * least
         df = np.diff(self.begin)[term]
         order = np.lexsort((term, -df, unit))  # of each unit, the most frequent terms first
         left = np.cumsum(weight[order])
-        start = np.searchsorted(unit[order], np.arange(len(units)))
+        start = np.searchsorted(unit[order], np.arange(self.n_units))
         left -= np.concatenate([[0.0], left])[start][unit[order]]
         easy = np.zeros(len(term), bool)
         easy[order] = left <= spare
-        self.need = least - np.bincount(unit[easy], weight[easy], len(units)) - 1e-9
+        self.need = least - np.bincount(unit[easy], weight[easy], self.n_units) - 1e-9
         self.e_unit, self.e_weight = unit[~easy], weight[~easy]
-        self.e_begin = np.searchsorted(term[~easy], np.arange(len(terms) + 1))
-        self.parts: dict[str, tuple] = {}
+        self.e_begin = np.searchsorted(term[~easy], np.arange(n_terms + 1))
+        self.parts: dict[int, tuple] = {}
 
     def passages(self, tile: np.ndarray, term: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """Tiles whose passage (the tile and the next one) may reach the threshold, by essential terms."""
@@ -135,14 +148,14 @@ class Index:
         at = ranges(self.e_begin[term], n)
         t, u, w = np.repeat(tile, n), self.e_unit[at], self.e_weight[at]
         back = (t > 0) & pair[np.maximum(t - 1, 0)]
-        key = np.concatenate([t, t[back] - 1]) * len(self.items) + np.concatenate([u, u[back]])
+        key = np.concatenate([t, t[back] - 1]) * self.n_units + np.concatenate([u, u[back]])
         order = np.argsort(key, kind="stable")
         key, w = key[order], np.concatenate([w, w[back]])[order]
         if not len(key):
             return key
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        ok = np.add.reduceat(w, new) >= self.need[key[new] % len(self.items)]
-        return np.unique(key[new][ok] // len(self.items))
+        ok = np.add.reduceat(w, new) >= self.need[key[new] % self.n_units]
+        return np.unique(key[new][ok] // self.n_units)
 
     def _bound(self, t: int, b: int) -> float:
         i = bisect_left(self.blocks[t], b)
@@ -187,39 +200,52 @@ class Index:
                     c[0] = units[c[1]] if c[1] < len(units) else -1
             cur = [c for c in cur if c[0] >= 0]
 
-    def overlap(self, text: str, around: list[bytes]) -> tuple[float, float, float, int]:
-        """Shares of the 3-grams of question, answer and item in these words, and the item's words."""
-        if text not in self.parts:
-            q, a = split_item(text)
-            n = len(q) + len(a)
-            k = 3 if n >= 8 else max(1, n)
-            self.parts[text] = (k, n, *({tuple(x[i : i + k]) for i in range(len(x) - k + 1)} for x in (q, a, q + a)))
-        k, n, q, a, both = self.parts[text]
-        have = {tuple(around[i : i + k]) for i in range(len(around) - k + 1)}
+    def overlap(self, unit: int, around: list[int]) -> tuple[float, float, float, float]:
+        """Shares of the 3-grams of question, answer, section and unit in these words (0 marks a gap)."""
+        s = int(self.section[unit])
+        k = 3 if self.size[s] >= 8 else max(1, self.size[s])
+
+        def grams(x: list[int]) -> set[tuple]:
+            return {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+
+        if s not in self.parts:
+            w = self.words[s].tolist()
+            self.parts[s] = tuple(grams(x) for x in (w[: self.question[s]], w[self.question[s] :], w))
+        q, a, both = self.parts[s]
+        own = grams(units_of(self.words[s])[unit - int(self.first[s])].tolist())
+        have = grams(around)
         share = len(both & have) / len(both) if both else 0.0
-        return len(q & have) / len(q) if q else share, len(a & have) / len(a) if a else share, share, n
+        return len(q & have) / len(q) if q else share, len(a & have) / len(a) if a else share, share, len(own & have) / len(own) if own else share
 
 
 def leaks_in(index: Index, texts: list[str | None], least: float, overlap: float) -> list[tuple[int, object, float, float, float, str]]:
     """(text, item_id, score, question overlap, answer overlap, kind) of each verified pair."""
+    ids: dict[bytes, int] = {}
+    flat: list[int] = []
+    size = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        w = words_of(t)
+        size[i] = len(w)
+        flat += [ids.setdefault(x, len(ids)) for x in w]
+    hashes = word_hashes(list(ids))
+    if not len(hashes):
+        return []
+    at = np.minimum(np.searchsorted(index.vocab, hashes), len(index.vocab) - 1)
     none = len(index.vocab)
-    get = index.vocab.get
-    docs = [words_of(t) for t in texts]
-    size = np.fromiter(map(len, docs), np.int64, len(docs))
-    term = np.fromiter((get(w, none) for d in docs for w in d), np.int64, int(size.sum()))
+    word = np.array(flat, np.int64)
+    term = np.where(index.vocab[at] == hashes, at, none)[word]
     tiles = -(-size // TILE)
     base = np.cumsum(tiles) - tiles
-    doc_tile = np.repeat(base, size)
     start = np.cumsum(size) - size
-    tile = doc_tile + (np.arange(len(term)) - np.repeat(start, size)) // TILE
+    tile = np.repeat(base, size) + (np.arange(len(term)) - np.repeat(start, size)) // TILE
     known = term < none
     key = np.unique(tile[known] << 32 | term[known])
     if not len(key):
         return []
     kt, kw = key >> 32, key & 0xFFFFFFFF
     n_tiles = int(tiles.sum())
-    doc_of = np.repeat(np.arange(len(docs)), tiles)
-    pair = np.concatenate([doc_of[1:] == doc_of[:-1], [False]]) if n_tiles else np.zeros(0, bool)
+    doc_of = np.repeat(np.arange(len(texts)), tiles)
+    pair = np.concatenate([doc_of[1:] == doc_of[:-1], [False]])
     found: dict[tuple[int, int], list] = {}
     cut = np.searchsorted(kt, np.arange(n_tiles + 2))
     for i in index.passages(kt, kw, pair).tolist():
@@ -232,58 +258,59 @@ def leaks_in(index: Index, texts: list[str | None], least: float, overlap: float
             f[1].append(p)
     best: dict[tuple, tuple] = {}
     for (d, u), (s, at) in found.items():
-        text = index.texts[u]
-        n = len(words_of(text))
-        around: list[bytes] = []
+        k = int(index.section[u])
+        n = len(index.words[k])
+        around: list[int] = []
         last = 0
         for p in sorted(at):
-            a, e = max(last, p * TILE - n), min(len(docs[d]), (p + 2) * TILE + n)
+            a, e = max(last, p * TILE - n), min(int(size[d]), (p + 2) * TILE + n)
             if a > last:
-                around.append(b"\0")  # no 3-gram spans a gap
-            around += docs[d][a:e]
+                around.append(0)  # no 3-gram spans a gap
+            around += hashes[word[start[d] + a : start[d] + e]].tolist()
             last = max(last, e)
-        q, a, both, n = index.overlap(text, around)
-        whole = 1.0 if n < 8 else overlap
-        if q >= whole and a >= whole:
+        q, a, both, own = index.overlap(u, around)
+        enough = 1.0 if index.size[k] < 8 else overlap
+        if q >= enough and a >= enough:
             kind = "question and answer"
-        elif both >= (1.0 if n < 8 else overlap):
+        elif both >= enough:
             kind = "part"
+        elif own >= UNIT_SHARE and index.size[k] > TILE:
+            kind = "passage"
         else:
             continue
-        k = (d, text, str(index.items[u]))
-        if k not in best or best[k][2] < s:
-            best[k] = (d, index.items[u], s, q, a, kind)
+        key = (d, index.item[k], str(index.item_id[k]))
+        if key not in best or best[key][2] < s:
+            best[key] = (d, index.item_id[k], s, q, a, kind)
     return list(best.values())
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, overlap: float = 0.5) -> DataFrame:
-    """Rows (doc_id, item_id, score, question_overlap, answer_overlap, kind), one for each item in a document."""
-    spark = docs.sparkSession
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = 1 + size // SHARD_BYTES
-    p = postings(items, shards)
+    """Rows (doc_id, item_id, score, question_overlap, answer_overlap, kind), the best of each item in a document and shard."""
+    sc = docs.sparkSession.sparkContext
     kinds = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
+    cut = items.filter("text is not null").select("item_id", "text").distinct().mapInArrow(_sections, f"item_id {kinds[1]}, item long, size long, question long, words binary")
+    cut = stored(cut.withColumn("section", F.monotonically_increasing_id()), "sections")  # written, so the numbers stay
+    shards = 1 + (cut.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // 8 // SHARD_WORDS
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("section"), F.lit(shards)).cast("int"))
+    p = stored(postings(cut), "postings")
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double, kind string"
-    out = None
+    out = docs.sparkSession.createDataFrame([], schema)
     for shard in range(shards):
-        rows = [(r.item_id, r.item, r.unit, bytes(r.term), r.weight) for r in p.filter(F.col("shard") == shard).drop("shard").collect()]
-        if sum(map(len, {r[1] for r in rows})) > 4 * SHARD_BYTES:
-            raise ValueError("one test item is larger than a shard")
-        bc = spark.sparkContext.broadcast(rows)
+        rows = p.filter(F.col("shard") == shard).drop("shard").toArrow()
+        if not rows.num_rows:
+            continue
+        bc = sc.broadcast(Index(cut.filter(F.col("shard") == shard).drop("shard").toArrow(), rows, least))
 
         def run(it: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
-            index = None
             for t in chunks(it, "text", BATCH):
-                index = index or Index(bc.value, least)
                 ids = t["doc_id"].to_pylist()
-                rows = [(ids[r[0]], *r[1:]) for r in leaks_in(index, t["text"].to_pylist(), least, overlap)]
+                rows = [(ids[r[0]], *r[1:]) for r in leaks_in(bc.value, t["text"].to_pylist(), least, overlap)]
                 names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "kind"]
                 kind = [t["doc_id"].type, None, pa.float64(), pa.float64(), pa.float64(), pa.string()]
                 if rows:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kind, strict=True)], names=names)
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
     return out
 
 
