@@ -2,23 +2,27 @@
 
 An Aho-Corasick automaton over the vocabulary's UTF-8 bytes reads all distinct words of a batch in
 step; its output links name every piece that ends at a byte, longest first. For each place of a
-word only the best score so far and the number of its pieces are kept. The rules are the
-tokenizer's: scores are summed as 32-bit floats from the left, a better score must be greater, so
-of equal ones the path whose last piece begins first stays; a character without a piece of its own
-scores ten less than the least score and counts as its UTF-8 bytes.
-
-Pieces never run over a space, so words are independent; each starts with the space before it and
-its sum begins at zero, as if the tokenizer were given the word alone. The result is the lattice's best path, the first of the
-library's n-best list for the word; its faster encoder may keep the longer piece where two paths
-score nearly the same.
-
-Defined results: null and empty texts have no tokens; each of several spaces in a row is a piece
-of its own unless one piece for the run scores better; U+2581 counts as a space; repeated rows
-give repeated results; extra columns stay; an empty table gives an empty table.
+word only the best score so far and the number of its pieces are kept.
+
+The tie rule: scores are summed in double precision from the left; of the paths to a place the first
+one stays unless a later one's score is greater, and paths come in the order in which their last piece
+begins, so of equal ones that with the longest last piece stays. A character without a piece of its own
+scores ten less than the least score and counts as its UTF-8 bytes. A text begins with a space that
+is put before it.
+
+No piece has a space after another character, so a text's best path is the best paths of its words, a word
+being a run of spaces and what follows up to the next space. Sums of whole numbers, such as the scores of
+the default vocabulary, are exact in any order, so the counts are those of a tokenizer that reads the text
+as one sentence. A vocabulary with pieces that do run over a space is rejected.
+
+Defined results: null and empty texts have no tokens; U+2581 counts as a space; repeated rows
+give repeated results; extra columns stay (an n_tokens column is replaced); an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import chunks, ranges
-from gridlark.llm.pieces import NORMAL, SPACE, UNUSED, USER, Parts, Pieces, default_model, read_pieces
+from gridlark.llm.pieces import NORMAL, SPACE, USER, Pieces, default_model, read_pieces
 
 BATCH = 3 << 20
 BLOCK = 1 << 19  # bytes of words that are read in step
@@ -38,10 +42,12 @@ BLOCK = 1 << 19  # bytes of words that are read in step
 
 class Counter:
     def __init__(self, pieces: Pieces):
-        use = [i for i in range(len(pieces.text)) if pieces.kind[i] in (NORMAL, USER, UNUSED)]
+        use = [i for i in range(len(pieces.text)) if pieces.kind[i] == NORMAL]
         normal = pieces.score[pieces.kind == NORMAL]
-        self.unknown = np.float32(np.float32(normal.min() if len(normal) else 0) - np.float32(10))
-        self.score = pieces.score
+        if (pieces.kind == USER).any() or any(SPACE in pieces.text[i].lstrip(SPACE) for i in use):
+            raise ValueError("a piece runs over a space, or is one that users defined")
+        self.unknown = float(normal.min() if len(normal) else 0) - 10.0
+        self.score = pieces.score.astype(np.float64)
         # goto table of the automaton: rows are states, columns the bytes that occur
         used = sorted({b for i in use for b in pieces.text[i].encode()})
         self.column = np.zeros(256, np.int64)
@@ -101,7 +107,7 @@ class Counter:
         flat = np.zeros((n, longest + 1), np.uint8)
         rows = np.repeat(np.arange(n), size)
         flat[rows, ranges(np.zeros(n, np.int64), size)] = np.frombuffer(b"".join(words), np.uint8)
-        best = np.full((longest + 1, n), -np.inf, np.float32)
+        best = np.full((longest + 1, n), -np.inf)
         count = np.zeros((longest + 1, n), np.int32)
         best[0] = 0
         state = np.zeros(n, np.int64)
@@ -113,7 +119,7 @@ class Counter:
             s = self.go[state[live] * self.width + self.column[byte]].astype(np.int64)
             state[live] = s
             who, at = live, self.first[s]
-            top = np.full(n, -np.inf, np.float32)
+            top = np.full(n, -np.inf)
             num = np.zeros(n, np.int32)
             single = np.zeros(n, bool)
             while True:
@@ -144,19 +150,20 @@ class Counter:
         return count[size, np.arange(n)]
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
-        parts = Parts(texts)
-        words = self.words([(SPACE + w).encode("utf-8", "replace") for w in parts.words])
-        part, text = parts.part, parts.text
-        per = np.concatenate([[0], words])[part]
-        out = np.bincount(text, per, len(texts)).astype(np.int64)
-        at = np.flatnonzero(part == 0)
-        if len(at):  # runs of spaces stand alone, as no other piece begins with two
-            cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (text[at[1:]] != text[at[:-1]])]))
-            run = np.diff(np.append(cut, len(at)))
-            kinds, back = np.unique(run, return_inverse=True)
-            n = self.words([(SPACE * int(k)).encode() for k in kinds])
-            out += np.bincount(text[at[cut]], n[back], len(texts)).astype(np.int64)
-        return out
+        ids: dict[str, int] = {}
+        flat: list[int] = []
+        size = np.zeros(len(texts), np.int64)
+        for i, t in enumerate(texts):
+            if t:
+                t = t.replace(SPACE, " ") if SPACE in t else t
+                if "  " in t or t[0] == " " or t[-1] == " ":
+                    w = [x[1:] for x in re.findall(" +[^ ]*", " " + t)]  # each without its first space
+                else:
+                    w = t.split(" ")
+                size[i] = len(w)
+                flat += [ids.setdefault(x, len(ids)) for x in w]
+        words = self.words([(SPACE + w.replace(" ", SPACE)).encode("utf-8", "replace") for w in ids])
+        return np.bincount(np.repeat(np.arange(len(texts)), size), words[np.array(flat, np.int64)] if flat else None, len(texts)).astype(np.int64)
 
 
 @lru_cache(2)

@@ -71,6 +71,20 @@ def read_pieces(data: bytes) -> Pieces:
     return Pieces(text, np.array(score, np.float32), np.array(kind, np.int8))
 
 
+def check_model(data: bytes) -> None:
+    """Raise unless the file is a merge model that takes texts as they are, with a space put before each.
+
+    Numbers of the fields are fixed values of the file format: trainer 2 (model type 3, merges 2), normalizer 3
+    (character map 2, space before a text 3, removal of spaces 4, spaces as U+2581 5).
+    """
+    parts = dict(_fields(data))
+    trainer, normal = dict(_fields(parts.get(2, b""))), dict(_fields(parts.get(3, b"")))
+    if trainer.get(3, 1) != 2:
+        raise ValueError("the model is no merge model")
+    if normal.get(2) or not normal.get(3, 1) or normal.get(4, 1) or not normal.get(5, 1):
+        raise ValueError("the model rewrites texts before it cuts them")
+
+
 class Parts:
     """The parts between spaces of a batch of texts: distinct non-empty parts, and what each text has.
 

@@ -9,7 +9,9 @@ merge order's, piece for piece. Pieces never run over a space; runs of spaces ar
 left, the longest piece first, as their pieces have the least score of all.
 
 Defined results: null and empty texts have no pieces and decode to an empty text; a character
-that no piece has becomes its UTF-8 bytes; U+2581 in a text is a space, as in the library;
+that no piece has becomes its UTF-8 bytes; U+2581 in a text is a space, as in the library; words of any
+length go the same way; null ids and ids that the vocabulary does not have decode to nothing, null lists to
+an empty text; a model that is no merge model, or that rewrites texts first, is rejected;
 repeated rows give repeated results; extra columns stay as they are (an `ids` or `decoded` column
 is replaced); an empty table gives an empty table.
 """
@@ -27,11 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.common import chunks, ranges
-from gridlark.llm.pieces import BYTE, CONTROL, NORMAL, SPACE, Parts, Pieces, default_model, read_pieces
+from gridlark.llm.pieces import BYTE, CONTROL, NORMAL, SPACE, Parts, Pieces, check_model, default_model, read_pieces
 
 BATCH = 3 << 20
 BLOCK = 300_000  # characters in one suffix array
-LONG = 200  # words of more characters are merged one by one
 NEVER = np.iinfo(np.int64).max
 
 
@@ -160,21 +161,12 @@ class Tokenizer:
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n) + 1
         out_ids, out_word = [], []
-        short = np.flatnonzero(size <= LONG)
-        begin = np.searchsorted(np.cumsum(size[short]), np.arange(0, int(size[short].sum()) + BLOCK, BLOCK))
-        for a, b in zip(begin[:-1], begin[1:], strict=True):
-            if a < b:
-                w, ids = self._block(words, short[a:b])
-                out_ids.append(ids)
-                out_word.append(w)
-        if short.size and begin[-1] < len(short):
-            w, ids = self._block(words, short[begin[-1] :])
+        order = np.argsort(size, kind="stable")  # words of like length together: a block has a round for each length
+        cut = np.flatnonzero(np.diff(np.cumsum(size[order]) // BLOCK, prepend=-1))
+        for a, b in zip(cut, [*cut[1:], n][: len(cut)], strict=True):
+            w, ids = self._block(words, order[a:b])
             out_ids.append(ids)
             out_word.append(w)
-        for i in np.flatnonzero(size > LONG).tolist():
-            ids = self.fallback(SPACE + words[i])
-            out_ids.append(np.array(ids, np.int64))
-            out_word.append(np.full(len(ids), i))
         if not out_ids:
             return np.zeros(0, np.int64), np.zeros(n, np.int64)
         word, ids = np.concatenate(out_word), np.concatenate(out_ids)
@@ -307,7 +299,10 @@ class Tokenizer:
     def decode(self, ids: np.ndarray, count: np.ndarray) -> list[str]:
         """Texts of id lists that stand one after another; the space put before each text goes."""
         flat, start, size = self.table
-        ids = ids[(ids >= 0) & (ids < len(size))] if len(ids) and (ids.min() < 0 or ids.max() >= len(size)) else ids
+        known = (ids >= 0) & (ids < len(size))
+        if not known.all():  # ids that the vocabulary does not have, or null, stand for nothing
+            count = np.bincount(np.repeat(np.arange(len(count)), count)[known], minlength=len(count))
+            ids = ids[known]
         out = flat[ranges(start[ids], size[ids])].tobytes()
         ends = np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], np.cumsum(count)])].tolist()
         res = []
@@ -319,6 +314,7 @@ class Tokenizer:
 
 @lru_cache(2)
 def tokenizer(data: bytes) -> Tokenizer:
+    check_model(data)
     return Tokenizer(read_pieces(data))
 
 

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,6 +118,33 @@ def test_jaccard_many_near_copies(spark):
     assert got == jaccard_brute([(r[0], r[1]) for r in rows])
 
 
+def test_jaccard_combinations_find_pairs(spark):
+    """With few n-grams rare, combinations of frequent ones must find the pairs; blocks of a key meet each other."""
+    base = [prose(90, k).split() for k in (31, 32, 33)]
+    rows = []
+    for i in range(90):
+        r = random.Random(1000 + i)
+        w = base[i % 3][:]
+        for _ in range(r.choice([0, 1, 1, 2, 3, 6])):
+            w[r.randrange(len(w))] = f"edit{r.randrange(3000)}"
+        rows.append((i, " ".join(w), None, None, None))
+    rows += [(200 + i, " ".join(base[i % 3][:4] if i % 2 else base[i % 3][:2]), None, None, None) for i in range(12)]
+    want = jaccard_brute([(r[0], r[1]) for r in rows])
+    texts = [r[1].encode() for r in rows]
+    sets = jaccard.shingle_sets(*jaccard.tokens(texts), 4)
+    kinds, count = np.unique(np.concatenate(list({s.tobytes(): s for s in sets}.values())), return_counts=True)
+    for frequent in (1, 4):
+        singles = combined = 0
+        for s in sets:
+            keys, _ = jaccard.prefix_keys(s, count[np.searchsorted(kinds, s)], frequent, 85, 100)
+            singles, combined = singles + int(np.isin(keys, s).sum()), combined + int((~np.isin(keys, s)).sum())
+        assert combined > 100 and (frequent > 1 or singles < 15)
+        block, jaccard.KEY_ROWS = jaccard.KEY_ROWS, 7
+        got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(3), frequent=frequent).collect()
+        jaccard.KEY_ROWS = block
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_parity_bounds_difference():
     r = np.random.default_rng(1)
     for _ in range(30):
@@ -226,27 +254,33 @@ def test_language_id(spark, docs, empty):
     assert langid.identify(empty, d).isEmpty()
 
 
-def test_language_id_by_definition():
-    texts = ["Banane und Ananas", "the banana", "x"]
-    grams, ranks = {}, []
+def test_language_id_by_definition(spark):
+    texts = {0: "Banane und Ananas", 1: "the banana", 2: "x", 3: None, 4: "la banane et les ananas"}
+    learn = {"de": "und der die Banane", "en": "the and of banana", "fr": "la banane et les", "it": "la banana e le"}
 
     def ranked(text, k):
         c = {}
-        cp = langid._points([text.lower()])
-        for _, h in langid._grams(cp):
-            for x in h.tolist():
-                c[x] = c.get(x, 0) + 1
-        return sorted(c, key=lambda x: (-c[x], x))[:k]
-
-    prof = [ranked("und der die banane", 40), ranked("the and of banana", 40)]
-    grams = np.unique(np.array([g for p in prof for g in p], np.uint64))
-    for p in prof:
-        ranks.append([p.index(g) if g in p else 40 for g in grams.tolist()])
-    pred, score = langid.nearest(texts, ["de", "en"], grams, np.array(ranks), 40, 30)
-    for t, lang, s in zip(texts, pred, score, strict=True):
-        own = ranked(t, 30)
-        d = [sum(abs(i - p.index(g)) if g in p else 40 for i, g in enumerate(own)) for p in prof]
-        assert lang == ["de", "en"][d.index(min(d))] and s == pytest.approx(1 - min(d) / (40 * len(own)))
+        for w in text.lower().split():
+            s = "\0" + w + "\0"
+            for n in (1, 2, 3):
+                for i in range(len(s) - n + 1):
+                    g = s[i : i + n]
+                    if g.strip("\0"):
+                        c[g] = c.get(g, 0) + 1
+        code = lambda g: next(h for at, h in [langid._grams(np.array([ord(x) for x in g], np.uint32))[len(g) - 1]])[0]
+        return sorted(c, key=lambda g: (-c[g], int(code(g))))[:k]
+
+    prof = {x: ranked(t, 40) for x, t in learn.items()}
+    train = spark.createDataFrame([(i, t, x, None, None) for i, (x, t) in enumerate(learn.items())], DOCS)
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in texts.items()], DOCS)
+    for at_once in (1, 3, 4000):
+        got = dicts(langid.identify(d, train, size=40, doc_size=30, profiles_at_once=at_once))
+        for i, t in texts.items():
+            own = ranked(t or "", 30)
+            far = {x: sum(abs(k - p.index(g)) if g in p else 40 for k, g in enumerate(own)) for x, p in prof.items()}
+            want = min(sorted(far), key=far.get) if own else "und"
+            assert got[i]["lang_pred"] == want
+            assert got[i]["score"] == pytest.approx(1 - far[want] / (40 * len(own)) if own else 0.0)
 
 
 def test_warc(spark, tmp_path):
@@ -296,11 +330,11 @@ def test_decontamination(spark, docs, clashing, empty):
 
 def test_wand_finds_all():
     r = random.Random(4)
-    rows = []
-    for u in range(60):
-        terms = r.sample(range(80), 8)
-        rows += [(u, f"t{u}", 0, b"w%d" % t, 1 / 8) for t in terms]
-    ix = decontaminate.Index(rows, 0.5)
+    rows = [(u, 0, t, 1 / 8) for u in range(60) for t in r.sample(range(80), 8)]
+    rows = pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["section", "unit", "term", "weight"])
+    one = np.arange(60)
+    sections = pa.table({"section": one, "item_id": one, "item": one, "size": one * 0 + 8, "question": one * 0, "words": pa.array([np.arange(8).tobytes()] * 60, pa.binary())})
+    ix = decontaminate.Index(sections, rows, 0.5)
     for k in range(40):
         q = sorted(random.Random(k).sample(range(len(ix.vocab)), 20))
         want = {}
@@ -312,6 +346,80 @@ def test_wand_finds_all():
             assert ix.passages(np.zeros(len(q), np.int64), np.array(q), np.zeros(1, bool)).tolist() == [0]
 
 
+def leaks_by_definition(docs, items, least=0.5, overlap=0.5):
+    """{(doc, item, kind)} from every passage against every unit, without index, bounds or pruning; items of up to one section."""
+    words = {i: decontaminate.words_of(t) for i, t in items}
+    units = {(i, k): list(u) for i, w in words.items() if w for k, u in enumerate(np.array_split(np.array(w, object), max(1, -(-len(w) // 64))))}
+    df = {}
+    for u in units.values():
+        for t in set(u):
+            df[t] = df.get(t, 0) + 1
+    mean = sum(map(len, units.values())) / len(units)
+    weight = {}
+    for key, u in units.items():
+        w = {t: np.log(1 + (len(units) - df[t] + 0.5) / (df[t] + 0.5)) * u.count(t) * 2.2 / (u.count(t) + 1.2 * (0.25 + 0.75 * len(u) / mean)) for t in set(u)}
+        weight[key] = {t: x / sum(w.values()) for t, x in w.items()}
+    out = {}
+    for d, text in docs:
+        w = decontaminate.words_of(text)
+        for (i, k), u in units.items():
+            at = [a for a in range(0, len(w), 64) if sum(x for t, x in weight[i, k].items() if t in set(w[a : a + 128])) >= least - 1e-9]
+            if not at:
+                continue
+            n, m = len(words[i]), 3 if len(words[i]) >= 8 else max(1, len(words[i]))
+            grams = lambda x, m=m: {tuple(x[j : j + m]) for j in range(len(x) - m + 1)}
+            near = sorted({p for a in at for p in range(max(0, a - n), min(len(w), a + 128 + n))})
+            runs = np.split(near, np.flatnonzero(np.diff(near) > 1) + 1)
+            have = set().union(*(grams([w[p] for p in x]) for x in runs))
+            q, a = decontaminate.split_item(dict(items)[i])
+            share = lambda g, have=have: len(g & have) / len(g) if g else None
+            both = share(grams(q + a)) or 0.0
+            q, a = (both if x is None else x for x in (share(grams(q)), share(grams(a))))
+            enough = overlap if n >= 8 else 1.0
+            kind = "question and answer" if q >= enough and a >= enough else "part" if both >= enough else "passage" if n > 64 and share(grams(u)) >= 0.8 else None
+            if kind:
+                out.setdefault((d, i), set()).add(kind)
+    return out
+
+
+def test_decontamination_by_definition(spark):
+    r = random.Random(12)
+    items = [(i, prose(r.randint(3, 200), 500 + i) + ("? yes " + prose(6, 900 + i) if i % 2 else ". No. ")) for i in range(40)]
+    docs = []
+    for d in range(60):
+        w = prose(r.randint(20, 400), 2000 + d).split()
+        for _ in range(r.randint(0, 2)):
+            own = items[r.randrange(40)][1].split()
+            a = r.randint(0, len(own) // 2) if r.random() < 0.5 else 0
+            own = [x if r.random() > 0.05 else "changed" for x in own[a : a + r.randint(3, max(3, len(own)))]]
+            k = r.randint(0, len(w))
+            w[k:k] = own
+        docs.append((d, " ".join(w)))
+    want = leaks_by_definition(docs, items)
+    assert len(want) > 20 and {k for x in want.values() for k in x} == {"question and answer", "part", "passage"}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in docs], DOCS).repartition(3)
+    whole = decontaminate.SHARD_WORDS
+    for shard_words in (whole, 900):  # one shard, and several
+        decontaminate.SHARD_WORDS = shard_words
+        got = decontaminate.leaks(frame, bench).collect()
+        decontaminate.SHARD_WORDS = whole
+        assert {(x.doc_id, x.item_id) for x in got} == set(want) and len(got) == len(want)
+        assert all(x.kind in want[x.doc_id, x.item_id] for x in got)
+
+
+def test_long_items(spark):
+    """Items of several sections; the last sentence is the answer at any length."""
+    body = " ".join(prose(9, 3000 + i) + "." for i in range(1500))
+    q, a = decontaminate.split_item(body)
+    assert len(a) == 9 and len(q) == 1499 * 9
+    bench = spark.createDataFrame([(1, body), (2, "x" * 3_000_000 + " " + prose(30, 5))], "item_id long, text string")
+    w = body.split()
+    texts = [prose(50, 1), " ".join(w[6000:11000]), " ".join(w[40:140]), " ".join(w[100:130]), prose(40, 6) + " " + prose(30, 5)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS), bench).collect()}
+    assert got == {(1, 1), (2, 1), (4, 2)}
+
+
 @pytest.fixture(scope="module")
 def library():
     sentencepiece = pytest.importorskip("sentencepiece")
@@ -337,17 +445,66 @@ def test_sentencepiece(spark, docs, empty, library):
     assert sp.decode(sp.encode(empty)).isEmpty()
 
 
-def test_token_counts(spark, docs, empty, library):
-    data, _, lib = library
-    c = counts.counter(data)
-    words = sorted({w for t in HARD + [r[1] or "" for r in corpus()] for w in t.replace("▁", " ").split(" ") if w and len(w) < 60})
-    got = c.words([(pieces.SPACE + w).encode() for w in words])
-    assert got.tolist() == [len(lib.nbest_encode(w, nbest_size=8, out_type=str)[0]) if not any(ord(x) > 127 or x in "\n\t" for x in w) else g for w, g in zip(words, got.tolist(), strict=True)]
+def count_by_definition(text, score, unknown):
+    """Pieces of the best path over the whole text, place by place: the rule that counts.py states."""
+    s = (pieces.SPACE + text.replace(" ", pieces.SPACE)) if text else ""
+    best, longest = [(0.0, 0)] + [None] * len(s), max(map(len, score))
+    for a in range(len(s)):
+        for e in range(a + 1, min(len(s), a + longest) + 1):
+            x = score.get(s[a:e])
+            n = 1
+            if x is None and e == a + 1:
+                x, n = unknown, len(s[a:e].encode())
+            if x is not None and (best[e] is None or best[a][0] + x > best[e][0]):
+                best[e] = best[a][0] + x, best[a][1] + n
+    return best[-1][1]
+
+
+def test_token_counts(spark, docs, empty):
+    """Whole texts against the rule by definition, and against a library that reads each text as one sentence."""
+    data = open(pieces.default_model(), "rb").read()
+    c, v = counts.counter(data), pieces.read_pieces(data)
+    normal = np.flatnonzero(v.kind == pieces.NORMAL).tolist()
+    score = {v.text[i]: float(v.score[i]) for i in normal}
+    cjk = "吾輩は猫である。名前はまだ無い。" * 400
+    texts = [*HARD, *[(r[1] or "")[:2000] for r in corpus()], cjk[:1500], "a\tb\nc  d\u00a0e " * 20]
+    assert c.texts(texts).tolist() == [count_by_definition(t, score, min(score.values()) - 10) for t in texts]
+    tokenizers = pytest.importorskip("tokenizers")
+    vocab = [("<unk>", 0.0), *score.items(), *((v.text[i], 0.0) for i in np.flatnonzero(v.kind == pieces.BYTE).tolist())]
+    lib = tokenizers.Tokenizer(tokenizers.models.Unigram(vocab, 0, True))
+    whole = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    r = random.Random(2)
+    words = [w for t in whole[:50] for w in (t or "").split()]
+    million = " ".join(r.choice(words) for _ in range(180_000))
+    texts = [t for t in [*whole, *HARD, *[r[1] for r in corpus()], cjk, "".join(words[:20_000]), million] if t and "<" not in t]
+    want = [len(lib.encode(pieces.SPACE + t.replace(" ", pieces.SPACE), add_special_tokens=False).ids) for t in texts]
+    assert len(texts) > 900 and c.texts(texts).tolist() == want
     out = dicts(counts.count_tokens(docs))
     assert out[3]["n_tokens"] == out[4]["n_tokens"] == 0
     assert counts.count_tokens(empty).isEmpty()
 
 
+def test_decode_of_any_ids(spark):
+    rows = [(1, [5000, None, 600, 99_999_999, -7, 700]), (2, None), (3, []), (4, [800])]
+    out = dicts(sp.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>")))
+    t = sp.tokenizer(open(pieces.default_model(), "rb").read())
+    for i, ids in rows:
+        ids = np.array([x for x in ids or [] if x is not None and 0 <= x < 32_000], np.int64)
+        assert out[i]["decoded"] == t.decode(ids, np.array([len(ids)]))[0]
+
+
+def test_long_words(library):
+    data, lib, _ = library
+    t = sp.tokenizer(data)
+    r = random.Random(3)
+    texts = ["吾輩は猫である。名前はまだ無い。" * 700, "".join(r.choice(WORDS) for _ in range(3000)), "x" * 20_000, "ab" * 150 + " " + "é" * 199 + " " + "é" * 201]
+    ids, n = t.encode(texts)
+    cut = np.concatenate([[0], np.cumsum(n)])
+    assert [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)] == lib.encode(texts, num_threads=1)
+    with pytest.raises(ValueError):
+        pieces.check_model(data[: data.rindex(b"tok_v0") + 6] + b"\x18\x01" + data[data.rindex(b"tok_v0") + 8 :])
+
+
 def test_fuzzy_repeats(spark, docs, clashing, empty):
     out = [r.asDict() for r in chaining.fuzzy_repeats(clashing).collect()]
     pairs = {(r["doc_id"], r["ref_doc_id"]) for r in out}
