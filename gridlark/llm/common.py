@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -53,13 +54,18 @@ def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished steps now, not when the driver happens to collect garbage.
+
+    Handles of frames are let go on the Python side first and, a moment later, on the other side: hence two rounds.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)
+        spark._jvm.System.gc()
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables that stored() wrote and nothing will read again, and the shuffle files of finished steps."""
+    """Delete tables that stored() or bucketed() wrote and nothing will read again, and the shuffle files of finished steps."""
     for df in tables:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -157,30 +163,26 @@ def window_hash(b: np.ndarray, k: int) -> np.ndarray:
     return mix(out[:n])
 
 
-POSITION_BITS = 24
-
-
 def window_minima(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least upper 40 bits of each window of w hashes, and the leftmost place that has them.
-
-    Places are packed under the hashes, so windows are taken in pieces that POSITION_BITS can number.
-    """
+    """The least hash of each window of w hashes, and the leftmost place that has it."""
     n = len(h) - w + 1
-    bits = np.uint64(POSITION_BITS)
-    value, place = np.zeros(max(0, n), np.uint64), np.zeros(max(0, n), np.int64)
-    step = (1 << POSITION_BITS) - w + 1
-    for a in range(0, n, step):
-        low = h[a : a + step + w - 1] >> np.uint64(24) << bits
-        m = len(low) - w + 1
-        low |= np.arange(len(low), dtype=np.uint64)
-        k = 1
-        while 2 * k <= w:
-            low = np.minimum(low[:-k], low[k:])
-            k *= 2
-        low = np.minimum(low[:m], low[w - k : w - k + m])
-        value[a : a + m] = low >> bits
-        place[a : a + m] = (low & np.uint64((1 << POSITION_BITS) - 1)).astype(np.int64) + a
-    return value, place
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    low, k = h, 1
+    while 2 * k <= w:
+        low = np.minimum(low[:-k], low[k:])
+        k *= 2
+    low = np.minimum(low[:n], low[w - k : w - k + n])
+    # the leftmost place is the window's own begin, or that of the next window with the same minimum; the last of a
+    # run of such windows is looked through
+    at_begin = h[:n] == low
+    last = np.flatnonzero(~at_begin & np.append(low[1:] != low[:-1], True))
+    place = np.arange(n)
+    for a in range(0, len(last), 1 << 16):
+        i = last[a : a + (1 << 16)]
+        place[i] += (h[i[:, None] + np.arange(w)] == low[i, None]).argmax(1)
+    known = np.flatnonzero(at_begin | np.isin(np.arange(n), last, assume_unique=True))
+    return low, np.repeat(place[known], np.diff(known, prepend=-1))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -342,5 +342,5 @@ def scored(units: DataFrame, row: str) -> DataFrame:
     totals = by_batch(counted.filter(F.col("kind") == ANSWER), "totals")
     full = units.join(by_batch(numbers, "numbers"), "batch", "left").join(totals, "batch", "left").join(by_batch(told, "told"), "batch", "left")
     out = stored(full.mapInArrow(_score(n_parts, sums), f"{row}, lang string, log_perplexity double, word_log_perplexity double"), "scored")
-    forget(numbers, counted)
+    forget(units, numbers, counted)
     return out
