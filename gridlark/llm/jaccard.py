@@ -16,7 +16,7 @@ once. Equal sets are one node; of each node one document, its representative, ta
    components, and then only nodes of different components that share a key are compared, all of them, with a
    key of many nodes dealt in blocks. So no group of copies is expanded into pairs and no link between
    components is lost. Candidates must also pass bounds from sizes, from the place of the first common n-gram
-   and from 256 parity bits of each set, which no linked pair fails; then they are verified on the whole sets.
+   and from parity bits of each set (twice as many as it has members), which no linked pair fails; then they are verified on the whole sets.
 
 Defined results: null or empty text and text of white space only has an empty set and is linked
 with nothing; repeated rows have equal sets and share a component; rows without doc_id are judged
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm.blocks import deal, part_of, unzip_arrays, zip_arrays
@@ -40,7 +40,6 @@ from gridlark.llm.graph import components
 
 BATCH = 8 << 20
 FREQUENT = 64
-MARKS = ("m0", "m1", "m2", "m3")
 KEY_ROWS = 4096  # nodes of one key that one task compares with each other
 
 
@@ -87,14 +86,22 @@ def signature(s: np.ndarray) -> int:
     return int(mix(np.array([np.add.reduce(v) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def parity(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """256 bits of each set, bit i set if an odd number of members hash to i.
+def parity(s: np.ndarray) -> np.ndarray:
+    """Bits of a set, bit i set if an odd number of members hash to i: as many as the power of two from 256 on that is at least twice the set's size.
 
-    Two sets differ in at least as many members as their bits do, which bounds their overlap.
+    Two sets differ in at least as many members as their bits do, which bounds their overlap; of sets of unlike
+    sizes the longer bits are folded.
     """
-    bits = np.stack([np.bincount((mix(s) & np.uint64(255)).astype(np.int64), minlength=256) & 1 for s in sets]).astype(np.uint8) if sets else np.zeros((0, 256), np.uint8)
-    words = np.ascontiguousarray(np.packbits(bits, axis=1)).view(np.int64)
-    return [np.ascontiguousarray(words[:, i]) for i in range(4)]
+    m = max(256, 1 << (2 * len(s) - 1).bit_length())
+    bits = np.bincount((mix(s) & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def differ(a: Column, b: Column) -> Column:
+    """In how many bits two sets' parities differ; sizes of pairs in question are at most one power of two apart."""
+    k = F.least(F.size(a), F.size(b))
+    fold = lambda x: F.when(F.size(x) > k, F.zip_with(F.slice(x, 1, k), F.slice(x, k + 1, k), lambda y, z: y.bitwiseXOR(z))).otherwise(x)
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
 
 
 def _units(k: int):
@@ -105,7 +112,7 @@ def _units(k: int):
             sets = shingle_sets(size, token, word, k)
             cols = {
                 "doc_id": t["doc_id"].combine_chunks(), "n": pa.array([len(s) for s in sets], pa.int64()),
-                "sig": pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), **{m: pa.array(c) for m, c in zip(MARKS, parity(sets), strict=True)},
+                "sig": pa.array([signature(s) if len(s) else None for s in sets], pa.int64()), "mark": pa.array([parity(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
             }
             rows = pa.StructArray.from_arrays(list(cols.values()), list(cols))
             block = zip_arrays(size.astype(np.int32), token.astype(np.uint32), word)
@@ -247,14 +254,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     own = docs.select("doc_id", "text")
     kind = dict(own.dtypes)["doc_id"]
     width = shuffle_width(spark)
-    fields = f"doc_id:{kind},n:long,sig:long," + ",".join(f"{m}:long" for m in MARKS)
+    fields = f"doc_id:{kind},n:long,sig:long,mark:array<long>"
     units = bucketed(own.mapInArrow(_units(k), f"batch long, block binary, rows array<struct<{fields}>>"), "batch", width)
     n_parts = max(width, units.count() // 4)
     base = units.select("batch", F.posexplode("rows").alias("row", "r")).select("batch", "row", "r.*")
     nodes = base.filter("sig is not null").groupBy("sig").agg(
-        F.min("doc_id").alias("d"), F.max("n").alias("n"), F.min(F.struct("batch", "row")).alias("at"), *[F.min(m).alias(m) for m in MARKS]
+        F.min("doc_id").alias("d"), F.max("n").alias("n"), F.min(F.struct("batch", "row")).alias("at"), F.any_value("mark").alias("mark")
     )
     nodes = stored(nodes, "nodes")
+    sigs = stored(base.select("doc_id", "n", "sig"), "sigs")
 
     def chosen(some: DataFrame) -> DataFrame:
         """Units with the rows that represent some nodes."""
@@ -272,15 +280,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     fits = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
     total = F.col("na") + F.col("nb")
     fits = fits & ((den + num) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= num * total)
-    differ = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in MARKS), F.lit(0))
-    alike = (den + num) * (total - differ) >= 2 * num * total
-    marks = lambda pairs, x: pairs.join(nodes.select(F.col("sig").alias(x), *[F.col(m).alias(f"{x}_{m}") for m in MARKS]), x)
-    near = lambda pairs: marks(marks(pairs, "a"), "b").filter(alike).select("a", "b")
+    alike = (den + num) * (total - differ(F.col("ma"), F.col("mb"))) >= 2 * num * total
+    marks = lambda x: nodes.select(F.col("sig").alias(x), F.col("mark").alias(f"m{x}"))
 
     center = index.groupBy("key").agg(F.min(F.struct("sig", "n", "place")).alias("c"), F.count("*").alias("many")).filter("many > 1")
     center = center.select("key", "many", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.place").alias("pa"))
     star = index.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")).join(center, "key").filter((F.col("a") != F.col("b")) & fits)
-    star = stored(near(star.select("a", "b", "na", "nb").distinct()), "pairs")
+    star = star.select("a", "b", "na", "nb").distinct().join(marks("a"), "a").join(marks("b"), "b").filter(alike)
+    star = stored(star.select("a", "b"), "pairs")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that reach the threshold; only sets of nodes in pairs are gathered."""
@@ -298,13 +305,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     mixed = part.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).filter("lo <> hi")
     # a key's nodes are dealt in blocks, and each two blocks meet in a task of their own
     mixed = mixed.select("key", F.ceil(F.col("many") / KEY_ROWS).cast("int").alias("blocks"))
-    part = part.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int"))
+    some = part.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int")).join(nodes.select("sig", "mark"), "sig")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = part.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), F.col("block").alias("i"), every.alias("j"))
-    y = part.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("block").alias("j"), every.alias("i"))
-    rest = x.join(y, ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits).select("a", "b", "na", "nb").distinct()
+    x = some.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), F.col("mark").alias("ma"), F.col("block").alias("i"), every.alias("j"))
+    y = some.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("mark").alias("mb"), F.col("block").alias("j"), every.alias("i"))
+    # the bounds are part of the join, so what cannot link is never a row
+    rest = x.join(y, ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits & alike).select("a", "b").distinct()
     known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(near(rest).join(known, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(rest.join(known, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(linked(rest))
     label = components(links)
@@ -313,7 +321,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     node = nodes.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")).join(ends, "sig", "left")
     least = node.groupBy("label").agg(F.min("d").alias("component_id"))
     node = stored(node.join(least, "label").select("sig", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
-    out = base.select("doc_id", "n", "sig").join(node, "sig", "left")
+    forget(units, nodes, index, part)
+    out = sigs.join(node, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
