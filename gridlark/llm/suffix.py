@@ -6,7 +6,8 @@ Exact repeats of `span` bytes across documents are found in four steps.
 2. Each window of `span` bytes belongs to its minimizer (its `seed`-byte string of least hash),
    and windows in a row with one minimizer form a segment of less than 2 * span bytes. Equal
    windows have equal minimizers, so minimizers that only one document has are left out.
-3. The remaining segments are dealt by minimizer. In each part equal segments are merged, and the
+3. The remaining segments are dealt by minimizer. In each part equal segments are merged (equal means equal minimizers,
+   lengths and 64-bit hashes of all bytes), and the
    distinct ones that have a side of their minimizer in common with another form a collection whose Burrows-Wheeler transform is built column-wise: round j puts the j-th symbol
    from the end of every segment in its place, which its rank among equal symbols of the
    transform gives, and updates the common-prefix array from range minima. Transform, prefixes
@@ -37,14 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.blocks import deal, part_of, unzip_arrays, zip_arrays
-from gridlark.llm.common import MIX1, MIX2, MULT, bucketed, chunks, mix, ranges, release, shuffle_width, stored, window_minima
+from gridlark.llm.common import MIX1, MIX2, MULT, bucketed, chunks, forget, mix, ranges, shuffle_width, stored, window_minima
 
 SPAN = 50
 SEED = 20
 SIDE = SEED + (SPAN - SEED) // 2  # every window has its minimizer with that many bytes on one side, the minimizer included
 BATCH = 2 << 20
 COLLECTION = 40_000  # segments that one Burrows-Wheeler transform holds, groups of one minimizer stay whole
-NO_DOC = np.iinfo(np.int64).max
+NO_DOC = np.iinfo(np.int64).max  # sorts behind; whether a row has a doc_id is kept beside
 
 
 def _at(b: np.ndarray, offset: int, n: int) -> np.ndarray:
@@ -84,7 +85,7 @@ def segments(text: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     end = np.searchsorted(doc, first, "right")
     size = np.minimum(size, doc[np.minimum(end, len(doc) - 1)] - SPAN + 1 - first)
     first, size = first[live], size[live]
-    seed = low[first]
+    seed = low[first] >> np.uint64(16)
     place = (least[first] - first).astype(np.uint8)
     return first, size, seed, place, identity(pad, first, size)
 
@@ -117,21 +118,24 @@ def _pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = t["doc_id"].to_pylist()
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         flat = np.frombuffer(b"".join(texts), np.uint8)
-        block = zip_arrays(np.array([NO_DOC if x is None else x for x in ids], np.int64), size, flat)
+        block = zip_arrays(np.array([NO_DOC if x is None else x for x in ids], np.int64), np.array([x is not None for x in ids]), size, flat)
         yield pa.record_batch({"batch": pa.array([part << 20 | i], pa.int64()), "block": pa.array([block], pa.binary())})
 
 
 class Batch:
     def __init__(self, block: bytes):
-        self.ids, self.size, self.text = unzip_arrays(block, np.int64, np.int64, np.uint8)
+        self.ids, self.has_id, self.size, self.text = unzip_arrays(block, np.int64, np.bool_, np.int64, np.uint8)
         self.ends = np.cumsum(self.size)
         self.first, self.count, self.seed, self.place, self.ident = segments(self.text, self.ends)
-        self.owner = self.ids[np.searchsorted(self.ends, self.first, "right")] if len(self.first) else np.zeros(0, np.int64)
+        row = np.searchsorted(self.ends, self.first, "right")
+        self.owner = self.ids[row] if len(row) else np.zeros(0, np.int64)
+        self.known = self.has_id[row] if len(row) else np.zeros(0, bool)  # rows without doc_id are no sources
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray]:
         """Index of the first of each kind of segment (by doc_id, place), and the kind of each segment."""
-        order = np.lexsort((self.first, self.owner, self.ident))
-        new = np.concatenate([[True], self.ident[order][1:] != self.ident[order][:-1]]) if len(order) else np.zeros(0, bool)
+        order = np.lexsort((self.first, self.owner, ~self.known, self.seed, self.ident))
+        x, y = self.ident[order], self.seed[order]
+        new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(order) else np.zeros(0, bool)
         kind = np.empty(len(order), np.int64)
         kind[order] = np.cumsum(new) - 1
         return order[new], kind
@@ -144,8 +148,7 @@ def _seeds(n_parts: int):
         for rb in it:
             for batch, block in zip(rb["batch"].to_pylist(), rb["block"].to_pylist(), strict=True):
                 b = Batch(block)
-                known = b.owner != NO_DOC
-                seed, owner = b.seed[known], b.owner[known]
+                seed, owner = b.seed[b.known], b.owner[b.known]
                 order = np.argsort(seed, kind="stable")
                 seed, owner = seed[order], owner[order]
                 if not len(seed):
@@ -188,14 +191,14 @@ def _candidates(n_parts: int):
                 shared = np.sort(np.concatenate([np.cumsum(unzip_arrays(x, np.uint64)[0], dtype=np.uint64) for x in lists]))
                 rep, _ = b.distinct()
                 at = np.minimum(np.searchsorted(shared, b.seed[rep]), len(shared) - 1)
-                rep = rep[(shared[at] == b.seed[rep]) & (b.owner[rep] != NO_DOC)]
+                rep = rep[(shared[at] == b.seed[rep]) & b.known[rep]]
                 rows = []
                 for i, k in deal(part_of(b.seed[rep], n_parts), n_parts):
                     r = rep[k]
                     r = r[np.argsort(b.seed[r], kind="stable")]
                     size = b.count[r] + SPAN - 1
                     flat = b.text[ranges(b.first[r], size)]
-                    rows.append((i, zip_arrays(b.seed[r], b.owner[r], b.first[r].astype(np.int32), b.place[r], size.astype(np.uint8), flat)))
+                    rows.append((i, zip_arrays(b.seed[r], b.owner[r], b.first[r], b.place[r], size.astype(np.uint8), flat)))
                 if rows:
                     yield pa.record_batch({"part": pa.array([r[0] for r in rows], pa.int32()), "batch": pa.array([batch] * len(rows), pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
@@ -295,7 +298,7 @@ def window_docs(text: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np
 def _resolve(t: pa.Table) -> pa.Table:
     """Smallest documents of the windows of one part's segments, as runs for each batch."""
     batches = t["batch"].to_numpy()
-    cols = [unzip_arrays(x, np.uint64, np.int64, np.int32, np.uint8, np.uint8, np.uint8) for x in t["block"].to_pylist()]
+    cols = [unzip_arrays(x, np.uint64, np.int64, np.int64, np.uint8, np.uint8, np.uint8) for x in t["block"].to_pylist()]
     who = np.repeat(np.arange(len(cols)), [len(c[0]) for c in cols])
     seed, owner, place = (np.concatenate([c[i] for c in cols]) for i in range(3))
     inner = np.concatenate([c[3] for c in cols]).astype(np.int64)
@@ -355,15 +358,15 @@ def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = Batch(block)
             rep, kind = b.distinct()
             base = np.cumsum(b.count[rep]) - b.count[rep]
-            least = np.repeat(b.owner[rep], b.count[rep])
+            least = np.repeat(np.where(b.known[rep], b.owner[rep], NO_DOC), b.count[rep])
             by_place = np.argsort(b.first[rep])
             for x in lists or []:
-                place, off, n, doc = unzip_arrays(x, np.int32, np.uint8, np.uint8, np.int64)
+                place, off, n, doc = unzip_arrays(x, np.int64, np.uint8, np.uint8, np.int64)
                 k = by_place[np.searchsorted(b.first[rep][by_place], place)]
                 least[ranges(base[k] + off, n.astype(np.int64))] = np.repeat(doc, n)
             at = ranges(b.first, b.count)
             g = least[ranges(base[kind], b.count)]
-            gone = g < np.repeat(np.where(b.owner == NO_DOC, np.iinfo(np.int64).min, b.owner), b.count)
+            gone = (g < np.repeat(b.owner, b.count)) & np.repeat(b.known, b.count)
             mark = np.zeros(len(b.text) + SPAN + 1, np.int32)
             s = at[gone]
             np.add.at(mark, s, 1)
@@ -376,24 +379,30 @@ def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed = np.bincount(doc[cut], minlength=len(b.ids))
             spans = np.bincount(doc[runs], minlength=len(b.ids))
             kept = [b.text[x:y][~cut[x:y]].tobytes() if removed[i] else b.text[x:y].tobytes() for i, (x, y) in enumerate(zip(begin, b.ends, strict=True))]
-            ids = pa.array(b.ids, pa.int64(), mask=b.ids == NO_DOC)
+            ids = pa.array(b.ids, pa.int64(), mask=~b.has_id)
             digest = [hashlib.sha256(b.text[x:y].tobytes()).hexdigest() if removed[i] else None for i, (x, y) in enumerate(zip(begin, b.ends, strict=True))]
             yield pa.record_batch({"doc_id": ids, "n_bytes": b.size, "n_removed": removed.astype(np.int64), "n_spans": spans.astype(np.int64), "kept": pa.array(kept, pa.binary()), "text_sha256": pa.array(digest, pa.string())})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept, text_sha256): each text without what smaller documents have, and the digest of a text that lost bytes."""
+    return _removed(docs)[0]
+
+
+def _removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The result, and the packed texts that it reads."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = shuffle_width(spark)
     packed = bucketed(own.mapInArrow(_pack, "batch long, block binary"), "batch", width)
-    n_parts = max(width, packed.count() // 8)
+    n_parts = max(width, packed.count() // 4)
     row = "part int, batch long, block binary"
     seeds = packed.mapInArrow(_seeds(n_parts), row)
     lists = seeds.groupBy("part").applyInArrow(_shared, "batch long, block binary").groupBy("batch").agg(F.collect_list("block").alias("lists"))
     found = packed.join(lists, "batch").mapInArrow(_candidates(n_parts), row)
     runs = found.groupBy("part").applyInArrow(_resolve, "batch long, block binary").groupBy("batch").agg(F.collect_list("block").alias("lists"))
-    return packed.join(runs, "batch", "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text_sha256 string")
+    out = packed.join(runs, "batch", "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text_sha256 string")
+    return out, packed
 
 
 def _decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,9 +413,10 @@ def _decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeats cut from their texts; those of which nothing is left go. Rows that share a doc_id have each their own text."""
-    cut = remove_repeats(docs).filter("n_removed > 0").select("doc_id", "kept", "text_sha256").mapInArrow(_decode, "_id long, _sha string, _text string").dropDuplicates(["_id", "_sha"])
+    out, packed = _removed(docs)
+    cut = out.filter("n_removed > 0").select("doc_id", "kept", "text_sha256").mapInArrow(_decode, "_id long, _sha string, _text string").dropDuplicates(["_id", "_sha"])
     cut = stored(cut, "cut")
-    release(docs.sparkSession)
+    forget(packed)
     both = docs.join(cut, (docs["doc_id"] == F.col("_id")) & (F.sha2(docs["text"], 256) == F.col("_sha")), "left").filter("_text is null or length(trim(_text)) > 0")
     if "n_chars" in docs.columns:
         both = both.withColumn("n_chars", F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text").cast("long")))
