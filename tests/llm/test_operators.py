@@ -145,13 +145,18 @@ def test_jaccard_combinations_find_pairs(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
-def test_parity_bounds_difference():
+def test_parity_bounds_difference(spark):
     r = np.random.default_rng(1)
-    for _ in range(30):
-        a = np.unique(r.integers(0, 500, 120).astype(np.uint64))
-        b = np.unique(np.concatenate([a[: r.integers(0, len(a))], r.integers(0, 500, 40).astype(np.uint64)]))
-        x, y = (np.array([int(m[k]) for m in jaccard.parity([a, b])], np.int64) for k in (0, 1))
-        assert sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= len(np.setxor1d(a, b))
+    rows = []
+    for n in (120, 127, 128, 131, 600):
+        for _ in range(10):
+            a = np.unique(r.integers(0, 5000, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[: r.integers(int(0.8 * len(a)), len(a))], r.integers(0, 5000, n // 12).astype(np.uint64)]))
+            rows.append((jaccard.parity(a).tolist(), jaccard.parity(b).tolist(), len(np.setxor1d(a, b))))
+    assert len({(len(a), len(b)) for a, b, _ in rows}) > 3
+    d = spark.createDataFrame(rows, "a array<long>, b array<long>, d int")
+    got = d.select("d", jaccard.differ(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(x.d * 0.5 <= x.x <= x.d for x in got)
 
 
 def test_quality(spark, docs, clashing, empty):
@@ -532,6 +537,72 @@ def test_chains_are_best():
         assert score == pytest.approx(chain_brute(p, q, n))
 
 
+def kept_by_definition(rows):
+    """Ids of rows (id, text, lang) that the quality rules keep."""
+
+    def failed(text):
+        w = (text or "").split()
+        at = {}
+        for k in range(len(w) - 7):
+            at.setdefault(tuple(w[k : k + 8]), []).append(k)
+        again = {k + j for x in at.values() if len(x) > 1 for k in x for j in range(8)}
+        return len(w) < 20 or 100 * len(again) > 30 * len(w)
+
+    passed = [r for r in rows if not failed(r[1])]
+    score = perplexities_by_definition(passed)
+    out = set()
+    for lang in {r[2] or "und" for r in passed}:
+        own = [r for r in passed if (r[2] or "und") == lang]
+
+        def quartile(k, i, own=own):
+            v = sorted(round(round(score[r[0]][i], 6), 3) for r in own if score[r[0]][i] is not None)
+            return v[max(0, -(-k * len(v) // 4) - 1)] if v else np.nan
+
+        q1, q2, q3 = ([quartile(k, i) for i in (0, 1)] for k in (1, 2, 3))
+        for i, text, _ in own:
+            n, (p, low) = len(text.split()) ** -0.5, score[i]
+            if p is None or p <= q2[0] + 4 * (q3[0] - q2[0]) + 4 * n and q1[1] - 1.75 * (q3[1] - q1[1]) - 1.5 * n <= low <= q3[1] + 2 * (q3[1] - q1[1]) + 3 * n:
+                out.add(i)
+    return out
+
+
+def test_pipeline_by_definition(spark, tmp_path, library):
+    """The whole pipeline against each stage by its definition, one after another."""
+    import corpus_pipeline
+
+    r = random.Random(23)
+    passage, item = prose(45, 4000), prose(40, 4001)
+    texts = {i: prose(60 + i % 40, 5000 + i) for i in range(60)}
+    texts[10] += "\n" + passage
+    texts[20] = passage + " é " + texts[20]
+    texts[21] = texts[5] + " more"
+    texts[22] = texts[6]
+    texts[30] += " " + item
+    texts |= {70: " ".join("".join(r.choice("qxzkvj%$") for _ in range(7)) for _ in range(60)), 71: None, 72: "too short", 73: "again and again " * 30}
+    rows = [(i, t, "en" if i % 4 else None, "s", len(t or "")) for i, t in texts.items()]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {x.doc_id: (x.n_pieces, x.ids, x.decoded_sha256, x.round_trip) for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    docs = {i: texts[i] for i in kept_by_definition([x[:3] for x in rows])}
+    group = jaccard_brute(docs.items())
+    docs = {i: t for i, t in docs.items() if group[i][1] == i}
+    least = {}
+    for i, t in docs.items():
+        b = t.encode()
+        for k in range(len(b) - 49):
+            least[b[k : k + 50]] = min(i, least.get(b[k : k + 50], i))
+    for i, t in list(docs.items()):
+        b = t.encode()
+        gone = {k + j for k in range(len(b) - 49) if least[b[k : k + 50]] < i for j in range(50)}
+        docs[i] = bytes(x for k, x in enumerate(b) if k not in gone).decode("utf-8", "ignore")
+    leak = {d for d, _ in leaks_by_definition([(i, t) for i, t in docs.items() if t.strip()], [(1, item)])}
+    docs = {i: t for i, t in docs.items() if t.strip() and i not in leak}
+    assert len(docs) > 45 and not {21, 22, 30, 70, 71, 72, 73} & docs.keys() and passage not in docs[20]
+    _, lib, _ = library
+    want = {i: (len(x), " ".join(map(str, x)), hashlib.sha256(t.encode()).hexdigest(), True) for (i, t), x in zip(docs.items(), lib.encode(list(docs.values()), num_threads=1), strict=True)}
+    assert got == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -546,25 +617,76 @@ def test_pipeline(spark, tmp_path):
     assert 0 in ids and not ids & {1, 2, 3, 4, 5, 6, 7, 8, 12, 16}
 
 
-def test_minimizers_beyond_position_width(monkeypatch):
-    """The same bytes and words have the same seeds wherever they stand, also past the places that a hash can carry."""
-    monkeypatch.setattr(common, "POSITION_BITS", 8)
-    part = prose(60, 51).encode()
-    text = part + b" " + prose(400, 52).encode() + b" " + part
-    flat = np.frombuffer(text, np.uint8)
-    first, size, seed, place, ident = suffix.segments(flat, np.array([len(text)]))
-    shift = len(text) - len(part)
-    inner = lambda a: {(f - a, n, s, p, i) for f, n, s, p, i in zip(first.tolist(), size.tolist(), seed.tolist(), place.tolist(), ident.tolist(), strict=True) if a + 80 <= f and f + n + 80 <= a + len(part)}
-    assert inner(0) and inner(0) == inner(shift)
-    words = chaining.Words(blocks.zip_arrays(np.array([1]), np.array([len(text)]), flat))
-    at, key = words.seeds()
-    n = len(words.hash) - 60
-    near = lambda a: {(x - a, k) for x, k in zip(at.tolist(), key.tolist(), strict=True) if a + 15 <= x < a + 40}
-    assert near(0) and near(0) == near(n)
-    h = np.random.default_rng(1).integers(0, 1 << 63, 3000).astype(np.uint64)
-    low, least = common.window_minima(h, 31)
-    want = [min((int(h[j]) >> 24, j) for j in range(i, i + 31)) for i in range(len(h) - 30)]
-    assert list(zip(low.tolist(), least.tolist(), strict=True)) == want
+def test_window_minima():
+    for n, w, high in ((500, 31, 5), (500, 31, 1 << 62), (40, 8, 2), (8, 8, 3), (7, 8, 3)):
+        h = np.random.default_rng(n + w).integers(0, high, n).astype(np.uint64)
+        low, at = common.window_minima(h, w)
+        assert list(zip(low.tolist(), at.tolist(), strict=True)) == [(int(h[i : i + w].min()), i + int(h[i : i + w].argmin())) for i in range(n - w + 1)]
+
+
+def test_suffix_hard_cases(spark):
+    """Limits of doc_id, runs of one character, and a passage far inside a very long text."""
+    r = random.Random(5)
+    line = prose(14, 900)
+    rows = [(2**63 - 1, "y" * 70 + prose(20, 1)), (-(2**63), "y" * 60), (None, "y" * 90), (0, "y" * 500 + "z" * 400), (7, "x" * 5000), (3, "x" * 130)]
+    rows += [(100 + i, " ".join(r.choice(WORDS) for _ in range(r.randint(0, 9))) + line + " ".join(r.choice(WORDS) for _ in range(r.randint(0, 9)))) for i in range(60)]
+    want = sorted(suffix.brute_force(rows), key=str)
+    out = suffix.remove_repeats(spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS).repartition(4)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("h"))
+    assert sorted((tuple(x) for x in out.collect()), key=str) == want
+    passage = prose(40, 7)[:200]
+    long = "".join(r.choice(WORDS) + str(r.randrange(10**9)) for _ in range(1_400_000))
+    long = long[:17_500_000] + passage + long[17_500_000:]
+    assert len(long) > 18 << 20
+    rows = [(1, "a " + passage + " b", None, None, None), (2, long, None, None, None), (3, long[-300:], None, None, None)]
+    got = dicts(suffix.remove_repeats(spark.createDataFrame(rows, DOCS)))
+    assert (got[2]["n_bytes"], got[2]["n_removed"], got[2]["n_spans"], got[3]["n_removed"]) == (len(long), 200, 1, 300)
+
+
+def test_longest_stretch():
+    r = np.random.default_rng(6)
+    for _ in range(200):
+        same = r.random(r.integers(1, 40)) < 0.7
+        a, e = chaining.longest(same, 0.8)
+        every = [(j - i, i) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if same[i:j].mean() >= 0.8]
+        assert e - a == max((x for x, _ in every), default=0) and (a == e or same[a:e].mean() >= 0.8)
+
+
+def repeats_by_definition(own, ref, min_words=40, similarity=0.8):
+    """Whether some stretches of min_words words are equal in at least `similarity` of their words, place by place."""
+    return any(sum(a == b for a, b in zip(own[i : i + min_words], ref[j : j + min_words], strict=True)) >= similarity * min_words for i in range(len(own) - min_words + 1) for j in range(len(ref) - min_words + 1))
+
+
+def test_fuzzy_recall(spark):
+    """Edits of passages, edits of edits, and passages whose halves stand in other documents, against all pairs compared."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    some = lambda n: [word() for _ in range(n)]
+    docs, want = {}, set()
+    for k, equal in enumerate([0.8] * 40 + [0.85] * 40 + [0.9] * 40):
+        p = some(r.randint(45, 70))
+        q = p[:]
+        for i in r.sample(range(len(q)), round(len(q) * (1 - equal) * 0.95)):
+            q[i] = word()
+        docs[2 * k], docs[2 * k + 1] = some(20) + p + some(20), some(25) + q + some(15)
+        if repeats_by_definition(docs[2 * k + 1], docs[2 * k]):
+            want.add((2 * k + 1, 2 * k))
+    base = some(100)
+    for i in range(5):  # each an edit of the one before
+        docs[1000 + i] = base[:]
+        for j in r.sample(range(100), 12):
+            base[j] = word()
+        if i:
+            want.add((1000 + i, 999 + i))
+    a, b = some(30), some(30)
+    docs |= {2000: some(9) + a + some(9), 2001: some(9) + b + some(9), 2002: some(9) + a + b + some(9), 2003: some(12) + a + b + some(12)}
+    want.add((2003, 2002))
+    d = spark.createDataFrame([(i, " ".join(w), None, None, None) for i, w in docs.items()], DOCS).repartition(3)
+    got = {lists: {(x.doc_id, x.ref_doc_id) for x in chaining.fuzzy_repeats(d, lists=lists).collect()} for lists in (1, 32)}
+    assert got[1] == got[32]
+    assert {x for x in want if x[0] >= 1000} <= got[32]
+    share = lambda low, high: np.mean([x in got[32] for x in want if low <= x[0] < high])
+    assert len(want) > 80 and (share(0, 80), share(80, 160), share(160, 240)) >= (0.9, 0.97, 0.97), (share(0, 80), share(80, 160), share(160, 240))
+    assert all(set(docs[a]) & set(docs[b]) for a, b in got[32])
 
 
 def test_stages_judge_rows_without_or_with_repeated_ids(spark):
