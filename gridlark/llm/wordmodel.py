@@ -33,7 +33,8 @@ from gridlark.llm.common import bucketed, forget, release, shuffle_width, stored
 RARE, MARK, FIRST = 0, 1, 2  # the word that one document has; the mark before a text; the first known word
 HOT = 8  # in each part, so many of the most frequent words have their pairs dealt by both words
 DROPPED = np.uint64(16)  # bits of a word's 64-bit hash that are dropped: 48 tell a billion words apart but for some 3 in a million
-UNIT = 3 << 20  # tokens of one language in a unit
+UNIT = 2 << 20  # tokens of one language in a unit
+AT_ONCE = 1 << 18  # tokens whose own counts are taken off at once, or one document's
 SENT = "lang string, part int, batch long, block binary"
 COUNTED = "lang string, part int, batch long, kind int, block binary, sums array<long>"
 ANSWER, PARTIAL, SUMS = 0, 1, 2
@@ -258,7 +259,7 @@ def discounts(t: list[int]) -> np.ndarray:
 
 def perplexities(u: Unit, totals: dict[int, np.ndarray], told: dict[int, list[np.ndarray]], sums: dict, n_parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Mean negative log probabilities of the documents' words by the model and by its lower order; NaN where nothing is known."""
-    d, m, n_pairs = len(u.size), len(u.ids), len(u.a)
+    m, n_pairs = len(u.ids), len(u.a)
     total = np.zeros(n_pairs, np.int64)
     for i, k in u.pairs:
         total[k] = totals[i]
@@ -270,26 +271,33 @@ def perplexities(u: Unit, totals: dict[int, np.ndarray], told: dict[int, list[np
     off = f1 * upper[1] + f2 * upper[2] + f3 * upper[3]
     t = sums["words"]
     spare = t[0] * lower[1] + t[1] * lower[2] + (t[4] - t[0] - t[1]) * lower[3]
-    # each document's own counts go
-    key, own = np.unique(u.doc * n_pairs + u.at, return_counts=True)
-    doc, pair = key // n_pairs, key % n_pairs
-    left = total[pair] - own
-    lost = left == 0
-    x, at = np.unique(doc * m + u.a[pair], return_inverse=True)
-    ctx_left = ctx[x % m] - np.bincount(at, own, len(x)).astype(np.int64)
-    off_left = off[x % m] + np.bincount(at, upper[np.minimum(left, 3)] - upper[np.minimum(total[pair], 3)], len(x))
-    c, o = ctx_left[at], np.maximum(off_left[at], 1e-9)
-    x, at = np.unique(doc * m + u.b[pair], return_inverse=True)
-    kinds_left = np.maximum(kinds[x % m] - np.bincount(at, lost, len(x)).astype(np.int64), 0)
-    all_left = (sums["pairs"][4] - np.bincount(doc, lost, d))[x // m]
-    rare = (x % m == RARE) / (1.0 + sums["rare"]) + (x % m != RARE)  # one of the words that one document has
-    with np.errstate(divide="ignore", invalid="ignore"):
-        low = (np.maximum(kinds_left - lower[np.minimum(kinds_left, 3)], 0) + spare / max(1, t[4])) / all_left * rare
-        low, rare = low[at], rare[at]
-        prob = np.where(c > 0, (np.maximum(left - upper[np.minimum(left, 3)], 0) * rare + o * low) / np.maximum(c, 1), low)
-        out = [np.bincount(doc, -np.log(p) * own, d) / u.size for p in (prob, low)]
-    for x in out:
-        x[~np.isfinite(x)] = np.nan
+    out = np.full((2, len(u.size)), np.nan)
+    ends = np.cumsum(u.size)
+    cut = np.flatnonzero(np.diff(ends // AT_ONCE, prepend=-1))
+    for first, last in zip(cut, [*cut[1:], len(ends)][: len(cut)], strict=True):
+        size = u.size[first:last]
+        d = len(size)
+        pairs = u.at[ends[first] - u.size[first] : ends[last - 1]]
+        # each document's own counts go
+        key, own = np.unique(np.repeat(np.arange(d), size) * n_pairs + pairs, return_counts=True)
+        doc, pair = key // n_pairs, key % n_pairs
+        left = total[pair] - own
+        lost = left == 0
+        x, at = np.unique(doc * m + u.a[pair], return_inverse=True)
+        ctx_left = ctx[x % m] - np.bincount(at, own, len(x)).astype(np.int64)
+        off_left = off[x % m] + np.bincount(at, upper[np.minimum(left, 3)] - upper[np.minimum(total[pair], 3)], len(x))
+        c, o = ctx_left[at], np.maximum(off_left[at], 1e-9)
+        x, at = np.unique(doc * m + u.b[pair], return_inverse=True)
+        kinds_left = np.maximum(kinds[x % m] - np.bincount(at, lost, len(x)).astype(np.int64), 0)
+        all_left = (sums["pairs"][4] - np.bincount(doc, lost, d))[x // m]
+        rare = (x % m == RARE) / (1.0 + sums["rare"]) + (x % m != RARE)  # one of the words that one document has
+        with np.errstate(divide="ignore", invalid="ignore"):
+            low = (np.maximum(kinds_left - lower[np.minimum(kinds_left, 3)], 0) + spare / max(1, t[4])) / all_left * rare
+            low, rare = low[at], rare[at]
+            prob = np.where(c > 0, (np.maximum(left - upper[np.minimum(left, 3)], 0) * rare + o * low) / np.maximum(c, 1), low)
+            for i, p in enumerate((prob, low)):
+                out[i, first:last] = np.bincount(doc, -np.log(p) * own, d) / size
+    out[~np.isfinite(out)] = np.nan
     return out[0], out[1]
 
 
