@@ -80,29 +80,38 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return c.join(top, "component", "left_semi").select("id")
 
 
-def shortest(edges: DataFrame, sources: DataFrame, paths: bool = False, limit: float | None = None, rounds_per_table: int = 4) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, paths: bool = False, limit: float | None = None, rounds_per_table: int = 4, sums: Sequence[str] = (), bounds: DataFrame | None = None) -> DataFrame:
     """Least sums of w from each source: rows (source, id, cost, parent); with paths also the node path.
 
     sources: rows (source, id, cost). Of equal costs the parent with the least (cost, id) stays.
-    The frontier holds only nodes whose cost fell, so far parts of the graph cost nothing.
+    The frontier holds only nodes whose cost fell, so far parts of the graph cost nothing. sums: columns
+    of the edges that are added up along the paths (their best parallel edges), so that metrics of routes need no
+    node lists. limit: costs above it are not followed. bounds: rows (id, bound), lower bounds of the cost from a
+    node to the goal; with a limit, nodes whose cost and bound exceed it are not followed either.
     """
-    e = saved(edges.select("u", "v", "w").filter(F.col("w").isNotNull()), "edges")
+    e = edges.filter(F.col("w").isNotNull())
+    if bounds is not None and limit is not None:
+        e = e.join(bounds.select(F.col("id").alias("v"), F.col("bound").alias("_bound")), "v", "left").withColumn("_bound", F.coalesce("_bound", F.lit(0.0)))
+    else:
+        e = e.withColumn("_bound", F.lit(0.0))
+    e = saved(e.select("u", "v", "w", "_bound", *[F.col(c).alias(f"_e_{c}") for c in sums]), "edges")
     kind = dict(e.dtypes)["u"]
-    extra = [F.array(F.col("id")).alias("path")] if paths else []
+    extra = ([F.array(F.col("id")).alias("path")] if paths else []) + [F.col(c).cast("double") if c in sources.columns else F.lit(0.0).alias(c) for c in sums]
     best = saved(sources.select("source", "id", F.col("cost").cast("double").alias("cost"), F.lit(0.0).alias("before"), F.lit(None).cast(kind).alias("parent"), *extra, F.lit(0).alias("round")), "costs")
     r = 0
-    carry = ["path"] if paths else []
+    carry = [*(["path"] if paths else []), *sums]
     while True:
         start = r
         for _ in range(rounds_per_table):
             r += 1
             front = best.filter(F.col("round") == r - 1)
-            step = front.join(e, front["id"] == e["u"]).select(
+            step = front.join(e, front["id"] == e["u"])
+            if limit is not None:
+                step = step.filter(F.col("cost") + F.col("w") + F.col("_bound") <= limit)
+            step = step.select(
                 "source", F.col("v").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), F.col("cost").alias("before"), F.col("u").alias("parent"),
-                *([F.concat("path", F.array("v")).alias("path")] if paths else []), F.lit(r).alias("round"),
+                *([F.concat("path", F.array("v")).alias("path")] if paths else []), *[(F.col(c) + F.col(f"_e_{c}")).alias(c) for c in sums], F.lit(r).alias("round"),
             )
-            if limit is not None:
-                step = step.filter(F.col("cost") <= limit)
             order = F.struct("cost", "before", F.coalesce(F.col("parent").cast("string"), F.lit("")))
             # an equal cost with a better parent is taken too, but does not travel on unless the cost fell
             both = best.unionByName(step)
@@ -114,6 +123,37 @@ def shortest(edges: DataFrame, sources: DataFrame, paths: bool = False, limit: f
             return best.drop("before", "round")
 
 
+def goal_directed(edges: DataFrame, start: DataFrame, goal: DataFrame, bounds: DataFrame) -> DataFrame:
+    """One row (id, cost) for the goal: a search by landmark bounds, repeated with a doubled limit until the goal is reached.
+
+    start and goal: one row (id). No node is followed whose cost and bound exceed the limit, so the search stays
+    near the best routes; the cost is the least one. No row if there is no route.
+    """
+    src = start.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("cost"))
+    low = start.join(bounds, "id").select("bound").first()
+    limit = max(1e-9, float(low.bound if low and low.bound is not None else 0.0) * 1.05)
+    reach = -1
+    while True:
+        found = shortest(edges, src, limit=limit, bounds=bounds)
+        hit = found.join(goal.select("id"), "id").select("id", "cost")
+        n = found.count()
+        if not hit.isEmpty() or (n == reach and limit > edges.agg(F.sum("w")).first()[0]):
+            return hit
+        reach, limit = n, limit * 2
+
+
+def walk_back(costs: DataFrame, goals: DataFrame) -> DataFrame:
+    """Node paths (source, id, path) of a few goals, by parents from the goals on."""
+    up = costs.select("source", F.col("id").alias("at"), "parent")
+    cur = saved(goals.select("source", "id").join(costs.select("source", "id"), ["source", "id"]).withColumns({"at": F.col("id"), "path": F.array("id")}), "walk")
+    while True:
+        cur = cur.join(up, ["source", "at"], "left")
+        cur = saved(cur.select("source", "id", F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), "path")).alias("path"), F.col("parent").isNull().alias("done")), "walk")
+        if cur.filter("not done").isEmpty():
+            return cur.select("source", "id", "path")
+        cur = cur.drop("done")
+
+
 def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """Breadth-first levels: rows (source, id, hops)."""
     e = edges.select("u", "v").distinct().withColumn("w", F.lit(1.0))
@@ -137,6 +177,28 @@ def path_metrics(paths: DataFrame, best: DataFrame, key: Sequence[str]) -> DataF
     return paths.select(*key).join(m, list(key), "left").na.fill(0.0, ["distance_km", "drive_min"])
 
 
+def path_points(paths: DataFrame, nodes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Places (key, pos, x, y) of the paths' nodes in order; nodes without a place are left out."""
+    at = paths.select(*key, F.posexplode("path").alias("pos", "_node"))
+    return at.join(nodes.select(F.col("id").alias("_node"), "x", "y"), "_node").select(*key, "pos", "x", "y")
+
+
+def route_polyline(paths: DataFrame, shapes: DataFrame, nodes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Lines (key, pos, x, y) of paths along the shapes (u, v, at, x, y) of their edges; an edge without a shape is straight.
+
+    A joint of two edges counts once.
+    """
+    e = path_edges(paths.filter(F.size("path") > 1), key)
+    a, b = nodes.select(F.col("id").alias("u"), F.struct("x", "y").alias("a")), nodes.select(F.col("id").alias("v"), F.struct("x", "y").alias("b"))
+    own = shapes.groupBy("u", "v").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))  # one edge's points
+    e = e.join(own, ["u", "v"], "left").join(a, "u").join(b, "v")
+    points = e.select(*key, F.col("pos").alias("edge"), F.posexplode(F.coalesce("line", F.array("a", "b"))).alias("at", "p")).select(*key, "edge", "at", "p.x", "p.y")
+    w = Window.partitionBy(*key).orderBy("edge", "at")
+    same = F.lag("x").over(w).eqNullSafe(F.col("x")) & F.lag("y").over(w).eqNullSafe(F.col("y"))
+    points = points.withColumn("_same", same).filter("not _same")
+    return points.withColumn("pos", F.row_number().over(w) - 1).select(*key, "pos", "x", "y")
+
+
 def select_landmarks(nodes: DataFrame, edges: DataFrame, count: int) -> list:
     """Farthest-point landmarks: first the node nearest to the centroid, then the one farthest from all so far."""
     spark = nodes.sparkSession
@@ -172,14 +234,29 @@ def landmark_bound(table: DataFrame, goals: DataFrame) -> DataFrame:
     return out.select("goal", "id", F.greatest(F.lit(0.0), F.coalesce("d", "u")).cast("double").alias("bound"))
 
 
+def witnessed(short: DataFrame, live: DataFrame, gone: DataFrame) -> DataFrame:
+    """Shortcuts (u, v, w, via) without those that a route of one or two edges past the contracted nodes is not longer than.
+
+    A longer witness would save more shortcuts; leaving one in costs space only, never exactness.
+    """
+    rest = live.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v", "w")
+    ends = short.select("u", "v").distinct()
+    one = ends.join(rest, ["u", "v"]).select("u", "v", F.col("w").alias("d"))
+    first = rest.select("u", F.col("v").alias("m"), F.col("w").alias("w1"))
+    last = rest.select(F.col("u").alias("m"), "v", F.col("w").alias("w2"))
+    two = ends.join(first, "u").join(last, ["m", "v"]).groupBy("u", "v").agg(F.min(F.col("w1") + F.col("w2")).alias("d"))
+    known = one.unionByName(two).groupBy("u", "v").agg(F.min("d").alias("d"))
+    return short.join(known, ["u", "v"], "left").filter(F.col("d").isNull() | (F.col("d") > F.col("w"))).drop("d")
+
+
 def contract(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A contraction hierarchy: (ranks (id, rank), edges (u, v, w, via)).
 
     Rounds contract independent sets: nodes that come before all their neighbours in the order
     (edge difference, product, degree, id). A contracted node leaves a shortcut for each in-edge
-    and out-edge; of parallel edges the least stays. Without witness searches some shortcuts are
-    not needed, which costs space but no exactness.
+    and out-edge that has no witness; of parallel edges the least stays. A round writes its own ranks and edges only.
     """
+    least = lambda df: df.groupBy("u", "v").agg(F.min_by(F.struct("w", "via"), F.struct("w", F.coalesce("via", F.lit(-1)))).alias("e")).select("u", "v", "e.*")
     live = saved(collapse_min(edges.select("u", "v", "w").filter("u <> v")).withColumn("via", F.lit(None).cast(dict(edges.dtypes)["u"])), "ch")
     left = saved(nodes.select("id"), "ch-nodes")
     done = ranks = None
@@ -192,17 +269,18 @@ def contract(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         near = ends.join(imp.select(F.col("id").alias("v"), "o"), "v").groupBy(F.col("u").alias("id")).agg(F.min("o").alias("m"))
         now = saved(imp.join(near, "id", "left").filter(F.col("m").isNull() | (F.col("o") < F.col("m"))).select("id", F.lit(r).alias("rank")), "ch-rank")
         gone = now.select("id")
-        touch = live.join(gone.withColumnRenamed("id", "u"), "u", "left_semi").unionByName(live.join(gone.withColumnRenamed("id", "v"), "v", "left_semi"))
-        done = saved(touch, "ch-done") if done is None else saved(done.unionByName(touch), "ch-done")
-        ranks = now if ranks is None else saved(ranks.unionByName(now), "ch-ranks")
+        touch = saved(live.join(gone.withColumnRenamed("id", "u"), "u", "left_semi").unionByName(live.join(gone.withColumnRenamed("id", "v"), "v", "left_semi")), "ch-done")
+        done = touch if done is None else done.unionByName(touch)
+        ranks = now if ranks is None else ranks.unionByName(now)
         ins = live.join(gone.withColumnRenamed("id", "v"), "v", "left_semi").select(F.col("v").alias("m"), F.col("u").alias("a"), F.col("w").alias("w1"))
         outs = live.join(gone.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("u").alias("m"), F.col("v").alias("b"), F.col("w").alias("w2"))
         short = ins.join(outs, "m").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("w1") + F.col("w2")).alias("w"), F.col("m").alias("via"))
+        short = witnessed(saved(least(short), "ch-short"), live, gone)
         rest = live.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti")
-        live = saved(rest.unionByName(short).groupBy("u", "v").agg(F.min_by(F.struct("w", "via"), F.struct("w", F.coalesce("via", F.lit(-1)))).alias("e")).select("u", "v", "e.*"), "ch")
+        live = saved(least(rest.unionByName(short.select("u", "v", "w", "via"))), "ch")
         left = saved(left.join(gone, "id", "left_anti"), "ch-nodes")
         r += 1
-    return ranks, done.groupBy("u", "v").agg(F.min_by(F.struct("w", "via"), F.struct("w", F.coalesce("via", F.lit(-1)))).alias("e")).select("u", "v", "e.*")
+    return saved(ranks, "ch-ranks"), saved(least(done), "ch-edges")
 
 
 def hierarchy_cost(ranks: DataFrame, ch: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.operators.graph import hops
+from gridlark.operators.iterate import saved
 
 
 def access_name(c: Column) -> Column:
@@ -29,8 +30,29 @@ def split_edges(edges: DataFrame, points: DataFrame) -> DataFrame:
     seq = ends.unionByName(cuts.join(keys, ["u", "v"], "left_semi")).withColumns({"t2": F.lead("t").over(w), "to": F.lead("node").over(w)}).filter("t2 is not null")
     part = F.col("t2") - F.col("t")
     return seq.join(edges, ["u", "v"]).select(
-        F.col("node").alias("from_node"), F.col("to").alias("to_node"), "u", "v", (F.row_number().over(w) - 1).alias("key"), (F.col("seconds") * part).alias("seconds"), (F.col("length_m") * part).alias("length_m")
-    )
+        F.col("node").alias("from_node"), F.col("to").alias("to_node"), "u", "v", (F.row_number().over(w) - 1).alias("key"), (F.col("seconds") * part).alias("seconds"), (F.col("length_m") * part).alias("length_m"),
+        F.col("t").alias("from_t"), F.col("t2").alias("to_t"),
+    )
+
+
+def access_nodes(points: DataFrame) -> DataFrame:
+    """Rows (station_id, node): the name that split_edges gives a point's place; an end of the edge is the road node itself."""
+    flip = F.col("u") > F.col("v")  # a place of a street is one place in both directions
+    p = points.select("station_id", F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), F.when(flip, 1 - F.col("t")).otherwise(F.col("t")).alias("t"))
+    first = p.groupBy("u", "v", "t").agg(F.min("station_id").alias("first"))
+    name = F.when(F.col("t") <= 0, F.col("u").cast("string")).when(F.col("t") >= 1, F.col("v").cast("string")).otherwise(access_name(F.col("first")))
+    return p.join(first, ["u", "v", "t"]).select("station_id", name.alias("node"))
+
+
+def start_on_pieces(pieces: DataFrame, u, v, t: float, name: str = "__start_access__") -> DataFrame:
+    """Edges from a place on a street that is cut into pieces: to the end of the piece it lies on, either way."""
+
+    def part(a, b, at: float) -> DataFrame:
+        on = pieces.filter((F.col("u") == a) & (F.col("v") == b) & (F.col("from_t") <= at) & ((F.col("to_t") > at) | ((F.col("to_t") == 1) & (F.lit(at) >= 1))))
+        left = (F.col("to_t") - at) / (F.col("to_t") - F.col("from_t"))
+        return on.select(F.lit(name).alias("u"), F.col("to_node").alias("v"), (F.col("seconds") * left).alias("seconds"), (F.col("length_m") * left).alias("length_m"))
+
+    return part(u, v, t).unionByName(part(v, u, 1 - t))
 
 
 def start_edges(edges: DataFrame, u, v, t: float, name: str = "__start_access__") -> DataFrame:
@@ -93,17 +115,35 @@ def convex_hull(points: DataFrame, by: str) -> DataFrame:
 
 
 def frontiers(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """Nodes first reached in each step of a breadth-first search: rows (source, step, nodes)."""
+    """Nodes first reached in each step of a breadth-first search: rows (source, step, n, first_node)."""
     h = hops(edges, sources)
-    return h.filter("hops > 0").groupBy("source", F.col("hops").alias("step")).agg(F.array_sort(F.collect_list("id")).alias("nodes"))
+    return h.filter("hops > 0").groupBy("source", F.col("hops").alias("step")).agg(F.count("*").alias("n"), F.min("id").alias("first_node"))
+
 
+def bidirectional_hops(edges: DataFrame, start, goal) -> tuple[int | None, object]:
+    """Fewest edges from start to goal and a node in the middle of such a route; (None, None) if there is none.
 
-def bidirectional_hops(edges: DataFrame, start: DataFrame, goal: DataFrame) -> DataFrame:
-    """Fewest edges from start to goal by levels from both ends, met in the middle: (hops, meeting)."""
-    f = hops(edges, start).select("id", F.col("hops").alias("a"))
-    b = hops(edges.select(F.col("v").alias("u"), F.col("u").alias("v")), goal).select("id", F.col("hops").alias("b"))
-    both = f.join(b, "id").withColumn("hops", F.col("a") + F.col("b"))
-    return both.agg(F.min(F.struct("hops", F.abs(F.col("a") - F.col("b")), "id")).alias("m")).select(F.col("m.hops").alias("hops"), F.col("m.id").alias("meeting"))
+    Levels grow from both ends, always on the side with the smaller frontier, until they touch: a node that is in both
+    closes a shortest route, and no level behind the touching ones is ever expanded.
+    """
+    spark = edges.sparkSession
+    kind = dict(edges.dtypes)["u"]
+    e = saved(edges.select("u", "v").distinct(), "links")
+    side = [e, e.select(F.col("v").alias("u"), F.col("u").alias("v"))]
+    seen = [spark.createDataFrame([(x,)], f"id {kind}") for x in (start, goal)]
+    front, size, depth = list(seen), [1, 1], [0, 0]
+    while True:
+        touch = front[0].join(seen[1], "id").unionByName(front[1].join(seen[0], "id")).agg(F.min("id").alias("id")).first()
+        if touch.id is not None:
+            return depth[0] + depth[1], touch.id
+        if not all(size):
+            return None, None
+        k = int(size[1] < size[0])
+        nxt = front[k].join(side[k], front[k]["id"] == side[k]["u"]).select(F.col("v").alias("id")).distinct().join(seen[k], "id", "left_anti")
+        front[k] = saved(nxt, "front")
+        seen[k] = seen[k].unionByName(front[k])
+        size[k] = front[k].count()
+        depth[k] += 1
 
 
 def playback(events: DataFrame, visible: int) -> DataFrame:
@@ -128,6 +168,14 @@ def keyed_union(parts: list[DataFrame], key: list[str]) -> DataFrame:
 
 
 def in_order(items: DataFrame, order: DataFrame, key: str) -> DataFrame:
-    """Items by the place of their id in an order (pos, id); others behind, by id."""
+    """Items by the place of their id in an order (pos, id); others behind, by id. Only what an order names is numbered by it;
+    the others are ranked in range partitions."""
+    from gridlark.operators.metrics import range_rank
+
     o = order.select(F.col("id").alias(key), "pos")
-    return items.join(o, key, "left").withColumn("rank", F.row_number().over(Window.orderBy(F.asc_nulls_last("pos"), key))).drop("pos")
+    named = saved(items.join(o, key), "named")
+    rest = items.join(o.select(key), key, "left_anti")
+    n = named.count()
+    head = range_rank(named, "pos", "rank")
+    tail = range_rank(rest, key, "rank").withColumn("rank", F.col("rank") + n)
+    return head.drop("pos").unionByName(tail)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlark.operators.iterate import saved
+
 
 def error_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """Rows, target mean, MAE, relative MAE and R2, in all or by group; one pass, with moments taken from the mean."""
@@ -28,16 +30,24 @@ def pearson(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("corr")) for c in columns])).alias("x")).select("x.*")
 
 
+def range_rank(df: DataFrame, column: str, name: str, weight: str | None = None) -> DataFrame:
+    """Rank of each row by a column of distinct values, from 1; with a weight the sum of the weights up to and with the row.
+
+    Rows are dealt by value ranges and written once with the number of their part, so the parts' totals and the ranks
+    inside them come from the same dealing; no task sorts all rows.
+    """
+    one = F.col(weight) if weight else F.lit(1)
+    v = saved(df.repartitionByRange(column).withColumn("_p", F.spark_partition_id()), "ranges")
+    parts = v.groupBy("_p").agg(F.sum(one).alias("_t"))
+    parts = parts.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_b"))  # a row a part
+    inside = Window.partitionBy("_p").orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
+    return v.withColumn("_s", F.sum(one).over(inside)).join(parts, "_p").withColumn(name, F.col("_b") + F.col("_s")).drop("_p", "_s", "_b")
+
+
 def average_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Ranks with ties averaged, from counts of distinct values: value groups are ranked in range
-    partitions, so no task sorts all rows."""
-    v = df.groupBy(column).agg(F.count("*").alias("_k")).repartitionByRange(column).withColumn("_p", F.spark_partition_id())
-    inside = Window.partitionBy("_p").orderBy(column)
-    v = v.withColumn("_s", F.sum("_k").over(inside))
-    parts = v.groupBy("_p").agg(F.sum("_k").alias("_t"))
-    parts = parts.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_b"))  # a row a partition
-    v = v.join(F.broadcast(parts), "_p").select(column, (F.col("_b") + F.col("_s") - (F.col("_k") - 1) / 2).alias(name))
-    return df.join(v, column)
+    """Ranks with ties averaged, from counts of distinct values."""
+    v = range_rank(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_k")), column, "_r", "_k")
+    return df.join(v.select(column, (F.col("_r") - (F.col("_k") - 1) / 2).alias(name)), column)
 
 
 def spearman(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
@@ -49,10 +59,15 @@ def spearman(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
 
 
 def quantile_grid(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95, n: int = 10) -> DataFrame:
-    """Linear-interpolation quantiles at n even shares; repeats stay."""
+    """Linear-interpolation quantiles at n even shares; repeats stay. Taken from ranked counts of distinct values."""
+    v = saved(range_rank(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_k")), column, "_r", "_k"), "counts")
+    total = v.agg(F.max("_r").alias("_n"))
     shares = [low + (high - low) * i / (n - 1) for i in range(n)]
-    q = df.agg(F.percentile(column, shares).alias("q"))
-    return q.select(F.posexplode("q").alias("bin", "value"))
+    at = total.select(F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), (F.lit(q) * (F.col("_n") - 1)).alias("_at")) for i, q in enumerate(shares)])).alias("x")).select("x.*")
+    # the value at place k (from 0) is the least one with more than k rows up to it: n places, so a broadcast
+    place = at.select("bin", F.explode(F.array(F.struct(F.floor("_at").alias("k"), (1 - (F.col("_at") - F.floor("_at"))).alias("part")), F.struct((F.floor("_at") + 1).alias("k"), (F.col("_at") - F.floor("_at")).alias("part")))).alias("y")).select("bin", "y.*")
+    hit = v.join(F.broadcast(place), (F.col("_r") > F.col("k")) & (F.col("_r") - F.col("_k") <= F.col("k")))
+    return hit.groupBy("bin").agg(F.sum(F.col(column) * F.col("part")).alias("value"))
 
 
 def partial_dependence(sample: DataFrame, grid: DataFrame, score: Column) -> DataFrame:

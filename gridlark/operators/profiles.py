@@ -18,11 +18,10 @@ def station_profiles(obs: DataFrame) -> DataFrame:
 
 def grouped_means(obs: DataFrame) -> DataFrame:
     """Means by station, hour, weekday and their combinations in one pass; grouping_id tells which."""
-    obs.createOrReplaceTempView("_gridlark_obs")
-    return obs.sparkSession.sql(
-        "SELECT station_id, weekday, hour, grouping_id(station_id, hour, weekday) AS gid, avg(occ) AS mean_occ, count(*) AS n FROM _gridlark_obs "
-        "GROUP BY GROUPING SETS ((station_id), (hour), (weekday, hour), (station_id, hour), (station_id, weekday, hour), ())"
-    )
+    sets = [["station_id"], ["hour"], ["weekday", "hour"], ["station_id", "hour"], ["station_id", "weekday", "hour"], []]
+    by = ["station_id", "hour", "weekday"]
+    cube = obs.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in by])
+    return cube.agg(F.grouping_id(*by).alias("gid"), F.avg("occ").alias("mean_occ"), F.count("*").alias("n"))
 
 
 def profile_features(fit: DataFrame, rows: DataFrame) -> DataFrame:

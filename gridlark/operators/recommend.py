@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.functions.geo import haversine_km, haversine_m
+from gridlark.functions.geo import covers, haversine_km, haversine_m
 from gridlark.functions.scalar import balanced_score, clip
+from gridlark.functions.timefn import add_minutes
 from gridlark.operators.constraints import Limits, post_check, pre_reason
-from gridlark.operators.graph import best_parallel, path_metrics, shortest
+from gridlark.operators.graph import best_parallel, shortest
+from gridlark.operators.iterate import saved
+from gridlark.operators.linear import access_nodes, split_edges, start_on_pieces
 from gridlark.operators.ranking import orders, ranked
-from gridlark.operators.spatial import nearest_segment
+from gridlark.operators.spatial import count_within, nearest_segment
+
+START = "__start_access__"
 
 
 def candidates(stations: DataFrame, lon: float, lat: float, limits: Limits) -> DataFrame:
@@ -45,13 +50,34 @@ def snap_start(nodes: DataFrame, lon: float, lat: float, limits: Limits | None =
     return row.id, row.m
 
 
+def place_on_road(nodes: DataFrame, edges: DataFrame, lon: float, lat: float, limits: Limits | None = None):
+    """The place (u, v, t, snap_m) on the street nearest to a start; an error without streets or beyond the limit."""
+    one = nodes.sparkSession.createDataFrame([(0, float(lon), float(lat))], "station_id long, lon double, lat double")
+    row = snap(one, nodes, edges).first()
+    if row is None:
+        raise ValueError("the road graph has no street")
+    if limits and row.snap_m > limits.max_start_snap_distance_m:
+        raise ValueError(f"the nearest street is {row.snap_m:.1f} m away; the limit is {limits.max_start_snap_distance_m:.1f} m")
+    return row
+
+
+def request_graph(edges: DataFrame, stations: DataFrame, start) -> DataFrame:
+    """Edges (u, v, seconds, length_m) between road nodes, stations' places on streets and the start, by name.
+
+    edges: (u, v, seconds, length_m), one for each direction; stations: (station_id, u, v, t).
+    """
+    pieces = saved(split_edges(edges, stations), "pieces")
+    base = pieces.select(F.col("from_node").alias("u"), F.col("to_node").alias("v"), "seconds", "length_m")
+    return base.unionByName(start_on_pieces(pieces, start.u, start.v, float(start.t), START))
+
+
 def recommend(
     stations: DataFrame, edges: DataFrame, start, lon: float, lat: float, occupancy: DataFrame, limits: Limits, metric: str = "balanced", top: int = 3
 ) -> DataFrame:
     """Feasible stations in the metric's order.
 
-    stations: the columns of REQUIRED, access_node a road node; edges: (u, v, w) with seconds and
-    length_m; occupancy: (station_id, occupancy). One search from the start serves all candidates.
+    stations: the columns of REQUIRED, access_node a node of edges; edges: (u, v, seconds, length_m);
+    occupancy: (station_id, occupancy). One search from the start serves all candidates.
     """
     return ranked(feasible(stations, edges, start, lon, lat, occupancy, limits), metric, top)
 
@@ -61,20 +87,56 @@ def feasible(stations: DataFrame, edges: DataFrame, start, lon: float, lat: floa
     return checked.filter("reject_reason is null")
 
 
+def routes(edges: DataFrame, start, limits: Limits) -> DataFrame:
+    """Costs in minutes, lengths and parents of all nodes that can be reached from the start within twice the time limit.
+
+    A route beyond the limit is still known as too long, not as absent, up to twice the limit.
+    """
+    kind = dict(edges.dtypes)["u"]
+    best = best_parallel(edges if "key" in edges.columns else edges.withColumn("key", F.lit(0)))
+    src = edges.sparkSession.createDataFrame([(start, start, 0.0)], f"source {kind}, id {kind}, cost double")
+    return shortest(best.withColumn("w", F.col("seconds") / 60), src, limit=2 * limits.max_drive_time_min, sums=["length_m"])
+
+
 def checked_candidates(stations: DataFrame, edges: DataFrame, start, lon: float, lat: float, occupancy: DataFrame, limits: Limits) -> DataFrame:
+    """The nearest stations with reject_reason (null if feasible), drive_min, distance_km, arrival_soc, occupancy and score."""
     near = candidates(stations, lon, lat, limits)
     near = near.withColumn("pre", pre_reason(limits, near.columns))
-    e = edges.withColumn("w", F.col("seconds") / 60)
-    src = stations.sparkSession.createDataFrame([(start, start, 0.0)], f"source {dict(edges.dtypes)['u']}, id {dict(edges.dtypes)['u']}, cost double")
-    cost = shortest(e, src, paths=True)
-    paths = near.filter("pre is null").join(cost.select(F.col("id").alias("access_node"), "path"), "access_node").select("station_id", "path")
-    best = best_parallel(edges if "key" in edges.columns else edges.withColumn("key", F.lit(0)))
-    m = path_metrics(paths, best, ["station_id"])
-    routes = near.join(m, "station_id", "left").withColumn("path_found", F.col("distance_km").isNotNull())
-    out = post_check(routes, limits)
+    cost = routes(edges, start, limits).select(F.col("id").alias("access_node"), F.col("cost").alias("drive_min"), (F.col("length_m") / 1000).alias("distance_km"))
+    found = near.join(cost, "access_node", "left").withColumn("path_found", F.col("distance_km").isNotNull())
+    found = found.withColumns({c: F.when(F.col("pre").isNull(), F.col(c)) for c in ("drive_min", "distance_km")})
+    out = post_check(found, limits)
     out = out.withColumn("reject_reason", F.coalesce("pre", "reject_reason")).withColumn("arrival_soc", F.when(F.col("pre").isNull(), F.col("arrival_soc")))
     out = out.join(occupancy.select("station_id", clip(F.col("occupancy"), 0, 1).alias("occupancy")), "station_id", "left")
-    return out.withColumn("score", balanced_score(F.col("drive_min"), limits.max_drive_time_min, F.col("occupancy"))).drop("pre")
+    return out.withColumn("score", balanced_score(F.col("drive_min"), limits.max_drive_time_min, F.col("occupancy"))).drop("pre", "path_found")
+
+
+def service(
+    stations: DataFrame, nodes: DataFrame, edges: DataFrame, boundary: list, lon: float, lat: float, when: str, profile: DataFrame, poi: DataFrame, kinds: list[str], limits: Limits, poi_km: float = 2.0,
+) -> DataFrame:
+    """The checked candidates of one request, with POI counts and the occupancy expected on arrival.
+
+    The start must lie in the boundary and near a street. stations: (station_id, lon, lat, charge_count); edges: (u, v,
+    seconds, length_m) of both directions; profile: the cube of profile_cube. Occupancy is the station's usual one at
+    the weekday and hour of arrival.
+    """
+    spark = stations.sparkSession
+    if not spark.range(1).select(covers(F.lit(float(lon)), F.lit(float(lat)), boundary)).first()[0]:
+        raise ValueError("the start lies outside the service area")
+    start = place_on_road(nodes, edges, lon, lat, limits)
+    places = saved(snap(candidates(stations, lon, lat, limits), nodes, edges), "places")
+    graph = request_graph(edges, places, start)
+    named = places.join(access_nodes(places), "station_id").select(
+        "station_id", "lon", "lat", "charge_count", F.col("u").alias("road_edge_u"), F.col("v").alias("road_edge_v"), F.lit(0).alias("road_edge_key"), F.col("py").alias("road_projection_lat"),
+        F.col("px").alias("road_projection_lon"), F.col("snap_m").alias("road_snap_distance_m"), F.col("node").alias("access_node"),
+    )
+    none = named.select("station_id", F.lit(None).cast("double").alias("occupancy"))
+    out = checked_candidates(named, graph, START, lon, lat, none, limits).drop("occupancy", "score")
+    arrival = add_minutes(F.lit(when).cast("timestamp_ntz"), F.coalesce("drive_min", F.lit(0.0)))
+    out = out.withColumns({"arrival": arrival, "hour": F.hour(arrival), "weekday": F.weekday(arrival)})
+    out = out.join(profile.select("station_id", "hour", "weekday", F.col("same_weekday_hour_occ").alias("occupancy")), ["station_id", "hour", "weekday"], "left").drop("hour", "weekday")
+    out = out.withColumn("score", balanced_score(F.col("drive_min"), limits.max_drive_time_min, F.col("occupancy")))
+    return out.join(count_within(named.select("station_id", "lon", "lat"), poi, poi_km, kinds), "station_id", "left")
 
 
 def recommendation_orders(checked: DataFrame, top: int) -> DataFrame:

@@ -6,12 +6,16 @@ cells are as wide as a band of latitude needs, so a radius always spans two cell
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlark.functions.geo import degrees_of, haversine_km, projection_fraction, segment_distance
 from gridlark.operators.iterate import saved
 
+GLOBE_KM = 20_040.0  # no two places are farther apart
+
 
 def _width(band: Column, size: float) -> Column:
     edge = F.least(F.lit(89.0), (F.abs(band) + 2) * size)
@@ -47,10 +51,18 @@ def radius_neighbors(stations: DataFrame, km: float) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w))
 
 
-def knn(stations: DataFrame, k: int, start_km: float = 2.0) -> DataFrame:
+def _radius_for(stations: DataFrame, k: int) -> float:
+    """A radius in km that holds about twice k stations where they are spread evenly over their bounds."""
+    b = stations.agg(F.count("*").alias("n"), F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("t")).first()
+    high, wide = (b.t - b.s) * 111.2, (b.e - b.w) * 111.2 * math.cos(math.radians((b.s + b.t) / 2))
+    return max(0.05, math.sqrt(2 * (k + 1) * max(high, 0.05) * max(wide, 0.05) / (math.pi * b.n)))
+
+
+def knn(stations: DataFrame, k: int, start_km: float | None = None) -> DataFrame:
     """The k nearest other stations of each, by distance, then id.
 
-    Radius joins, the radius doubled for stations that have not found k yet: only those go on.
+    Radius joins, the first radius from the stations' density, then four times as wide for stations that have not
+    found k yet: only those go on. The last radius spans the globe.
     """
     n = stations.count()
     k = min(k, n - 1)
@@ -58,7 +70,7 @@ def knn(stations: DataFrame, k: int, start_km: float = 2.0) -> DataFrame:
         empty = stations.limit(0)
         return empty.select("station_id", F.col("station_id").alias("neighbor_id"), F.lit(0.0).alias("distance_km"), F.lit(0).alias("rank"))
     stations = saved(stations.select("station_id", "lon", "lat"), "knn-all")
-    todo, km, out = stations, start_km, None
+    todo, km, out = stations, start_km or _radius_for(stations, k), None
     w = Window.partitionBy("station_id").orderBy("distance_km", "neighbor_id")
     while True:
         pairs = radius_join(todo, stations, km, "station_id", "station_id").withColumnRenamed("station_id_2", "neighbor_id").filter("station_id <> neighbor_id")
@@ -66,14 +78,12 @@ def knn(stations: DataFrame, k: int, start_km: float = 2.0) -> DataFrame:
         done = top.filter(F.col("rank") == k).select("station_id")
         part = top.join(done, "station_id", "left_semi")
         out = part if out is None else out.unionByName(part)
+        if km >= GLOBE_KM:
+            return out
         todo = saved(todo.join(done, "station_id", "left_anti"), "knn-left")
-        km *= 4
-        if km > 10_000:
-            x, y = todo.select("station_id", F.col("lon").alias("_x"), F.col("lat").alias("_y")), stations.select(F.col("station_id").alias("neighbor_id"), "lon", "lat")
-            rest = x.join(y, F.col("station_id") != F.col("neighbor_id")).select("station_id", "neighbor_id", haversine_km(F.col("_y"), F.col("_x"), F.col("lat"), F.col("lon")).alias("distance_km"))
-            return out.unionByName(rest.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
         if todo.isEmpty():
             return out
+        km = min(4 * km, GLOBE_KM)
 
 
 def count_within(stations: DataFrame, poi: DataFrame, km: float, kinds: list[str]) -> DataFrame:
@@ -86,16 +96,21 @@ def count_within(stations: DataFrame, poi: DataFrame, km: float, kinds: list[str
 def nearest_segment(points: DataFrame, segments: DataFrame, point_id: str = "station_id") -> DataFrame:
     """The segment (u, v) nearest to each point in planar degrees, ties by (u, v); with the projection.
 
-    Segments go into all cells of their bounding boxes, points into the cells around them; a hit
-    counts once it is no farther than the ring that was searched, others go on with larger cells.
+    Segments are cut into pieces no longer than a cell, and go into all cells of the pieces' bounding boxes; points go
+    into the cells around them. A hit counts once it is no farther than the ring that was searched, others go on with
+    larger cells. The first cell is twice the median segment, so a few long segments do not widen it.
     """
-    span = segments.agg(F.max(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))))).first()[0]
-    size = max(float(span or 0.0), 1e-4)
+    long = F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay")))
+    span = segments.agg(F.percentile_approx(long, 0.5, 1000)).first()[0]
+    size = max(2 * float(span or 0.0), 1e-4)
     todo, out = points.select(point_id, "lon", "lat"), None
     for _ in range(40):
         s = F.lit(size)
-        cells = segments.withColumn("_cx", F.explode(F.sequence(F.floor(F.least("ax", "bx") / s), F.floor(F.greatest("ax", "bx") / s))))
-        cells = cells.withColumn("_cy", F.explode(F.sequence(F.floor(F.least("ay", "by") / s), F.floor(F.greatest("ay", "by") / s))))
+        n = F.greatest(F.lit(1), F.ceil(long / s).cast("int"))
+        cells = segments.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        ends = lambda a, b: [F.col(a) + (F.col(b) - F.col(a)) * k / F.col("_n") for k in (F.col("_i"), F.col("_i") + 1)]
+        for c, (a, b) in (("_cx", ends("ax", "bx")), ("_cy", ends("ay", "by"))):
+            cells = cells.withColumn(c, F.explode(F.sequence(F.floor(F.least(a, b) / s), F.floor(F.greatest(a, b) / s))))
         p = todo.withColumn("_cx", F.explode(F.sequence(F.floor(F.col("lon") / s) - 1, F.floor(F.col("lon") / s) + 1)))
         p = p.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("lat") / s) - 1, F.floor(F.col("lat") / s) + 1)))
         args = [F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by")]
@@ -109,3 +124,32 @@ def nearest_segment(points: DataFrame, segments: DataFrame, point_id: str = "sta
             break
         size *= 4
     return out
+
+
+def ring_segments(rings: DataFrame) -> DataFrame:
+    """Segments (polygon, ring, ax, ay, bx, by) of closed rings (polygon, ring, points), points an array of (lon, lat)."""
+    n = F.size("points")
+    i = F.explode(F.sequence(F.lit(0), n - 1)).alias("i")
+    p = rings.filter(n > 0).select("polygon", "ring", "points", i).select("polygon", "ring", F.col("points")[F.col("i")].alias("a"), F.col("points")[(F.col("i") + 1) % n].alias("b"))
+    return p.select("polygon", "ring", F.col("a.lon").alias("ax"), F.col("a.lat").alias("ay"), F.col("b.lon").alias("bx"), F.col("b.lat").alias("by"))
+
+
+def covered(points: DataFrame, rings: DataFrame, point_id: str = "station_id", tolerance: float = 1e-12) -> DataFrame:
+    """Points (by id, lon, lat) that any polygon (ring 0, less its other rings) covers; borders count as inside.
+
+    Points meet the border segments of their band of latitude only, and count the crossings east of them, so the
+    work grows with the segments of a band, not with all of a border.
+    """
+    seg = saved(ring_segments(rings), "rings")
+    span = seg.agg(F.percentile_approx(F.abs(F.col("by") - F.col("ay")), 0.5, 1000)).first()[0]
+    size = F.lit(max(2 * float(span or 0.0), 1e-6))
+    low, high = F.least("ay", "by") - tolerance, F.greatest("ay", "by") + tolerance
+    seg = seg.withColumn("_band", F.explode(F.sequence(F.floor(low / size), F.floor(high / size))))
+    own = points.select(point_id, "lon", "lat").withColumn("_band", F.floor(F.col("lat") / size)).join(seg, "_band")
+    x = F.col("ax") + (F.col("lat") - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0))
+    cross = ((F.col("ay") > F.col("lat")) != (F.col("by") > F.col("lat"))) & (F.col("lon") < x)
+    touch = segment_distance(*[F.col(c) for c in ("lon", "lat", "ax", "ay", "bx", "by")]) <= tolerance
+    ring = own.groupBy(point_id, "lon", "lat", "polygon", "ring").agg((F.count_if(cross) % 2 == 1).alias("odd"), F.max(touch).alias("on"))
+    inside = F.max(F.when(F.col("ring") == 0, F.col("odd") | F.col("on")).otherwise(False))
+    hole = F.max(F.when(F.col("ring") > 0, F.col("odd") & ~F.col("on")).otherwise(False))
+    return ring.groupBy(point_id, "lon", "lat", "polygon").agg(inside.alias("i"), hole.alias("h")).filter("i and not h").select(point_id, "lon", "lat").distinct()

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from gridlark.functions.scalar import ratio, safe_float
 from gridlark.functions.timefn import add_minutes, floor_minutes
+from gridlark.operators.iterate import saved
+from gridlark.operators.metrics import range_rank
 
 ORDER = ["time", "obs_id"]
 
@@ -81,8 +83,13 @@ def horizon_explode(df: DataFrame, horizons: Sequence[int], rows_per_horizon: in
     pairs = F.array(*[F.struct(F.lit(h).alias("horizon_min"), F.col(f"target_{h}").alias("target")) for h in horizons])
     out = df.withColumn("h", F.explode(pairs)).select(*[c for c in df.columns if not c.startswith("target_")], "h.*").filter(F.col("target").isNotNull())
     if rows_per_horizon:
-        w = Window.partitionBy("horizon_min").orderBy(F.xxhash64("station_id", "time", F.lit(seed)), "obs_id")
-        out = out.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= rows_per_horizon).drop("rn")
+        # hashes first thin a horizon to about twice the cap, wherever it holds more; the exact cap is then taken of these
+        slot = F.pmod(F.xxhash64("station_id", "time", F.lit(seed)), F.lit(1_000_000))
+        many = out.groupBy("horizon_min").agg(F.count("*").alias("_n"))  # a row a horizon
+        out = out.join(F.broadcast(many), "horizon_min").withColumn("_slot", slot)
+        share = F.lit(2.0 * rows_per_horizon + 50) / F.col("_n") * 1_000_000
+        w = Window.partitionBy("horizon_min").orderBy("_slot", "station_id", "time", "obs_id")
+        out = out.filter(F.col("_slot") <= share).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= rows_per_horizon).drop("rn", "_slot", "_n")
     return out.withColumn("horizon_sqrt", F.sqrt("horizon_min")).withColumn("target_time", add_minutes(F.col("time"), F.col("horizon_min")))
 
 
@@ -100,14 +107,10 @@ def quantile_cutoff(df: DataFrame, test_share: float, time: str = "time") -> Dat
 
     Distinct times are ranked in range partitions, so no task sorts them all.
     """
-    times = df.select(time).distinct()
-    n = times.count()
-    ranked = times.repartitionByRange(time).withColumn("p", F.spark_partition_id())
-    ranked = ranked.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(time)))
-    before = ranked.groupBy("p").agg(F.count("*").alias("k"))
-    before = before.select("p", (F.sum("k").over(Window.orderBy("p")) - F.col("k")).alias("before"))  # a row a partition
+    ranked = saved(range_rank(df.select(time).distinct(), time, "i"), "times")
+    n = ranked.count()
     at = min(n - 1, int(n * (1 - test_share)))
-    return ranked.join(F.broadcast(before), "p").filter(F.col("before") + F.col("i") - 1 == at).select(F.col(time).alias("cutoff"))
+    return ranked.filter(F.col("i") - 1 == at).select(F.col(time).alias("cutoff"))
 
 
 def split_summary(df: DataFrame) -> DataFrame:

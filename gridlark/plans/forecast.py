@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlark.functions.timefn import calendar
+from gridlark.operators import features as FT
 from gridlark.operators import metrics as M
 from gridlark.operators import ml
+from gridlark.operators import spatial as X
 from gridlark.operators import timeseries as T
+from gridlark.operators.iterate import saved
 from gridlark.plans import series as Q
-from gridlark.plans.helpers import big, r6, s6, sb
+from gridlark.plans.helpers import big, r6, s6, sb, stamp
 from gridlark.plans.series import W
+from gridlark.plans.space import KINDS, KNN
+from gridlark.plans.space import _counts as POI_COUNTS
 from gridlark.plans.space import query as _query
+from gridlark.sources import scenario as S
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-FEATURES = ["lag_1", "lag_3", "lag_6", "lag_12", "mean_6", "mean_12", "std_12", "trend_12", "hour_sin", "hour_cos", "weekday", "s_price", "e_price", "duration"]
 
 
 def query(sql: str | None = None, *views: str):
@@ -79,12 +84,12 @@ def quantiles(spark, sf):
 
 
 @query(
-    f", {LAG.replace(', hour(time) AS hour', ', (SELECT 0) AS z')}, sample AS (SELECT lag_1, s_price FROM p WHERE obs_id % 50 = 0), g AS (SELECT i AS ix, j AS iy, i / 4.0::DOUBLE AS x, j * 30.0::DOUBLE AS y FROM range(5) a(i), range(1, 5) b(j)) "
+    f", {LAG.replace(', hour(time) AS hour', ', (SELECT 0) AS z')}, sample AS (SELECT lag_1, s_price FROM p), g AS (SELECT i AS ix, j AS iy, i / 4.0::DOUBLE AS x, j * 30.0::DOUBLE AS y FROM range(5) a(i), range(1, 5) b(j)) "
     f"SELECT ix, iy, {s6('x', 'x')}, {s6('y', 'y')}, {s6('avg(greatest(0, least(1, 0.7 * x + 0.001 * y + 0.2 * lag_1 + s_price)))', 'value')} FROM sample, g GROUP BY ix, iy, x, y", "obs",
 )
 def pdp_grid(spark, sf):
-    """Partial dependence of a linear scorer on the last value and the horizon, over a fixed share of the rows."""
-    sample = _persist(spark, sf).filter("obs_id % 50 = 0").select("lag_1", "s_price")
+    """Partial dependence of a linear scorer on the last value and the horizon, over all rows."""
+    sample = _persist(spark, sf).select("lag_1", "s_price")
     g = spark.range(5).select(F.col("id").alias("ix"), (F.col("id") / F.lit(4.0)).alias("x")).crossJoin(spark.range(1, 5).select(F.col("id").alias("iy"), (F.col("id") * 30.0).alias("y")))
     score = 0.7 * F.col("x") + 0.001 * F.col("y") + 0.2 * F.col("lag_1") + F.col("s_price")
     return M.partial_dependence(sample, g, score).select("ix", "iy", r6("x"), r6("y"), r6("value"))
@@ -102,35 +107,100 @@ def importance_topn(spark, sf):
     return M.mean_abs_by_position(e, "v").select(big("feature"), r6("mean_abs")).orderBy(F.desc("mean_abs"), "feature").limit(10)
 
 
-def _frame(spark, sf):
-    f = T.train_state(calendar(Q.obs(spark, sf)))
-    f = T.horizon_targets(f, (5,)).withColumnRenamed("target_5", "target").filter("target is not null")
-    return T.split_at(f, F.lit("2024-01-20").cast("timestamp_ntz"))
+CUT = "2024-01-20"
+_HOUR, _DOW = "14", "3"  # of NOW, a Thursday
+_TARGET = f"(TIMESTAMP '{Q.NOW}' + to_microseconds(round(h * 60000000)::BIGINT))"
+
+
+def _time_sql(t: str, prefix: str) -> list[str]:
+    return [
+        s6(f"isodow({t}) - 1", f"{prefix}_weekday"), s6(f"sin(2 * pi() * hour({t}) / 24)", f"{prefix}_hour_sin"), s6(f"cos(2 * pi() * hour({t}) / 24)", f"{prefix}_hour_cos"),
+        s6(f"(strftime({t}, '%Y-%m-%d') IN ({Q.HOL}))::INT", f"{prefix}_is_holiday"), s6(f"(hour({t}) BETWEEN 7 AND 9)::INT", f"{prefix}_is_morning_peak"), s6(f"(hour({t}) BETWEEN 17 AND 19)::INT", f"{prefix}_is_evening_peak"),
+    ]
+
+
+_SERVING = [
+    s6("h", "prediction_horizon_min"), s6("sqrt(h)", "horizon_sqrt"), *_time_sql(f"TIMESTAMP '{Q.NOW}'", "current"), *_time_sql(_TARGET, "target"), *[s6(f"w.{c}", c) for c in FT.WEATHER],
+    s6("st.lon", "longitude"), s6("st.lat", "latitude"), s6("st.charge_count", "charge_count"), s6("st.tazid", "TAZID"), s6("z.p", "s_price"), s6("z.e", "e_price"), s6("coalesce(n.total, 0)", "poi_total_count"),
+    *[s6(f"coalesce(n.{k}, 0)", f"poi_{k}_count") for k in KINDS], *[s6(f"coalesce(n.{k} / nullif(n.total, 0)::DOUBLE, 0)", f"poi_{c}_ratio") for k, c in zip(KINDS, ("lifestyle", "business_residential", "food_beverage"), strict=True)],
+    s6("coalesce(f.a, g.v)", "station_avg_occupancy"), s6("coalesce(f.p, g.v)", "station_peak_avg_occupancy"), s6("coalesce(f.d, 0)", "station_avg_duration"), s6("coalesce(sh.v, gh.v, g.v)", "station_same_hour_occupancy"),
+    s6("coalesce(gh.v, g.v)", "global_same_hour_occupancy"), *[s6(f"nb.{c}", c) for c in FT.NEIGHBOR], s6("z.a", "occupancy_lag_1"), s6("z.b", "occupancy_lag_3"), s6("z.c", "occupancy_lag_6"), s6("z.d", "occupancy_lag_12"),
+    s6("z.m6", "occupancy_rolling_mean_6"), s6("z.m12", "occupancy_rolling_mean_12"), s6("z.s12", "occupancy_rolling_std_12"), s6("z.a - z.d", "occupancy_trend_12"),
+]
+SERVING = (
+    f", {KNN}, {POI_COUNTS}, r AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY time DESC, obs_id DESC) AS rn FROM obs WHERE time <= TIMESTAMP '2024-01-25 14:35:00'), "
+    "z AS (SELECT station_id, max(s_price) FILTER (rn = 1) AS p, max(e_price) FILTER (rn = 1) AS e, max(occ) FILTER (rn = 2) AS a, max(occ) FILTER (rn = 4) AS b, max(occ) FILTER (rn = 7) AS c, max(occ) FILTER (rn = 12) AS d, "
+    "avg(occ) FILTER (rn BETWEEN 2 AND 7) AS m6, avg(occ) FILTER (rn > 1) AS m12, stddev_samp(occ) FILTER (rn > 1) AS s12, greatest(5, least(120, 5.5::DOUBLE + station_id * 7 % 130)) AS h FROM r WHERE rn <= 12 GROUP BY station_id HAVING count(*) = 12), "
+    f"fit AS (SELECT *, hour(time) AS hour, isodow(time) - 1 AS weekday FROM obs WHERE time < TIMESTAMP '{CUT}'), f AS (SELECT station_id, avg(occ) AS a, coalesce(avg(occ) FILTER ({Q.PK}), avg(occ)) AS p, avg(duration) AS d FROM fit GROUP BY 1), g AS (SELECT avg(occ) AS v FROM fit), "
+    f"gh AS (SELECT avg(occ) AS v FROM fit WHERE hour = {_HOUR}), gw AS (SELECT avg(occ) AS v FROM fit WHERE hour = {_HOUR} AND weekday = {_DOW}), sh AS (SELECT station_id, avg(occ) AS v FROM fit WHERE hour = {_HOUR} GROUP BY 1), "
+    f"sw AS (SELECT station_id, avg(occ) AS v FROM fit WHERE hour = {_HOUR} AND weekday = {_DOW} GROUP BY 1), gp AS (SELECT avg(p) AS p, avg(d) AS d, avg(charge_count) AS c FROM f LEFT JOIN station USING (station_id)), "
+    "nb AS (SELECT k.station_id, count(*) AS neighbor_count, avg(k.d) * 1000 AS neighbor_avg_distance_m, avg(coalesce(f.a, g.v)) AS neighbor_avg_station_occupancy, max(coalesce(f.a, g.v)) AS neighbor_max_station_occupancy, avg(coalesce(f.p, gp.p)) AS neighbor_avg_peak_occupancy, "
+    "avg(coalesce(f.d, gp.d)) AS neighbor_avg_duration, avg(CASE WHEN f.a IS NULL THEN gp.c ELSE st.charge_count END) AS neighbor_avg_charge_count, avg(coalesce(sh.v, gh.v, g.v)) AS neighbor_avg_same_hour_occupancy, avg(coalesce(sw.v, gw.v, g.v)) AS neighbor_avg_same_weekday_hour_occupancy "
+    "FROM k LEFT JOIN f ON f.station_id = k.neighbor_id LEFT JOIN station st ON st.station_id = k.neighbor_id LEFT JOIN sh ON sh.station_id = k.neighbor_id LEFT JOIN sw ON sw.station_id = k.neighbor_id, g, gp, gh, gw GROUP BY 1), "
+    "w AS (SELECT * FROM weather WHERE weather_hour <= TIMESTAMP '2024-01-25 14:00:00' ORDER BY weather_hour DESC LIMIT 1)"
+)
+
+
+def _sources(spark, sf):
+    """Profile rows, stations, weather, POI counts and neighbours, as assemble takes them."""
+    o = saved(calendar(Q.obs(spark, sf)), "obs")
+    s = saved(S.station(spark, sf), "stations")
+    n = saved(X.knn(s, 5).select("station_id", "neighbor_id", "distance_km"), "neighbors")
+    fit = o.filter(F.col("time") < F.lit(CUT).cast("timestamp_ntz"))
+    return o, (fit, s, S.weather(spark, sf), saved(X.count_within(s, S.poi(spark, sf), 2.0, KINDS), "poi"), n)
+
+
+def _requests(s):
+    return s.select("station_id", (F.lit(5.5) + F.col("station_id") * 7 % 130).alias("horizon_min"))
+
+
+@query(SERVING + f" SELECT z.station_id, {', '.join(_SERVING)} FROM z JOIN station st USING (station_id) LEFT JOIN n USING (station_id) LEFT JOIN f USING (station_id) LEFT JOIN sh USING (station_id) LEFT JOIN nb USING (station_id), g, gh, w", "station", "poi", "obs", "weather")
+def serving_features(spark, sf):
+    """All features of one request for every station, each for its own horizon."""
+    o, sources = _sources(spark, sf)
+    out = FT.serving_features(_requests(sources[1]), Q.NOW, o, *sources)
+    return out.select(big("station_id"), *[r6(c) for c in FT.ALL])
+
+
+def _training(spark, sf, horizons=(5, 30)):
+    o, sources = _sources(spark, sf)
+    f = T.horizon_explode(T.horizon_targets(T.train_state(o.select("station_id", "time", "obs_id", "occ", "s_price", "e_price")), horizons), horizons)
+    f = f.select("station_id", "obs_id", "time", F.col("horizon_min").cast("double").alias("horizon_min"), "target", "s_price", "e_price", *FT.STATE)
+    return saved(T.split_at(FT.assemble(f, *sources), F.lit(CUT).cast("timestamp_ntz")), "training"), o, sources
 
 
 def gbt_predict(spark, sf):
-    """Boosted trees trained on the first weeks; predictions for the rest."""
-    f = _frame(spark, sf)
-    m = ml.train(f.filter("part = 'train'"), FEATURES, "target", trees=5, depth=4)
-    return ml.predict(m, f.filter("part = 'test'"), FEATURES).select(big("station_id"), big("obs_id"), r6("target"), r6("prediction"))
+    """Boosted trees of 5 trees of depth 4 on all features, trained on the days before CUT; predictions for the rest."""
+    f, *_ = _training(spark, sf)
+    m = ml.train(f.filter("part = 'train'"), FT.ALL, "target", trees=5, depth=4)
+    return ml.predict(m, f.filter("part = 'test'"), FT.ALL).select(big("station_id"), big("obs_id"), r6("horizon_min"), r6("target"), r6("prediction"))
+
+
+def gbt_serving(spark, sf):
+    """Predicted occupancy of every station at its own horizon, and of those at odd horizons."""
+    f, o, sources = _training(spark, sf)
+    m = ml.train(f.filter("part = 'train'"), FT.ALL, "target", trees=3, depth=4)
+    requests = _requests(sources[1])
+    features = saved(FT.serving_features(requests, Q.NOW, o, *sources), "serving")
+    own = FT.predict_requests(m, requests, features).select(big("station_id"), r6("horizon_min"), "predicted_occupancy", stamp("prediction_time"), "source")
+    odd = ml.predict(m, FT.at_horizons(features, (7.5, 22, 61.25, 180)), FT.ALL)
+    odd = odd.select(big("station_id"), r6("horizon_min"), F.col("prediction").alias("predicted_occupancy"), stamp("prediction_time", F.col("target_time")), F.lit("any horizon").alias("source"))
+    return own.unionByName(odd).withColumn("predicted_occupancy", F.round("predicted_occupancy", 6))
 
 
 def gbt_ablation(spark, sf):
-    """Errors of feature sets."""
-    f = _frame(spark, sf)
-    sets = {"all": FEATURES, "lags": FEATURES[:8], "context": FEATURES[8:]}
-    rows = ml.ablation(f.filter("part = 'train'"), f.filter("part = 'test'"), sets, "target", trees=3, depth=3)
+    """Errors of the named feature sets, with 3 trees of depth 3 each."""
+    f, *_ = _training(spark, sf)
+    rows = ml.ablation(f.filter("part = 'train'"), f.filter("part = 'test'"), FT.SETS, "target", trees=3, depth=3)
     return spark.createDataFrame([(r["feature_set"], r["n_features"], r["mae"], r["r2"]) for r in rows], "feature_set string, n_features int, mae double, r2 double")
 
 
 def random_search(spark, sf):
     """Two-stage search over tree settings, validated on the days before the test part."""
-    f = _frame(spark, sf).filter("part = 'train'")
-    f = T.split_at(f, F.lit("2024-01-15").cast("timestamp_ntz"))
-    rows = ml.random_search(f.filter("part = 'train'"), f.filter("part = 'test'"), FEATURES[:8], "target", {"trees": [2, 3, 4], "depth": [2, 3]}, 2, 1)
+    f, *_ = _training(spark, sf, (5,))
+    f = T.split_at(f.filter("part = 'train'"), F.lit("2024-01-15").cast("timestamp_ntz"))
+    rows = ml.random_search(f.filter("part = 'train'"), f.filter("part = 'test'"), FT.LAG, "target", {"trees": [2, 3, 4], "depth": [2, 3]}, 2, 1)
     return spark.createDataFrame([(r["trees"], r["depth"], r["mae"], r["r2"]) for r in rows], "trees int, depth int, mae double, r2 double")
 
 
-QUERIES["random_search"] = random_search
-QUERIES["gbt_predict"] = gbt_predict
-QUERIES["gbt_ablation"] = gbt_ablation
+QUERIES |= {f.__name__: f for f in (random_search, gbt_predict, gbt_serving, gbt_ablation)}

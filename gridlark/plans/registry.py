@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridlark.plans import forecast, roads, series, space
+from gridlark.plans import basics, forecast, roads, series, space
 
-QUERIES = series.QUERIES | space.QUERIES | roads.QUERIES | forecast.QUERIES
-ORACLE = series.ORACLE | space.ORACLE | roads.ORACLE | forecast.ORACLE
+QUERIES = series.QUERIES | space.QUERIES | roads.QUERIES | forecast.QUERIES | basics.QUERIES
+ORACLE = series.ORACLE | space.ORACLE | roads.ORACLE | forecast.ORACLE | basics.ORACLE

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlark.functions.timefn import calendar
 from gridlark.operators import graph as R
 from gridlark.operators import linear as L
+from gridlark.operators import profiles as P
 from gridlark.operators import ranking as K
 from gridlark.operators.constraints import Limits, post_check, pre_check
 from gridlark.operators.iterate import saved
-from gridlark.operators.recommend import checked_candidates, snap
+from gridlark.operators.recommend import service, snap
 from gridlark.plans import series as Q
-from gridlark.plans.helpers import big, r6, s6, sb
-from gridlark.plans.space import SEG, USER, hav
+from gridlark.plans.helpers import big, r6, s6, sb, st, stamp
+from gridlark.plans.space import KINDS, PAIR, SEG, USER, hav
 from gridlark.sources import scenario as S
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
-LIMITS = Limits(max_road_snap_distance_m=3000.0, max_search_radius_km=25.0, max_drive_time_min=12.0)
+LIMITS = Limits(max_road_snap_distance_m=3000.0, max_search_radius_km=25.0, max_drive_time_min=12.0, max_start_snap_distance_m=3000.0)
 
 
 def query(sql: str | None = None, *views: str):
@@ -61,17 +63,23 @@ def degree_importance(spark, sf):
     return R.importance(edges(spark, sf)).select("id", *[big(c) for c in ("n_in", "n_out", "edge_difference", "shortcut_bound", "degree")])
 
 
-CUT = "kept AS (SELECT * FROM road_edge WHERE (u + v) % 7 <> 0 AND (u * v) % 5 <> 0)"
+# Customers are nodes, and each links to the first one who ordered on the same day: most are isolated or in small groups.
+LINKS = "day AS (SELECT o_orderdate, min(o_custkey) AS f FROM orders GROUP BY 1), kept AS (SELECT DISTINCT o_custkey AS u, f AS v FROM orders JOIN day USING (o_orderdate))"
 
 
 def _kept(spark, sf):
-    u, v = F.col("u"), F.col("v")
-    return edges(spark, sf).filter(((u + v) % 7 != 0) & ((u * v) % 5 != 0))
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderdate", "o_custkey")
+    first = o.groupBy("o_orderdate").agg(F.min("o_custkey").alias("v"))
+    return o.join(first, "o_orderdate").select(F.col("o_custkey").alias("u"), "v").distinct()
 
 
-@query(f", {CUT} SELECT id FROM road_node WHERE id NOT IN (SELECT u FROM kept UNION SELECT v FROM kept)", "road_edge", "road_node")
+def _customers(spark, sf):
+    return spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("id"))
+
+
+@query(f", {LINKS} SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT u FROM kept UNION SELECT v FROM kept)", "grid")
 def isolates(spark, sf):
-    return R.isolates(S.road_node(spark, sf), _kept(spark, sf)).select("id")
+    return R.isolates(_customers(spark, sf), _kept(spark, sf)).select("id")
 
 
 @query(f"SELECT e.u, e.v, {s6('seconds', 'w')} FROM road_edge e JOIN road_node a ON a.id = e.u JOIN road_node b ON b.id = e.v WHERE a.x < 114.2 AND b.x < 114.2", "road_edge", "road_node")
@@ -79,9 +87,9 @@ def clip_subgraph(spark, sf):
     return R.induced(S.road_node(spark, sf).filter(F.col("x") < 114.2), edges(spark, sf)).select("u", "v", r6("w"))
 
 
-@query(f", {CUT}, l AS (SELECT u, v FROM kept UNION SELECT v, u FROM kept), r(id, c) USING KEY (id) AS (SELECT id, id FROM road_node UNION (SELECT l.v, min(r.c) FROM r JOIN l ON l.u = r.id LEFT JOIN recurring.r k ON k.id = l.v GROUP BY l.v, k.c HAVING min(r.c) < k.c)) SELECT id, c AS component FROM r", "road_edge", "road_node")
+@query(f", {LINKS}, l AS (SELECT u, v FROM kept UNION SELECT v, u FROM kept), r(id, c) USING KEY (id) AS (SELECT c_custkey, c_custkey FROM customer UNION (SELECT l.v, min(r.c) FROM r JOIN l ON l.u = r.id LEFT JOIN recurring.r k ON k.id = l.v GROUP BY l.v, k.c HAVING min(r.c) < k.c)) SELECT id, c AS component FROM r", "grid")
 def components(spark, sf):
-    return R.components(S.road_node(spark, sf).select("id"), _kept(spark, sf)).select("id", "component")
+    return R.components(_customers(spark, sf), _kept(spark, sf)).select("id", "component")
 
 
 @query(", one AS (SELECT u, v, 1.0::DOUBLE AS seconds FROM road_edge), " + from_node("0", e="one") + " SELECT id, d::BIGINT AS hops FROM r", "road_edge")
@@ -100,10 +108,10 @@ def sssp_paths(spark, sf):
     return R.shortest(edges(spark, sf), R.source_rows(spark, [0])).select("id", r6("cost"), "parent")
 
 
-@query(f", {from_node('0')} SELECT id, {s6('d / 60', 'drive_min')}, {s6('d / 100', 'distance_km')} FROM r WHERE id % 3 = 0", "road_edge")
+@query(f", {from_node('0')} SELECT id, {s6('d / 60', 'drive_min')}, {s6('d / 100', 'distance_km')} FROM r", "road_edge")
 def path_metrics(spark, sf):
     e = edges(spark, sf).withColumn("length_m", F.col("seconds") * 10).withColumn("key", F.lit(0))
-    p = R.shortest(e, R.source_rows(spark, [0]), paths=True).filter("id % 3 = 0")
+    p = R.shortest(e, R.source_rows(spark, [0]), paths=True)
     return R.path_metrics(p, R.best_parallel(e), ["id"]).select("id", r6("drive_min"), r6("distance_km"))
 
 
@@ -127,13 +135,13 @@ def landmark_bound(spark, sf):
 QUERIES["landmark_bound"] = landmark_bound
 
 
-@query(f", {from_node('0')} SELECT 0::BIGINT AS start, id AS goal, {s6('d', 'cost')} FROM r WHERE id > 0 AND id % 9 = 0", "road_edge")
+@query(f", {from_node('0')} SELECT 0::BIGINT AS start, id AS goal, {s6('d', 'cost')} FROM r WHERE id > 0", "road_edge")
 def ch_query_cost(spark, sf):
     e = saved(edges(spark, sf), "edges")
     n = S.road_node(spark, sf).select("id")
     ranks, ch = R.contract(e, n)
-    pairs = n.filter("id > 0 AND id % 9 = 0").select(F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
-    return R.hierarchy_cost(saved(ranks, "ranks"), saved(ch, "ch"), pairs).select("start", "goal", r6("cost"))
+    pairs = n.filter("id > 0").select(F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
+    return R.hierarchy_cost(ranks, ch, pairs).select("start", "goal", r6("cost"))
 
 
 @query(f", {SEG}, q AS (SELECT *, {USER} AS straight_km, {hav('lat', 'lon', 'py', 'px')} * 1000 AS snap_m FROM sn JOIN station USING (station_id, lon, lat)) SELECT station_id, CASE WHEN charge_count = 13 THEN 'missing_access_node' WHEN straight_km > 25 THEN 'outside_search_radius' WHEN charge_count < 4 THEN 'too_few_chargers' WHEN snap_m > 3000 THEN 'road_snap_distance_too_far' END AS reject_reason FROM q", "station", "road_node", "road_pair")
@@ -171,11 +179,21 @@ def post_constraints(spark, sf):
     return post_check(r, Limits(current_soc=0.1, min_arrival_soc=0.05, max_drive_time_min=12.0)).select("id", "reject_reason", r6("arrival_soc"))
 
 
-START = 0
-PROFILE = "pf AS (SELECT station_id, avg(occ) AS v FROM obs GROUP BY 1)"
+NOW = Q.NOW
+AT = f"TIMESTAMP '{NOW}' + to_microseconds(round(coalesce(drive_min, 0) * 60000000)::BIGINT)"
+START_ROW = SEG.replace("pr AS", "upr AS").replace("sn AS", "usn AS").replace("FROM pr)", "FROM upr)").replace("FROM station, seg", "FROM me AS station, seg").split(", upr AS", 1)[1]
+# The start is a place on its street; costs go from both ends of the street, and on a shared street straight along it.
 CHECKED = (
-    f", {SEG}, {PROFILE}, {from_node(str(START))}, c AS (SELECT * FROM (SELECT *, {USER} AS straight_km FROM station) WHERE straight_km <= 25 ORDER BY straight_km, station_id LIMIT 20), "
-    f"q AS (SELECT c.station_id, c.straight_km, {hav('c.lat', 'c.lon', 'py', 'px')} * 1000 AS snap_m, r.d / 60 AS drive_min, r.d / 100 AS distance_km, pf.v AS occupancy, c.charge_count FROM c JOIN sn USING (station_id) LEFT JOIN r ON r.id = sn.u LEFT JOIN pf USING (station_id)), "
+    f", {SEG}, me AS (SELECT -1 AS station_id, {S.USER_LON}::DOUBLE AS lon, {S.USER_LAT}::DOUBLE AS lat), upr AS{START_ROW}, "
+    "s0 AS (SELECT usn.u, usn.v, usn.t, f.seconds AS fs, g.seconds AS gs FROM usn JOIN road_edge f ON f.u = usn.u AND f.v = usn.v JOIN road_edge g ON g.u = usn.v AND g.v = usn.u), "
+    "r(id, d) USING KEY (id) AS (SELECT v, fs * (1 - t) FROM s0 UNION SELECT u, gs * t FROM s0 UNION (SELECT e.v, min(r.d + e.seconds) FROM r JOIN road_edge e ON e.u = r.id LEFT JOIN recurring.r k ON k.id = e.v GROUP BY e.v, k.d HAVING k.d IS NULL OR min(r.d + e.seconds) < k.d)), "
+    f"c AS (SELECT * FROM (SELECT *, {USER} AS straight_km FROM station) WHERE straight_km <= 25 ORDER BY straight_km, station_id LIMIT 20), "
+    f"q0 AS (SELECT c.station_id, c.lon, c.lat, c.straight_km, {hav('c.lat', 'c.lon', 'py', 'px')} * 1000 AS snap_m, c.charge_count, "
+    "least(a.d + sn.t * f.seconds, b.d + (1 - sn.t) * g.seconds, CASE WHEN s0.u IS NOT NULL AND sn.t >= s0.t THEN (sn.t - s0.t) * f.seconds WHEN s0.u IS NOT NULL THEN (s0.t - sn.t) * g.seconds END) AS sec "
+    "FROM c JOIN sn USING (station_id) JOIN road_edge f ON f.u = sn.u AND f.v = sn.v JOIN road_edge g ON g.u = sn.v AND g.v = sn.u LEFT JOIN r a ON a.id = sn.u LEFT JOIN r b ON b.id = sn.v LEFT JOIN s0 ON s0.u = sn.u AND s0.v = sn.v), "
+    "q1 AS (SELECT *, CASE WHEN snap_m <= 3000 AND charge_count >= 1 AND sec / 60 <= 24 THEN sec / 60 END AS drive_min FROM q0), "
+    "cal AS (SELECT *, hour(time) AS hour, isodow(time) - 1 AS weekday FROM obs), pa AS (SELECT station_id, avg(occ) AS v FROM obs GROUP BY 1), ph AS (SELECT station_id, hour, avg(occ) AS v FROM cal GROUP BY 1, 2), pw AS (SELECT station_id, hour, weekday, avg(occ) AS v FROM cal GROUP BY 1, 2, 3), "
+    f"q AS (SELECT q1.*, drive_min * 60 / 100 AS distance_km, coalesce(pw.v, ph.v, pa.v) AS occupancy FROM q1 LEFT JOIN pa USING (station_id) LEFT JOIN ph ON ph.station_id = q1.station_id AND ph.hour = hour({AT}) LEFT JOIN pw ON pw.station_id = q1.station_id AND pw.hour = hour({AT}) AND pw.weekday = isodow({AT}) - 1), "
     "k AS (SELECT *, CASE WHEN straight_km > 25 THEN 'outside_search_radius' WHEN charge_count < 1 THEN 'too_few_chargers' WHEN snap_m > 3000 THEN 'road_snap_distance_too_far' WHEN drive_min IS NULL THEN 'path_not_found' WHEN drive_min > 12 THEN 'drive_time_exceeds_limit' "
     "WHEN distance_km * 0.188 > 30 THEN 'insufficient_energy' WHEN (30 - distance_km * 0.188) / 60 < 0.1 THEN 'arrival_soc_below_safety_threshold' END AS reject_reason, (30 - distance_km * 0.188::DOUBLE) / 60 AS arrival_soc, drive_min / 12 + occupancy AS score FROM q), ok AS (SELECT * FROM k WHERE reject_reason IS NULL)"
 )
@@ -183,26 +201,36 @@ VIEWS = ("station", "road_node", "road_edge", "obs")
 
 
 def _checked(spark, sf):
-    e = S.road_edge(spark, sf).withColumn("length_m", F.col("seconds") * 10)
-    occ = Q.obs(spark, sf).groupBy("station_id").agg(F.avg("occ").alias("occupancy"))
-    return saved(checked_candidates(_access(spark, sf), saved(e, "edges"), START, S.USER_LON, S.USER_LAT, occ, LIMITS), "checked")
+    """The request of the user at NOW: from a real place, with POI counts and expected occupancy."""
+    e = saved(S.road_edge(spark, sf).withColumn("length_m", F.col("seconds") * 10), "edges")
+    cube = P.profile_cube(calendar(Q.obs(spark, sf)))
+    out = service(S.station(spark, sf), S.road_node(spark, sf), e, [[S.BOUNDARY]], S.USER_LON, S.USER_LAT, NOW, cube, S.poi(spark, sf), KINDS, LIMITS)
+    return saved(out, "checked")
 
 
-@query(CHECKED + f" SELECT station_id, reject_reason, {s6('straight_km', 'straight_km')}, {s6('drive_min', 'drive_min')} FROM k WHERE snap_m <= 3000 OR reject_reason IS NOT NULL AND snap_m <= 3000", *VIEWS)
+@query(CHECKED + f" SELECT station_id, reject_reason, {s6('straight_km', 'straight_km')}, {s6('drive_min', 'drive_min')}, {s6('occupancy', 'occupancy')} FROM k", *VIEWS)
 def checked_stations(spark, sf):
-    out = _checked(spark, sf).filter("coalesce(reject_reason, '') <> 'road_snap_distance_too_far'")
-    return out.select(big("station_id"), "reject_reason", r6("straight_km"), r6("drive_min"))
+    return _checked(spark, sf).select(big("station_id"), "reject_reason", r6("straight_km"), r6("drive_min"), r6("occupancy"))
 
 
 def _order_sql(metric: str) -> str:
     return ", ".join(f"{c} DESC NULLS LAST" if c == "arrival_soc" else f"{c} ASC NULLS LAST" for c in K.METRICS[metric]) + ", station_id"
 
 
-@query(CHECKED + f" SELECT station_id, row_number() OVER (ORDER BY {_order_sql('balanced')}) AS rank, {s6('distance_km', 'distance_km')}, {s6('drive_min', 'drive_min')}, {s6('occupancy', 'occupancy')}, {s6('arrival_soc', 'arrival_soc')}, {s6('score', 'score')}, 'Charging Station ' || station_id AS name FROM ok ORDER BY rank LIMIT 5", *VIEWS)
+POIS = f"n AS (SELECT a.station_id, count(*) AS total, {', '.join(f'count(*) FILTER (b.kind = {chr(39)}{k}{chr(39)}) AS {k}' for k in KINDS)} FROM ok a JOIN poi b ON {PAIR} <= 2 GROUP BY 1)"
+
+
+@query(
+    CHECKED + f", {POIS} SELECT station_id, row_number() OVER (ORDER BY {_order_sql('balanced')}) AS rank, {s6('distance_km', 'distance_km')}, {s6('drive_min', 'drive_min')}, {s6('occupancy', 'occupancy')}, {s6('arrival_soc', 'arrival_soc')}, {s6('score', 'score')}, "
+    f"{st(AT, 'arrival')}, coalesce(total, 0) AS total, {', '.join(f'coalesce({k}, 0) AS {k}' for k in KINDS)}, 'Charging Station ' || station_id AS name FROM ok LEFT JOIN n USING (station_id) ORDER BY rank LIMIT 5", *VIEWS, "poi",
+)
 def recommend(spark, sf):
     """Flagship: the best feasible stations for a user, in the balanced order."""
     out = K.ranked(_checked(spark, sf).filter("reject_reason is null"), "balanced", 5)
-    return out.select(big("station_id"), big("rank"), r6("distance_km"), r6("drive_min"), r6("occupancy"), r6("arrival_soc"), r6("score"), F.concat(F.lit("Charging Station "), F.col("station_id").cast("string")).alias("name"))
+    return out.select(
+        big("station_id"), big("rank"), r6("distance_km"), r6("drive_min"), r6("occupancy"), r6("arrival_soc"), r6("score"), stamp("arrival"), big("total"), *[big(k) for k in KINDS],
+        F.concat(F.lit("Charging Station "), F.col("station_id").cast("string")).alias("name"),
+    )
 
 
 @query(CHECKED + " " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{m}' AS metric, row_number() OVER (ORDER BY {_order_sql(m)}) AS rank, station_id FROM ok) WHERE rank <= 5" for m in K.METRICS), *VIEWS)
@@ -243,21 +271,33 @@ def edge_split_conservation(spark, sf):
 
 @query(", one AS (SELECT u, v, 1.0::DOUBLE AS seconds FROM road_edge), " + from_node("0", e="one") + f" SELECT {sb('d', 'step')}, count(*) AS n, {sb('min(id)', 'first_node')} FROM r WHERE d > 0 GROUP BY d", "road_edge")
 def bfs_frontiers(spark, sf):
-    out = L.frontiers(edges(spark, sf), R.source_rows(spark, [0]))
-    return out.select(big("step"), big("n", F.size("nodes")), big("first_node", F.array_min("nodes")))
+    return L.frontiers(edges(spark, sf), R.source_rows(spark, [0])).select(big("step"), big("n"), big("first_node"))
 
 
 @query(", one AS (SELECT u, v, 1.0::DOUBLE AS seconds FROM road_edge), " + from_node("0", e="one") + f" SELECT {sb('d', 'hops')} FROM r WHERE id = 9", "road_edge")
 def bidirectional_bfs(spark, sf):
-    return L.bidirectional_hops(edges(spark, sf), R.source_rows(spark, [0]), R.source_rows(spark, [9])).select(big("hops"))
+    n, _ = L.bidirectional_hops(edges(spark, sf), 0, 9)
+    return spark.createDataFrame([(n,)], "hops long")
+
+
+# A directed pair of places is a side of the hull if no place of the group lies right of it; sides end at extreme places.
+HULL = (
+    ", s AS (SELECT DISTINCT tazid, lon AS x, lat AS y FROM station), side AS (SELECT a.tazid, a.x, a.y, b.x AS x2, b.y AS y2 FROM s a JOIN s b ON a.tazid = b.tazid AND (a.x <> b.x OR a.y <> b.y) "
+    "WHERE NOT EXISTS (SELECT 1 FROM s c WHERE c.tazid = a.tazid AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-12::DOUBLE "
+    "OR c.tazid = a.tazid AND abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-12::DOUBLE AND (pow(c.x - a.x, 2) + pow(c.y - a.y, 2) > pow(b.x - a.x, 2) + pow(b.y - a.y, 2) OR pow(c.x - b.x, 2) + pow(c.y - b.y, 2) > pow(b.x - a.x, 2) + pow(b.y - a.y, 2))))"
+)
 
 
-@query(f"SELECT tazid, {s6('min(lon)', 'west')}, {s6('max(lon)', 'east')}, {s6('min(lat)', 'south')}, {s6('max(lat)', 'north')} FROM station GROUP BY tazid", "station")
-def convex_hull_bounds(spark, sf):
-    """A hull has the same bounds as its points."""
+@query(HULL + f" SELECT tazid, count(*) AS corners, {s6('sum(x * y2 - x2 * y) / 2', 'area')}, {s6('sum(x)', 'sum_x')}, {s6('sum(y)', 'sum_y')} FROM side GROUP BY tazid", "station")
+def convex_hull(spark, sf):
+    """Corners and area of each zone's hull; a zone of one place has none."""
     s = S.station(spark, sf).select("tazid", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    h = L.convex_hull(s, "tazid").groupBy("tazid").agg(F.min("x").alias("w"), F.max("x").alias("e"), F.min("y").alias("s"), F.max("y").alias("n"))
-    return h.select(big("tazid"), r6("west", "w"), r6("east", "e"), r6("south", "s"), r6("north", "n"))
+    h = L.convex_hull(s, "tazid")
+    n = h.groupBy("tazid").agg(F.count("*").alias("corners")).filter("corners > 1")
+    nxt = h.select("tazid", F.col("pos").alias("p"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    side = h.join(n, "tazid").withColumn("p", (F.col("pos") + 1) % F.col("corners")).join(nxt, ["tazid", "p"])
+    out = side.groupBy("tazid").agg(F.count("*").alias("corners"), (F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) / 2).alias("area"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    return out.select(big("tazid"), "corners", r6("area"), r6("sum_x", "sx"), r6("sum_y", "sy"))
 
 
 @query(f", a AS (SELECT id, x, y, 0 AS o FROM road_node UNION ALL SELECT id, x + 1, y, 1 FROM road_node WHERE id % 3 = 0) SELECT id, {s6('arg_max(x, o)', 'x')}, {s6('arg_max(y, o)', 'y')} FROM a GROUP BY id", "road_node")

@@ -123,34 +123,36 @@ def serving_state_asof(spark, sf):
     return out.select(big("station_id"), *[r6(c) for c in ("s_price", "e_price", "lag_1", "lag_3", "lag_6", "lag_12", "mean_6", "mean_12", "std_12", "trend_12")])
 
 
-def _weather3(spark, sf):
-    """Weather of every third hour only, so that joins leave gaps."""
-    return S.weather(spark, sf).filter(F.hour("weather_hour") % 3 == 0)
-
-
-W3 = "w3 AS (SELECT * FROM weather WHERE hour(weather_hour) % 3 = 0)"
-
-
-@query(f", {W3} SELECT o.station_id, o.obs_id, {s6('temperature', 'temperature')}, {s6('humidity', 'humidity')}, {s6('rain', 'rain')} FROM obs o LEFT JOIN w3 ON date_trunc('hour', o.time) = weather_hour", "obs", "weather")
+@query(f"SELECT o.station_id, o.obs_id, {s6('temperature', 'temperature')}, {s6('humidity', 'humidity')}, {s6('rain', 'rain')} FROM obs o LEFT JOIN weather ON date_trunc('hour', o.time) = weather_hour", "obs", "weather")
 def weather_left_join(spark, sf):
     o = obs(spark, sf).withColumn("weather_hour", F.date_trunc("hour", "time").cast("timestamp_ntz"))
-    return o.join(_weather3(spark, sf), "weather_hour", "left").select(*key(), r6("temperature"), r6("humidity"), r6("rain"))
+    return o.join(S.weather(spark, sf), "weather_hour", "left").select(*key(), r6("temperature"), r6("humidity"), r6("rain"))
+
+
+# A reading is known from the hour's last event on, so most rows take the hour before; the first ones have none yet.
+ISSUED = "SELECT max(ts) AS issued, avg(value) AS temperature, max(value) AS rain FROM events GROUP BY date_trunc('hour', ts)"
 
 
 @query(
-    f", {W3} SELECT o.station_id, o.obs_id, {s6('coalesce(w3.temperature, f.temperature)', 'temperature')}, {s6('coalesce(w3.rain, f.rain)', 'rain')} FROM obs o ASOF LEFT JOIN w3 ON o.time >= w3.weather_hour, (SELECT * FROM w3 ORDER BY weather_hour LIMIT 1) f", "obs", "weather",
+    f", i AS ({ISSUED}) SELECT o.station_id, o.obs_id, {s6('coalesce(i.temperature, f.temperature)', 'temperature')}, {s6('coalesce(i.rain, f.rain)', 'rain')} FROM obs o ASOF LEFT JOIN i ON o.time >= i.issued, (SELECT * FROM i ORDER BY issued LIMIT 1) f", "obs", "weather",
 )
 def weather_asof(spark, sf):
-    out = T.asof(obs(spark, sf), _weather3(spark, sf), "time", "weather_hour", ["temperature", "rain"])
-    return out.select(*key(), r6("temperature"), r6("rain"))
+    e = spark.read.parquet(f"{sf}/events.parquet").select("ts", "value")
+    issued = e.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.max("ts").alias("issued"), F.avg("value").alias("temperature"), F.max("value").alias("rain"))
+    return T.asof(obs(spark, sf), issued, "time", "issued", ["temperature", "rain"]).select(*key(), r6("temperature"), r6("rain"))
+
+
+# Hours with an even number of readings count as missing: all rows are answered, many of them by filling.
+GAPS = "CASE WHEN humidity::BIGINT % 2 = 1 THEN temperature END"
 
 
 @query(
-    f", {W3}, j AS (SELECT o.station_id, o.obs_id, o.time, temperature FROM obs o LEFT JOIN w3 ON date_trunc('hour', o.time) = weather_hour) "
+    f", j AS (SELECT o.station_id, o.obs_id, o.time, {GAPS} AS temperature FROM obs o LEFT JOIN weather ON date_trunc('hour', o.time) = weather_hour) "
     f"SELECT station_id, obs_id, {s6('coalesce(last_value(temperature IGNORE NULLS) OVER (ORDER BY station_id, time, obs_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(temperature IGNORE NULLS) OVER (ORDER BY station_id, time, obs_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', 'temperature')} FROM j", "obs", "weather",
 )
 def weather_fill(spark, sf):
-    o = obs(spark, sf).withColumn("weather_hour", F.date_trunc("hour", "time").cast("timestamp_ntz")).join(_weather3(spark, sf), "weather_hour", "left")
+    w = S.weather(spark, sf).withColumn("temperature", F.when(F.col("humidity").cast("long") % 2 == 1, F.col("temperature")))
+    o = obs(spark, sf).withColumn("weather_hour", F.date_trunc("hour", "time").cast("timestamp_ntz")).join(w, "weather_hour", "left")
     return T.fill_both(o, ["temperature"], ["station_id", "time", "obs_id"], F.col("station_id")).select(*key(), r6("temperature"))
 
 
@@ -253,11 +255,10 @@ def access_list_filter(spark, sf):
     return p.filter(~F.exists(list_literal(F.col("access")), lambda x: x.isin("private", "no"))).select("p_partkey")
 
 
-@query(f"SELECT station_id, obs_id, {s6('greatest(0.2, least(0.8, occ))', 'clipped')}, '<b>' || station_id || '</b> & co' AS label FROM obs", "obs")
+@query(f"""SELECT station_id, obs_id, {s6('greatest(0.2, least(0.8, occ))', 'clipped')}, '&lt;b title=&quot;it&#39;s&quot;&gt;' || station_id || '&lt;/b&gt; &amp; co' AS label FROM obs""", "obs")
 def clip_and_escape(spark, sf):
-    text = F.concat(F.lit("<b>"), F.col("station_id").cast("string"), F.lit("</b> & co"))
-    back = F.replace(F.replace(F.replace(html_escape(text), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    return obs(spark, sf).select(*key(), r6("clipped", clip(F.col("occ"), 0.2, 0.8)), back.alias("label"))
+    text = F.concat(F.lit("<b title=\"it's\">"), F.col("station_id").cast("string"), F.lit("</b> & co"))
+    return obs(spark, sf).select(*key(), r6("clipped", clip(F.col("occ"), 0.2, 0.8)), html_escape(text).alias("label"))
 
 
 @query("SELECT station_id, charge_count FROM station WHERE charge_count > 15 OR NOT EXISTS (SELECT 1 FROM station WHERE charge_count > 15)", "station")

@@ -93,9 +93,25 @@ def _ring_sql() -> str:
     return "(" + " + ".join(out) + ") % 2 = 1"
 
 
-@query(f"SELECT station_id FROM station WHERE {_ring_sql()}", "station")
+def _border_sql(lon: str, lat: str) -> str:
+    """Whether a place is on the border, by its distance from each side."""
+    out = []
+    for (ax, ay), (bx, by) in zip(S.BOUNDARY, [*S.BOUNDARY[1:], S.BOUNDARY[0]], strict=True):
+        dx, dy = bx - ax, by - ay
+        t = f"greatest(0, least(1, (({lon} - {ax}::DOUBLE) * {dx!r}::DOUBLE + ({lat} - {ay}::DOUBLE) * {dy!r}::DOUBLE) / {dx * dx + dy * dy!r}::DOUBLE))"
+        out.append(f"sqrt(pow({lon} - ({ax}::DOUBLE + {t} * {dx!r}::DOUBLE), 2) + pow({lat} - ({ay}::DOUBLE + {t} * {dy!r}::DOUBLE), 2)) <= 1e-12::DOUBLE")
+    return "(" + " OR ".join(out) + ")"
+
+
+# Corners of the area stand beside the stations, with negative numbers: they lie on the border.
+CORNERS = ", ".join(f"({-1 - i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(S.BOUNDARY))
+
+
+@query(f", p AS (SELECT station_id, lon, lat FROM station UNION ALL SELECT * FROM (VALUES {CORNERS}) v(station_id, lon, lat)) SELECT station_id FROM p WHERE {_ring_sql()} OR {_border_sql('lon', 'lat')}", "station")
 def points_in_boundary(spark, sf):
-    return S.station(spark, sf).filter(G.covers(F.col("lon"), F.col("lat"), [[S.BOUNDARY]])).select(big("station_id"))
+    corners = spark.createDataFrame([(-1 - i, x, y) for i, (x, y) in enumerate(S.BOUNDARY)], "station_id long, lon double, lat double")
+    rings = spark.createDataFrame([(0, 0, S.BOUNDARY)], "polygon int, ring int, points array<struct<lon:double,lat:double>>")
+    return X.covered(S.station(spark, sf).select("station_id", "lon", "lat").unionByName(corners), rings).select(big("station_id"))
 
 
 @query(f"SELECT station_id, {_ring_sql()} AS inside FROM station", "station")
@@ -124,12 +140,15 @@ def tile_grid(spark, sf):
     )
 
 
-@query(f"SELECT station_id, {s6('lon', 'lon')}, {s6('lat', 'lat')} FROM station", "station")
+# Planar places, metres from a corner, taken to degrees; the same formula in SQL.
+_MX, _MY = "(12660000 + station_id * 7919 % 90000)::DOUBLE", "(2560000 + station_id * 6101 % 50000)::DOUBLE"
+
+
+@query(f"SELECT station_id, {s6(f'degrees({_MX} / 6378137)', 'lon')}, {s6(f'degrees(2 * atan(exp({_MY} / 6378137)) - pi() / 2)', 'lat')} FROM station", "station")
 def mercator_inverse(spark, sf):
-    """Forth and back: the inverse projection must give the station's place again."""
-    x, y = G.wgs84_to_mercator(F.col("lon"), F.col("lat"))
-    lon, lat = G.mercator_to_wgs84(F.col("x"), F.col("y"))
-    return S.station(spark, sf).withColumns({"x": x, "y": y}).select(big("station_id"), r6("lon", lon), r6("lat", lat))
+    s = F.col("station_id")
+    lon, lat = G.mercator_to_wgs84((12_660_000 + s * 7919 % 90_000).cast("double"), (2_560_000 + s * 6101 % 50_000).cast("double"))
+    return S.station(spark, sf).select(big("station_id"), r6("lon", lon), r6("lat", lat))
 
 
 def _gcj_sql() -> tuple[str, str]:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Callable, Iterable
+from html import escape
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlark.functions.scalar import html_escape
+
 OBSERVATION = "time timestamp_ntz, busy bigint, idle bigint, s_price double, e_price double, duration string"
 
 
@@ -84,3 +88,67 @@ def audit(spark: SparkSession, folder: str, expected: Iterable[str]) -> DataFram
 
 def write_partitioned_csv(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("header", True).option("compression", "gzip").partitionBy(by).csv(path)
+
+
+def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """A GraphML text of nodes (id, data) and edges (u, v, key, data), data maps of texts; lines are dealt in order by Spark.
+
+    The names of attributes are collected: they are columns of the graph, not its rows.
+    """
+    esc = lambda c: html_escape(c)
+    names = {}
+    for kind, df in (("node", nodes), ("edge", edges)):
+        for r in df.select(F.explode(F.map_keys("data")).alias("k")).distinct().orderBy("k").collect():
+            names[kind, r.k] = f"d{len(names)}"
+    head = ['<?xml version="1.0" encoding="utf-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
+    head += [f'<key id="{i}" for="{kind}" attr.name="{escape(k)}" attr.type="string"/>' for (kind, k), i in names.items()]
+    head.append('<graph edgedefault="directed">')
+
+    def data(kind: str) -> Column:
+        ids = [(k, i) for (x, k), i in names.items() if x == kind]
+        lookup = F.create_map(*[F.lit(v) for pair in ids for v in pair]) if ids else F.create_map().cast("map<string,string>")
+        items = F.transform(F.array_sort(F.map_entries("data")), lambda e: F.concat(F.lit('<data key="'), F.try_element_at(lookup, e["key"]), F.lit('">'), esc(F.coalesce(e["value"], F.lit(""))), F.lit("</data>")))
+        return F.concat_ws("", items)
+
+    n = nodes.select(F.lit(1).alias("o"), F.col("id").alias("a"), F.lit("").alias("b"), F.concat(F.lit('<node id="'), esc(F.col("id")), F.lit('">'), data("node"), F.lit("</node>")).alias("value"))
+    e = edges.select(
+        F.lit(2).alias("o"), F.col("u").alias("a"), F.col("v").alias("b"),
+        F.concat(F.lit('<edge source="'), esc(F.col("u")), F.lit('" target="'), esc(F.col("v")), F.lit('" id="'), F.col("key").cast("string"), F.lit('">'), data("edge"), F.lit("</edge>")).alias("value"),
+    )
+    spark = nodes.sparkSession
+    frame = spark.createDataFrame([(0, "", f"{i:06d}", x) for i, x in enumerate(head)] + [(3, "", "", "</graph>"), (4, "", "", "</graphml>")], "o int, a string, b string, value string")
+    # parts are written in the order of their names, so the files one after another are the document
+    frame.unionByName(n).unionByName(e).orderBy("o", "a", "b", "value").select("value").write.mode("overwrite").text(path)
+
+
+def write_metadata(spark: SparkSession, data: dict, path: str) -> None:
+    """Small JSON metadata, through Spark's writer, so that any store works."""
+    spark.createDataFrame([(json.dumps(data, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metadata(spark: SparkSession, path: str) -> dict:
+    return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one small text
+
+
+def built_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
+    """The table at path; built and written first where it is absent, unfinished, or to be rebuilt."""
+    store = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if rebuild or not store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+class Progress:
+    """Results of a long search as rows of a table: a new run goes on where a lost one stopped."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+        spark.createDataFrame([], schema).write.mode("append").parquet(path)
+
+    def rows(self) -> list[dict]:
+        return [r.asDict() for r in self.spark.read.schema(self.schema).parquet(self.path).collect()]  # a row a trial
+
+    def add(self, rows: list[dict]) -> None:
+        if rows:
+            names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
+            self.spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], self.schema).coalesce(1).write.mode("append").parquet(self.path)

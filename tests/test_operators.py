@@ -160,7 +160,25 @@ def test_stream_matches_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     batch = occupancy.slot_means(obs, 60)
-    assert spark.table("slots").exceptAll(batch.select(*spark.table("slots").columns)).isEmpty() or spark.table("slots").count() == batch.count()
+    rows = lambda df: sorted((r.station_id, r.slot, r.n, round(r.mean_occ, 9)) for r in df.collect())
+    assert rows(spark.table("slots")) == rows(batch) and batch.count() > 0
+
+
+def test_stream_of_last_rows(spark, tmp_path):
+    from gridlark.sources import scenario
+
+    obs = scenario.observation(spark, "/root/testdata/sf0.001").withColumn("time", F.col("time").cast("timestamp")).select("station_id", "time", "obs_id", "busy", "idle")
+    obs.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(obs.schema).parquet(str(tmp_path / "in"))
+    q = occupancy.last_rows(stream).writeStream.outputMode("update").format("memory").queryName("last").start()
+    q.processAllAvailable()
+    q.stop()
+    want = {}
+    for r in obs.orderBy("time", "obs_id").collect():
+        if r.busy + r.idle:
+            want.setdefault(r.station_id, []).append(r.busy / (r.busy + r.idle))
+    got = {r.station_id: (r.n, r.mean_occ) for r in spark.table("last").collect() if r.n}
+    assert got == {k: (len(v[-12:]), pytest.approx(sum(v[-12:]) / len(v[-12:]))) for k, v in want.items()}
 
 
 def test_substring(spark):
@@ -189,3 +207,125 @@ def test_hull_and_start(spark):
     items = spark.createDataFrame([(1,), (2,), (3,)], "id2 int")
     order = spark.createDataFrame([(0, 3), (1, 1)], "pos int, id int")
     assert [r.id2 for r in linear.in_order(items, order, "id2").orderBy("rank").collect()] == [3, 1, 2]
+
+
+def test_searches_on_random_graphs(spark):
+    """Goal-directed, two-sided and bounded searches and hierarchies against Dijkstra's algorithm."""
+    from gridlark.operators import linear
+
+    rnd = random.Random(9)
+    rows = [(u, v, float(rnd.randint(1, 30))) for u in range(16) for v in rnd.sample(range(16), 2) if u != v]
+    e = spark.createDataFrame(rows, "u long, v long, w double")
+    want = dijkstra(rows, 0)
+    steps = dijkstra([(u, v, 1.0) for u, v, _ in rows], 0)
+    nodes = spark.range(18).withColumns({"x": F.col("id").cast("double"), "y": F.lit(0.0)})  # two of them alone
+    table = graph.landmark_table(e, [0, 5])
+    for goal in (3, 11, 17):
+        g = spark.createDataFrame([(goal,)], "id long")
+        bounds = graph.landmark_bound(table, g).select("id", (F.col("bound") * 0.999).alias("bound"))
+        hit = graph.goal_directed(e, spark.createDataFrame([(0,)], "id long"), g, bounds).collect()
+        assert [r.cost for r in hit] == ([want[goal]] if goal in want else [])
+        n, middle = linear.bidirectional_hops(e, 0, goal)
+        assert n == (int(steps[goal]) if goal in steps else None) and (middle is None) == (goal not in steps)
+    costs = graph.shortest(e, graph.source_rows(spark, [0]), limit=25.0)
+    assert {r.id: r.cost for r in costs.collect()} == {k: v for k, v in want.items() if v <= 25}
+    far = max(want, key=want.get)
+    full = graph.shortest(e.withColumn("one", F.lit(1.0)), graph.source_rows(spark, [0]), sums=["one"])
+    path = graph.walk_back(full, spark.createDataFrame([(0, far)], "source long, id long")).first().path
+    least = {}
+    for u, v, w in rows:
+        least[u, v] = min(w, least.get((u, v), w))
+    assert path[0] == 0 and path[-1] == far and sum(least[p] for p in zip(path, path[1:], strict=False)) == want[far]
+    assert {r.id: r.one for r in full.collect()}[far] == len(path) - 1
+    ranks, ch = graph.contract(e, nodes.select("id"))
+    pairs = nodes.filter("id > 0").select(F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
+    assert {r.goal: r.cost for r in graph.hierarchy_cost(ranks, ch, pairs).collect() if r.cost is not None} == {k: v for k, v in want.items() if k}
+
+
+def test_witnesses_save_shortcuts(spark):
+    """A triangle: the way past the middle node is longer than the direct one, so no shortcut is needed."""
+    live = spark.createDataFrame([(0, 1, 5.0, None), (1, 2, 5.0, None), (0, 2, 3.0, None)], "u long, v long, w double, via long")
+    short = spark.createDataFrame([(0, 2, 10.0, 1)], "u long, v long, w double, via long")
+    gone = spark.createDataFrame([(1,)], "id long")
+    assert graph.witnessed(short, live, gone).isEmpty()
+    assert graph.witnessed(short, live.filter("v <> 2 OR u <> 0"), gone).count() == 1
+
+
+def test_start_on_cut_street(spark):
+    """A start between two stations of one street reaches both along it, in both directions."""
+    from gridlark.operators import linear
+
+    e = spark.createDataFrame([(1, 2, 100.0, 1000.0), (2, 1, 200.0, 1000.0)], "u long, v long, seconds double, length_m double")
+    places = spark.createDataFrame([(7, 1, 2, 0.2), (8, 2, 1, 0.2), (9, 1, 2, 1.0), (10, 1, 2, 0.2)], "station_id long, u long, v long, t double")
+    names = {r.station_id: r.node for r in linear.access_nodes(places).collect()}
+    assert names == {7: "access_7", 8: "access_8", 9: "2", 10: "access_7"}
+    pieces = linear.split_edges(e, places)
+    base = pieces.select(F.col("from_node").alias("u"), F.col("to_node").alias("v"), "seconds", "length_m")
+    for at, want in ((0.5, {"access_7": 60.0, "access_8": 30.0, "1": 100.0, "2": 50.0}), (0.0, {"1": 0.0, "access_7": 20.0, "2": 100.0}), (1.0, {"2": 0.0, "access_8": 40.0, "1": 200.0})):
+        g = base.unionByName(linear.start_on_pieces(pieces, 1, 2, at)).withColumn("w", F.col("seconds"))
+        got = {r.id: round(r.cost, 6) for r in graph.shortest(g, graph.source_rows(spark, ["__start_access__"])).collect()}
+        assert {k: got[k] for k in want} == want
+
+
+def test_service_refuses(spark):
+    from gridlark.operators.recommend import service
+    from gridlark.plans import roads
+
+    with pytest.raises(ValueError, match="service area"):
+        service(*[spark.range(0)] * 3, [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]]], 5.0, 5.0, roads.NOW, *[spark.range(0)] * 2, [], roads.LIMITS)
+
+
+def test_files_written_and_read(spark, tmp_path):
+    nodes = spark.createDataFrame([("a", {"x": "1.5", "name": "<A> & 'co'"}), ("b", {"x": "2"})], "id string, data map<string,string>")
+    e = spark.createDataFrame([("a", "b", 0, {"length": "10"}), ("a", "b", 1, {"length": "11"})], "u string, v string, key int, data map<string,string>")
+    files.write_graphml(nodes, e, str(tmp_path / "g"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "g").glob("part-*")))
+    (tmp_path / "g.graphml").write_text(text)
+    n2, e2 = files.read_graphml(spark, str(tmp_path / "g.graphml"))
+    assert {r.id: r.data for r in n2.collect()} == {"a": {"x": "1.5", "name": "<A> & 'co'"}, "b": {"x": "2"}}
+    assert sorted((r.u, r.v, r.key, r.data["length"]) for r in e2.collect()) == [("a", "b", 0, "10"), ("a", "b", 1, "11")]
+    files.write_metadata(spark, {"features": ["a", "ü"], "best_params": {"trees": 3.0, "rate": 1}}, str(tmp_path / "m"))
+    from gridlark.operators.relational import has_columns, typed_params
+
+    meta = files.read_metadata(spark, str(tmp_path / "m"))
+    assert meta["features"] == ["a", "ü"] and typed_params(meta, ["trees"], ["rate"]) == {"trees": 3, "rate": 1.0}
+    built = []
+    build = lambda: built.append(1) or spark.range(3)
+    assert files.built_once(spark, str(tmp_path / "f"), build).count() == 3 and files.built_once(spark, str(tmp_path / "f"), build).count() == 3 and len(built) == 1
+    files.built_once(spark, str(tmp_path / "f"), build, rebuild=True)
+    assert len(built) == 2 and has_columns(nodes, ["id"]) and not has_columns(nodes, ["id", "nope"])
+    log = files.Progress(spark, str(tmp_path / "p"), "trial int, mae double")
+    log.add([{"trial": 1, "mae": 0.5}])
+    files.Progress(spark, str(tmp_path / "p"), "trial int, mae double").add([{"trial": 2, "mae": 0.25}])
+    assert sorted(r["trial"] for r in log.rows()) == [1, 2]
+    (tmp_path / "dim.csv").write_text("station_id,lon\n1,2.5\n")
+    assert files.dimension(spark, str(tmp_path / "dim.csv"), "station_id long, lon double", ["lon"]).first().lon == 2.5
+    got = {r.name: r.present for r in files.audit(spark, str(tmp_path / "f"), ["_SUCCESS", "absent"]).collect()}
+    assert not got["absent"]
+    files.write_partitioned_csv(spark.range(4).withColumn("g", F.col("id") % 2), str(tmp_path / "csv"), "g")
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
+
+
+def test_times_that_are_none(spark):
+    from gridlark.operators.relational import parse_time
+
+    d = spark.createDataFrame([("2024-01-02 03:04:05",), (None,)], "t string")
+    assert [r.t for r in d.select(parse_time(F.col("t")).alias("t")).collect()] == [datetime(2024, 1, 2, 3, 4, 5), None]
+    with pytest.raises(Exception, match="not a timestamp"):
+        spark.createDataFrame([("soon",)], "t string").select(parse_time(F.col("t"))).collect()
+
+
+def test_horizon_cap(spark):
+    rows = [(i % 7, datetime(2024, 1, 1 + i % 20, i % 24), i, float(i)) for i in range(400)]
+    d = spark.createDataFrame(rows, "station_id long, time timestamp_ntz, obs_id long, target_5 double").withColumn("target_10", F.col("target_5"))
+    got = timeseries.horizon_explode(d, (5, 10), rows_per_horizon=30).groupBy("horizon_min").count().collect()
+    assert sorted((r.horizon_min, r["count"]) for r in got) == [(5, 30), (10, 30)]
+
+
+def test_selection_loops(spark):
+    rows = [(float(i % 5), float(i % 3), float(i), (i % 5) / 5) for i in range(60)]
+    d = spark.createDataFrame(rows, "a double, b double, c double, y double")
+    log = ml.backward_elimination(d, d, ["a", "b", "c"], "y", trees=2, depth=2)
+    assert log[0]["removed"] is None and all(x["n_features"] < 3 for x in log[1:])
+    got = ml.subset_search(d, d, ["a"], ["b", "c"], 1, "y", trees=2, depth=2)
+    assert [x["extra"] for x in got] == ["", "b", "c"] and got[0]["r2"] > 0.5
