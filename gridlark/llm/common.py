@@ -20,11 +20,14 @@ MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a fresh one only where the session names none."""
+    """The folder that all executors share. Where the session names none, a fresh one on a single machine, an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = getattr(spark.sparkContext, "_gridlark_dir", None)
         if base is None:
+            master = spark.sparkContext.master
+            if not master.startswith("local") or master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="spark-")
             spark.sparkContext._gridlark_dir = base
             spark.sparkContext.setCheckpointDir(base)

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import stored
+from gridlark.llm.common import forget, stored
 
 BLOCK = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -153,6 +153,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, share:
         *[c.alias(k) for k, c in _phrases(F.col("p")).items()], F.when(hit, F.col("w")).alias("w"),
     )
     base = stored(base.withColumn("row", F.monotonically_increasing_id()), "scan")  # written, so the row numbers stay
+    forget(words)
 
     ranks = F.create_map(*[x for w, k in order.items() for x in (F.lit(w), F.lit(k))]) if order else F.create_map().cast("map<string,int>")
     wide = F.array(*[F.lit(x) for x in sorted({x for _, _, x in sets})]).cast("array<int>")
