@@ -43,6 +43,7 @@ def outside_china(lon: Column, lat: Column) -> Column:
     return (lon < _d(72.004)) | (lon > _d(137.8347)) | (lat < _d(0.8293)) | (lat > _d(55.8271))
 
 
+# The coefficients of the published GCJ-02 shift, here and in the two functions below.
 def _wave(x: Column, *terms: tuple[float, float]) -> Column:
     out = F.lit(0.0)
     for factor, period in terms:

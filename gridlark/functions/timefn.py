@@ -39,7 +39,11 @@ def calendar(df: DataFrame, time: str = "time", prefix: str = "", holidays: list
     })
 
 
-def replay_clock(t: Column, monday: str = "2023-02-06", last: str = "2023-02-12 23:55:00") -> Column:
+# The week that a wall clock is mapped onto.
+REPLAY_MONDAY, REPLAY_LAST = "2023-02-06", "2023-02-12 23:55:00"
+
+
+def replay_clock(t: Column, monday: str = REPLAY_MONDAY, last: str = REPLAY_LAST) -> Column:
     """Map a wall clock onto a fixed week by weekday, hour and five-minute slot."""
     base = F.lit(monday).cast("timestamp_ntz")
     minute = F.minute(t)

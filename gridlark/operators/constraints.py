@@ -12,6 +12,7 @@ REQUIRED = [
 ]
 
 
+# The limits' defaults, the reasons' names and the order of the checks.
 @dataclass(frozen=True)
 class Limits:
     max_candidates: int = 20
@@ -30,15 +31,23 @@ class Limits:
             raise ValueError("limits out of range")
 
 
+def first_reason(checks: list[tuple[str, Column]]) -> Column:
+    """The name of the first check that holds, null if none does."""
+    out = F.lit(None).cast("string")
+    for name, bad in reversed(checks):
+        out = F.when(bad, name).otherwise(out)
+    return out
+
+
 def pre_reason(limits: Limits, columns: list[str]) -> Column:
     """Null if the station may be searched for, else why not."""
-    out = None
-    for c in REQUIRED:
-        bad = F.col(c).isNull() if c in columns else F.lit(True)
-        out = F.when(bad, f"missing_{c}") if out is None else out.when(bad, f"missing_{c}")
-    out = out.when(F.col("straight_km") > limits.max_search_radius_km, "outside_search_radius")
-    out = out.when(F.col("charge_count") < limits.min_charge_count, "too_few_chargers")
-    return out.when(F.col("road_snap_distance_m") > limits.max_road_snap_distance_m, "road_snap_distance_too_far")
+    missing = [(f"missing_{c}", F.col(c).isNull() if c in columns else F.lit(True)) for c in REQUIRED]
+    return first_reason([
+        *missing,
+        ("outside_search_radius", F.col("straight_km") > limits.max_search_radius_km),
+        ("too_few_chargers", F.col("charge_count") < limits.min_charge_count),
+        ("road_snap_distance_too_far", F.col("road_snap_distance_m") > limits.max_road_snap_distance_m),
+    ])
 
 
 def pre_check(stations: DataFrame, limits: Limits) -> DataFrame:
@@ -53,7 +62,11 @@ def post_check(routes: DataFrame, limits: Limits) -> DataFrame:
     have = F.lit(limits.battery_capacity_kwh * limits.current_soc)
     need = F.col("distance_km") * F.lit(limits.consumption_kwh_per_km)
     soc = (have - need) / F.lit(limits.battery_capacity_kwh)
-    reason = F.when(~F.col("path_found"), "path_not_found").when(F.col("distance_km").isNull() | F.col("drive_min").isNull(), "missing_route_metrics")
-    reason = reason.when(F.col("drive_min") > limits.max_drive_time_min, "drive_time_exceeds_limit").when(need > have, "insufficient_energy")
-    low = soc < F.lit(limits.min_arrival_soc)
-    return routes.withColumn("reject_reason", reason.when(low, "arrival_soc_below_safety_threshold")).withColumn("arrival_soc", F.when(reason.isNull(), soc))
+    hard = [
+        ("path_not_found", ~F.col("path_found")),
+        ("missing_route_metrics", F.col("distance_km").isNull() | F.col("drive_min").isNull()),
+        ("drive_time_exceeds_limit", F.col("drive_min") > limits.max_drive_time_min),
+        ("insufficient_energy", need > have),
+    ]
+    low = ("arrival_soc_below_safety_threshold", soc < F.lit(limits.min_arrival_soc))
+    return routes.withColumn("reject_reason", first_reason([*hard, low])).withColumn("arrival_soc", F.when(first_reason(hard).isNull(), soc))

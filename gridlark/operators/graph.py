@@ -68,7 +68,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = e.join(lab.select(F.col("id").alias("v"), F.col("c").alias("l")), "v").groupBy(F.col("u").alias("id")).agg(F.min("l").alias("l"))
         new = lab.join(near, "id", "left").select("id", F.col("c").alias("old"), F.least("c", "l").alias("c"))
         up = lab.select(F.col("id").alias("c"), F.col("c").alias("top"))
-        new = saved(new.join(up, "c", "left").select("id", "old", F.least("c", "top").alias("c")), "labels")
+        new = saved(new.join(up, "c", "left").select("id", "old", F.least("c", "top").alias("c")), "labels", instead=lab)
         if new.filter("old <> c").isEmpty():
             return new.select("id", F.col("c").alias("component"))
         lab = new.select("id", "c")
@@ -101,7 +101,7 @@ def shortest(edges: DataFrame, sources: DataFrame, paths: bool = False, limit: f
     r = 0
     carry = [*(["path"] if paths else []), *sums]
     while True:
-        start = r
+        start, last = r, best
         for _ in range(rounds_per_table):
             r += 1
             front = best.filter(F.col("round") == r - 1)
@@ -118,7 +118,7 @@ def shortest(edges: DataFrame, sources: DataFrame, paths: bool = False, limit: f
             keep = F.min_by(F.struct("cost", "before", "parent", *carry), order).alias("b")
             low = F.min(F.struct("cost", "round")).alias("m")
             best = both.groupBy("source", "id").agg(keep, low).select("source", "id", "b.*", F.col("m.round").alias("round"))
-        best = saved(best, "costs")
+        best = saved(best, "costs", instead=last)
         if best.filter(F.col("round") > r - 1).isEmpty() and best.filter((F.col("round") > start) & (F.col("round") == r)).isEmpty():
             return best.drop("before", "round")
 
