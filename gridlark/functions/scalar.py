@@ -62,3 +62,13 @@ def html_escape(c: Column) -> Column:
 def format_runtime(seconds: Column) -> Column:
     """Milliseconds below one second, else seconds with two digits."""
     return F.when(seconds < 1, F.format_string("%.0f ms", seconds * 1000)).otherwise(F.format_string("%.2f s", seconds))
+
+
+def format_fixed(c: Column, unit: str = "") -> Column:
+    """Two digits after the point; a dash where there is no number."""
+    return F.coalesce(F.format_string(f"%.2f{unit}", c), F.lit("-"))
+
+
+def format_percent(c: Column) -> Column:
+    """A share as a percentage with one digit."""
+    return F.coalesce(F.format_string("%.1f%%", c * 100), F.lit("-"))

@@ -63,3 +63,40 @@ def typed_params(params: dict, whole: Iterable[str], real: Iterable[str]) -> dic
     params = params.get("best_params", params)
     whole, real = set(whole), set(real)
     return {k: int(v) if k in whole else float(v) if k in real else v for k, v in params.items()}
+
+
+def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """n rows in the order of a multiplicative hash of an integer key: a per-task top-n and a merge; runs repeat."""
+    prime = 2_147_483_647
+    at = F.pmod((F.pmod(F.col(key), F.lit(prime)) + seed) * 48_271, F.lit(prime))
+    return df.orderBy(at, key).limit(n)
+
+
+def fill_chain(df: DataFrame, column: str, others: Sequence[str], default=None, zero_is_missing: bool = False) -> DataFrame:
+    """A column's missing values from other columns in turn, then a constant; zeros may count as missing."""
+    own = F.when(F.col(column) != 0, F.col(column)) if zero_is_missing else F.col(column)
+    return df.withColumn(column, F.coalesce(own, *[F.col(c) for c in others], *([] if default is None else [F.lit(default)])))
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """Rows (u, near): each node's neighbours (v, w) as one array in order of v; a node's edges are few."""
+    return edges.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("v", "w"))).alias("near"))
+
+
+def joined_paths(left: Column, right: Column) -> Column:
+    """Two node lists that meet in a node, as one list; the second may run from its far end."""
+    return F.when(F.element_at(left, -1) == right[0], F.concat(left, F.slice(right, 2, F.greatest(F.size(right) - 1, F.lit(0))))).otherwise(F.concat(left, F.slice(F.reverse(right), 2, F.greatest(F.size(right) - 1, F.lit(0)))))
+
+
+def json_or(c: Column, path: str, default: str) -> Column:
+    """The text at a path of a JSON text, or a default."""
+    return F.coalesce(F.get_json_object(c, path), F.lit(default))
+
+
+def mask_rings(rings: DataFrame, margin: float = 1.0) -> DataFrame:
+    """Rows (polygon, ring, points) of the area outside: a box around all rings with the outer rings as its holes."""
+    at = rings.select(F.explode("points").alias("p")).agg(F.min("p.lon").alias("w"), F.max("p.lon").alias("e"), F.min("p.lat").alias("s"), F.max("p.lat").alias("n"))
+    place = lambda x, dx, y, dy: F.struct((F.col(x) + dx).alias("lon"), (F.col(y) + dy).alias("lat"))
+    box = F.array(place("w", -margin, "s", -margin), place("e", margin, "s", -margin), place("e", margin, "n", margin), place("w", -margin, "n", margin))
+    holes = rings.filter("ring = 0").select(F.lit(0).alias("polygon"), (F.col("polygon") + 1).cast("int").alias("ring"), "points")
+    return at.select(F.lit(0).alias("polygon"), F.lit(0).alias("ring"), box.alias("points")).unionByName(holes)

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlark.functions.scalar import format_fixed, format_percent, format_runtime
 from gridlark.functions.timefn import calendar
 from gridlark.operators import graph as R
 from gridlark.operators import linear as L
 from gridlark.operators import relational as B
+from gridlark.operators import spatial as X
 from gridlark.operators.iterate import saved
 from gridlark.plans import series as Q
 from gridlark.plans.helpers import big, r6, s6, sb, st, stamp
 from gridlark.plans.roads import edges, from_node
+from gridlark.plans.space import _border_sql, _ring_sql
 from gridlark.sources import scenario as S
 
 QUERIES: dict = {}
@@ -126,3 +129,52 @@ def rank_by_order(spark, sf):
     first = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderkey").alias("pos"))
     c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("id"))
     return L.in_order(c, first, "id").select("id", big("rank"))
+
+
+@query("SELECT station_id, obs_id FROM obs ORDER BY ((obs_id % 2147483647 + 42) * 48271) % 2147483647, obs_id LIMIT 200", "obs")
+def sample_rows(spark, sf):
+    return B.sample_rows(Q.obs(spark, sf), "obs_id", 200).select(*Q.key())
+
+
+@query(f"SELECT station_id, obs_id, {s6('coalesce(nullif(e_price, 0), nullif(s_price, 0), 0.25)', 'price')} FROM obs", "obs")
+def fill_chain(spark, sf):
+    o = Q.obs(spark, sf).withColumn("other", F.nullif("s_price", F.lit(0.0)))
+    return B.fill_chain(o, "e_price", ["other"], 0.25, zero_is_missing=True).select(*Q.key(), r6("price", "e_price"))
+
+
+ORDERED = "a AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice > 200000), b AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_totalprice < 50000)"
+
+
+@query(f"WITH {ORDERED} SELECT 'either' AS part, count(*) AS n, {sb('sum(id)', 'ids')} FROM (SELECT id FROM a UNION SELECT id FROM b) UNION ALL SELECT 'first only', count(*), {sb('coalesce(sum(id), 0)', 'ids')} FROM (SELECT id FROM a EXCEPT SELECT id FROM b) UNION ALL SELECT 'both', count(*), {sb('coalesce(sum(id), 0)', 'ids')} FROM (SELECT id FROM a INTERSECT SELECT id FROM b)")
+def set_operations(spark, sf):
+    """Customers with a large order and with a small one: union, difference and intersection."""
+    o = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("id"), "o_totalprice")
+    a, b = o.filter("o_totalprice > 200000").select("id").distinct(), o.filter("o_totalprice < 50000").select("id").distinct()
+    parts = {"either": a.union(b).distinct(), "first only": a.join(b, "id", "left_anti"), "both": a.join(b, "id", "left_semi")}
+    out = None
+    for name, ids in parts.items():
+        one = ids.agg(F.count("*").alias("n"), F.coalesce(F.sum("id"), F.lit(0)).alias("ids")).select(F.lit(name).alias("part"), "n", big("ids"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT u, string_agg(v::VARCHAR || ':' || (seconds::BIGINT)::VARCHAR, '|' ORDER BY v) AS near, count(*) AS n FROM road_edge GROUP BY u", "road_edge")
+def adjacency(spark, sf):
+    """Neighbours of each node as a delimited list, and their number from the list read back."""
+    near = B.adjacency(edges(spark, sf))
+    text = F.array_join(F.transform("near", lambda x: F.concat_ws(":", x["v"].cast("string"), x["w"].cast("long").cast("string"))), "|")
+    return near.select("u", text.alias("near")).withColumn("n", F.size(F.split("near", "\\|")).cast("long"))
+
+
+@query("SELECT station_id, obs_id, printf('%.2f km', duration / 7) AS fixed, printf('%.1f%%', occ * 100) AS share, CASE WHEN duration / 497 < 1 THEN printf('%.0f ms', duration / 497 * 1000) ELSE printf('%.2f s', duration / 497) END AS runtime, strftime(time, '%Y-%m-%dT%H:%M:%S') AS iso FROM obs WHERE duration > 0", "obs")
+def formats(spark, sf):
+    o = Q.obs(spark, sf).filter("duration > 0")
+    d = F.col("duration")
+    return o.select(*Q.key(), format_fixed(d / 7, " km").alias("fixed"), format_percent(F.col("occ")).alias("share"), format_runtime(d / 497).alias("runtime"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+
+
+@query(f"SELECT station_id FROM station WHERE NOT ({_ring_sql()} AND NOT {_border_sql('lon', 'lat')})", "station")
+def outside_boundary(spark, sf):
+    """Stations in the inverse mask of the service area."""
+    rings = spark.createDataFrame([(0, 0, S.BOUNDARY)], "polygon int, ring int, points array<struct<lon:double,lat:double>>")
+    return X.covered(S.station(spark, sf), B.mask_rings(rings)).select(big("station_id"))

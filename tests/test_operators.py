@@ -329,3 +329,12 @@ def test_selection_loops(spark):
     assert log[0]["removed"] is None and all(x["n_features"] < 3 for x in log[1:])
     got = ml.subset_search(d, d, ["a"], ["b", "c"], 1, "y", trees=2, depth=2)
     assert [x["extra"] for x in got] == ["", "b", "c"] and got[0]["r2"] > 0.5
+
+
+def test_small_columns(spark):
+    from gridlark.operators import relational as B
+
+    d = spark.createDataFrame([([1, 2, 3], [3, 4], [5, 3], '{"a": {"b": "x"}}')], "l array<int>, r array<int>, back array<int>, j string")
+    r = d.select(B.joined_paths(F.col("l"), F.col("r")).alias("a"), B.joined_paths(F.col("l"), F.col("back")).alias("b"), B.json_or(F.col("j"), "$.a.b", "no").alias("c"), B.json_or(F.col("j"), "$.z", "no").alias("d")).first()
+    assert (r.a, r.b, r.c, r.d) == ([1, 2, 3, 4], [1, 2, 3, 5], "x", "no")
+    assert spark.range(1).select(scalar.format_fixed(F.lit(None).cast("double")), scalar.format_percent(F.lit(0.1234))).first()[:] == ("-", "12.3%")
