@@ -178,14 +178,15 @@ def window_minima(h: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     low = np.minimum(low[:n], low[w - k : w - k + n])
     # the leftmost place is the window's own begin, or that of the next window with the same minimum; the last of a
     # run of such windows is looked through
-    at_begin = h[:n] == low
-    last = np.flatnonzero(~at_begin & np.append(low[1:] != low[:-1], True))
+    told = h[:n] == low
+    last = np.flatnonzero(~told & np.append(low[1:] != low[:-1], True))
     place = np.arange(n)
     for a in range(0, len(last), 1 << 16):
         i = last[a : a + (1 << 16)]
         place[i] += (h[i[:, None] + np.arange(w)] == low[i, None]).argmax(1)
-    known = np.flatnonzero(at_begin | np.isin(np.arange(n), last, assume_unique=True))
-    return low, np.repeat(place[known], np.diff(known, prepend=-1))
+    told[last] = True
+    told = np.flatnonzero(told)
+    return low, np.repeat(place[told], np.diff(told, prepend=-1))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
