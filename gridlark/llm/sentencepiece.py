@@ -347,9 +347,24 @@ def decode(docs: DataFrame, model: str | None = None) -> DataFrame:
     return docs.mapInArrow(run, docs.withColumn("decoded", F.lit("")).schema)
 
 
+def encode_decode(docs: DataFrame, column: str = "text", model: str | None = None) -> DataFrame:
+    """docs with both columns, ids and decoded, in one step: as decode(encode(docs)), with one tokenizer in memory a task."""
+    bc = docs.sparkSession.sparkContext.broadcast(Path(model or default_model()).read_bytes())
+    docs = docs.drop("ids", "decoded")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(it, column, BATCH):
+            ids, n = tokenizer(bc.value).encode(t[column].to_pylist())
+            lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), ids.astype(np.int32))
+            texts = pa.array(tokenizer(bc.value).decode(ids, n), pa.string())
+            yield pa.record_batch([*(c.combine_chunks() for c in t.columns), lists, texts], names=[*t.column_names, "ids", "decoded"])
+
+    return docs.mapInArrow(run, docs.withColumns({"ids": F.array().cast("array<int>"), "decoded": F.lit("")}).schema)
+
+
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decode(encode(docs))
+    out = encode_decode(docs)
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"),

@@ -352,69 +352,76 @@ def _resolve(t: pa.Table) -> pa.Table:
     return pa.table({"batch": pa.array([r[0] for r in rows], pa.int64()), "block": pa.array([r[1] for r in rows], pa.binary())})
 
 
+def _cut(b: Batch, lists: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which bytes of a batch go, and how many bytes and runs each text loses."""
+    rep, kind = b.distinct()
+    base = np.cumsum(b.count[rep]) - b.count[rep]
+    least = np.repeat(np.where(b.known[rep], b.owner[rep], NO_DOC), b.count[rep])
+    by_place = np.argsort(b.first[rep])
+    for x in lists:
+        place, off, n, doc = unzip_arrays(x, np.int64, np.uint8, np.uint8, np.int64)
+        k = by_place[np.searchsorted(b.first[rep][by_place], place)]
+        least[ranges(base[k] + off, n.astype(np.int64))] = np.repeat(doc, n)
+    at = ranges(b.first, b.count)
+    gone = (least[ranges(base[kind], b.count)] < np.repeat(b.owner, b.count)) & np.repeat(b.known, b.count)
+    mark = np.zeros(len(b.text) + SPAN + 1, np.int32)
+    s = at[gone]
+    np.add.at(mark, s, 1)
+    np.add.at(mark, s + SPAN, -1)
+    cut = np.cumsum(mark)[: len(b.text)] > 0
+    runs = cut & ~np.concatenate([[False], cut[:-1]])
+    begin = b.ends - b.size
+    runs[begin[b.size > 0]] = cut[begin[b.size > 0]]
+    total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], b.ends])])
+    return cut, total(cut), total(runs)
+
+
 def _remove(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in it:
         for block, lists in zip(rb["block"].to_pylist(), rb["lists"].to_pylist(), strict=True):
             b = Batch(block)
-            rep, kind = b.distinct()
-            base = np.cumsum(b.count[rep]) - b.count[rep]
-            least = np.repeat(np.where(b.known[rep], b.owner[rep], NO_DOC), b.count[rep])
-            by_place = np.argsort(b.first[rep])
-            for x in lists or []:
-                place, off, n, doc = unzip_arrays(x, np.int64, np.uint8, np.uint8, np.int64)
-                k = by_place[np.searchsorted(b.first[rep][by_place], place)]
-                least[ranges(base[k] + off, n.astype(np.int64))] = np.repeat(doc, n)
-            at = ranges(b.first, b.count)
-            g = least[ranges(base[kind], b.count)]
-            gone = (g < np.repeat(b.owner, b.count)) & np.repeat(b.known, b.count)
-            mark = np.zeros(len(b.text) + SPAN + 1, np.int32)
-            s = at[gone]
-            np.add.at(mark, s, 1)
-            np.add.at(mark, s + SPAN, -1)
-            cut = np.cumsum(mark)[: len(b.text)] > 0
-            runs = cut & ~np.concatenate([[False], cut[:-1]])
-            begin = b.ends - b.size
-            runs[begin[b.size > 0]] = cut[begin[b.size > 0]]
-            doc = np.repeat(np.arange(len(b.ids)), b.size)
-            removed = np.bincount(doc[cut], minlength=len(b.ids))
-            spans = np.bincount(doc[runs], minlength=len(b.ids))
-            kept = [b.text[x:y][~cut[x:y]].tobytes() if removed[i] else b.text[x:y].tobytes() for i, (x, y) in enumerate(zip(begin, b.ends, strict=True))]
+            cut, removed, spans = _cut(b, lists or [])
+            kept = [b.text[x:y][~cut[x:y]].tobytes() if n else b.text[x:y].tobytes() for n, x, y in zip(removed, b.ends - b.size, b.ends, strict=True)]
             ids = pa.array(b.ids, pa.int64(), mask=~b.has_id)
-            digest = [hashlib.sha256(b.text[x:y].tobytes()).hexdigest() if removed[i] else None for i, (x, y) in enumerate(zip(begin, b.ends, strict=True))]
-            yield pa.record_batch({"doc_id": ids, "n_bytes": b.size, "n_removed": removed.astype(np.int64), "n_spans": spans.astype(np.int64), "kept": pa.array(kept, pa.binary()), "text_sha256": pa.array(digest, pa.string())})
+            yield pa.record_batch({"doc_id": ids, "n_bytes": b.size, "n_removed": removed.astype(np.int64), "n_spans": spans.astype(np.int64), "kept": pa.array(kept, pa.binary())})
+
+
+def _changed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts that lost bytes: doc_id, the digest of the text as it was, and what is left of it."""
+    for rb in it:
+        for block, lists in zip(rb["block"].to_pylist(), rb["lists"].to_pylist(), strict=True):
+            b = Batch(block)
+            cut, removed, _ = _cut(b, lists)
+            rows = [(int(b.ids[i]), b.text[x:y], cut[x:y]) for i, (n, x, y) in enumerate(zip(removed, b.ends - b.size, b.ends, strict=True)) if n]
+            text = [t[~c].tobytes().decode("utf-8", "ignore") for _, t, c in rows]  # a cut may leave part of a character
+            yield pa.record_batch({"_id": pa.array([r[0] for r in rows], pa.int64()), "_sha": pa.array([hashlib.sha256(r[1].tobytes()).hexdigest() for r in rows], pa.string()), "_text": pa.array(text, pa.string())})
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_removed, n_spans, kept, text_sha256): each text without what smaller documents have, and the digest of a text that lost bytes."""
-    return _removed(docs)[0]
+    """Rows (doc_id, n_bytes, n_removed, n_spans, kept): each text without what smaller documents have."""
+    packed, runs = _found(docs)
+    return packed.join(runs, "batch", "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def _removed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The result, and the packed texts that it reads."""
+def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The packed texts, and the runs of repeated windows (batch, lists)."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = shuffle_width(spark)
     packed = bucketed(own.mapInArrow(_pack, "batch long, block binary"), "batch", width)
-    n_parts = max(width, packed.count() // 4)
+    n_parts = max(width, packed.count() // 2)
     row = "part int, batch long, block binary"
     seeds = packed.mapInArrow(_seeds(n_parts), row)
     lists = seeds.groupBy("part").applyInArrow(_shared, "batch long, block binary").groupBy("batch").agg(F.collect_list("block").alias("lists"))
     found = packed.join(lists, "batch").mapInArrow(_candidates(n_parts), row)
     runs = found.groupBy("part").applyInArrow(_resolve, "batch long, block binary").groupBy("batch").agg(F.collect_list("block").alias("lists"))
-    out = packed.join(runs, "batch", "left").mapInArrow(_remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, text_sha256 string")
-    return out, packed
-
-
-def _decode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        text = [x.decode("utf-8", "ignore") for x in b["kept"].to_pylist()]  # a cut may leave part of a character
-        yield pa.record_batch({"_id": b["doc_id"], "_sha": b["text_sha256"], "_text": pa.array(text, pa.string())})
+    return packed, runs
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The documents with repeats cut from their texts; those of which nothing is left go. Rows that share a doc_id have each their own text."""
-    out, packed = _removed(docs)
-    cut = out.filter("n_removed > 0").select("doc_id", "kept", "text_sha256").mapInArrow(_decode, "_id long, _sha string, _text string").dropDuplicates(["_id", "_sha"])
+    packed, runs = _found(docs)
+    cut = packed.join(runs, "batch").mapInArrow(_changed, "_id long, _sha string, _text string").dropDuplicates(["_id", "_sha"])
     cut = stored(cut, "cut")
     forget(packed)
     both = docs.join(cut, (docs["doc_id"] == F.col("_id")) & (F.sha2(docs["text"], 256) == F.col("_sha")), "left").filter("_text is null or length(trim(_text)) > 0")

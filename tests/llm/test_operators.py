@@ -447,7 +447,8 @@ def test_sentencepiece(spark, docs, empty, library):
     assert t.decode(ids, n) == lib.decode(lib.encode(texts))
     out = dicts(sp.decode(sp.encode(docs)))
     assert all(out[i]["decoded"] == (x or "") for i, x, *_ in corpus())
-    assert sp.decode(sp.encode(empty)).isEmpty()
+    assert sp.decode(sp.encode(empty)).isEmpty() and sp.encode_decode(empty).isEmpty()
+    assert {i: r["ids"] for i, r in dicts(sp.encode_decode(docs)).items()} == {i: r["ids"] for i, r in out.items()}
 
 
 def count_by_definition(text, score, unknown):
