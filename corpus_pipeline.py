@@ -14,7 +14,7 @@ from gridlark.llm.common import stored
 from gridlark.llm.decontaminate import drop_leaks
 from gridlark.llm.jaccard import keep_one
 from gridlark.llm.quality import keep_good
-from gridlark.llm.sentencepiece import decode, encode
+from gridlark.llm.sentencepiece import encode_decode
 from gridlark.llm.suffix import cut_repeats
 
 
@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, and whether they decode to its text."""
-    out = decode(encode(docs.select("doc_id", "text")))
+    out = encode_decode(docs.select("doc_id", "text"))
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.col("decoded") == F.coalesce("text", F.lit("")), F.lit(False)).alias("round_trip"),
