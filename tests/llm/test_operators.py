@@ -682,12 +682,13 @@ def test_fuzzy_recall(spark):
     docs |= {2000: some(9) + a + some(9), 2001: some(9) + b + some(9), 2002: some(9) + a + b + some(9), 2003: some(12) + a + b + some(12)}
     want.add((2003, 2002))
     d = spark.createDataFrame([(i, " ".join(w), None, None, None) for i, w in docs.items()], DOCS).repartition(3)
-    got = {lists: {(x.doc_id, x.ref_doc_id) for x in chaining.fuzzy_repeats(d, lists=lists).collect()} for lists in (1, 32)}
-    assert got[1] == got[32]
-    assert {x for x in want if x[0] >= 1000} <= got[32]
-    share = lambda low, high: np.mean([x in got[32] for x in want if low <= x[0] < high])
+    got = {size: {(x.doc_id, x.ref_doc_id) for x in chaining.fuzzy_repeats(d, group_bytes=size).collect()} for size in (1, chaining.GROUP)}
+    assert got[1] == got[chaining.GROUP]
+    got = got[1]
+    assert {x for x in want if x[0] >= 1000} <= got
+    share = lambda low, high: np.mean([x in got for x in want if low <= x[0] < high])
     assert len(want) > 80 and (share(0, 80), share(80, 160), share(160, 240)) >= (0.9, 0.97, 0.97), (share(0, 80), share(80, 160), share(160, 240))
-    assert all(set(docs[a]) & set(docs[b]) for a, b in got[32])
+    assert all(set(docs[a]) & set(docs[b]) for a, b in got)
 
 
 def test_stages_judge_rows_without_or_with_repeated_ids(spark):
