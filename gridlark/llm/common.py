@@ -107,6 +107,16 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def lean(spark: SparkSession) -> SparkSession:
+    """Let Arrow batches hold few rows, unless the session says how many: rows here are texts or blocks of megabytes, and
+    a batch is in memory on both sides."""
+    for key, usual, value in (("maxRecordsPerBatch", "10000", "256"), ("maxBytesPerBatch", "67108864b", "4m")):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, value)
+    return spark
+
+
 def chunks(it: Iterator[pa.RecordBatch], column: str, target: int) -> Iterator[pa.Table]:
     """Regroup Arrow batches so that `column` holds about `target` bytes in each table.
 
@@ -129,6 +139,8 @@ def chunks(it: Iterator[pa.RecordBatch], column: str, target: int) -> Iterator[p
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held)
+        held = []
+    pa.default_memory_pool().release_unused()  # the worker is kept for later tasks
 
 
 def mix(h: np.ndarray) -> np.ndarray:

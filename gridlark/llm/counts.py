@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, ranges
+from gridlark.llm.common import chunks, lean, ranges
 from gridlark.llm.pieces import NORMAL, SPACE, USER, Pieces, default_model, read_pieces
 
 BATCH = 3 << 20
@@ -173,7 +173,7 @@ def counter(data: bytes) -> Counter:
 
 def count_tokens(docs: DataFrame, column: str = "text", model: str | None = None) -> DataFrame:
     """docs with a column n_tokens."""
-    bc = docs.sparkSession.sparkContext.broadcast(Path(model or default_model()).read_bytes())
+    bc = lean(docs.sparkSession).sparkContext.broadcast(Path(model or default_model()).read_bytes())
     docs = docs.drop("n_tokens")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, ranges, stored, table, word_hashes
+from gridlark.llm.common import chunks, lean, ranges, stored, table, word_hashes
 
 TILE = 64
 SECTION = 4096
@@ -286,7 +286,7 @@ def leaks_in(index: Index, texts: list[str | None], least: float, overlap: float
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, overlap: float = 0.5) -> DataFrame:
     """Rows (doc_id, item_id, score, question_overlap, answer_overlap, kind), the best of each item in a document and shard."""
-    sc = docs.sparkSession.sparkContext
+    sc = lean(docs.sparkSession).sparkContext
     kinds = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
     cut = items.filter("text is not null").select("item_id", "text").distinct().mapInArrow(_sections, f"item_id {kinds[1]}, item long, size long, question long, words binary")
     cut = stored(cut.withColumn("section", F.monotonically_increasing_id()), "sections")  # written, so the numbers stay

@@ -35,10 +35,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.llm.blocks import deal, part_of, unzip_arrays, zip_arrays
-from gridlark.llm.common import bucketed, chunks, forget, mix, ranges, release, row_key, shuffle_width, stored, word_hashes
+from gridlark.llm.common import bucketed, chunks, forget, lean, mix, ranges, release, row_key, shuffle_width, stored, word_hashes
 from gridlark.llm.graph import components
 
-BATCH = 8 << 20
+BATCH = 4 << 20
 FREQUENT = 64
 KEY_ROWS = 4096  # nodes of one key that one task compares with each other
 
@@ -250,7 +250,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     n_links counts the verified links of the document's set; links within a component that
     others already imply are not all looked for.
     """
-    spark: SparkSession = docs.sparkSession
+    spark: SparkSession = lean(docs.sparkSession)
     own = docs.select("doc_id", "text")
     kind = dict(own.dtypes)["doc_id"]
     width = shuffle_width(spark)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import MULT, chunks, mix, ranges, stored
+from gridlark.llm.common import MULT, chunks, lean, mix, ranges, stored
 
 BITS = 40
 BATCH = 2 << 20
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, train: DataFrame, size: int = 400, doc_size: int =
     Profiles are broadcast in groups of languages, and a text keeps the nearest language of all groups so far, so the
     number of languages has no limit.
     """
-    sc = docs.sparkSession.sparkContext
+    sc = lean(docs.sparkSession).sparkContext
     p = stored(profiles(train, size), "profiles")
     langs = [r.lang for r in p.select("lang").distinct().orderBy("lang").collect()]  # names only, one a language
     kind = dict(docs.dtypes)["doc_id"]

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm import wordmodel
-from gridlark.llm.common import chunks, mix, quartiles, ranges, release, row_key, stored, word_hashes
+from gridlark.llm.common import chunks, lean, mix, quartiles, ranges, release, row_key, stored, word_hashes
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
-BATCH = 4 << 20
+BATCH = 2 << 20
 LANGUAGES = 10_000  # so many rows of bands are broadcast at most
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -119,6 +119,7 @@ def _units(min_words: int, repeat_percent: int):
 
 def quality(docs: DataFrame, min_words: int = 20, repeat_percent: int = 30) -> DataFrame:
     """One row for each document: base statistics, log perplexities, their bands, base_failed and kept."""
+    lean(docs.sparkSession)
     own = docs.select("doc_id", "text", "lang")
     row = f"doc_id {dict(own.dtypes)['doc_id']}, " + ", ".join(f"{c} long" for c in STATS) + ", base_failed boolean"
     inner = ", ".join(x.replace(" ", ":", 1) for x in row.split(", "))

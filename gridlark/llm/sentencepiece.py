@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, ranges
+from gridlark.llm.common import chunks, lean, ranges
 from gridlark.llm.pieces import BYTE, CONTROL, NORMAL, SPACE, Parts, Pieces, check_model, default_model, read_pieces
 
 BATCH = 3 << 20
@@ -320,7 +320,7 @@ def tokenizer(data: bytes) -> Tokenizer:
 
 def encode(docs: DataFrame, column: str = "text", model: str | None = None) -> DataFrame:
     """docs with a column ids, the pieces of `column`."""
-    bc = docs.sparkSession.sparkContext.broadcast(Path(model or default_model()).read_bytes())
+    bc = lean(docs.sparkSession).sparkContext.broadcast(Path(model or default_model()).read_bytes())
     docs = docs.drop("ids")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,7 +334,7 @@ def encode(docs: DataFrame, column: str = "text", model: str | None = None) -> D
 
 def decode(docs: DataFrame, model: str | None = None) -> DataFrame:
     """docs with a column decoded, the text of the column ids."""
-    bc = docs.sparkSession.sparkContext.broadcast(Path(model or default_model()).read_bytes())
+    bc = lean(docs.sparkSession).sparkContext.broadcast(Path(model or default_model()).read_bytes())
     docs = docs.drop("decoded")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,7 +349,7 @@ def decode(docs: DataFrame, model: str | None = None) -> DataFrame:
 
 def encode_decode(docs: DataFrame, column: str = "text", model: str | None = None) -> DataFrame:
     """docs with both columns, ids and decoded, in one step: as decode(encode(docs)), with one tokenizer in memory a task."""
-    bc = docs.sparkSession.sparkContext.broadcast(Path(model or default_model()).read_bytes())
+    bc = lean(docs.sparkSession).sparkContext.broadcast(Path(model or default_model()).read_bytes())
     docs = docs.drop("ids", "decoded")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

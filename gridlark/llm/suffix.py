@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlark.llm.blocks import deal, part_of, unzip_arrays, zip_arrays
-from gridlark.llm.common import MIX1, MIX2, MULT, bucketed, chunks, forget, mix, ranges, shuffle_width, stored, window_minima
+from gridlark.llm.common import MIX1, MIX2, MULT, bucketed, chunks, forget, lean, mix, ranges, shuffle_width, stored, window_minima
 
 SPAN = 50
 SEED = 20
@@ -405,7 +405,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def _found(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The packed texts, and the runs of repeated windows (batch, lists)."""
-    spark = docs.sparkSession
+    spark = lean(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = shuffle_width(spark)
     packed = bucketed(own.mapInArrow(_pack, "batch long, block binary"), "batch", width)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.llm.common import chunks, stored
+from gridlark.llm.common import chunks, lean, stored
 
 DICT_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -136,6 +136,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Who refers to whom is found from digests and page_ids alone; payloads are then joined by page_id and
     digest, so a payload that a third of all pages share is spread like any others.
     """
+    lean(pages.sparkSession)
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     last = p.filter(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
