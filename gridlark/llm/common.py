@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -117,6 +118,20 @@ def lean(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, size: str) -> Iterator[None]:
+    """Arrow batches of at most so many rows and bytes for the jobs that run inside; the session's settings come back after them."""
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def chunks(it: Iterator[pa.RecordBatch], column: str, target: int) -> Iterator[pa.Table]:
     """Regroup Arrow batches so that `column` holds about `target` bytes in each table.
 
