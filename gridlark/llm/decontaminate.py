@@ -5,18 +5,18 @@ the unit against itself, so one threshold (a share of the own score) serves all.
 of the training texts (128 words, one each 64 words) is a query. The lists of essential terms are
 read for all passages of a batch at once: a passage that no unit's essential terms can bring to
 the threshold is left out. The others walk the posting lists with WAND pivots and block maxima
-and give every unit at or above the threshold. A hit is then verified on the words around it: the shares of
-the 3-grams of the item's question and of its answer that occur there ("question and answer"), else that of the
-whole item ("part"), else, in an item of several units, that of the unit itself, of which UNIT_SHARE must occur ("passage").
+and give every unit at or above the threshold. Hits are then verified on the words around them: the shares of
+the 3-grams of the item's question and of its answer that occur there, both of which must reach the overlap ("question and answer"), else that of the
+whole item or of a section of it ("part"), else, in an item of several units, that of one unit, of which UNIT_SHARE must occur ("passage").
 
 The question of an item ends at its last question mark, else at its last but one sentence end,
 else after two thirds of its words; the answer is the rest. Words are lower-cased, ASCII
 punctuation is white space; they are compared by 64-bit hashes.
 
-Items of more than SECTION words are cut into sections of that many words, each verified by itself (with its part of
-question and answer, or of the one that it has). Postings carry numbers only. The index is built by Spark and used
+Items of more than SECTION words are looked up in sections of that many words; what a document holds of an item's sections is added up
+before it is judged, so an item is judged as a whole and once. Postings carry numbers only. The index is built by Spark and used
 in shards of about SHARD_WORDS words, which sections are dealt to; each shard is broadcast, one pass over the texts a
-shard, so neither the number of items nor the length of one has a limit.
+shard, so neither the number of items nor the length of one has a limit, and neither size changes the result.
 
 Defined results: null or empty texts and items match nothing; items of fewer than 8 words must
 occur whole; repeated item rows are one item, items that share an id are judged apart; repeated documents
@@ -200,26 +200,31 @@ class Index:
                     c[0] = units[c[1]] if c[1] < len(units) else -1
             cur = [c for c in cur if c[0] >= 0]
 
-    def overlap(self, unit: int, around: list[int]) -> tuple[float, float, float, float]:
-        """Shares of the 3-grams of question, answer, section and unit in these words (0 marks a gap)."""
-        s = int(self.section[unit])
-        k = 3 if self.size[s] >= 8 else max(1, self.size[s])
+    def parts_of(self, s: int) -> tuple[set, set, set]:
+        """3-grams of a section's question, answer and whole; shorter ones of items of fewer than 8 words."""
+        if s not in self.parts:
+            w, k = self.words[s].tolist(), gram_size(self.size[s])
+            self.parts[s] = tuple(grams_of(x, k) for x in (w[: self.question[s]], w[self.question[s] :], w))
+        return self.parts[s]
 
-        def grams(x: list[int]) -> set[tuple]:
-            return {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+    def overlap(self, s: int, units: list[int], around: list[int]) -> tuple[int, int, int, float]:
+        """How many 3-grams of a section's question, answer and whole are in these words (0 marks a gap), and the largest share of one of the units."""
+        k = gram_size(self.size[s])
+        have = grams_of(around, k)
+        own = (grams_of(units_of(self.words[s])[u - int(self.first[s])].tolist(), k) for u in units)
+        return *(len(x & have) for x in self.parts_of(s)), max((len(x & have) / len(x) for x in own if x), default=0.0)
 
-        if s not in self.parts:
-            w = self.words[s].tolist()
-            self.parts[s] = tuple(grams(x) for x in (w[: self.question[s]], w[self.question[s] :], w))
-        q, a, both = self.parts[s]
-        own = grams(units_of(self.words[s])[unit - int(self.first[s])].tolist())
-        have = grams(around)
-        share = len(both & have) / len(both) if both else 0.0
-        return len(q & have) / len(q) if q else share, len(a & have) / len(a) if a else share, share, len(own & have) / len(own) if own else share
+
+def gram_size(words: int) -> int:
+    return 3 if words >= 8 else max(1, words)
 
 
-def leaks_in(index: Index, texts: list[str | None], least: float, overlap: float) -> list[tuple[int, object, float, float, float, str]]:
-    """(text, item_id, score, question overlap, answer overlap, kind) of each verified pair."""
+def grams_of(x: list[int], k: int) -> set[tuple]:
+    return {tuple(x[i : i + k]) for i in range(len(x) - k + 1)}
+
+
+def leaks_in(index: Index, texts: list[str | None], least: float) -> list[tuple[int, int, float, int, int, int, float]]:
+    """(text, section, score, 3-grams found of its question, its answer and all of it, share of a unit) of each section with a unit that reaches the threshold."""
     ids: dict[bytes, int] = {}
     flat: list[int] = []
     size = np.zeros(len(texts), np.int64)
@@ -256,36 +261,40 @@ def leaks_in(index: Index, texts: list[str | None], least: float, overlap: float
             f = found.setdefault((d, u), [0.0, []])
             f[0] = max(f[0], s)
             f[1].append(p)
-    best: dict[tuple, tuple] = {}
-    for (d, u), (s, at) in found.items():
-        k = int(index.section[u])
+    hits: dict[tuple[int, int], list] = {}
+    for (d, u), (score, at) in found.items():
+        h = hits.setdefault((d, int(index.section[u])), [0.0, [], []])
+        h[0] = max(h[0], score)
+        h[1].append(u)
+        h[2] += at
+    out = []
+    for (d, k), (score, units, at) in hits.items():
         n = len(index.words[k])
         around: list[int] = []
         last = 0
-        for p in sorted(at):
+        for p in sorted(set(at)):
             a, e = max(last, p * TILE - n), min(int(size[d]), (p + 2) * TILE + n)
             if a > last:
                 around.append(0)  # no 3-gram spans a gap
             around += hashes[word[start[d] + a : start[d] + e]].tolist()
             last = max(last, e)
-        q, a, both, own = index.overlap(u, around)
-        enough = 1.0 if index.size[k] < 8 else overlap
-        if q >= enough and a >= enough:
-            kind = "question and answer"
-        elif both >= enough:
-            kind = "part"
-        elif own >= UNIT_SHARE and index.size[k] > TILE:
-            kind = "passage"
-        else:
-            continue
-        key = (d, index.item[k], str(index.item_id[k]))
-        if key not in best or best[key][2] < s:
-            best[key] = (d, index.item_id[k], s, q, a, kind)
-    return list(best.values())
+        out.append((d, k, score, *index.overlap(k, units, around)))
+    return out
+
+
+def _grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Numbers of distinct 3-grams of the question, the answer and the whole of each section."""
+    for b in it:
+        n = [[len(grams_of(x, gram_size(size))) for x in (w[:q], w[q:], w)] for size, q, w in zip(b["size"].to_pylist(), b["question"].to_pylist(), (np.frombuffer(x, np.uint64).tolist() for x in b["words"].to_pylist()), strict=True)]
+        yield pa.record_batch([b["section"], *(pa.array([x[i] for x in n], pa.int64()) for i in range(3))], names=["section", "n_question", "n_answer", "n_all"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, overlap: float = 0.5) -> DataFrame:
-    """Rows (doc_id, item_id, score, question_overlap, answer_overlap, kind), the best of each item in a document and shard."""
+    """Rows (doc_id, item_id, score, question_overlap, answer_overlap, kind): one for each document and item of which it holds enough.
+
+    What a document holds of an item is added up over all the item's sections, wherever they were looked up, before it is judged. Rows of
+    docs alike in doc_id and text are one document.
+    """
     sc = lean(docs.sparkSession).sparkContext
     kinds = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
     cut = items.filter("text is not null").select("item_id", "text").distinct().mapInArrow(_sections, f"item_id {kinds[1]}, item long, size long, question long, words binary")
@@ -293,25 +302,41 @@ def leaks(docs: DataFrame, items: DataFrame, least: float = 0.5, overlap: float
     shards = 1 + (cut.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // 8 // SHARD_WORDS
     cut = cut.withColumn("shard", F.pmod(F.xxhash64("section"), F.lit(shards)).cast("int"))
     p = stored(postings(cut), "postings")
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double, kind string"
-    out = docs.sparkSession.createDataFrame([], schema)
+    texts = docs.select("doc_id", F.md5("text").alias("_row"), "text")
+    schema = f"doc_id {kinds[0]}, _row string, section long, score double, question long, answer long, both long, own double"
+    found = docs.sparkSession.createDataFrame([], schema)
     for shard in range(shards):
         rows = p.filter(F.col("shard") == shard).drop("shard").toArrow()
         if not rows.num_rows:
             continue
-        bc = sc.broadcast(Index(cut.filter(F.col("shard") == shard).drop("shard").toArrow(), rows, least))
+        mine = cut.filter(F.col("shard") == shard).drop("shard").toArrow()
+        number = np.sort(mine["section"].to_numpy())
+        bc = sc.broadcast((Index(mine, rows, least), number))
 
         def run(it: Iterator[pa.RecordBatch], bc=bc) -> Iterator[pa.RecordBatch]:
+            index, number = bc.value
             for t in chunks(it, "text", BATCH):
-                ids = t["doc_id"].to_pylist()
-                rows = [(ids[r[0]], *r[1:]) for r in leaks_in(bc.value, t["text"].to_pylist(), least, overlap)]
-                names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "kind"]
-                kind = [t["doc_id"].type, None, pa.float64(), pa.float64(), pa.float64(), pa.string()]
-                if rows:
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kind, strict=True)], names=names)
-
-        out = out.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
-    return out
+                hits = leaks_in(index, t["text"].to_pylist(), least)
+                if hits:
+                    d, k, *rest = zip(*hits, strict=True)
+                    who = t.select(["doc_id", "_row"]).take(pa.array(d))
+                    kind = [pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+                    cols = [*(c.combine_chunks() for c in who.columns), pa.array(number[list(k)]), *(pa.array(c, x) for c, x in zip(rest, kind, strict=True))]
+                    yield pa.record_batch(cols, names=["doc_id", "_row", "section", "score", "question", "answer", "both", "own"])
+
+        found = found.unionByName(texts.mapInArrow(run, schema))
+    size = cut.select("section", "item_id", "item", "size").join(cut.mapInArrow(_grams, "section long, n_question long, n_answer long, n_all long"), "section")
+    whole = size.groupBy("item_id", "item").agg(*[F.sum(c).alias(f"i_{c}") for c in ("n_question", "n_answer", "n_all")])
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    by = found.distinct().join(size, "section").groupBy("doc_id", "_row", "item_id", "item").agg(
+        F.max("score").alias("score"), *[F.sum(c).alias(c) for c in ("question", "answer", "both")], F.max("own").alias("own"), F.max(share("both", "n_all")).alias("part"), F.max("size").alias("size"),
+    ).join(whole.withColumnsRenamed({"item_id": "_item_id", "item": "_item"}), F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("item") == F.col("_item")))
+    of_all = F.coalesce(share("both", "i_n_all"), F.lit(0.0))
+    enough = F.when(F.col("size") < 8, 1.0).otherwise(overlap)
+    by = by.withColumns({"question_overlap": F.coalesce(share("question", "i_n_question"), of_all), "answer_overlap": F.coalesce(share("answer", "i_n_answer"), of_all)})
+    kind = F.when((F.col("question_overlap") >= enough) & (F.col("answer_overlap") >= enough), "question and answer").when(F.greatest(of_all, F.coalesce("part", F.lit(0.0))) >= enough, "part")
+    kind = kind.when((F.col("own") >= UNIT_SHARE) & (F.col("size") > TILE), "passage")
+    return by.withColumn("kind", kind).filter("kind is not null").select("doc_id", "item_id", "score", "question_overlap", "answer_overlap", "kind")
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -425,6 +425,25 @@ def test_long_items(spark):
     assert got == {(1, 1), (2, 1), (4, 2)}
 
 
+@pytest.mark.parametrize("shard_words", [decontaminate.SHARD_WORDS, 4096])
+def test_long_items_are_judged_as_a_whole(spark, shard_words, monkeypatch):
+    """One row for each document and item, however many sections and shards the item has; the answer counts only where it is found."""
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard_words)
+    question = prose(9000, 71) + "?"
+    answer = prose(400, 72)
+    long = prose(20_000, 73)
+    bench = spark.createDataFrame([(1, question + " " + answer), (2, long)], "item_id long, text string")
+    q = question.split()
+    texts = [" ".join(q[:5000]), question, question + " " + answer, answer, long, prose(80, 74), " ".join(q[:5000])]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {}
+    for r in decontaminate.leaks(spark.createDataFrame(rows, DOCS), bench).collect():
+        assert (r.doc_id, r.item_id) not in got
+        got[r.doc_id, r.item_id] = r
+    assert {k: r.kind for k, r in got.items()} == {(0, 1): "part", (1, 1): "part", (2, 1): "question and answer", (3, 1): "passage", (4, 2): "question and answer", (6, 1): "part"}
+    assert got[0, 1].answer_overlap == 0 and 0.5 < got[0, 1].question_overlap < 0.6 and got[1, 1].question_overlap > 0.99 and got[3, 1].question_overlap == 0
+
+
 @pytest.fixture(scope="module")
 def library():
     sentencepiece = pytest.importorskip("sentencepiece")
