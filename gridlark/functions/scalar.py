@@ -17,7 +17,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def clip(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c))
+    """Within low and high; null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), c)))
 
 
 def finite(c: Column) -> Column:
@@ -60,15 +61,15 @@ def html_escape(c: Column) -> Column:
 
 
 def format_runtime(seconds: Column) -> Column:
-    """Milliseconds below one second, else seconds with two digits."""
-    return F.when(seconds < 1, F.format_string("%.0f ms", seconds * 1000)).otherwise(F.format_string("%.2f s", seconds))
+    """Milliseconds below one second, else seconds with two digits; a dash where there is no number."""
+    return F.when(seconds.isNull(), "-").when(seconds < 1, F.format_string("%.0f ms", seconds * 1000)).otherwise(F.format_string("%.2f s", seconds))
 
 
 def format_fixed(c: Column, unit: str = "") -> Column:
     """Two digits after the point; a dash where there is no number."""
-    return F.coalesce(F.format_string(f"%.2f{unit}", c), F.lit("-"))
+    return F.when(c.isNull(), "-").otherwise(F.format_string(f"%.2f{unit}", c))
 
 
 def format_percent(c: Column) -> Column:
-    """A share as a percentage with one digit."""
-    return F.coalesce(F.format_string("%.1f%%", c * 100), F.lit("-"))
+    """A share as a percentage with one digit; a dash where there is no number."""
+    return F.when(c.isNull(), "-").otherwise(F.format_string("%.1f%%", c * 100))

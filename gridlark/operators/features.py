@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.functions.scalar import clip
+from gridlark.functions.scalar import clip, finite
 from gridlark.functions.timefn import add_minutes, calendar
 from gridlark.operators import ml
-from gridlark.operators.profiles import profile_features, station_profiles
+from gridlark.operators.profiles import mean_of, profile_cube, profile_features, station_profiles
 from gridlark.operators.timeseries import asof, serve_state
 
 # Names of the features and their sets.
@@ -43,17 +44,17 @@ STATE = {"lag_1": "occupancy_lag_1", "lag_3": "occupancy_lag_3", "lag_6": "occup
 
 
 def neighbor_columns(keys: DataFrame, fit: DataFrame, stations: DataFrame, neighbors: DataFrame) -> DataFrame:
-    """Rows (station_id, hour, weekday) with the nine neighbour features; fit has calendar columns.
+    """Rows (station_id, hour, weekday) with the nine neighbour features; fit has calendar columns, or is the table of profile_sums.
 
     A neighbour without a profile counts with the profile of all stations, and so does a station without neighbours.
     """
     own = station_profiles(fit).join(stations.select("station_id", "charge_count"), "station_id", "left").withColumnRenamed("station_id", "neighbor_id")
     own = own.withColumnRenamed("avg_duration", "duration_mean")
-    hour = fit.groupBy(F.col("station_id").alias("neighbor_id"), "hour").agg(F.avg("occ").alias("nh"))
-    week = fit.groupBy(F.col("station_id").alias("neighbor_id"), "hour", "weekday").agg(F.avg("occ").alias("nw"))
-    g = own.agg(F.avg("peak_occ").alias("g_peak"), F.avg("duration_mean").alias("g_duration"), F.avg("charge_count").alias("g_charge")).crossJoin(fit.agg(F.avg("occ").alias("g_occ")))  # one row each
-    gh = fit.groupBy("hour").agg(F.avg("occ").alias("gh"))
-    gw = fit.groupBy("hour", "weekday").agg(F.avg("occ").alias("gw"))
+    hour = fit.groupBy(F.col("station_id").alias("neighbor_id"), "hour").agg(mean_of(fit).alias("nh"))
+    week = fit.groupBy(F.col("station_id").alias("neighbor_id"), "hour", "weekday").agg(mean_of(fit).alias("nw"))
+    g = own.agg(F.avg("peak_occ").alias("g_peak"), F.avg("duration_mean").alias("g_duration"), F.avg("charge_count").alias("g_charge")).crossJoin(fit.agg(mean_of(fit).alias("g_occ")))  # one row each
+    gh = fit.groupBy("hour").agg(mean_of(fit).alias("gh"))
+    gw = fit.groupBy("hour", "weekday").agg(mean_of(fit).alias("gw"))
     fixed = neighbors.join(own, "neighbor_id", "left").crossJoin(F.broadcast(g)).groupBy("station_id").agg(  # one row
         F.count("*").cast("double").alias("neighbor_count"), (F.avg("distance_km") * 1000).alias("neighbor_avg_distance_m"),
         F.avg(F.coalesce("avg_occ", "g_occ")).alias("neighbor_avg_station_occupancy"), F.max(F.coalesce("avg_occ", "g_occ")).alias("neighbor_max_station_occupancy"),
@@ -118,13 +119,51 @@ def serving_features(requests: DataFrame, now: str, obs: DataFrame, fit: DataFra
 
 
 def predict_requests(model: PipelineModel, requests: DataFrame, features: DataFrame, names: Sequence[str] = ALL) -> DataFrame:
-    """One row a request: predicted occupancy and the time it is for; null, with its reason, where there is no history."""
+    """One row a request: predicted occupancy and the time it is for; null, with its reason, where there is no history or no time of arrival."""
     got = ml.predict(model, features, names)
     got = got.select("station_id", "horizon_min", F.col("prediction").alias("predicted_occupancy"), add_minutes(F.col("time"), F.col("horizon_min")).alias("prediction_time"))
     out = requests.withColumn("horizon_min", bounded_horizon(F.col("horizon_min"))).join(got, ["station_id", "horizon_min"], "left")
     return out.withColumn("source", F.when(F.col("predicted_occupancy").isNull(), "insufficient_history").otherwise("history"))
 
 
+@dataclass
+class Forecast:
+    """What predictions on arrival need: a model and its features' names, the history, and tables made from it once.
+
+    sums: profile_sums of the rows that profiles may see; neighbors: (station_id, neighbor_id, distance_km).
+    """
+
+    model: PipelineModel
+    obs: DataFrame
+    sums: DataFrame
+    weather: DataFrame
+    neighbors: DataFrame
+    names: Sequence[str] = tuple(ALL)
+
+    def on_arrival(self, requests: DataFrame, now: str, stations: DataFrame, poi: DataFrame) -> DataFrame:
+        """One row a request (station_id, drive_min): occupancy, horizon_min, prediction_time, source.
+
+        The horizon is the drive time within 5 and 120 minutes. A station with too short a history has its usual occupancy at the weekday
+        and hour of arrival (source `profile`); without that, or without a way there, none (`insufficient_history`). requests: the few candidates of
+        one request, so history and neighbours are first cut down to them.
+        """
+        requests = requests.withColumn("drive_min", finite(F.col("drive_min")))
+        asked = requests.filter("drive_min is not null").select("station_id", F.col("drive_min").alias("horizon_min"))
+        few = F.broadcast(asked.select("station_id"))  # the candidates of one request
+        near = self.neighbors.join(few, "station_id", "left_semi")
+        features = serving_features(asked, now, self.obs.join(few, "station_id", "left_semi"), self.sums, stations, self.weather, poi, near)
+        told = predict_requests(self.model, asked, features, self.names)
+        arrival = add_minutes(F.lit(now).cast("timestamp_ntz"), F.col("drive_min"))
+        usual = profile_cube(self.sums.join(few, "station_id", "left_semi")).select("station_id", "hour", "weekday", F.col("same_weekday_hour_occ").alias("_usual"))
+        out = requests.select("station_id", "drive_min").withColumns({"arrival": arrival, "hour": F.hour(arrival), "weekday": F.weekday(arrival), "_h": bounded_horizon(F.col("drive_min"))})
+        out = out.join(told.drop("horizon_min", "source"), "station_id", "left").join(usual, ["station_id", "hour", "weekday"], "left")
+        known, usual = F.col("predicted_occupancy").isNotNull(), F.col("_usual").isNotNull()
+        return out.select(
+            "station_id", "arrival", F.coalesce("predicted_occupancy", clip(F.col("_usual"), 0, 1)).alias("occupancy"), F.when(known | usual, F.col("_h")).alias("horizon_min"),
+            F.when(known, F.col("prediction_time")).when(usual, F.col("arrival")).alias("prediction_time"), F.when(known, "history").when(usual, "profile").otherwise("insufficient_history").alias("source"),
+        )
+
+
 def at_horizons(features: DataFrame, horizons: Sequence[float]) -> DataFrame:
     """Rows of features once for each horizon, whole minutes or not, with what depends on it made anew."""
     out = features.drop("horizon_min").withColumn("horizon_min", F.explode(F.array(*[F.lit(float(h)) for h in horizons])))

@@ -1,8 +1,8 @@
 """Road graph operators: collapse, components, breadth-first and shortest paths, landmarks, hierarchy.
 
-Searches are fix-points of joins over an edge table (u, v, w): a round relaxes only the frontier,
-nodes whose value got better, and all sources or landmarks share the rounds. Tables of a few
-rounds are written out, which cuts the plan and survives lost executors.
+Searches are fix-points of joins over an edge table (u, v, w), bucket by bucket of cost: a round relaxes only
+nodes of the bucket whose value got better, and all sources or landmarks share the rounds. Tables of a few
+rounds are written out, which cuts the plan and survives lost executors. Routes are told node by node, from parents by doubling.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from gridlark.operators.iterate import saved
 
 
+DEFAULT_KPH = 40.0  # fixed value: the speed on edges without a travel time
+
+
 def collapse_min(edges: DataFrame, w: str = "w") -> DataFrame:
     """The least weight of parallel edges."""
     return edges.groupBy("u", "v").agg(F.min(w).alias(w))
@@ -35,9 +38,14 @@ def reverse(edges: DataFrame) -> DataFrame:
 
 
 def best_parallel(edges: DataFrame) -> DataFrame:
-    """For each (u, v) the edge of least travel time; a missing time counts as infinite, then the key decides."""
+    """For each (u, v) the edge of least travel time; a missing time counts as infinite, then the key decides.
+
+    Where the chosen edge has no time, its length at DEFAULT_KPH gives one; a missing length is 0.
+    """
     order = F.struct(F.coalesce("seconds", F.lit(float("inf"))), "key")
-    return edges.groupBy("u", "v").agg(F.min_by(F.struct("key", "seconds", "length_m"), order).alias("e")).select("u", "v", "e.*")
+    length = F.coalesce(F.col("length_m").cast("double"), F.lit(0.0))
+    best = edges.groupBy("u", "v").agg(F.min_by(F.struct("key", F.coalesce("seconds", length / 1000 / DEFAULT_KPH * 3600).alias("seconds"), length.alias("length_m")), order).alias("e"))
+    return best.select("u", "v", "e.*")
 
 
 def importance(edges: DataFrame) -> DataFrame:
@@ -80,78 +88,106 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return c.join(top, "component", "left_semi").select("id")
 
 
-def shortest(edges: DataFrame, sources: DataFrame, paths: bool = False, limit: float | None = None, rounds_per_table: int = 4, sums: Sequence[str] = (), bounds: DataFrame | None = None) -> DataFrame:
-    """Least sums of w from each source: rows (source, id, cost, parent); with paths also the node path.
+def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None, sums: Sequence[str] = (), bounds: DataFrame | None = None, goals: DataFrame | None = None, width: float | None = None, rounds_per_table: int = 6) -> DataFrame:
+    """Least sums of w from each source: rows (source, id, cost, parent).
 
-    sources: rows (source, id, cost). Of equal costs the parent with the least (cost, id) stays.
-    The frontier holds only nodes whose cost fell, so far parts of the graph cost nothing. sums: columns
-    of the edges that are added up along the paths (their best parallel edges), so that metrics of routes need no
-    node lists. limit: costs above it are not followed. bounds: rows (id, bound), lower bounds of the cost from a
-    node to the goal; with a limit, nodes whose cost and bound exceed it are not followed either.
+    sources: rows (source, id, cost). Of equal costs the parent with the least (cost, id) stays. sums: columns of the edges that are
+    added up along the paths (their best parallel edges), so that metrics of routes need no node lists. limit: costs above
+    it are not followed. bounds: rows (id, bound), lower bounds of the cost from a node to the goal; with a limit, nodes whose
+    cost and bound exceed it are not followed either. goals: rows (id); the search ends once all of them are final for every source, or
+    nothing is left, and costs of others may be missing or too high.
+
+    Buckets: only nodes whose cost fell and lies within `width` of the least such cost are relaxed, so few nodes are relaxed with a
+    cost that is not final. By default a bucket is as wide as `rounds_per_table` edges of mean weight. Each edge row of a node that
+    is relaxed, and a row that keeps the node itself, meet in one join and one aggregate a round: the costs are read once a round, and
+    written once in so many rounds, which cuts the plan and survives lost executors.
     """
     e = edges.filter(F.col("w").isNotNull())
     if bounds is not None and limit is not None:
         e = e.join(bounds.select(F.col("id").alias("v"), F.col("bound").alias("_bound")), "v", "left").withColumn("_bound", F.coalesce("_bound", F.lit(0.0)))
     else:
         e = e.withColumn("_bound", F.lit(0.0))
-    e = saved(e.select("u", "v", "w", "_bound", *[F.col(c).alias(f"_e_{c}") for c in sums]), "edges")
+    more = [f"_e_{c}" for c in sums]
+    e = e.select("u", "v", F.col("w").cast("double").alias("w"), "_bound", *[F.col(c).cast("double").alias(f"_e_{c}") for c in sums], F.lit(False).alias("_own"))
+    ends = e.select("u").union(e.select("v")).union(sources.select("id")).distinct()
+    own = ends.select("u", F.col("u").alias("v"), F.lit(0.0).alias("w"), F.lit(0.0).alias("_bound"), *[F.lit(0.0).alias(c) for c in more], F.lit(True).alias("_own"))
+    e = saved(e.unionByName(own), "edges")
+    if width is None:
+        width = rounds_per_table * float(e.filter("not _own").agg(F.avg("w")).first()[0] or 1.0)
     kind = dict(e.dtypes)["u"]
-    extra = ([F.array(F.col("id")).alias("path")] if paths else []) + [F.col(c).cast("double") if c in sources.columns else F.lit(0.0).alias(c) for c in sums]
-    best = saved(sources.select("source", "id", F.col("cost").cast("double").alias("cost"), F.lit(0.0).alias("before"), F.lit(None).cast(kind).alias("parent"), *extra, F.lit(0).alias("round")), "costs")
-    r = 0
-    carry = [*(["path"] if paths else []), *sums]
+    extra = [F.col(c).cast("double") if c in sources.columns else F.lit(0.0).alias(c) for c in sums]
+    best = sources.select("source", "id", F.col("cost").cast("double").alias("cost"), F.lit(0.0).alias("before"), F.lit(None).cast(kind).alias("parent"), *extra, F.lit(True).alias("fresh"))
+    best = saved(best, "costs")
+    want = None if goals is None else goals.select("id").distinct()
     while True:
-        start, last = r, best
+        low = F.min(F.when(F.col("fresh"), F.col("cost"))).alias("low")
+        least = best.agg(low).first().low
+        if least is None or want is not None and _final(best, want, least):
+            return best.drop("before", "fresh")
+        last, end = best, least + width
         for _ in range(rounds_per_table):
-            r += 1
-            front = best.filter(F.col("round") == r - 1)
-            step = front.join(e, front["id"] == e["u"])
-            if limit is not None:
-                step = step.filter(F.col("cost") + F.col("w") + F.col("_bound") <= limit)
+            now = F.col("fresh") & (F.col("cost") < end)
+            cost = F.col("cost") + F.col("w")
+            follow = now if limit is None else now & (cost + F.col("_bound") <= limit)
+            step = best.join(e, (best["id"] == e["u"]) & (e["_own"] | follow))
+            mine = F.col("_own")
             step = step.select(
-                "source", F.col("v").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), F.col("cost").alias("before"), F.col("u").alias("parent"),
-                *([F.concat("path", F.array("v")).alias("path")] if paths else []), *[(F.col(c) + F.col(f"_e_{c}")).alias(c) for c in sums], F.lit(r).alias("round"),
+                "source", F.col("v").alias("id"), cost.alias("cost"), F.when(mine, F.col("before")).otherwise(F.col("cost")).alias("before"), F.when(mine, F.col("parent")).otherwise(F.col("u")).alias("parent"),
+                *[(F.col(c) + F.col(f"_e_{c}")).alias(c) for c in sums], F.when(mine, F.col("fresh") & ~now).otherwise(F.lit(True)).alias("fresh"), (~mine).cast("int").alias("_new"),
             )
             order = F.struct("cost", "before", F.coalesce(F.col("parent").cast("string"), F.lit("")))
             # an equal cost with a better parent is taken too, but does not travel on unless the cost fell
-            both = best.unionByName(step)
-            keep = F.min_by(F.struct("cost", "before", "parent", *carry), order).alias("b")
-            low = F.min(F.struct("cost", "round")).alias("m")
-            best = both.groupBy("source", "id").agg(keep, low).select("source", "id", "b.*", F.col("m.round").alias("round"))
+            keep = F.min_by(F.struct("cost", "before", "parent", *sums), order).alias("b")
+            flag = F.min_by("fresh", F.struct("cost", "_new")).alias("fresh")
+            best = step.groupBy("source", "id").agg(keep, flag).select("source", "id", "b.*", "fresh")
         best = saved(best, "costs", instead=last)
-        if best.filter(F.col("round") > r - 1).isEmpty() and best.filter((F.col("round") > start) & (F.col("round") == r)).isEmpty():
-            return best.drop("before", "round")
+
+
+def _final(best: DataFrame, goals: DataFrame, least: float) -> bool:
+    """Whether no cost of a goal can fall any more: each source has all of them below the least cost that is still to be followed."""
+    n = best.select("source").distinct().crossJoin(F.broadcast(goals.agg(F.count("*").alias("n"))))  # one row
+    done = best.filter((F.col("cost") <= least) & ~(F.col("fresh") & (F.col("cost") < least))).join(goals, "id", "left_semi").groupBy("source").agg(F.count("*").alias("done"))
+    return n.join(done, "source", "left").filter(F.coalesce("done", F.lit(0)) < F.col("n")).isEmpty()
 
 
 def goal_directed(edges: DataFrame, start: DataFrame, goal: DataFrame, bounds: DataFrame) -> DataFrame:
     """One row (id, cost) for the goal: a search by landmark bounds, repeated with a doubled limit until the goal is reached.
 
     start and goal: one row (id). No node is followed whose cost and bound exceed the limit, so the search stays
-    near the best routes; the cost is the least one. No row if there is no route.
+    near the best routes, and it ends when the goal is final; the cost is the least one. No row if there is no route.
     """
     src = start.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("cost"))
     low = start.join(bounds, "id").select("bound").first()
     limit = max(1e-9, float(low.bound if low and low.bound is not None else 0.0) * 1.05)
-    reach = -1
+    most = float(edges.agg(F.sum("w")).first()[0] or 0.0)  # no route costs more
     while True:
-        found = shortest(edges, src, limit=limit, bounds=bounds)
-        hit = found.join(goal.select("id"), "id").select("id", "cost")
-        n = found.count()
-        if not hit.isEmpty() or (n == reach and limit > edges.agg(F.sum("w")).first()[0]):
+        hit = shortest(edges, src, limit=limit, bounds=bounds, goals=goal).join(goal.select("id"), "id").select("id", "cost")
+        if limit > most or not hit.filter(F.col("cost") <= limit).isEmpty():
             return hit
-        reach, limit = n, limit * 2
+        limit *= 2
 
 
-def walk_back(costs: DataFrame, goals: DataFrame) -> DataFrame:
-    """Node paths (source, id, path) of a few goals, by parents from the goals on."""
-    up = costs.select("source", F.col("id").alias("at"), "parent")
-    cur = saved(goals.select("source", "id").join(costs.select("source", "id"), ["source", "id"]).withColumns({"at": F.col("id"), "path": F.array("id")}), "walk")
+def routes_to(costs: DataFrame, goals: DataFrame | None = None) -> DataFrame:
+    """Nodes (source, id, pos, node) of the routes to goals (source, id), by default to all nodes; the source is at 0.
+
+    Parents are doubled: a jump of 2^k parents is two jumps of 2^(k-1), and the nodes known of a route double with each jump from the
+    longest down. So routes of n edges take log n joins, and a row holds one node, never a list.
+    """
+    tree = saved(costs.select("source", "id", "parent"), "tree")
+    goals = tree.select("source", "id") if goals is None else goals.select("source", "id").join(tree.select("source", "id"), ["source", "id"])
+    jumps = [saved(tree.filter("parent is not null").select("source", F.col("id").alias("at"), F.col("parent").alias("to")), "jumps")]
     while True:
-        cur = cur.join(up, ["source", "at"], "left")
-        cur = saved(cur.select("source", "id", F.coalesce("parent", "at").alias("at"), F.when(F.col("parent").isNull(), F.col("path")).otherwise(F.concat(F.array("parent"), "path")).alias("path"), F.col("parent").isNull().alias("done")), "walk")
-        if cur.filter("not done").isEmpty():
-            return cur.select("source", "id", "path")
-        cur = cur.drop("done")
+        last = jumps[-1]
+        twice = saved(last.join(last.select("source", F.col("at").alias("to"), F.col("to").alias("next")), ["source", "to"]).select("source", "at", F.col("next").alias("to")), "jumps")
+        if twice.isEmpty():
+            break
+        jumps.append(twice)
+    rows = goals.select("source", "id", F.col("id").alias("at"), F.lit(0).alias("back"))
+    for k in range(len(jumps) - 1, -1, -1):
+        rows = rows.unionByName(rows.join(jumps[k], ["source", "at"]).select("source", "id", F.col("to").alias("at"), (F.col("back") + (1 << k)).alias("back")))
+        rows = saved(rows, "routes")
+    n = rows.groupBy("source", "id").agg(F.max("back").alias("_n"))
+    return rows.join(n, ["source", "id"]).select("source", "id", (F.col("_n") - F.col("back")).alias("pos"), F.col("at").alias("node"))
 
 
 def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -166,21 +202,21 @@ def source_rows(spark: SparkSession, ids: Sequence) -> DataFrame:
 
 
 def path_edges(paths: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Consecutive pairs of each path with their place."""
-    return paths.select(*key, F.posexplode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("u"), F.slice("path", 2, F.greatest(F.lit(0), F.size("path") - 1)).alias("v"))).alias("pos", "e")).select(*key, "pos", "e.u", "e.v")
+    """Consecutive pairs (key, pos, u, v) of the nodes (key, pos, node) of paths."""
+    nxt = paths.select(*key, (F.col("pos") - 1).alias("pos"), F.col("node").alias("v"))
+    return paths.select(*key, "pos", F.col("node").alias("u")).join(nxt, [*key, "pos"])
 
 
 def path_metrics(paths: DataFrame, best: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Length and time of each path over the best parallel edges; an absent edge adds nothing."""
-    e = path_edges(paths.filter(F.size("path") > 1), key).join(best, ["u", "v"], "left")
+    """Length and time of each path (key, pos, node) over the best parallel edges; an absent edge adds nothing."""
+    e = path_edges(paths, key).join(best, ["u", "v"], "left")
     m = e.groupBy(*key).agg((F.sum(F.coalesce("length_m", F.lit(0.0))) / 1000).alias("distance_km"), (F.sum(F.coalesce("seconds", F.lit(0.0))) / 60).alias("drive_min"))
-    return paths.select(*key).join(m, list(key), "left").na.fill(0.0, ["distance_km", "drive_min"])
+    return paths.select(*key).distinct().join(m, list(key), "left").na.fill(0.0, ["distance_km", "drive_min"])
 
 
 def path_points(paths: DataFrame, nodes: DataFrame, key: Sequence[str]) -> DataFrame:
     """Places (key, pos, x, y) of the paths' nodes in order; nodes without a place are left out."""
-    at = paths.select(*key, F.posexplode("path").alias("pos", "_node"))
-    return at.join(nodes.select(F.col("id").alias("_node"), "x", "y"), "_node").select(*key, "pos", "x", "y")
+    return paths.join(nodes.select(F.col("id").alias("node"), "x", "y"), "node").select(*key, "pos", "x", "y")
 
 
 def route_polyline(paths: DataFrame, shapes: DataFrame, nodes: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -188,7 +224,7 @@ def route_polyline(paths: DataFrame, shapes: DataFrame, nodes: DataFrame, key: S
 
     A joint of two edges counts once.
     """
-    e = path_edges(paths.filter(F.size("path") > 1), key)
+    e = path_edges(paths, key)
     a, b = nodes.select(F.col("id").alias("u"), F.struct("x", "y").alias("a")), nodes.select(F.col("id").alias("v"), F.struct("x", "y").alias("b"))
     own = shapes.groupBy("u", "v").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))  # one edge's points
     e = e.join(own, ["u", "v"], "left").join(a, "u").join(b, "v")
@@ -226,61 +262,78 @@ def landmark_table(edges: DataFrame, landmarks: Sequence) -> DataFrame:
 
 
 def landmark_bound(table: DataFrame, goals: DataFrame) -> DataFrame:
-    """Lower bound of the cost from each node to each goal: rows (goal, id, bound); null if no landmark tells."""
-    g = goals.select(F.col("id").alias("goal")).join(table.withColumnRenamed("id", "goal"), "goal").select("landmark", "goal", F.col("fwd").alias("gf"), F.col("rev").alias("gr"), F.col("und").alias("gu"))
-    both = table.join(F.broadcast(g), "landmark")  # the goals of one request
-    directed = F.max(F.greatest(F.col("gf") - F.col("fwd"), F.col("rev") - F.col("gr")))
-    out = both.groupBy("goal", "id").agg(directed.alias("d"), F.max(F.abs(F.col("gu") - F.col("und"))).alias("u"))
-    return out.select("goal", "id", F.greatest(F.lit(0.0), F.coalesce("d", "u")).cast("double").alias("bound"))
+    """Lower bound of the cost from each node to each goal: rows (goal, id, bound); null if no landmark tells.
+
+    Costs of the table are single floats, each within 2^-24 of its value; what that may add to a difference is taken off, so
+    a bound never exceeds the cost.
+    """
+    g = goals.select(F.col("id").alias("goal")).join(table.withColumnRenamed("id", "goal"), "goal").select("landmark", "goal", *[F.col(a).cast("double").alias(b) for a, b in (("fwd", "gf"), ("rev", "gr"), ("und", "gu"))])
+    own = table.select("landmark", "id", *[F.col(c).cast("double").alias(c) for c in ("fwd", "rev", "und")])
+    both = own.join(F.broadcast(g), "landmark")  # the goals of one request
+    less = lambda a, b: (F.col(a) - F.col(b)) - (F.col(a) + F.col(b)) * 2**-23
+    directed = F.max(F.greatest(less("gf", "fwd"), less("rev", "gr")))
+    out = both.groupBy("goal", "id").agg(directed.alias("d"), F.max(F.greatest(less("gu", "und"), less("und", "gu"))).alias("u"))
+    return out.select("goal", "id", F.when(F.coalesce("d", "u").isNotNull(), F.greatest(F.lit(0.0), F.coalesce("d", "u"))).alias("bound"))
 
 
-def witnessed(short: DataFrame, live: DataFrame, gone: DataFrame) -> DataFrame:
-    """Shortcuts (u, v, w, via) without those that a route of one or two edges past the contracted nodes is not longer than.
+def witnessed(short: DataFrame, live: DataFrame, gone: DataFrame, hops: int = 4, settled: int = 240) -> DataFrame:
+    """Shortcuts (u, v, w, via) without those that another route past the contracted nodes is not longer than.
 
-    A longer witness would save more shortcuts; leaving one in costs space only, never exactness.
+    One search serves a whole round: its sources are the shortcuts' first nodes, each with the weight of its longest shortcut as its own limit.
+    It goes `hops` edges far, and after each second one a source keeps its `settled` nearest nodes, so its cost is bounded. What lies beyond is not
+    sought: a shortcut too many costs space only, never exactness.
     """
-    rest = live.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v", "w")
-    ends = short.select("u", "v").distinct()
-    one = ends.join(rest, ["u", "v"]).select("u", "v", F.col("w").alias("d"))
-    first = rest.select("u", F.col("v").alias("m"), F.col("w").alias("w1"))
-    last = rest.select(F.col("u").alias("m"), "v", F.col("w").alias("w2"))
-    two = ends.join(first, "u").join(last, ["m", "v"]).groupBy("u", "v").agg(F.min(F.col("w1") + F.col("w2")).alias("d"))
-    known = one.unionByName(two).groupBy("u", "v").agg(F.min("d").alias("d"))
+    here = live.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti").select("u", "v", "w", F.lit(False).alias("_own"))
+    limit = short.groupBy(F.col("u").alias("source")).agg(F.max("w").alias("_limit"))
+    ids = here.select("u").union(here.select("v")).union(short.select("u")).distinct()
+    rest = here.unionByName(ids.select("u", F.col("u").alias("v"), F.lit(0.0).alias("w"), F.lit(True).alias("_own")))
+    cur = limit.select("source", F.col("source").alias("u"), F.lit(0.0).alias("cost"), "_limit", F.lit(True).alias("fresh"))
+    near = Window.partitionBy("source").orderBy("cost", "u")
+    for k in range(hops):
+        step = cur.join(rest, "u").filter((F.col("_own") | F.col("fresh")) & (F.col("cost") + F.col("w") <= F.col("_limit")))
+        step = step.select("source", F.col("v").alias("u"), (F.col("cost") + F.col("w")).alias("cost"), "_limit", (~F.col("_own")).alias("fresh"))
+        cur = step.groupBy("source", "u").agg(F.min(F.struct("cost", "fresh")).alias("b"), F.first("_limit").alias("_limit")).select("source", "u", "b.cost", "_limit", "b.fresh")
+        if k % 2 and k < hops - 1:
+            cur = cur.withColumn("_place", F.row_number().over(near)).filter(F.col("_place") <= settled).drop("_place")
+    known = cur.select(F.col("source").alias("u"), F.col("u").alias("v"), F.col("cost").alias("d"))
     return short.join(known, ["u", "v"], "left").filter(F.col("d").isNull() | (F.col("d") > F.col("w"))).drop("d")
 
 
-def contract(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def contract(edges: DataFrame, nodes: DataFrame, hops: int = 4, settled: int = 240) -> tuple[DataFrame, DataFrame]:
     """A contraction hierarchy: (ranks (id, rank), edges (u, v, w, via)).
 
     Rounds contract independent sets: nodes that come before all their neighbours in the order
     (edge difference, product, degree, id). A contracted node leaves a shortcut for each in-edge
-    and out-edge that has no witness; of parallel edges the least stays. A round writes its own ranks and edges only.
+    and out-edge that has no witness; of parallel edges the least stays. A round writes its order, its own ranks and edges, and what is left.
     """
     least = lambda df: df.groupBy("u", "v").agg(F.min_by(F.struct("w", "via"), F.struct("w", F.coalesce("via", F.lit(-1)))).alias("e")).select("u", "v", "e.*")
-    live = saved(collapse_min(edges.select("u", "v", "w").filter("u <> v")).withColumn("via", F.lit(None).cast(dict(edges.dtypes)["u"])), "ch")
-    left = saved(nodes.select("id"), "ch-nodes")
+    live = saved(collapse_min(edges.select("u", "v", F.col("w").cast("double").alias("w")).filter("u <> v")).withColumn("via", F.lit(None).cast(dict(edges.dtypes)["u"])), "ch")
+    left = nodes.select("id")
     done = ranks = None
     r = 0
-    while not left.isEmpty():
+    while True:
         imp = left.join(importance(live), "id", "left").na.fill(0)
         order = F.struct("edge_difference", "shortcut_bound", "degree", F.xxhash64("id"), "id")
-        imp = saved(imp.select("id", order.alias("o")), "ch-order")
+        imp = imp.select("id", order.alias("o"))
         ends = live.select("u", "v").unionByName(reverse(live.select("u", "v")))
         near = ends.join(imp.select(F.col("id").alias("v"), "o"), "v").groupBy(F.col("u").alias("id")).agg(F.min("o").alias("m"))
-        now = saved(imp.join(near, "id", "left").filter(F.col("m").isNull() | (F.col("o") < F.col("m"))).select("id", F.lit(r).alias("rank")), "ch-rank")
-        gone = now.select("id")
-        touch = saved(live.join(gone.withColumnRenamed("id", "u"), "u", "left_semi").unionByName(live.join(gone.withColumnRenamed("id", "v"), "v", "left_semi")), "ch-done")
-        done = touch if done is None else done.unionByName(touch)
+        state = saved(imp.join(near, "id", "left").select("id", (F.col("m").isNull() | (F.col("o") < F.col("m"))).alias("now")), "ch-nodes")
+        left, gone = state.filter("not now").select("id"), state.filter("now").select("id")
+        now = gone.withColumn("rank", F.lit(r))
         ranks = now if ranks is None else ranks.unionByName(now)
-        ins = live.join(gone.withColumnRenamed("id", "v"), "v", "left_semi").select(F.col("v").alias("m"), F.col("u").alias("a"), F.col("w").alias("w1"))
-        outs = live.join(gone.withColumnRenamed("id", "u"), "u", "left_semi").select(F.col("u").alias("m"), F.col("v").alias("b"), F.col("w").alias("w2"))
+        out_of, into = gone.withColumnRenamed("id", "u"), gone.withColumnRenamed("id", "v")
+        touch = live.join(out_of, "u", "left_semi").unionByName(live.join(into, "v", "left_semi"))  # no edge has both ends in an independent set
+        touch = saved(touch, "ch-done")
+        done = touch if done is None else done.unionByName(touch)
+        if left.isEmpty():
+            return saved(ranks, "ch-ranks"), saved(least(done), "ch-edges")
+        ins = live.join(into, "v", "left_semi").select(F.col("v").alias("m"), F.col("u").alias("a"), F.col("w").alias("w1"))
+        outs = live.join(out_of, "u", "left_semi").select(F.col("u").alias("m"), F.col("v").alias("b"), F.col("w").alias("w2"))
         short = ins.join(outs, "m").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("w1") + F.col("w2")).alias("w"), F.col("m").alias("via"))
-        short = witnessed(saved(least(short), "ch-short"), live, gone)
-        rest = live.join(gone.withColumnRenamed("id", "u"), "u", "left_anti").join(gone.withColumnRenamed("id", "v"), "v", "left_anti")
+        short = witnessed(saved(least(short), "ch-short"), live, gone, hops, settled)
+        rest = live.join(out_of, "u", "left_anti").join(into, "v", "left_anti")
         live = saved(least(rest.unionByName(short.select("u", "v", "w", "via"))), "ch")
-        left = saved(left.join(gone, "id", "left_anti"), "ch-nodes")
         r += 1
-    return saved(ranks, "ch-ranks"), saved(least(done), "ch-edges")
 
 
 def hierarchy_cost(ranks: DataFrame, ch: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -297,7 +350,7 @@ def hierarchy_cost(ranks: DataFrame, ch: DataFrame, pairs: DataFrame) -> DataFra
 
 
 def unpack(path: DataFrame, ch: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Edges (key, pos, u, v) with shortcuts replaced by their two halves until none is left."""
+    """Edges (key, pos, u, v) of paths (key, pos, node) with shortcuts replaced by their two halves until none is left."""
     cur = path_edges(path, key).withColumn("pos", F.array("pos"))
     while True:
         j = cur.join(ch.select("u", "v", "via"), ["u", "v"], "left")

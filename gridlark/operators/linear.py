@@ -87,31 +87,45 @@ def substring(points: DataFrame, start: float, end: float, key: str = "edge") ->
     return inside.withColumn("pos", F.row_number().over(order) - 1).select(key, "pos", "x", "y")
 
 
-def convex_hull(points: DataFrame, by: str) -> DataFrame:
-    """Corners (by, pos, x, y) of each group's hull, counter-clockwise from the lowest left, without collinear points.
+def _hull(pts: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Corners of sorted points, counter-clockwise from the lowest left; what bends by less than a billionth of the extent's square is straight."""
+    if len(pts) < 3:
+        return pts
+    xs, ys = [p[0] for p in pts], [p[1] for p in pts]
+    tol = 1e-9 * max(max(xs) - min(xs), max(ys) - min(ys)) ** 2
 
-    A group is first thinned to the extreme y of each x, which keeps all corners, so a task holds a
-    group's distinct x only.
+    def half(seq):
+        out = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= tol:
+                out.pop()
+            out.append(p)
+        return out
+
+    return half(pts)[:-1] + half(pts[::-1])[:-1]
+
+
+def convex_hull(points: DataFrame, by: str, strips: int = 256) -> DataFrame:
+    """Corners (by, pos, x, y) of each group's hull, counter-clockwise from the lowest left, without corners that are straight but for rounding.
+
+    Of each strip of a group's width only the extreme places stay: its lowest and highest at either end of it and between. They are
+    found by aggregates: the extremes of y for each x, then, in a strip, its hull. So a task holds one strip, then a group's strips' corners.
     """
     low = points.groupBy(by, "x").agg(F.min("y").alias("y"))
     high = points.groupBy(by, "x").agg(F.max("y").alias("y"))
     thin = low.unionByName(high).distinct()
+    extent = thin.groupBy(by).agg(F.min("x").alias("_a"), F.max("x").alias("_b"))
+    strip = F.coalesce(F.floor(F.try_divide((F.col("x") - F.col("_a")) * strips, F.col("_b") - F.col("_a"))), F.lit(0))
+    thin = thin.join(extent, by).withColumn("_strip", strip).drop("_a", "_b")
+    kind = dict(points.dtypes)[by]
 
-    def hull(g: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(zip(g.x, g.y, strict=True))
-
-        def half(seq):
-            out = []
-            for p in seq:
-                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                    out.pop()
-                out.append(p)
-            return out
-
-        ring = pts if len(pts) < 3 else half(pts)[:-1] + half(pts[::-1])[:-1]
+    def corners(g: pd.DataFrame) -> pd.DataFrame:
+        ring = _hull(sorted(zip(g.x, g.y, strict=True)))
         return pd.DataFrame({by: [g[by].iloc[0]] * len(ring), "pos": range(len(ring)), "x": [p[0] for p in ring], "y": [p[1] for p in ring]})
 
-    return thin.groupBy(by).applyInPandas(hull, f"{by} {dict(points.dtypes)[by]}, pos int, x double, y double")
+    schema = f"{by} {kind}, pos int, x double, y double"
+    few = thin.groupBy(by, "_strip").applyInPandas(corners, schema)
+    return few.groupBy(by).applyInPandas(corners, schema)
 
 
 def frontiers(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -146,11 +160,6 @@ def bidirectional_hops(edges: DataFrame, start, goal) -> tuple[int | None, objec
         depth[k] += 1
 
 
-def playback(events: DataFrame, visible: int) -> DataFrame:
-    """Last event of each search at or before a step."""
-    return events.filter(F.col("step") <= visible).groupBy("source").agg(F.max_by("nodes", "step").alias("nodes"), F.max("step").alias("step"))
-
-
 def without_repeats(events: DataFrame, value: str, by: str, order: str) -> DataFrame:
     """Rows whose value differs from the row before."""
     w = Window.partitionBy(by).orderBy(order)

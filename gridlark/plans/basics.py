@@ -8,6 +8,7 @@ from gridlark.functions.scalar import format_fixed, format_percent, format_runti
 from gridlark.functions.timefn import calendar
 from gridlark.operators import graph as R
 from gridlark.operators import linear as L
+from gridlark.operators import prepared
 from gridlark.operators import relational as B
 from gridlark.operators import spatial as X
 from gridlark.operators.iterate import saved
@@ -91,7 +92,7 @@ TREE = (
 def route_polyline(spark, sf):
     """Lines of the routes from node 0, each edge bent in its middle: their points and planar lengths."""
     e, n = saved(edges(spark, sf), "edges"), S.road_node(spark, sf)
-    paths = R.shortest(e, R.source_rows(spark, [0]), paths=True).select("id", "path")
+    paths = R.routes_to(R.shortest(e, R.source_rows(spark, [0])))
     a, b = n.select(F.col("id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay")), n.select(F.col("id").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"))
     ends = e.select("u", "v").join(a, "u").join(b, "v")
     mid = [((F.col("ax") + F.col("bx")) / 2 + 0.001).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y")]
@@ -106,7 +107,7 @@ def route_polyline(spark, sf):
 @query(TREE + f", q(id, node) AS (SELECT id, id FROM w UNION ALL SELECT q.id, g.parent FROM q JOIN g ON g.id = q.node) SELECT q.id, count(*) AS n_nodes, {s6('sum(x)', 'sum_x')}, {s6('sum(y)', 'sum_y')} FROM q JOIN road_node n ON n.id = q.node GROUP BY 1", "road_edge", "road_node")
 def path_coordinates(spark, sf):
     """Places of the nodes on the routes from node 0."""
-    paths = R.shortest(edges(spark, sf), R.source_rows(spark, [0]), paths=True).select("id", "path")
+    paths = R.routes_to(R.shortest(edges(spark, sf), R.source_rows(spark, [0])))
     out = R.path_points(paths, S.road_node(spark, sf), ["id"])
     return out.groupBy("id").agg(F.count("*").alias("n_nodes"), F.sum("x").alias("sx"), F.sum("y").alias("sy")).select("id", "n_nodes", r6("sum_x", "sx"), r6("sum_y", "sy"))
 
@@ -117,9 +118,7 @@ def landmark_search(spark, sf):
     e = saved(edges(spark, sf), "edges")
     n = S.road_node(spark, sf)
     goal = n.agg(F.max("id").alias("id"))
-    bounds = saved(R.landmark_bound(R.landmark_table(e, R.select_landmarks(n, e, 2)), goal).select("id", F.col("bound").alias("bound")), "bounds")
-    # landmark costs are single floats: a little is taken off each bound
-    bounds = bounds.withColumn("bound", F.greatest(F.lit(0.0), F.col("bound") * 0.999999 - 0.01))
+    bounds = saved(R.landmark_bound(prepared.landmarks(prepared.default_store(spark), "roads-landmarks", e, n, 2), goal).select("id", F.col("bound").alias("bound")), "bounds")
     return R.goal_directed(e, R.source_rows(spark, [0]).select("id"), goal, bounds).select("id", r6("cost"))
 
 
@@ -166,11 +165,12 @@ def adjacency(spark, sf):
     return near.select("u", text.alias("near")).withColumn("n", F.size(F.split("near", "\\|")).cast("long"))
 
 
-@query("SELECT station_id, obs_id, printf('%.2f km', duration / 7) AS fixed, printf('%.1f%%', occ * 100) AS share, CASE WHEN duration / 497 < 1 THEN printf('%.0f ms', duration / 497 * 1000) ELSE printf('%.2f s', duration / 497) END AS runtime, strftime(time, '%Y-%m-%dT%H:%M:%S') AS iso FROM obs WHERE duration > 0", "obs")
+@query("SELECT station_id, obs_id, coalesce(printf('%.2f km', d / 7), '-') AS fixed, coalesce(printf('%.1f%%', nullif(occ, 0) * 100), '-') AS share, CASE WHEN d IS NULL THEN '-' WHEN d / 497 < 1 THEN printf('%.0f ms', d / 497 * 1000) ELSE printf('%.2f s', d / 497) END AS runtime, strftime(time, '%Y-%m-%dT%H:%M:%S') AS iso FROM (SELECT *, CASE WHEN duration > 50 THEN duration END AS d FROM obs)", "obs")
 def formats(spark, sf):
-    o = Q.obs(spark, sf).filter("duration > 0")
-    d = F.col("duration")
-    return o.select(*Q.key(), format_fixed(d / 7, " km").alias("fixed"), format_percent(F.col("occ")).alias("share"), format_runtime(d / 497).alias("runtime"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
+    """Numbers as texts; short durations and empty stations count as missing here."""
+    o = Q.obs(spark, sf)
+    d = F.when(F.col("duration") > 50, F.col("duration"))
+    return o.select(*Q.key(), format_fixed(d / 7, " km").alias("fixed"), format_percent(F.nullif("occ", F.lit(0.0))).alias("share"), format_runtime(d / 497).alias("runtime"), F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"))
 
 
 @query(f"SELECT station_id FROM station WHERE NOT ({_ring_sql()} AND NOT {_border_sql('lon', 'lat')})", "station")

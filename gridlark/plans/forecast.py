@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlark.functions.timefn import calendar
+from gridlark.operators import attribution as SH
 from gridlark.operators import features as FT
 from gridlark.operators import metrics as M
-from gridlark.operators import ml
+from gridlark.operators import ml, prepared
 from gridlark.operators import spatial as X
 from gridlark.operators import timeseries as T
-from gridlark.operators.iterate import saved
+from gridlark.operators.iterate import saved, scratch
 from gridlark.plans import series as Q
 from gridlark.plans.helpers import big, r6, s6, sb, stamp
 from gridlark.plans.series import W
@@ -18,6 +19,8 @@ from gridlark.plans.space import KINDS, KNN
 from gridlark.plans.space import _counts as POI_COUNTS
 from gridlark.plans.space import query as _query
 from gridlark.sources import scenario as S
+from gridlark.sources.artifacts import fingerprint
+from gridlark.sources.files import Trials
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -107,6 +110,41 @@ def importance_topn(spark, sf):
     return M.mean_abs_by_position(e, "v").select(big("feature"), r6("mean_abs")).orderBy(F.desc("mean_abs"), "feature").limit(10)
 
 
+# Two trees of known leaves; left means up to the threshold. Their Shapley values are short enough for SQL.
+TREES = [
+    ({"feature": 0, "threshold": 250.0, "cover": 100, "left": {"feature": 1, "threshold": 0.4, "cover": 60, "left": {"value": 0.2, "cover": 30}, "right": {"value": 0.35, "cover": 30}}, "right": {"value": 0.6, "cover": 40}}, 1.0),
+    ({"feature": 2, "threshold": 0.25, "cover": 100, "left": {"feature": 0, "threshold": 100.0, "cover": 30, "left": {"value": 0.1, "cover": 10}, "right": {"value": 0.3, "cover": 20}}, "right": {"value": 0.5, "cover": 70}}, 0.5),
+]
+TREE_FEATURES = ["duration", "s_price", "e_price"]
+# a..: the first tree without features, with its first, its second and both; b..: the second tree, its weight included
+GAME = (
+    ", t AS (SELECT station_id, obs_id, coalesce(duration, 0) <= 250 AS d, coalesce(duration, 0) <= 100 AS d2, coalesce(s_price, 0) <= 0.4 AS s, coalesce(e_price, 0) <= 0.25 AS e FROM obs), "
+    "v AS (SELECT station_id, obs_id, 0.6 * 0.275::DOUBLE + 0.4 * 0.6 AS a0, CASE WHEN d THEN 0.275 ELSE 0.6 END::DOUBLE AS a1, 0.6 * CASE WHEN s THEN 0.2 ELSE 0.35 END::DOUBLE + 0.24 AS a2, CASE WHEN NOT d THEN 0.6 WHEN s THEN 0.2 ELSE 0.35 END::DOUBLE AS a3, "
+    "0.5 * (0.3 * (0.1::DOUBLE / 3 + 0.2) + 0.35) AS b0, 0.5 * CASE WHEN e THEN 0.1::DOUBLE / 3 + 0.2 ELSE 0.5 END AS b1, 0.5 * (0.3 * CASE WHEN d2 THEN 0.1 ELSE 0.3 END::DOUBLE + 0.35) AS b2, 0.5 * CASE WHEN NOT e THEN 0.5 WHEN d2 THEN 0.1 ELSE 0.3 END::DOUBLE AS b3 FROM t), "
+    "g AS (SELECT *, (a1 - a0 + a3 - a2) / 2 + (b2 - b0 + b3 - b1) / 2 AS p0, (a2 - a0 + a3 - a1) / 2 AS p1, (b1 - b0 + b3 - b2) / 2 AS p2, (a3 - a1 - a2 + a0) / 2 AS i01, (b3 - b1 - b2 + b0) / 2 AS i02 FROM v)"
+)
+
+
+def _leaves():
+    return [leaf for tree, weight in TREES for leaf in SH.leaves_of(tree, weight)]
+
+
+@query(GAME + f" SELECT station_id, obs_id, {s6('a0 + b0', 'mean')}, {s6('a3 + b3', 'prediction')}, {s6('p0', 'duration')}, {s6('p1', 's_price')}, {s6('p2', 'e_price')} FROM g", "obs")
+def attribution(spark, sf):
+    """What each feature adds to the prediction of a small tree model, for every observation."""
+    out = SH.attribute(_leaves(), Q.obs(spark, sf), TREE_FEATURES, ["station_id", "obs_id"])
+    return out.select(big("station_id"), big("obs_id"), r6("mean"), r6("prediction"), *[r6(f, F.col("parts")[i]) for i, f in enumerate(TREE_FEATURES)])
+
+
+_PAIR = {("duration", "duration"): "p0 - i01 - i02", ("s_price", "s_price"): "p1 - i01", ("e_price", "e_price"): "p2 - i02", ("duration", "s_price"): "i01", ("duration", "e_price"): "i02", ("s_price", "e_price"): "0"}
+
+
+@query(GAME + " " + " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS other, {s6(f'avg(abs({v}))', 'mean_abs')} FROM g" for (x, y), v in _PAIR.items() for a, b in {(x, y), (y, x)}), "obs")
+def interaction_matrix(spark, sf):
+    """Mean absolute interactions of all pairs of features, over every observation."""
+    return SH.interaction_matrix(_leaves(), Q.obs(spark, sf), TREE_FEATURES).select("feature", "other", r6("mean_abs"))
+
+
 CUT = "2024-01-20"
 _HOUR, _DOW = "14", "3"  # of NOW, a Thursday
 _TARGET = f"(TIMESTAMP '{Q.NOW}' + to_microseconds(round(h * 60000000)::BIGINT))"
@@ -177,9 +215,9 @@ def gbt_predict(spark, sf):
 
 
 def gbt_serving(spark, sf):
-    """Predicted occupancy of every station at its own horizon, and of those at odd horizons."""
+    """Predicted occupancy of every station at its own horizon, and of those at odd horizons, by a model from the store."""
     f, o, sources = _training(spark, sf)
-    m = ml.train(f.filter("part = 'train'"), FT.ALL, "target", trees=3, depth=4)
+    m = prepared.trained(prepared.default_store(spark), "serving-model", f.filter("part = 'train'"), FT.ALL, "target", trees=3, depth=4)
     requests = _requests(sources[1])
     features = saved(FT.serving_features(requests, Q.NOW, o, *sources), "serving")
     own = FT.predict_requests(m, requests, features).select(big("station_id"), r6("horizon_min"), "predicted_occupancy", stamp("prediction_time"), "source")
@@ -188,6 +226,15 @@ def gbt_serving(spark, sf):
     return own.unionByName(odd).withColumn("predicted_occupancy", F.round("predicted_occupancy", 6))
 
 
+def gbt_attribution(spark, sf):
+    """Mean absolute part of each feature in the predictions of a trained model, over all test rows; parts add up to each prediction."""
+    f, *_ = _training(spark, sf)
+    names = [*FT.HORIZON, *FT.HISTORY, *FT.LAG]
+    m = prepared.trained(prepared.default_store(spark), "attribution-model", f.filter("part = 'train'"), names, "target", trees=5, depth=4)
+    told = SH.attribute(SH.model_leaves(m), f.filter("part = 'test'").select("station_id", "obs_id", *names), names, ["station_id", "obs_id"])
+    return SH.mean_abs_parts(told, names).select("feature", r6("mean_abs"))
+
+
 def gbt_ablation(spark, sf):
     """Errors of the named feature sets, with 3 trees of depth 3 each."""
     f, *_ = _training(spark, sf)
@@ -195,12 +242,31 @@ def gbt_ablation(spark, sf):
     return spark.createDataFrame([(r["feature_set"], r["n_features"], r["mae"], r["r2"]) for r in rows], "feature_set string, n_features int, mae double, r2 double")
 
 
-def random_search(spark, sf):
-    """Two-stage search over tree settings, validated on the days before the test part."""
+GRID = {"trees": [2, 3, 4], "depth": [2, 3]}
+
+
+def _search(spark, sf, name: str):
+    """Training and validation rows of one horizon, and the log of the search's trials on just these rows."""
     f, *_ = _training(spark, sf, (5,))
-    f = T.split_at(f.filter("part = 'train'"), F.lit("2024-01-15").cast("timestamp_ntz"))
-    rows = ml.random_search(f.filter("part = 'train'"), f.filter("part = 'test'"), FT.LAG, "target", {"trees": [2, 3, 4], "depth": [2, 3]}, 2, 1)
+    f = saved(T.split_at(f.filter("part = 'train'"), F.lit("2024-01-15").cast("timestamp_ntz")).select(*FT.LAG, "target", "part"), "search")
+    log = Trials(spark, f"{scratch(spark)}/trials", name, fingerprint({"rows": f}))
+    return f.filter("part = 'train'"), f.filter("part = 'test'"), log
+
+
+def _settings(spark, rows):
     return spark.createDataFrame([(r["trees"], r["depth"], r["mae"], r["r2"]) for r in rows], "trees int, depth int, mae double, r2 double")
 
 
-QUERIES |= {f.__name__: f for f in (random_search, gbt_predict, gbt_serving, gbt_ablation)}
+def random_search(spark, sf):
+    """Two-stage search over tree settings for the horizon of 5 minutes, validated on the days before the test part."""
+    fit, valid, log = _search(spark, sf, "random")
+    return _settings(spark, ml.random_search(fit, valid, FT.LAG, "target", GRID, 2, 1, log=log))
+
+
+def parzen_search(spark, sf):
+    """Four trials of a Parzen search over the same settings: two at random, two proposed."""
+    fit, valid, log = _search(spark, sf, "parzen")
+    return _settings(spark, ml.parzen_search(lambda p: ml.evaluate(fit, valid, FT.LAG, "target", **p), GRID, 4, start=2, log=log))
+
+
+QUERIES |= {f.__name__: f for f in (random_search, parzen_search, gbt_predict, gbt_serving, gbt_attribution, gbt_ablation)}

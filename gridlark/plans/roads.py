@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from gridlark.functions.timefn import calendar
 from gridlark.operators import graph as R
 from gridlark.operators import linear as L
+from gridlark.operators import features as FT
+from gridlark.operators import prepared
 from gridlark.operators import profiles as P
 from gridlark.operators import ranking as K
+from gridlark.operators import spatial as X
 from gridlark.operators.constraints import Limits, post_check, pre_check
 from gridlark.operators.iterate import saved
 from gridlark.operators.recommend import service, snap
@@ -111,7 +116,7 @@ def sssp_paths(spark, sf):
 @query(f", {from_node('0')} SELECT id, {s6('d / 60', 'drive_min')}, {s6('d / 100', 'distance_km')} FROM r", "road_edge")
 def path_metrics(spark, sf):
     e = edges(spark, sf).withColumn("length_m", F.col("seconds") * 10).withColumn("key", F.lit(0))
-    p = R.shortest(e, R.source_rows(spark, [0]), paths=True)
+    p = R.routes_to(R.shortest(e, R.source_rows(spark, [0])))
     return R.path_metrics(p, R.best_parallel(e), ["id"]).select("id", r6("drive_min"), r6("distance_km"))
 
 
@@ -123,23 +128,42 @@ def landmark_distances(spark, sf):
     return R.landmark_table(edges(spark, sf), [0, 7]).select("landmark", "id", r6("fwd"), r6("rev"), r6("und"))
 
 
+def _farthest(k: int) -> str:
+    """The landmark after k others: farthest from all of them, directions ignored; ties go to the smallest id."""
+    low = f"least({', '.join(f'f{i}.d' for i in range(k))})" if k > 1 else "f0.d"
+    joins = "".join(f" JOIN f{i} USING (id)" for i in range(1, k))
+    return f"m{k} AS (SELECT arg_max(id, struct_pack(d := d, o := -id)) AS id FROM (SELECT f0.id, {low} AS d FROM f0{joins}) WHERE d > 0), {from_node(f'(SELECT id FROM m{k})', f'f{k}', 'und')}"
+
+
+def _single(i: int) -> str:
+    """Bounds by landmark i, from costs kept as single floats."""
+    less = lambda a, b: f"(({a}) - ({b})) - (({a}) + ({b})) * pow(2::DOUBLE, -23)"
+    c = {n: f"{t}{i}.d::FLOAT::DOUBLE" for n, t in (("f", "a"), ("r", "b"), ("u", "f"))}
+    g = {n: f"(SELECT d::FLOAT::DOUBLE FROM {t}{i} WHERE id = 5)" for n, t in (("f", "a"), ("r", "b"), ("u", "f"))}
+    return f"SELECT f{i}.id, greatest({less(g['f'], c['f'])}, {less(c['r'], g['r'])}) AS d, greatest({less(g['u'], c['u'])}, {less(c['u'], g['u'])}) AS u FROM f{i} JOIN a{i} USING (id) JOIN b{i} USING (id)"
+
+
+@query(
+    ", back AS (SELECT v AS u, u AS v, seconds FROM road_edge), und AS (SELECT u, v, min(seconds) AS seconds FROM (SELECT * FROM road_edge UNION ALL SELECT * FROM back) GROUP BY 1, 2), "
+    f"m0 AS (SELECT arg_min(id, struct_pack(d := round(pow(x - cx, 2) + pow(y - cy, 2), 12), id := id)) AS id FROM road_node, (SELECT avg(x) AS cx, avg(y) AS cy FROM road_node)), {from_node('(SELECT id FROM m0)', 'f0', 'und')}, {_farthest(1)}, {_farthest(2)}, "
+    + ", ".join(f"{from_node(f'(SELECT id FROM m{i})', f'a{i}')}, {from_node(f'(SELECT id FROM m{i})', f'b{i}', 'back')}" for i in range(3))
+    + f", l AS ({' UNION ALL '.join(_single(i) for i in range(3))}), w AS (SELECT id, max(d) AS d, max(u) AS u FROM l GROUP BY id), {from_node('5', 't', 'back')} "
+    f"SELECT w.id, true AS admissible, {s6('greatest(0, coalesce(w.d, w.u))', 'bound')}, {s6('t.d', 'cost')} FROM w JOIN t USING (id)", "road_edge", "road_node",
+)
 def landmark_bound(spark, sf):
-    """Bounds to node 5 beside the true costs; a bound above the cost would be an error."""
+    """Bounds to node 5 by three landmarks beside the true costs, which no bound exceeds."""
     e = saved(edges(spark, sf), "edges")
     t = R.landmark_table(e, R.select_landmarks(S.road_node(spark, sf), e, 3))
     b = R.landmark_bound(t, spark.createDataFrame([(5,)], "id long"))
     true = R.shortest(R.reverse(e), R.source_rows(spark, [5])).select("id", "cost")
-    return b.join(true, "id").select("id", (F.col("bound") <= F.col("cost") + 1e-3).alias("admissible"), r6("bound"), r6("cost"))
-
-
-QUERIES["landmark_bound"] = landmark_bound
+    return b.join(true, "id").select("id", (F.col("bound") <= F.col("cost")).alias("admissible"), r6("bound"), r6("cost"))
 
 
 @query(f", {from_node('0')} SELECT 0::BIGINT AS start, id AS goal, {s6('d', 'cost')} FROM r WHERE id > 0", "road_edge")
 def ch_query_cost(spark, sf):
     e = saved(edges(spark, sf), "edges")
     n = S.road_node(spark, sf).select("id")
-    ranks, ch = R.contract(e, n)
+    ranks, ch = prepared.hierarchy(prepared.default_store(spark), "roads-hierarchy", e, n)
     pairs = n.filter("id > 0").select(F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
     return R.hierarchy_cost(ranks, ch, pairs).select("start", "goal", r6("cost"))
 
@@ -180,6 +204,8 @@ def post_constraints(spark, sf):
 
 
 NOW = Q.NOW
+CUT = "2024-01-20"  # profiles see the days before
+MODEL = "0.5 * {lag} + 0.3 * {hour} + 0.2 * {mean} - 0.0005 * {horizon}"
 AT = f"TIMESTAMP '{NOW}' + to_microseconds(round(coalesce(drive_min, 0) * 60000000)::BIGINT)"
 START_ROW = SEG.replace("pr AS", "upr AS").replace("sn AS", "usn AS").replace("FROM pr)", "FROM upr)").replace("FROM station, seg", "FROM me AS station, seg").split(", upr AS", 1)[1]
 # The start is a place on its street; costs go from both ends of the street, and on a shared street straight along it.
@@ -191,26 +217,50 @@ CHECKED = (
     f"q0 AS (SELECT c.station_id, c.lon, c.lat, c.straight_km, {hav('c.lat', 'c.lon', 'py', 'px')} * 1000 AS snap_m, c.charge_count, "
     "least(a.d + sn.t * f.seconds, b.d + (1 - sn.t) * g.seconds, CASE WHEN s0.u IS NOT NULL AND sn.t >= s0.t THEN (sn.t - s0.t) * f.seconds WHEN s0.u IS NOT NULL THEN (s0.t - sn.t) * g.seconds END) AS sec "
     "FROM c JOIN sn USING (station_id) JOIN road_edge f ON f.u = sn.u AND f.v = sn.v JOIN road_edge g ON g.u = sn.v AND g.v = sn.u LEFT JOIN r a ON a.id = sn.u LEFT JOIN r b ON b.id = sn.v LEFT JOIN s0 ON s0.u = sn.u AND s0.v = sn.v), "
-    "q1 AS (SELECT *, CASE WHEN snap_m <= 3000 AND charge_count >= 1 AND sec / 60 <= 24 THEN sec / 60 END AS drive_min FROM q0), "
-    "cal AS (SELECT *, hour(time) AS hour, isodow(time) - 1 AS weekday FROM obs), pa AS (SELECT station_id, avg(occ) AS v FROM obs GROUP BY 1), ph AS (SELECT station_id, hour, avg(occ) AS v FROM cal GROUP BY 1, 2), pw AS (SELECT station_id, hour, weekday, avg(occ) AS v FROM cal GROUP BY 1, 2, 3), "
-    f"q AS (SELECT q1.*, drive_min * 60 / 100 AS distance_km, coalesce(pw.v, ph.v, pa.v) AS occupancy FROM q1 LEFT JOIN pa USING (station_id) LEFT JOIN ph ON ph.station_id = q1.station_id AND ph.hour = hour({AT}) LEFT JOIN pw ON pw.station_id = q1.station_id AND pw.hour = hour({AT}) AND pw.weekday = isodow({AT}) - 1), "
+    "q1 AS (SELECT *, CASE WHEN snap_m <= 3000 AND charge_count >= 1 AND sec IS NOT NULL THEN sec / 60 END AS drive_min FROM q0), "
+    f"fit AS (SELECT *, hour(time) AS hour, isodow(time) - 1 AS weekday FROM obs WHERE time < TIMESTAMP '{CUT}'), pa AS (SELECT station_id, avg(occ) AS v FROM fit GROUP BY 1), ph AS (SELECT station_id, hour, avg(occ) AS v FROM fit GROUP BY 1, 2), pw AS (SELECT station_id, hour, weekday, avg(occ) AS v FROM fit GROUP BY 1, 2, 3), "
+    f"gh AS (SELECT avg(occ) AS v FROM fit WHERE hour = hour(TIMESTAMP '{NOW}')), g AS (SELECT avg(occ) AS v FROM fit), rr AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY time DESC, obs_id DESC) AS rn FROM obs WHERE time <= time_bucket(INTERVAL 5 MINUTE, TIMESTAMP '{NOW}')), "
+    "z AS (SELECT station_id, max(occ) FILTER (rn = 2) AS lag, avg(occ) FILTER (rn > 1) AS m12 FROM rr WHERE rn <= 12 GROUP BY 1 HAVING count(*) = 12), "
+    "q2 AS (SELECT q1.*, drive_min * 60 / 100 AS distance_km, greatest(5, least(120, drive_min)) AS h FROM q1), "
+    f"q AS (SELECT q2.*, CASE WHEN drive_min IS NOT NULL AND z.lag IS NOT NULL THEN greatest(0, least(1, {MODEL.format(lag='z.lag', hour='coalesce(sh.v, gh.v, g.v)', mean='z.m12', horizon='h')})) END AS predicted, CASE WHEN drive_min IS NOT NULL THEN coalesce(pw.v, ph.v, pa.v) END AS usual "
+    f"FROM q2 LEFT JOIN z USING (station_id) LEFT JOIN ph sh ON sh.station_id = q2.station_id AND sh.hour = hour(TIMESTAMP '{NOW}') LEFT JOIN pa ON pa.station_id = q2.station_id LEFT JOIN ph ON ph.station_id = q2.station_id AND ph.hour = hour({AT}) LEFT JOIN pw ON pw.station_id = q2.station_id AND pw.hour = hour({AT}) AND pw.weekday = isodow({AT}) - 1, gh, g), "
     "k AS (SELECT *, CASE WHEN straight_km > 25 THEN 'outside_search_radius' WHEN charge_count < 1 THEN 'too_few_chargers' WHEN snap_m > 3000 THEN 'road_snap_distance_too_far' WHEN drive_min IS NULL THEN 'path_not_found' WHEN drive_min > 12 THEN 'drive_time_exceeds_limit' "
-    "WHEN distance_km * 0.188 > 30 THEN 'insufficient_energy' WHEN (30 - distance_km * 0.188) / 60 < 0.1 THEN 'arrival_soc_below_safety_threshold' END AS reject_reason, (30 - distance_km * 0.188::DOUBLE) / 60 AS arrival_soc, drive_min / 12 + occupancy AS score FROM q), ok AS (SELECT * FROM k WHERE reject_reason IS NULL)"
+    "WHEN distance_km * 0.188 > 30 THEN 'insufficient_energy' WHEN (30 - distance_km * 0.188) / 60 < 0.1 THEN 'arrival_soc_below_safety_threshold' END AS reject_reason, (30 - distance_km * 0.188::DOUBLE) / 60 AS arrival_soc, coalesce(predicted, usual) AS occupancy, drive_min / 12 + coalesce(predicted, usual) AS score, "
+    f"CASE WHEN predicted IS NOT NULL THEN 'history' WHEN usual IS NOT NULL THEN 'profile' ELSE 'insufficient_history' END AS source, CASE WHEN coalesce(predicted, usual) IS NOT NULL THEN h END AS horizon_min, CASE WHEN predicted IS NOT NULL THEN {AT.replace('drive_min', 'h')} WHEN usual IS NOT NULL THEN {AT} END AS prediction_time FROM q), ok AS (SELECT * FROM k WHERE reject_reason IS NULL)"
 )
 VIEWS = ("station", "road_node", "road_edge", "obs")
 
 
+def _model():
+    """A model of known numbers, so that SQL can tell each prediction; requests take any PipelineModel with a column `raw`."""
+    told = MODEL.format(lag="occupancy_lag_1", hour="station_same_hour_occupancy", mean="occupancy_rolling_mean_12", horizon="prediction_horizon_min")
+    return PipelineModel([SQLTransformer(statement=f"SELECT *, {told} AS raw FROM __THIS__")])
+
+
+def _forecast(spark, sf):
+    """The forecast of requests: the model, profile sums and neighbours come from the store, once for each history."""
+    store = prepared.default_store(spark)
+    o, s = Q.obs(spark, sf), S.station(spark, sf)
+
+    def build():
+        fit = calendar(o.filter(F.col("time") < F.lit(CUT).cast("timestamp_ntz")))
+        return {"sums": P.profile_sums(fit), "neighbors": X.knn(s, 5).select("station_id", "neighbor_id", "distance_km")}
+
+    kept = store.tables("forecast", "profiles", {"obs": o, "stations": s}, build, {"cut": CUT})
+    model = store.model("request-model", {}, _model, {"model": MODEL})
+    return FT.Forecast(model, o, kept["sums"], S.weather(spark, sf), kept["neighbors"])
+
+
 def _checked(spark, sf):
-    """The request of the user at NOW: from a real place, with POI counts and expected occupancy."""
+    """The request of the user at NOW: from a real place, with POI counts and the occupancy predicted for the arrival."""
     e = saved(S.road_edge(spark, sf).withColumn("length_m", F.col("seconds") * 10), "edges")
-    cube = P.profile_cube(calendar(Q.obs(spark, sf)))
-    out = service(S.station(spark, sf), S.road_node(spark, sf), e, [[S.BOUNDARY]], S.USER_LON, S.USER_LAT, NOW, cube, S.poi(spark, sf), KINDS, LIMITS)
+    out = service(S.station(spark, sf), S.road_node(spark, sf), e, [[S.BOUNDARY]], S.USER_LON, S.USER_LAT, NOW, _forecast(spark, sf), S.poi(spark, sf), KINDS, LIMITS)
     return saved(out, "checked")
 
 
-@query(CHECKED + f" SELECT station_id, reject_reason, {s6('straight_km', 'straight_km')}, {s6('drive_min', 'drive_min')}, {s6('occupancy', 'occupancy')} FROM k", *VIEWS)
+@query(CHECKED + f" SELECT station_id, reject_reason, {s6('straight_km', 'straight_km')}, {s6('drive_min', 'drive_min')}, {s6('occupancy', 'occupancy')}, {s6('horizon_min', 'horizon_min')}, {st('prediction_time', 'prediction_time')}, source FROM k", *VIEWS)
 def checked_stations(spark, sf):
-    return _checked(spark, sf).select(big("station_id"), "reject_reason", r6("straight_km"), r6("drive_min"), r6("occupancy"))
+    return _checked(spark, sf).select(big("station_id"), "reject_reason", r6("straight_km"), r6("drive_min"), r6("occupancy"), r6("horizon_min"), stamp("prediction_time"), "source")
 
 
 def _order_sql(metric: str) -> str:
@@ -222,13 +272,13 @@ POIS = f"n AS (SELECT a.station_id, count(*) AS total, {', '.join(f'count(*) FIL
 
 @query(
     CHECKED + f", {POIS} SELECT station_id, row_number() OVER (ORDER BY {_order_sql('balanced')}) AS rank, {s6('distance_km', 'distance_km')}, {s6('drive_min', 'drive_min')}, {s6('occupancy', 'occupancy')}, {s6('arrival_soc', 'arrival_soc')}, {s6('score', 'score')}, "
-    f"{st(AT, 'arrival')}, coalesce(total, 0) AS total, {', '.join(f'coalesce({k}, 0) AS {k}' for k in KINDS)}, 'Charging Station ' || station_id AS name FROM ok LEFT JOIN n USING (station_id) ORDER BY rank LIMIT 5", *VIEWS, "poi",
+    f"{st(AT, 'arrival')}, source, coalesce(total, 0) AS total, {', '.join(f'coalesce({k}, 0) AS {k}' for k in KINDS)}, 'Charging Station ' || station_id AS name FROM ok LEFT JOIN n USING (station_id) ORDER BY rank LIMIT 5", *VIEWS, "poi",
 )
 def recommend(spark, sf):
     """Flagship: the best feasible stations for a user, in the balanced order."""
     out = K.ranked(_checked(spark, sf).filter("reject_reason is null"), "balanced", 5)
     return out.select(
-        big("station_id"), big("rank"), r6("distance_km"), r6("drive_min"), r6("occupancy"), r6("arrival_soc"), r6("score"), stamp("arrival"), big("total"), *[big(k) for k in KINDS],
+        big("station_id"), big("rank"), r6("distance_km"), r6("drive_min"), r6("occupancy"), r6("arrival_soc"), r6("score"), stamp("arrival"), "source", big("total"), *[big(k) for k in KINDS],
         F.concat(F.lit("Charging Station "), F.col("station_id").cast("string")).alias("name"),
     )
 
@@ -280,11 +330,12 @@ def bidirectional_bfs(spark, sf):
     return spark.createDataFrame([(n,)], "hops long")
 
 
-# A directed pair of places is a side of the hull if no place of the group lies right of it; sides end at extreme places.
+# A directed pair of places is a side of the hull if no place of the group lies right of it; sides end at extreme places. What is nearly
+# straight, by the group's extent, is straight.
 HULL = (
-    ", s AS (SELECT DISTINCT tazid, lon AS x, lat AS y FROM station), side AS (SELECT a.tazid, a.x, a.y, b.x AS x2, b.y AS y2 FROM s a JOIN s b ON a.tazid = b.tazid AND (a.x <> b.x OR a.y <> b.y) "
-    "WHERE NOT EXISTS (SELECT 1 FROM s c WHERE c.tazid = a.tazid AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-12::DOUBLE "
-    "OR c.tazid = a.tazid AND abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-12::DOUBLE AND (pow(c.x - a.x, 2) + pow(c.y - a.y, 2) > pow(b.x - a.x, 2) + pow(b.y - a.y, 2) OR pow(c.x - b.x, 2) + pow(c.y - b.y, 2) > pow(b.x - a.x, 2) + pow(b.y - a.y, 2))))"
+    ", s AS (SELECT DISTINCT tazid, lon AS x, lat AS y FROM station), e AS (SELECT tazid AS t, 1e-9::DOUBLE * pow(greatest(max(x) - min(x), max(y) - min(y)), 2) AS tol FROM s GROUP BY tazid), side AS (SELECT a.tazid, a.x, a.y, b.x AS x2, b.y AS y2 FROM s a JOIN e ON e.t = a.tazid JOIN s b ON a.tazid = b.tazid AND (a.x <> b.x OR a.y <> b.y) "
+    "WHERE NOT EXISTS (SELECT 1 FROM s c WHERE c.tazid = a.tazid AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -tol "
+    "OR c.tazid = a.tazid AND abs((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= tol AND (pow(c.x - a.x, 2) + pow(c.y - a.y, 2) > pow(b.x - a.x, 2) + pow(b.y - a.y, 2) OR pow(c.x - b.x, 2) + pow(c.y - b.y, 2) > pow(b.x - a.x, 2) + pow(b.y - a.y, 2))))"
 )
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlark.functions import geo as G
+from gridlark.operators import dissolve as D
 from gridlark.operators import profiles as P
 from gridlark.operators import spatial as X
 from gridlark.operators.constraints import Limits
+from gridlark.operators.iterate import saved
 from gridlark.operators.recommend import candidates, snap
 from gridlark.plans import series as Q
 from gridlark.plans.helpers import big, r6, s6, sb
@@ -178,3 +180,24 @@ SEG = (
 def nearest_edge_snap(spark, sf):
     out = snap(S.station(spark, sf), S.road_node(spark, sf), S.road_edge(spark, sf))
     return out.select(big("station_id"), big("u"), big("v"), r6("fraction", "t"), r6("snap_m"))
+
+
+# Union area by strips between neighbouring borders in x: in a strip, squares that span it are intervals of y.
+SQUARES = (
+    ", sq AS (SELECT round(lon - 0.012, 9) AS x1, round(lon + 0.012, 9) AS x2, round(lat - 0.012, 9) AS y1, round(lat + 0.012, 9) AS y2 FROM station), xs AS (SELECT x, lead(x) OVER (ORDER BY x) AS x_next FROM (SELECT x1 AS x FROM sq UNION SELECT x2 FROM sq)), "
+    "i AS (SELECT x, x_next, y1, y2, max(y2) OVER (PARTITION BY x ORDER BY y1, y2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM xs JOIN sq ON sq.x1 <= x AND sq.x2 >= x_next WHERE x_next IS NOT NULL)"
+)
+
+
+@query(SQUARES + f" SELECT {s6('sum((x_next - x) * greatest(0, y2 - greatest(y1, coalesce(seen, y1)))) * 1000', 'area')} FROM i", "station")
+def dissolved_area(spark, sf):
+    """Area of the union of squares around all stations, in thousandths of a square degree, from the rings of the union."""
+    s = S.station(spark, sf)
+    corner = lambda a, b: F.struct(F.round(F.col("lon") + a, 9).alias("lon"), F.round(F.col("lat") + b, 9).alias("lat"))
+    d = 0.012
+    rings = s.select(F.col("station_id").alias("polygon"), F.lit(0).alias("ring"), F.array(corner(-d, -d), corner(d, -d), corner(d, d), corner(-d, d)).alias("points"))
+    u = saved(D.dissolve(rings), "union")
+    nxt = u.select("ring", (F.col("pos") - 1).alias("pos"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    first = u.filter("pos = 0").select("ring", F.col("x").alias("x0"), F.col("y").alias("y0"))
+    side = u.join(first, "ring").join(nxt, ["ring", "pos"], "left").select((F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), (F.coalesce("x2", "x0") - F.col("x0")).alias("x2"), (F.coalesce("y2", "y0") - F.col("y0")).alias("y2"))
+    return side.agg((F.sum(F.col("x") * F.col("y2") - F.col("x2") * F.col("y")) / 2 * 1000).alias("area")).select(r6("area"))

@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterable
 from html import escape
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,22 +21,32 @@ def require_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df
 
 
-def station_history(spark: SparkSession, folder: str, max_stations: int | None = None) -> DataFrame:
-    """All {station_id}.csv and .csv.gz files of a folder; of both forms of a station the plain one is read.
+def station_files(spark: SparkSession, folder: str, max_stations: int | None = None, stations: Iterable[int] | None = None) -> list[str]:
+    """Paths of the {station_id}.csv and .csv.gz files of a folder, told by their names alone: no content is read.
 
-    A cap takes file names in text order, as a sorted listing does.
+    Of both forms of a station the plain one is taken. A cap takes file names in text order, as a sorted listing does.
     """
-    raw = spark.read.option("header", True).option("enforceSchema", False).csv(f"{folder}/*.csv*")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv*").load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    found = listed.select("path", F.regexp_extract(name, r"^(\d+)\.csv(\.gz)?$", 1).alias("stem"), name.endswith(".gz").alias("packed")).filter("stem <> ''")
+    if stations is not None:
+        found = found.filter(F.col("stem").cast("bigint").isin([int(x) for x in stations]))
+    found = found.groupBy("stem").agg(F.min_by("path", "packed").alias("path")).orderBy("stem")
+    return [r.path for r in (found if max_stations is None else found.limit(max_stations)).collect()]  # a row a file, which a scan's plan lists anyway
+
+
+def station_history(spark: SparkSession, folder: str, max_stations: int | None = None, stations: Iterable[int] | None = None) -> DataFrame:
+    """Rows of the stations' files: those of all stations, of the first `max_stations`, or of the given ones; no other file is opened."""
+    paths = station_files(spark, folder, max_stations, stations)
+    if not paths:
+        return spark.createDataFrame([], f"station_id bigint, {OBSERVATION}")
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(paths)
     df = require_columns(raw, ["time", "busy", "idle", "s_price", "e_price", "duration"])
-    name = F.col("_metadata.file_name")
-    df = df.select(
-        F.regexp_extract(name, r"^(\d+)\.csv(\.gz)?$", 1).alias("stem"), name.endswith(".gz").alias("packed"), F.col("time").try_cast("timestamp_ntz").alias("time"),
-        *[F.col(c).try_cast("bigint").alias(c) for c in ("busy", "idle")], *[F.col(c).try_cast("double").alias(c) for c in ("s_price", "e_price")], "duration",
-    ).filter("stem <> ''")
-    files = df.groupBy("stem").agg(F.min("packed").alias("packed"))
-    if max_stations:
-        files = files.orderBy("stem").limit(max_stations)
-    return df.join(F.broadcast(files), ["stem", "packed"]).select(F.col("stem").cast("bigint").alias("station_id"), "time", "busy", "idle", "s_price", "e_price", "duration")  # a row a file
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.csv(\.gz)?$", 1)
+    return df.select(
+        stem.cast("bigint").alias("station_id"), F.col("time").try_cast("timestamp_ntz").alias("time"), *[F.col(c).try_cast("bigint").alias(c) for c in ("busy", "idle")],
+        *[F.col(c).try_cast("double").alias(c) for c in ("s_price", "e_price")], "duration",
+    )
 
 
 def dimension(spark: SparkSession, path: str, schema: str, required: Iterable[str]) -> DataFrame:
@@ -130,11 +141,18 @@ def read_metadata(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r.value for r in spark.read.text(path, wholetext=True).collect()))  # one small text
 
 
-def built_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False) -> DataFrame:
-    """The table at path; built and written first where it is absent, unfinished, or to be rebuilt."""
-    store = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if rebuild or not store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
+def built_once(spark: SparkSession, path: str, build: Callable[[], DataFrame], rebuild: bool = False, inputs: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The table at path; built and written first where it is absent, unfinished, to be rebuilt, or made from other inputs than these."""
+    from gridlark.sources.artifacts import fingerprint
+
+    mark = fingerprint(inputs) if inputs is not None else None
+    try:
+        told = read_metadata(spark, f"{path}.about")
+    except AnalysisException:
+        told = {}
+    if rebuild or not told or mark is not None and told["mark"] != mark:
         build().write.mode("overwrite").parquet(path)
+        write_metadata(spark, {"mark": mark}, f"{path}.about")  # last: without it the table is unfinished
     return spark.read.parquet(path)
 
 
@@ -152,3 +170,20 @@ class Progress:
         if rows:
             names = [f.name for f in self.spark.createDataFrame([], self.schema).schema]
             self.spark.createDataFrame([tuple(r.get(c) for c in names) for r in rows], self.schema).coalesce(1).write.mode("append").parquet(self.path)
+
+
+class Trials:
+    """Trials of searches by (search, fingerprint of the data, setting): what was tried on the same data is not tried again."""
+
+    def __init__(self, spark: SparkSession, path: str, search: str, data: str):
+        self.log = Progress(spark, path, "search string, data string, setting string, result string")
+        self.search, self.data = search, data
+        self.known = {r["setting"]: json.loads(r["result"]) for r in self.log.rows() if (r["search"], r["data"]) == (search, data)}
+
+    def get(self, setting: dict) -> dict | None:
+        return self.known.get(json.dumps(setting, sort_keys=True))
+
+    def add(self, setting: dict, result: dict) -> None:
+        text = json.dumps(setting, sort_keys=True)
+        self.log.add([{"search": self.search, "data": self.data, "setting": text, "result": json.dumps(result)}])
+        self.known[text] = result
