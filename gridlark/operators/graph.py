@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gridlark.functions.geo import haversine_km
 from gridlark.operators.iterate import saved
 
 
@@ -117,14 +118,18 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None, s
     kind = dict(e.dtypes)["u"]
     extra = [F.col(c).cast("double") if c in sources.columns else F.lit(0.0).alias(c) for c in sums]
     best = sources.select("source", "id", F.col("cost").cast("double").alias("cost"), F.lit(0.0).alias("before"), F.lit(None).cast(kind).alias("parent"), *extra, F.lit(True).alias("fresh"))
-    best = saved(best, "costs")
-    want = None if goals is None else goals.select("id").distinct()
+    want, n_goals, last = None, 0, None
+    if goals is not None:
+        want = goals.select("id").dropna().distinct().withColumn("_goal", F.lit(True))
+        n_goals = want.count() * sources.select("source").distinct().count()
     while True:
-        low = F.min(F.when(F.col("fresh"), F.col("cost"))).alias("low")
-        least = best.agg(low).first().low
-        if least is None or want is not None and _final(best, want, least):
+        # one job tells the bucket and whether the goals are final: all are there, and none costs more than what is still to be followed
+        goal = F.lit(False) if want is None else F.col("_goal")
+        told = best if want is None else best.join(F.broadcast(want), "id", "left")  # the goals of a request
+        row = told.agg(F.min(F.when(F.col("fresh"), F.col("cost"))).alias("low"), F.count_if(goal).alias("n"), F.max(F.when(goal, F.col("cost"))).alias("far")).first()
+        if row.low is None or want is not None and row.n == n_goals and (not n_goals or row.far <= row.low):
             return best.drop("before", "fresh")
-        last, end = best, least + width
+        end = row.low + width
         for _ in range(rounds_per_table):
             now = F.col("fresh") & (F.col("cost") < end)
             cost = F.col("cost") + F.col("w")
@@ -140,14 +145,7 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None, s
             keep = F.min_by(F.struct("cost", "before", "parent", *sums), order).alias("b")
             flag = F.min_by("fresh", F.struct("cost", "_new")).alias("fresh")
             best = step.groupBy("source", "id").agg(keep, flag).select("source", "id", "b.*", "fresh")
-        best = saved(best, "costs", instead=last)
-
-
-def _final(best: DataFrame, goals: DataFrame, least: float) -> bool:
-    """Whether no cost of a goal can fall any more: each source has all of them below the least cost that is still to be followed."""
-    n = best.select("source").distinct().crossJoin(F.broadcast(goals.agg(F.count("*").alias("n"))))  # one row
-    done = best.filter((F.col("cost") <= least) & ~(F.col("fresh") & (F.col("cost") < least))).join(goals, "id", "left_semi").groupBy("source").agg(F.count("*").alias("done"))
-    return n.join(done, "source", "left").filter(F.coalesce("done", F.lit(0)) < F.col("n")).isEmpty()
+        best = last = saved(best, "costs", instead=last)
 
 
 def goal_directed(edges: DataFrame, start: DataFrame, goal: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -276,6 +274,19 @@ def landmark_bound(table: DataFrame, goals: DataFrame) -> DataFrame:
     return out.select("goal", "id", F.when(F.coalesce("d", "u").isNotNull(), F.greatest(F.lit(0.0), F.coalesce("d", "u"))).alias("bound"))
 
 
+def straight_bound(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> DataFrame:
+    """Lower bounds (goal, id, bound) from straight lines: the distance to each goal at the speed of the fastest edge, so none exceeds the cost.
+
+    An edge's speed is the straight distance between its ends by its weight; a little is taken off for rounding. nodes: (id, x, y).
+    """
+    at = lambda c: nodes.select(F.col("id").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
+    far = lambda a, b: haversine_km(F.col(f"{a}y"), F.col(f"{a}x"), F.col(f"{b}y"), F.col(f"{b}x"))
+    top = edges.filter("u <> v").join(at("u"), "u").join(at("v"), "v").agg(F.max(F.when(F.col("w") > 0, F.try_divide(far("u", "v"), F.col("w"))).otherwise(float("inf"))).alias("top"))
+    places = at("goal").join(goals.select(F.col("id").alias("goal")), "goal")
+    both = at("id").crossJoin(F.broadcast(places)).crossJoin(F.broadcast(top))  # the goals of one request, and one row
+    return both.select("goal", "id", F.coalesce(F.try_divide(far("id", "goal"), F.col("top")) * (1 - 1e-9), F.lit(0.0)).alias("bound"))
+
+
 def witnessed(short: DataFrame, live: DataFrame, gone: DataFrame, hops: int = 4, settled: int = 240) -> DataFrame:
     """Shortcuts (u, v, w, via) without those that another route past the contracted nodes is not longer than.
 
@@ -336,17 +347,38 @@ def contract(edges: DataFrame, nodes: DataFrame, hops: int = 4, settled: int = 2
         r += 1
 
 
-def hierarchy_cost(ranks: DataFrame, ch: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Costs of (start, goal) pairs: upward search from starts, reverse upward from goals, met at the best node."""
+def _two_sides(ranks: DataFrame, ch: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trees (source, id, cost, parent) of the upward searches from all starts, and of those against the edges from all goals."""
     ru, rv = ranks.select(F.col("id").alias("u"), F.col("rank").alias("ru")), ranks.select(F.col("id").alias("v"), F.col("rank").alias("rv"))
     e = ch.join(ru, "u").join(rv, "v")
-    up = e.filter("rv > ru").select("u", "v", "w")
-    down = reverse(e.filter("ru > rv").select("u", "v", "w"))
     src = lambda c: pairs.select(F.col(c).alias("source")).distinct().select("source", F.col("source").alias("id"), F.lit(0.0).alias("cost"))
-    f = shortest(up, src("start")).select(F.col("source").alias("start"), "id", F.col("cost").alias("a"))
-    b = shortest(down, src("goal")).select(F.col("source").alias("goal"), "id", F.col("cost").alias("b"))
-    got = pairs.join(f, "start").join(b, ["goal", "id"]).groupBy("start", "goal").agg(F.min(F.col("a") + F.col("b")).alias("cost"))
-    return pairs.join(got, ["start", "goal"], "left")
+    return shortest(e.filter("rv > ru").select("u", "v", "w"), src("start")), shortest(reverse(e.filter("ru > rv").select("u", "v", "w")), src("goal"))
+
+
+def _meetings(up: DataFrame, down: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (start, goal, cost, mid): the best place where both sides of a pair meet."""
+    f = up.select(F.col("source").alias("start"), "id", F.col("cost").alias("a"))
+    b = down.select(F.col("source").alias("goal"), "id", F.col("cost").alias("b"))
+    both = pairs.join(f, "start").join(b, ["goal", "id"]).withColumn("cost", F.col("a") + F.col("b"))
+    return both.groupBy("start", "goal").agg(F.min(F.struct("cost", F.col("id").alias("mid"))).alias("m")).select("start", "goal", "m.*")
+
+
+def hierarchy_cost(ranks: DataFrame, ch: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Costs of (start, goal) pairs: upward search from starts, reverse upward from goals, met at the best node; null without a way."""
+    return pairs.join(_meetings(*_two_sides(ranks, ch, pairs), pairs).drop("mid"), ["start", "goal"], "left")
+
+
+def hierarchy_routes(ranks: DataFrame, ch: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Edges (start, goal, pos, u, v) of the routes of pairs, shortcuts unpacked; a pair without a way, or of one node, has none."""
+    up, down = _two_sides(ranks, ch, pairs)
+    met = saved(_meetings(up, down, pairs), "meetings")
+    first = routes_to(up, met.select(F.col("start").alias("source"), F.col("mid").alias("id")).distinct()).withColumnsRenamed({"source": "start", "id": "mid"})
+    last = routes_to(down, met.select(F.col("goal").alias("source"), F.col("mid").alias("id")).distinct()).withColumnsRenamed({"source": "goal", "id": "mid"})
+    head = met.join(first, ["start", "mid"]).select("start", "goal", "pos", "node")
+    n = head.groupBy("start", "goal").agg(F.max("pos").alias("_n"))
+    size = last.groupBy("goal", "mid").agg(F.max("pos").alias("_m"))  # the goal is at 0, the meeting at the end
+    tail = met.join(last, ["goal", "mid"]).join(size, ["goal", "mid"]).filter("pos < _m").join(n, ["start", "goal"]).select("start", "goal", (F.col("_n") + F.col("_m") - F.col("pos")).alias("pos"), "node")
+    return unpack(saved(head.unionByName(tail), "routes"), ch, ["start", "goal"])
 
 
 def unpack(path: DataFrame, ch: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,22 +59,41 @@ def spearman(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("corr")) for c in columns])).alias("x")).select("x.*")
 
 
-def quantile_grid(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95, n: int = 10) -> DataFrame:
-    """Linear-interpolation quantiles at n even shares; repeats stay. Taken from ranked counts of distinct values."""
-    v = saved(range_rank(df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_k")), column, "_r", "_k"), "counts")
-    total = v.agg(F.max("_r").alias("_n"))
-    shares = [low + (high - low) * i / (n - 1) for i in range(n)]
-    at = total.select(F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), (F.lit(q) * (F.col("_n") - 1)).alias("_at")) for i, q in enumerate(shares)])).alias("x")).select("x.*")
-    # the value at place k (from 0) is the least one with more than k rows up to it: n places, so a broadcast
-    place = at.select("bin", F.explode(F.array(F.struct(F.floor("_at").alias("k"), (1 - (F.col("_at") - F.floor("_at"))).alias("part")), F.struct((F.floor("_at") + 1).alias("k"), (F.col("_at") - F.floor("_at")).alias("part")))).alias("y")).select("bin", "y.*")
-    hit = v.join(F.broadcast(place), (F.col("_r") > F.col("k")) & (F.col("_r") - F.col("_k") <= F.col("k")))
-    return hit.groupBy("bin").agg(F.sum(F.col(column) * F.col("part")).alias("value"))
+def quantile_grid(df: DataFrame, column: str, low: float = 0.05, high: float = 0.95, n: int = 10, accuracy: int = 10_000) -> DataFrame:
+    """Exact linear-interpolation quantiles (bin, value) at n even shares; repeats stay. Without values there is no row.
 
-
-def partial_dependence(sample: DataFrame, grid: DataFrame, score: Column) -> DataFrame:
-    """Mean clipped score over a bounded sample for each cell of a grid (x, y); score reads columns x, y and the sample's."""
-    both = sample.crossJoin(F.broadcast(grid))  # a fixed grid
-    return both.groupBy("ix", "iy", "x", "y").agg(F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))).alias("value"))
+    A sketch first brackets each quantile, wide enough for its bound on the error; then only values inside the brackets are counted, and
+    ranked with what lies below them. So no pass shuffles or writes the rows.
+    """
+    v = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    total = v.count()
+    if not total:
+        return df.sparkSession.createDataFrame([], "bin int, value double")
+    at = [(low + (high - low) * i / (n - 1)) * (total - 1) for i in range(n)]
+    slack = 2 + 2 * total / accuracy  # ranks
+    ends = [min(1.0, max(0.0, (math.floor(x) + side) / total)) for x in at for side in (-slack, 2 + slack)]
+    cut = v.agg(F.percentile_approx("v", ends, accuracy)).first()[0]
+    bins = [(i, cut[2 * i], cut[2 * i + 1], math.floor(at[i]), at[i] - math.floor(at[i])) for i in range(n)]
+    inside = lambda lo, hi: (F.col("v") >= lo) & (F.col("v") <= hi)
+    below = v.agg(*[F.count_if(F.col("v") < lo).alias(f"b{i}") for i, lo, *_ in bins])
+    below = below.select(F.explode(F.array(*[F.struct(F.lit(i).alias("bin"), F.col(f"b{i}").alias("b"), F.lit(k).alias("k"), F.lit(part).alias("part")) for i, _, _, k, part in bins])).alias("x")).select("x.*")
+    near = v.select("v", F.explode(F.filter(F.array(*[F.when(inside(lo, hi), F.lit(i)) for i, lo, hi, *_ in bins]), lambda x: x.isNotNull())).alias("bin"))
+    near = near.groupBy("bin", "v").agg(F.count("*").alias("c"))
+    up_to = F.sum("c").over(Window.partitionBy("bin").orderBy("v"))  # a few thousandths of the rows
+    rank = near.withColumn("r", up_to).join(F.broadcast(below), "bin").withColumn("r", F.col("r") + F.col("b"))  # n rows
+    holds = lambda k: (F.col("r") > k) & (F.col("r") - F.col("c") <= k)
+    one = F.max(F.when(holds(F.col("k")), F.col("v"))) * (1 - F.first("part")) + F.coalesce(F.max(F.when(holds(F.col("k") + 1), F.col("v"))) * F.first("part"), F.lit(0.0))
+    return rank.groupBy("bin").agg(one.alias("value"))
+
+
+def partial_dependence(sample: DataFrame, grid: Sequence[tuple], score: Callable[[Column, Column], Column]) -> DataFrame:
+    """Rows (ix, iy, x, y, value): the mean clipped score(x, y) over the sample for each cell (ix, iy, x, y) of a fixed grid.
+
+    All cells are aggregates of one pass, so rows are never multiplied by the grid.
+    """
+    cells = [F.avg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score(F.lit(x), F.lit(y))))).alias(f"c{i}") for i, (_, _, x, y) in enumerate(grid)]
+    told = F.array(*[F.struct(F.lit(ix).alias("ix"), F.lit(iy).alias("iy"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"c{i}").alias("value")) for i, (ix, iy, x, y) in enumerate(grid)])
+    return sample.agg(*cells).select(F.explode(told).alias("g")).select("g.*")
 
 
 def share_of_total(df: DataFrame, value: str) -> DataFrame:

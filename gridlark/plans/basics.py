@@ -122,6 +122,16 @@ def landmark_search(spark, sf):
     return R.goal_directed(e, R.source_rows(spark, [0]).select("id"), goal, bounds).select("id", r6("cost"))
 
 
+@query(f", {from_node('0')} SELECT id, {s6('d', 'cost')} FROM r WHERE id = (SELECT max(id) FROM r)", "road_edge")
+def straight_line_search(spark, sf):
+    """The last node's cost by a search that the straight distances left keep near the route."""
+    e = saved(edges(spark, sf), "edges")
+    n = S.road_node(spark, sf)
+    goal = n.agg(F.max("id").alias("id"))
+    bounds = saved(R.straight_bound(n, e, goal).select("id", "bound"), "bounds")
+    return R.goal_directed(e, R.source_rows(spark, [0]).select("id"), goal, bounds).select("id", r6("cost"))
+
+
 @query(", m AS (SELECT o_custkey AS id, row_number() OVER (ORDER BY min(o_orderkey)) AS pos FROM orders GROUP BY 1) SELECT c_custkey AS id, row_number() OVER (ORDER BY pos NULLS LAST, c_custkey) AS rank FROM customer LEFT JOIN m ON m.id = c_custkey", "grid")
 def rank_by_order(spark, sf):
     """Customers in the order of their first orders, those without any behind."""

@@ -93,9 +93,8 @@ def quantiles(spark, sf):
 def pdp_grid(spark, sf):
     """Partial dependence of a linear scorer on the last value and the horizon, over all rows."""
     sample = _persist(spark, sf).select("lag_1", "s_price")
-    g = spark.range(5).select(F.col("id").alias("ix"), (F.col("id") / F.lit(4.0)).alias("x")).crossJoin(spark.range(1, 5).select(F.col("id").alias("iy"), (F.col("id") * 30.0).alias("y")))
-    score = 0.7 * F.col("x") + 0.001 * F.col("y") + 0.2 * F.col("lag_1") + F.col("s_price")
-    return M.partial_dependence(sample, g, score).select("ix", "iy", r6("x"), r6("y"), r6("value"))
+    grid = [(i, j, i / 4.0, j * 30.0) for i in range(5) for j in range(1, 5)]
+    return M.partial_dependence(sample, grid, lambda x, y: 0.7 * x + 0.001 * y + 0.2 * F.col("lag_1") + F.col("s_price")).select(big("ix"), big("iy"), r6("x"), r6("y"), r6("value"))
 
 
 @query(f", g AS (SELECT station_id, sum(duration) AS total FROM obs GROUP BY 1) SELECT station_id, {s6('total', 'total')}, {s6('total / sum(total) OVER ()', 'share')} FROM g", "obs")

@@ -90,6 +90,36 @@ def read_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes.select(F.col("_id").alias("id"), data.alias("data")), edges.select(F.col("_source").alias("u"), F.col("_target").alias("v"), F.coalesce(F.col("_id").try_cast("int"), F.lit(0)).alias("key"), data.alias("data"))
 
 
+def typed(graph: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """A read graph's nodes or edges with columns from their texts: {"travel_time": "double", ...}; what is absent or no such value is null."""
+    return graph.withColumns({c: F.try_element_at("data", F.lit(c)).try_cast(kind) for c, kind in columns.items()})
+
+
+# Attributes of the road graph and their types.
+NODE_TYPES = {"x": "double", "y": "double", "node_type": "string", "station_id": "bigint"}
+EDGE_TYPES = {"length": "double", "travel_time": "double", "speed_kph": "double", "station_split": "boolean", "access": "string"}
+
+
+def road_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Typed nodes (id, x, y, node_type, station_id) and edges (u, v, key, seconds, length_m, speed_kph, access, station_split, line) of a GraphML file.
+
+    line: the edge's shape as points (lon, lat), from its text of a line string; null where it has none.
+    """
+    nodes, edges = read_graphml(spark, path)
+    nodes, edges = typed(nodes, NODE_TYPES).drop("data"), typed(edges, EDGE_TYPES | {"geometry": "string"})
+    pairs = F.split(F.regexp_extract("geometry", r"LINESTRING\s*\(([^)]*)\)", 1), r"\s*,\s*")
+    point = F.transform(pairs, lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].try_cast("double").alias("lon"), F.try_element_at(F.split(F.trim(p), r"\s+"), F.lit(2)).try_cast("double").alias("lat")))
+    line = F.when(F.col("geometry").rlike("LINESTRING"), point)
+    return nodes, edges.select("u", "v", "key", F.col("travel_time").alias("seconds"), F.col("length").alias("length_m"), "speed_kph", "access", F.coalesce("station_split", F.lit(False)).alias("station_split"), line.alias("line"))
+
+
+def write_csv(df: DataFrame, path: str, by: str | None = None, packed: bool = False, files: int | None = None, append: bool = False) -> None:
+    """A table as CSV with a header: in a folder for each value of `by`, gzipped or not, in so many files, over what is there or beside it."""
+    w = (df if files is None else df.coalesce(files)).write.mode("append" if append else "overwrite").option("header", True)
+    w = w.option("compression", "gzip") if packed else w
+    (w if by is None else w.partitionBy(by)).csv(path)
+
+
 def audit(spark: SparkSession, folder: str, expected: Iterable[str]) -> DataFrame:
     """Expected files with their sizes; null where one is absent."""
     have = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
@@ -97,10 +127,6 @@ def audit(spark: SparkSession, folder: str, expected: Iterable[str]) -> DataFram
     return want.join(have, "name", "left").withColumn("present", F.col("length").isNotNull())
 
 
-def write_partitioned_csv(df: DataFrame, path: str, by: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("compression", "gzip").partitionBy(by).csv(path)
-
-
 def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """A GraphML text of nodes (id, data) and edges (u, v, key, data), data maps of texts; lines are dealt in order by Spark.
 
@@ -128,8 +154,9 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     )
     spark = nodes.sparkSession
     frame = spark.createDataFrame([(0, "", f"{i:06d}", x) for i, x in enumerate(head)] + [(3, "", "", "</graph>"), (4, "", "", "</graphml>")], "o int, a string, b string, value string")
-    # parts are written in the order of their names, so the files one after another are the document
-    frame.unionByName(n).unionByName(e).orderBy("o", "a", "b", "value").select("value").write.mode("overwrite").text(path)
+    # files are named in the order of the parts of a union, so one after another they are the document; only the order of kinds matters
+    top, end = frame.filter("o = 0").coalesce(1).sortWithinPartitions("b"), frame.filter("o > 0").coalesce(1).sortWithinPartitions("o")
+    top.unionByName(n).unionByName(e).unionByName(end).select("value").write.mode("overwrite").text(path)
 
 
 def write_metadata(spark: SparkSession, data: dict, path: str) -> None:

@@ -62,6 +62,15 @@ def test_random_graph_and_hierarchy(spark):
     ranks, ch = graph.contract(e, nodes)
     pairs = nodes.filter("id > 0").select(F.lit(0).cast("long").alias("start"), F.col("id").alias("goal"))
     assert {r.goal: r.cost for r in graph.hierarchy_cost(ranks, ch, pairs).collect() if r.cost is not None} == {k: v for k, v in want.items() if k}
+    ways = {}
+    for r in graph.hierarchy_routes(ranks, ch, pairs).orderBy("goal", "pos").collect():
+        ways.setdefault(r.goal, []).append((r.u, r.v))
+    least = {}
+    for u, v, w in rows:
+        least[u, v] = min(w, least.get((u, v), w))
+    assert set(ways) == {k for k in want if k}
+    for goal, way in ways.items():
+        assert way[0][0] == 0 and way[-1][1] == goal and all(a[1] == b[0] for a, b in zip(way, way[1:], strict=False)) and sum(least[x] for x in way) == want[goal]
 
 
 def test_unpack(spark):
@@ -144,6 +153,15 @@ def test_graphml(spark, tmp_path):
     nodes, e = files.read_graphml(spark, str(p))
     assert {r.id: r.data["x"] for r in nodes.collect()} == {"a": "1.5", "b": "2.5"}
     assert e.first().data["length"] == "10"
+    nodes, e = files.road_graph(spark, str(p))
+    assert sorted((r.id, r.x, r.y, r.station_id) for r in nodes.collect()) == [("a", 1.5, None, None), ("b", 2.5, None, None)]
+    assert e.first()[:] == ("a", "b", 0, None, 10.0, None, None, False, None)
+    p.write_text(
+        '<graphml><key id="d0" for="edge" attr.name="geometry"/><key id="d1" for="edge" attr.name="travel_time"/><key id="d2" for="edge" attr.name="station_split"/><graph>'
+        '<edge source="a" target="b" id="1"><data key="d0">LINESTRING (1 2, 3.5 4)</data><data key="d1">soon</data><data key="d2">True</data></edge></graph></graphml>'
+    )
+    r = files.road_graph(spark, str(p))[1].first()
+    assert (r.key, r.seconds, r.station_split, [tuple(x) for x in r.line]) == (1, None, True, [(1.0, 2.0), (3.5, 4.0)])
 
 
 def test_search_helpers():
@@ -167,20 +185,35 @@ def test_stream_matches_batch(spark, tmp_path):
 
 
 def test_stream_of_last_rows(spark, tmp_path):
+    """Keyed state equals the batch form, with late and repeated rows, and after a restart from its checkpoint."""
     from gridlark.sources import scenario
 
-    obs = scenario.observation(spark, "/root/testdata/sf0.001").withColumn("time", F.col("time").cast("timestamp")).select("station_id", "time", "obs_id", "busy", "idle")
-    obs.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(obs.schema).parquet(str(tmp_path / "in"))
-    q = occupancy.last_rows(stream).writeStream.outputMode("update").format("memory").queryName("last").start()
-    q.processAllAvailable()
-    q.stop()
-    want = {}
-    for r in obs.orderBy("time", "obs_id").collect():
-        if r.busy + r.idle:
-            want.setdefault(r.station_id, []).append(r.busy / (r.busy + r.idle))
-    got = {r.station_id: (r.n, r.mean_occ) for r in spark.table("last").collect() if r.n}
-    assert got == {k: (len(v[-12:]), pytest.approx(sum(v[-12:]) / len(v[-12:]))) for k, v in want.items()}
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    obs = scenario.observation(spark, "/root/testdata/sf0.001").select("station_id", F.col("time").cast("timestamp").alias("time"), "obs_id", "busy", "idle", "s_price", "e_price").filter("station_id < 60")
+    late = F.pmod(F.xxhash64("obs_id"), F.lit(3))  # rows come in an order of their own
+    parts = [obs.filter(late == i) for i in range(3)] + [obs.filter("obs_id % 5 = 0")]
+    weather = scenario.weather(spark, "/root/testdata/sf0.001").filter("hour(weather_hour) % 3 = 0")
+    got = {}
+
+    def keep(batch, _):
+        got.update({r.station_id: r for r in batch.collect()})
+
+    for part in parts:  # each run ends when its files are done; the next one starts from the checkpoint
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = occupancy.with_weather(occupancy.serving_states(stream), weather).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    rows = obs.filter("busy + idle > 0").withColumns({"occ": F.col("busy") / (F.col("busy") + F.col("idle")), "time": F.col("time").cast("timestamp_ntz")})
+    want = {r.station_id: r for r in timeseries.serve_state(rows, F.lit("2030-01-01").cast("timestamp_ntz")).collect()}
+    full = {k: r for k, r in got.items() if r.n == 12}
+    assert set(full) == set(want) and len(got) == obs.filter("busy + idle > 0").select("station_id").distinct().count()
+    for k, r in want.items():
+        assert [full[k][c] for c in ("s_price", "e_price", "lag_1", "lag_3", "lag_6", "lag_12", "mean_6", "mean_12", "std_12", "trend_12")] == pytest.approx([r[c] for c in ("s_price", "e_price", "lag_1", "lag_3", "lag_6", "lag_12", "mean_6", "mean_12", "std_12", "trend_12")])
+    hours = sorted((w.weather_hour, w.temperature) for w in weather.collect())
+    for r in got.values():
+        before = [t for h, t in hours if h <= r.time]
+        if before and r.time < hours[-1][0]:
+            assert r.temperature == pytest.approx(before[-1])
 
 
 def test_substring(spark):
@@ -316,8 +349,13 @@ def test_files_written_and_read(spark, tmp_path):
     assert files.dimension(spark, str(tmp_path / "dim.csv"), "station_id long, lon double", ["lon"]).first().lon == 2.5
     got = {r.name: r.present for r in files.audit(spark, str(tmp_path / "f"), ["_SUCCESS", "absent"]).collect()}
     assert not got["absent"]
-    files.write_partitioned_csv(spark.range(4).withColumn("g", F.col("id") % 2), str(tmp_path / "csv"), "g")
-    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
+    files.write_csv(spark.range(4).withColumn("g", F.col("id") % 2), str(tmp_path / "csv"), "g", packed=True)
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4 and list((tmp_path / "csv" / "g=1").glob("*.csv.gz"))
+    files.write_csv(spark.range(4), str(tmp_path / "plain"), files=1)
+    files.write_csv(spark.range(3), str(tmp_path / "plain"), files=1, append=True)
+    assert spark.read.option("header", True).csv(str(tmp_path / "plain")).count() == 7 and len(list((tmp_path / "plain").glob("*.csv"))) == 2
+    files.write_csv(spark.range(2), str(tmp_path / "plain"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "plain")).count() == 2
 
 
 def test_times_that_are_none(spark):

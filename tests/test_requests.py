@@ -177,6 +177,22 @@ def test_long_witnesses_save_shortcuts(spark):
     assert graph.witnessed(short, live, gone, hops=4, settled=1).count() == 1 and graph.witnessed(short, live, gone, hops=4, settled=5).isEmpty() and graph.witnessed(short.withColumn("w", F.lit(3.5)), live, gone).count() == 1
 
 
+def test_straight_bounds_are_safe(spark):
+    r = random.Random(2)
+    places = [(i, r.uniform(0, 0.2), r.uniform(0, 0.2)) for i in range(25)]
+    rows = [(u, v, r.uniform(1, 9)) for u in range(25) for v in r.sample(range(25), 3) if u != v]
+    n, e = spark.createDataFrame(places, "id long, x double, y double"), spark.createDataFrame(rows, "u long, v long, w double")
+    for goal in (3, 17):
+        g = spark.createDataFrame([(goal,)], "id long")
+        bounds = graph.straight_bound(n, e, g).select("id", "bound")
+        true = graph.shortest(graph.reverse(e), graph.source_rows(spark, [goal])).select("id", "cost")
+        assert bounds.join(true, "id").filter("bound > cost").isEmpty() and bounds.filter("bound > 0").count() == 24
+        hit = graph.goal_directed(e, spark.createDataFrame([(0,)], "id long"), g, bounds).collect()
+        assert [x.cost for x in hit] == pytest.approx([x.cost for x in true.filter("id = 0").collect()])
+    free = graph.straight_bound(n, e.union(spark.createDataFrame([(0, 1, 0.0)], e.schema)), spark.createDataFrame([(3,)], "id long"))
+    assert free.filter("bound > 0").isEmpty()
+
+
 # attribution
 
 
@@ -240,6 +256,8 @@ def test_attribution_of_a_trained_model(spark):
         assert x.prediction == pytest.approx(raw[x["key"]]) and x["mean"] + sum(x.parts) == pytest.approx(x.prediction)
     top = {x.feature: x.mean_abs for x in attribution.mean_abs_parts(told, ["a", "b", "c"]).collect()}
     assert set(top) == {"a", "b", "c"} and top["a"] > top["c"]
+    told = ml.importances(m, ["a", "b", "c"])
+    assert sum(v for _, v in told) == pytest.approx(1) and [v for _, v in told] == sorted((v for _, v in told), reverse=True) and told[-1][0] == "c"
 
 
 # searches
@@ -351,3 +369,14 @@ def test_dissolve_covers_what_any_polygon_covers(spark):
         return hits % 2 == 1
 
     assert {p.station_id for p in points.collect() if inside(p.lon, p.lat)} == want and len(want) > 100
+
+
+def test_exact_quantiles(spark):
+    from gridlark.operators.metrics import quantile_grid
+
+    r = random.Random(1)
+    for values in ([1.0], [3.0, 1.0], [r.choice([0.0, 0.5, 1.0]) for _ in range(101)], [r.gauss(0, 1) for _ in range(5000)], [float(i // 100) for i in range(3000)] + [None] * 5):
+        df = spark.createDataFrame([(x,) for x in values], "v double").repartition(3)
+        got = [x.value for x in quantile_grid(df, "v", 0.0, 1.0, 7, accuracy=100).orderBy("bin").collect()]
+        assert got == pytest.approx(np.quantile([x for x in values if x is not None], [i / 6 for i in range(7)]).tolist(), abs=1e-12)
+    assert quantile_grid(spark.createDataFrame([], "v double"), "v").isEmpty()
