@@ -7,7 +7,8 @@ once. Equal sets are one node; of each node one document, its representative, ta
    sets an n-gram stands and tell the units. Sets are ordered by that frequency, rare n-grams first.
 2. Two sets that reach the threshold share their first common n-gram within their prefixes. An n-gram that
    stands in one set only keeps its place in the prefix but needs no index row. If the first common n-gram
-   is rare (in FREQUENT sets at most, whatever the size of the collection), it finds the pair by itself. If it
+   is rare (in FREQUENT sets at most, whatever the size of the collection: two, since an n-gram of two sets names one
+   pair and no combination can make that fewer), it finds the pair by itself. If it
    is frequent, then so are all that they share, and prefixes extended by m n-grams share at least m + 1; with
    the frequent n-grams dealt into m classes, two of these fall into one class, so indexing all pairs within a
    class finds the pair. m follows the set's size, so a document has about as many combinations as n-grams in
@@ -39,7 +40,7 @@ from gridlark.llm.common import bucketed, chunks, forget, lean, mix, ranges, rel
 from gridlark.llm.graph import components
 
 BATCH = 4 << 20
-FREQUENT = 64
+FREQUENT = 2
 KEY_ROWS = 4096  # nodes of one key that one task compares with each other
 
 

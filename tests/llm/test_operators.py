@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,6 +146,15 @@ def test_jaccard_combinations_find_pairs(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_jaccard_default_makes_both_kinds():
+    """With the default border, the given documents have single keys as well as combinations."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks().cast(pa.binary()).to_pylist()
+    sets = list({s.tobytes(): s for s in jaccard.shingle_sets(*jaccard.tokens(texts), 4) if len(s)}.values())
+    kinds, count = np.unique(np.concatenate(sets), return_counts=True)
+    found = [(np.isin(jaccard.prefix_keys(s, count[np.searchsorted(kinds, s)], jaccard.FREQUENT, 85, 100)[0], s)) for s in sets]
+    assert sum(int(x.sum()) for x in found) > 500 and sum(int((~x).sum()) for x in found) > 20
+
+
 def test_parity_bounds_difference(spark):
     r = np.random.default_rng(1)
     rows = []
