@@ -1,14 +1,16 @@
 """Road graph operators: collapse, components, breadth-first and shortest paths, landmarks, hierarchy.
 
-Searches are fix-points of joins over an edge table (u, v, w), bucket by bucket of cost: a round relaxes only
-nodes of the bucket whose value got better, and all sources or landmarks share the rounds. Tables of a few
-rounds are written out, which cuts the plan and survives lost executors. Routes are told node by node, from parents by doubling.
+Searches are fix-points over an edge table (u, v, w) that is dealt to blocks of nodes: in a round each block with offers from others settles
+its own nodes and makes offers in turn, and all sources or landmarks share the rounds. Each round's table is
+written out, which cuts the plan and survives lost executors. Routes are told node by node, from parents by doubling.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from heapq import heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,7 +91,59 @@ def largest_component(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return c.join(top, "component", "left_semi").select("id")
 
 
-def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None, sums: Sequence[str] = (), bounds: DataFrame | None = None, goals: DataFrame | None = None, width: float | None = None, rounds_per_table: int = 6) -> DataFrame:
+def _settler(sums: Sequence[str], limit: float | None):
+    """What one block does in a round: takes offers, settles its nodes in the order of cost, makes offers to nodes of other blocks."""
+
+    def better(new, old) -> bool:
+        if old is None or new[0] != old[0]:
+            return old is None or new[0] < old[0]
+        if new[3] is not None and new[3] == old[3]:
+            return new[4] != old[4]  # the same way, with sums made anew
+        return new[1:3] < old[1:3] and new[1] < new[0]  # edges of weight 0 among equal costs could close a ring of parents
+
+    def settle(edges: pa.Table, rows: pa.Table) -> pa.Table:
+        ways: dict = {}
+        for u, v, w, bound, there, *more in zip(*(edges[c].to_pylist() for c in ("u", "v", "w", "_bound", "_there", *(f"_e_{c}" for c in sums)))):
+            ways.setdefault(u, []).append((v, w, bound, there, more))
+        here, batch = rows["_block"][0].as_py(), rows["_batch"][0].as_py()
+        kept: dict = {}
+        offers: dict = {}
+        for source, u, cost, before, parent, news, *more in zip(*(rows[c].to_pylist() for c in ("source", "id", "cost", "before", "parent", "news", *sums))):
+            (offers if news else kept).setdefault(source, []).append((u, (cost, before, "" if parent is None else str(parent), parent, more)))
+        out = []
+        for source in kept.keys() | offers.keys():
+            labels, heap, sent, n = dict(kept.get(source, ())), [], {}, 0
+            for u, label in offers.get(source, ()):
+                if better(label, labels.get(u)):
+                    labels[u] = label
+                    n += 1
+                    heappush(heap, (label[0], n, u, label))
+            while heap:
+                cost, _, u, label = heappop(heap)
+                if labels[u] is not label:
+                    continue
+                for v, w, bound, there, more in ways.get(u, ()):
+                    c = cost + w
+                    if limit is not None and not c + bound <= limit:
+                        continue
+                    new = (c, cost, str(u), u, [x + y for x, y in zip(label[4], more)])
+                    if there != here:
+                        if better(new, sent.get(v, (0, None))[1]):
+                            sent[v] = (there, new)
+                    elif better(new, labels.get(v)):
+                        labels[v] = new
+                        n += 1
+                        heappush(heap, (c, n, v, new))
+            out += [(here, batch, source, u, x[0], x[1], x[3], False, *x[4]) for u, x in labels.items()]
+            out += [(there, batch, source, u, x[0], x[1], x[3], True, *x[4]) for u, (there, x) in sent.items()]
+        kind = rows.schema
+        names = ["_block", "_batch", "source", "id", "cost", "before", "parent", "news", *sums]
+        return pa.table([pa.array(c, kind.field(n).type) for n, c in zip(names, zip(*out))], names=names)
+
+    return settle
+
+
+def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None, sums: Sequence[str] = (), bounds: DataFrame | None = None, goals: DataFrame | None = None, width: float | None = None, rounds_per_table: int = 1, block: int = 1 << 16) -> DataFrame:
     """Least sums of w from each source: rows (source, id, cost, parent).
 
     sources: rows (source, id, cost). Of equal costs the parent with the least (cost, id) stays. sums: columns of the edges that are
@@ -98,54 +152,57 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: float | None = None, s
     cost and bound exceed it are not followed either. goals: rows (id); the search ends once all of them are final for every source, or
     nothing is left, and costs of others may be missing or too high.
 
-    Buckets: only nodes whose cost fell and lies within `width` of the least such cost are relaxed, so few nodes are relaxed with a
-    cost that is not final. By default a bucket is as wide as `rounds_per_table` edges of mean weight. Each edge row of a node that
-    is relaxed, and a row that keeps the node itself, meet in one join and one aggregate a round: the costs are read once a round, and
-    written once in so many rounds, which cuts the plan and survives lost executors.
+    Nodes are dealt to blocks of neighbouring ids, with about `block` edges each. In a round each block that got offers settles its own nodes for
+    16 sources a group at most, and offers costs to nodes of other blocks. So rounds are as many as the blocks that a route crosses, not as its edges, and
+    blocks without offers only pass their rows on. With `width` a round takes up offers within it of the least one. Tables are written once
+    in so many rounds and joined by shuffles: none that grows with the graph is broadcast.
     """
     e = edges.filter(F.col("w").isNotNull())
     if bounds is not None and limit is not None:
-        e = e.join(bounds.select(F.col("id").alias("v"), F.col("bound").alias("_bound")), "v", "left").withColumn("_bound", F.coalesce("_bound", F.lit(0.0)))
+        e = e.join(bounds.select(F.col("id").alias("v"), F.col("bound").alias("_bound")).hint("merge"), "v", "left").withColumn("_bound", F.coalesce("_bound", F.lit(0.0)))
     else:
         e = e.withColumn("_bound", F.lit(0.0))
-    more = [f"_e_{c}" for c in sums]
-    e = e.select("u", "v", F.col("w").cast("double").alias("w"), "_bound", *[F.col(c).cast("double").alias(f"_e_{c}") for c in sums], F.lit(False).alias("_own"))
-    ends = e.select("u").union(e.select("v")).union(sources.select("id")).distinct()
-    own = ends.select("u", F.col("u").alias("v"), F.lit(0.0).alias("w"), F.lit(0.0).alias("_bound"), *[F.lit(0.0).alias(c) for c in more], F.lit(True).alias("_own"))
-    e = saved(e.unionByName(own), "edges")
-    if width is None:
-        width = rounds_per_table * float(e.filter("not _own").agg(F.avg("w")).first()[0] or 1.0)
+    e = saved(e.select("u", "v", F.col("w").cast("double").alias("w"), "_bound", *[F.col(c).cast("double").alias(f"_e_{c}") for c in sums]), "edges")
     kind = dict(e.dtypes)["u"]
+    degree = e.select(F.col("u").alias("id"), F.lit(1).alias("n")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("n"))).unionByName(sources.select(F.col("id").cast(kind), F.lit(0).alias("n")))
+    n_blocks = max(1, -(-e.count() // block))
+    dealt = degree.groupBy("id").agg(F.sum("n").alias("n"))
+    place = saved(dealt.repartitionByRange(n_blocks, "id").select("id", F.spark_partition_id().alias("_block")), "blocks").hint("merge")
+    e = e.join(place.select(F.col("id").alias("u"), "_block"), "u").join(place.select(F.col("id").alias("v"), F.col("_block").alias("_there")), "v")
+    e = saved(e, "edges")
+    n_sources = sources.select("source").distinct().count()
+    batch = F.pmod(F.xxhash64("source"), F.lit(max(1, -(-n_sources // 16)))).cast("int")
     extra = [F.col(c).cast("double") if c in sources.columns else F.lit(0.0).alias(c) for c in sums]
-    best = sources.select("source", "id", F.col("cost").cast("double").alias("cost"), F.lit(0.0).alias("before"), F.lit(None).cast(kind).alias("parent"), *extra, F.lit(True).alias("fresh"))
-    want, n_goals, last = None, 0, None
+    first = sources.select("source", F.col("id").cast(kind).alias("id"), F.col("cost").cast("double").alias("cost"), F.lit(0.0).alias("before"), F.lit(None).cast(kind).alias("parent"), F.lit(True).alias("news"), batch.alias("_batch"), *extra)
+    names = ["_block", "_batch", "source", "id", "cost", "before", "parent", "news", *sums]
+    state = last = saved(first.join(place, "id").select(names), "costs")
+    settle = _settler(list(sums), limit)
+    want, n_goals = None, 0
     if goals is not None:
         want = goals.select("id").dropna().distinct().withColumn("_goal", F.lit(True))
-        n_goals = want.count() * sources.select("source").distinct().count()
+        n_goals = want.count() * n_sources
     while True:
-        # one job tells the bucket and whether the goals are final: all are there, and none costs more than what is still to be followed
-        goal = F.lit(False) if want is None else F.col("_goal")
-        told = best if want is None else best.join(F.broadcast(want), "id", "left")  # the goals of a request
-        row = told.agg(F.min(F.when(F.col("fresh"), F.col("cost"))).alias("low"), F.count_if(goal).alias("n"), F.max(F.when(goal, F.col("cost"))).alias("far")).first()
-        if row.low is None or want is not None and row.n == n_goals and (not n_goals or row.far <= row.low):
-            return best.drop("before", "fresh")
-        end = row.low + width
+        # one job tells whether offers are left and whether the goals are final: all are there, and none costs more than the least offer
+        goal = F.lit(False) if want is None else F.col("_goal") & ~F.col("news")
+        told = state if want is None else state.join(F.broadcast(want), "id", "left")  # the goals of a request
+        row = told.agg(F.min(F.when(F.col("news"), F.col("cost"))).alias("low"), F.count_if(goal).alias("n"), F.max(F.when(goal, F.col("cost"))).alias("far")).first()
+        there = want is not None and row.n == n_goals
+        if row.low is None or there and (not n_goals or row.far < row.low):
+            return state.filter("not news").select("source", "id", "cost", "parent", *sums)
         for _ in range(rounds_per_table):
-            now = F.col("fresh") & (F.col("cost") < end)
-            cost = F.col("cost") + F.col("w")
-            follow = now if limit is None else now & (cost + F.col("_bound") <= limit)
-            step = best.join(e, (best["id"] == e["u"]) & (e["_own"] | follow))
-            mine = F.col("_own")
-            step = step.select(
-                "source", F.col("v").alias("id"), cost.alias("cost"), F.when(mine, F.col("before")).otherwise(F.col("cost")).alias("before"), F.when(mine, F.col("parent")).otherwise(F.col("u")).alias("parent"),
-                *[(F.col(c) + F.col(f"_e_{c}")).alias(c) for c in sums], F.when(mine, F.col("fresh") & ~now).otherwise(F.lit(True)).alias("fresh"), (~mine).cast("int").alias("_new"),
-            )
-            order = F.struct("cost", "before", F.coalesce(F.col("parent").cast("string"), F.lit("")))
-            # an equal cost with a better parent is taken too, but does not travel on unless the cost fell
-            keep = F.min_by(F.struct("cost", "before", "parent", *sums), order).alias("b")
-            flag = F.min_by("fresh", F.struct("cost", "_new")).alias("fresh")
-            best = step.groupBy("source", "id").agg(keep, flag).select("source", "id", "b.*", "fresh")
-        best = last = saved(best, "costs", instead=last)
+            news = F.col("news")
+            if there:
+                state = state.filter(~news | (F.col("cost") <= row.far))  # no other offer can better a goal
+            taken = news if width is None else news & (F.col("cost") < row.low + width)
+            active = state.filter(taken).select(F.col("_block").alias("_to"), F.col("_batch").alias("_set")).distinct().hint("merge")
+            busy = [F.col("_block") == F.col("_to"), F.col("_batch") == F.col("_set")]
+            wait = state.filter(news & ~taken)
+            mine = state.filter(~news).join(active, busy, "left_semi").select(names).unionByName(state.filter(taken))
+            rest = state.filter(~news).join(active, busy, "left_anti").select(names)
+            part = e.join(active, busy[0]).groupBy("_to", "_set")
+            done = mine.groupBy("_block", "_batch").cogroup(part).applyInArrow(lambda rows, ways: settle(ways, rows), state.schema)
+            state = done.unionByName(rest).unionByName(wait)
+        state = last = saved(state, "costs", instead=last)
 
 
 def goal_directed(edges: DataFrame, start: DataFrame, goal: DataFrame, bounds: DataFrame) -> DataFrame:
