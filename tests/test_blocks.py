@@ -3,7 +3,10 @@
 import heapq
 import random
 
-from gridlark.operators import graph
+from pyspark.sql import functions as F
+
+from gridlark.functions.geo import haversine_km
+from gridlark.operators import graph, spatial, timeseries
 
 
 def _least(rows, start):
@@ -33,3 +36,54 @@ def test_blocks_give_the_same_costs(spark):
                 at, n = mine[at.parent], n + 1
                 assert n < 60
             assert at.id == s
+
+
+def test_fills_read_back_in_linear_frames(spark):
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), i, None if rng.random() < 0.8 else float(i)) for i in range(400)] + [(41 + i, 0, None) for i in range(5)]
+    out = timeseries.fill_both(spark.createDataFrame(rows, "s long, t long, x double"), ["x"], ["s", "t"], F.col("s"))
+    got = [r.x for r in out.orderBy("s", "t").collect()]
+    want = [x for *_, x in sorted(rows, key=lambda r: r[:2])]
+    first = next(x for x in want if x is not None)
+    for i, x in enumerate(want):
+        want[i] = x if x is not None else want[i - 1] if i else first
+    assert got == want
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+
+
+def _watched(monkeypatch):
+    """The numbers of rows that radius joins are given on both sides."""
+    seen, join = [], spatial.radius_join
+
+    def watch(a, b, *args):
+        seen.append((a.count(), b.count()))
+        return join(a, b, *args)
+
+    monkeypatch.setattr(spatial, "radius_join", watch)
+    return seen
+
+
+def test_crowded_places_are_sought_once(spark, monkeypatch):
+    seen = _watched(monkeypatch)
+    rng = random.Random(7)
+    places = [(114 + rng.random() / 10, 22.5 + rng.random() / 10) for _ in range(12)]
+    at = {i: places[i % 12] if i < 60 else places[0] for i in range(100)}
+    s = spark.createDataFrame([(i, *p) for i, p in at.items()], "station_id long, lon double, lat double")
+    got = {(r.station_id, r["rank"]): r.neighbor_id for r in spatial.knn(s, 7).collect()}
+    km = {(r.a, r.b): r.d for r in s.selectExpr("station_id a", "lon x", "lat y").crossJoin(s.selectExpr("station_id b", "lon", "lat")).select("a", "b", haversine_km(F.col("y"), F.col("x"), F.col("lat"), F.col("lon")).alias("d")).collect()}
+    want = {(i, n + 1): j for i in at for n, j in enumerate(sorted((j for j in at if j != i), key=lambda j: (km[i, j], j))[:7])}
+    assert got == want
+    poi = s.selectExpr("station_id poi_id", "lon", "lat", "if(station_id % 2 = 0, 'a', 'b') kind")
+    counts = {r.station_id: (r.total, r.a) for r in spatial.count_within(s, poi, 3.0, ["a"]).collect()}
+    assert counts == {i: (sum(km[i, j] <= 3 for j in at), sum(km[i, j] <= 3 for j in at if j % 2 == 0)) for i in at}
+    assert seen and all(a <= 12 and b <= 12 for a, b in seen)
+
+
+def test_points_of_one_place_snap_once(spark, monkeypatch):
+    seen, write = [], spatial.saved
+    monkeypatch.setattr(spatial, "saved", lambda df, name, *a: (seen.append(df.count()), write(df, name, *a))[1])
+    seg = spark.createDataFrame([(0, 1, 0.0, 0.0, 1.0, 0.0), (1, 2, 1.0, 0.0, 1.0, 1.0)], "u long, v long, ax double, ay double, bx double, by double")
+    s = spark.createDataFrame([(i, 0.5 if i % 2 else 0.9, 0.2 if i % 2 else 0.6) for i in range(50)], "station_id long, lon double, lat double")
+    got = {r.station_id: (r.u, round(r.d, 9)) for r in spatial.nearest_segment(s, seg).collect()}
+    assert got == {i: (0, 0.2) if i % 2 else (1, 0.1) for i in range(50)}
+    assert max(seen) == 2
