@@ -1,6 +1,6 @@
 """Union of polygons: borders cut where they meet, pieces with cover on both sides dropped, the rest chained to rings.
 
-Segments meet only those of their grid cells. A piece stays if just one of its sides is covered, so shared and inner borders go; it is
+Segments meet only those of their grid cells, and those that run through cells deep inside a polygon go first. A piece stays if just one of its sides is covered, so shared and inner borders go; it is
 turned so that the cover lies to its left. Rings are found by doubling along the chain of pieces, so no task ever holds a whole ring.
 """
 
@@ -30,6 +30,7 @@ def cut_at_meetings(seg: DataFrame, tolerance: float = 1e-10) -> DataFrame:
     """Pieces (ax, ay, bx, by) of segments (sid, ax, ay, bx, by): cut at crossings, at touching ends and at the ends of overlaps."""
     span = seg.agg(F.percentile_approx(F.greatest(F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))), 0.5, 1000)).first()[0]
     cells = saved(_cells(seg, max(2 * float(span or 0.0), 1e-6)), "cells")
+    cells = cells.hint("merge")  # no table of cells is to be broadcast
     other = cells.withColumnRenamed("sid", "oid")
     pairs = cells.join(other, ["cx", "cy"]).filter("sid <> oid").select("sid", "oid").distinct()
     o = seg.select(F.col("sid").alias("oid"), *[F.col(c).alias(f"o{c}") for c in ("ax", "ay", "bx", "by")])
@@ -55,10 +56,48 @@ def cut_at_meetings(seg: DataFrame, tolerance: float = 1e-10) -> DataFrame:
     return step.select(c("a.x").alias("ax"), c("a.y").alias("ay"), c("b.x").alias("bx"), c("b.y").alias("by")).filter("ax <> bx or ay <> by")
 
 
+def _different(rings: DataFrame) -> DataFrame:
+    """One of each group of polygons with the same rings."""
+    whole = rings.groupBy("polygon").agg(F.array_sort(F.collect_list(F.struct("ring", "points"))).alias("r")).groupBy("r").agg(F.min("polygon").alias("polygon"))
+    return whole.select("polygon", F.explode("r").alias("r")).select("polygon", "r.ring", "r.points")
+
+
+def _grid_size(border: DataFrame) -> float:
+    """An eighth of the median polygon's extent."""
+    box = border.groupBy("polygon").agg(F.greatest(F.max("ax") - F.min("ax"), F.max("ay") - F.min("ay")).alias("e"))
+    return max(float(box.agg(F.percentile_approx("e", 0.5, 1000)).first()[0] or 0.0) / 8, 1e-6)
+
+
+def _deep(border: DataFrame, size: float, most: int = 4096) -> DataFrame:
+    """Cells (cx, cy) that lie inside one polygon and touch none of its borders; border: its segments (polygon, ring, ax, ay, bx, by).
+
+    A polygon of more than `most` cells has none told, which costs time only.
+    """
+    to = lambda f, c: F.floor(f(c) / size)
+    box = border.groupBy("polygon").agg(to(F.min, "ax").alias("x0"), to(F.max, "ax").alias("x1"), to(F.min, "ay").alias("y0"), to(F.max, "ay").alias("y1"))
+    box = box.filter((F.col("x1") - F.col("x0") + 1) * (F.col("y1") - F.col("y0") + 1) <= most)
+    cells = box.select("polygon", F.explode(F.sequence("x0", "x1")).alias("cx"), "y0", "y1").select("polygon", "cx", F.explode(F.sequence("y0", "y1")).alias("cy"))
+    own = saved(border.join(box.select("polygon").hint("merge"), "polygon").withColumn("sid", F.monotonically_increasing_id()), "borders").hint("merge")
+    touched = _cells(own, size).join(own.select("sid", "polygon"), "sid").select("polygon", "cx", "cy")
+    cells = saved(cells.join(touched.hint("merge"), ["polygon", "cx", "cy"], "left_anti"), "inner").hint("merge")
+    x, y = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
+    at = F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0))
+    cross = ((F.col("ay") > y) != (F.col("by") > y)) & (x < at)
+    odd = cells.join(own, "polygon").groupBy("polygon", "cx", "cy", "ring").agg((F.count_if(cross) % 2 == 1).alias("odd"))
+    inside = odd.groupBy("polygon", "cx", "cy").agg(F.max(F.col("odd") & (F.col("ring") == 0)).alias("i"), F.max(F.col("odd") & (F.col("ring") > 0)).alias("h"))
+    return inside.filter("i and not h").select("cx", "cy").distinct()
+
+
 def outline(rings: DataFrame) -> DataFrame:
     """Pieces (id, ax, ay, bx, by) of the union's border, the cover to the left; rings: (polygon, ring, points) as ring_segments takes them."""
-    seg = ring_segments(rings).filter("ax <> bx or ay <> by").select("ax", "ay", "bx", "by").distinct()
-    seg = saved(seg.withColumn("sid", F.monotonically_increasing_id()), "segments")
+    rings = saved(_different(rings), "polygons")
+    border = saved(ring_segments(rings).filter("ax <> bx or ay <> by"), "border")
+    seg = saved(border.select("ax", "ay", "bx", "by").distinct().withColumn("sid", F.monotonically_increasing_id()), "segments")
+    size = _grid_size(border)
+    deep = saved(_deep(border, size), "deep").hint("merge")
+    # a segment all of whose cells are deep is no part of the union's border, nor does the border begin or end on it
+    edge = _cells(seg, size).join(deep, ["cx", "cy"], "left_anti").select("sid").distinct()
+    seg = saved(seg.join(edge.hint("merge"), "sid", "left_semi"), "segments", instead=seg)
     back = (F.col("ax") > F.col("bx")) | ((F.col("ax") == F.col("bx")) & (F.col("ay") > F.col("by")))
     turned = [F.when(back, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("ax", "bx"), ("ay", "by"), ("bx", "ax"), ("by", "ay"))]
     pieces = cut_at_meetings(seg).select(*turned).distinct()
@@ -67,9 +106,11 @@ def outline(rings: DataFrame) -> DataFrame:
     scale = F.lit(ASIDE) / F.sqrt(dx * dx + dy * dy)
     mx, my = (F.col("ax") + F.col("bx")) / 2, (F.col("ay") + F.col("by")) / 2
     side = lambda s: pieces.select((F.col("id") * 2 + (1 if s > 0 else 0)).alias("place"), (mx - s * dy * scale).alias("lon"), (my + s * dx * scale).alias("lat"))
-    hit = covered(side(1).unionByName(side(-1)), rings, "place", 1e-12).select(F.floor(F.col("place") / 2).alias("id"), (F.col("place") % 2 == 1).alias("left"))
+    sides = side(1).unionByName(side(-1)).withColumns({"cx": F.floor(F.col("lon") / size), "cy": F.floor(F.col("lat") / size)})
+    sure, open_ = sides.join(deep, ["cx", "cy"], "left_semi"), saved(sides.join(deep, ["cx", "cy"], "left_anti"), "sides")
+    hit = covered(open_, rings, "place", 1e-12).select("place").unionByName(sure.select("place")).select(F.floor(F.col("place") / 2).alias("id"), (F.col("place") % 2 == 1).alias("left"))
     one = hit.groupBy("id").agg(F.count("*").alias("n"), F.max("left").alias("left")).filter("n = 1")
-    kept = pieces.join(one, "id")
+    kept = pieces.join(one.hint("merge"), "id")
     return kept.select("id", *[F.when(F.col("left"), F.col(a)).otherwise(F.col(b)).alias(a) for a, b in (("ax", "bx"), ("ay", "by"), ("bx", "ax"), ("by", "ay"))])
 
 

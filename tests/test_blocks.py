@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from gridlark.functions.geo import haversine_km
-from gridlark.operators import graph, spatial, timeseries
+from gridlark.operators import dissolve, graph, spatial, timeseries
 
 
 def _least(rows, start):
@@ -87,3 +87,17 @@ def test_points_of_one_place_snap_once(spark, monkeypatch):
     got = {r.station_id: (r.u, round(r.d, 9)) for r in spatial.nearest_segment(s, seg).collect()}
     assert got == {i: (0, 0.2) if i % 2 else (1, 0.1) for i in range(50)}
     assert max(seen) == 2
+
+
+def test_crowded_squares_dissolve(spark):
+    """Level borders once made bands of a millionth of a degree: 400 million rows here."""
+    rng = random.Random(11)
+    corners = [(rng.randrange(40) / 8, rng.randrange(24) / 8) for _ in range(150)] + [(0.0, 0.0)] * 50
+    sq = spark.createDataFrame([(i, 0, [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)]) for i, (x, y) in enumerate(corners)], "polygon long, ring int, points array<struct<lon double, lat double>>")
+    out = dissolve.dissolve(sq).collect()
+    rings = {}
+    for r in out:
+        rings.setdefault(r.ring, {})[r.pos] = (r.x, r.y)
+    area = sum(sum(p[i][0] * p[(i + 1) % len(p)][1] - p[(i + 1) % len(p)][0] * p[i][1] for i in range(len(p))) / 2 for p in rings.values())
+    cells = {(int(x * 8) + i, int(y * 8) + j) for x, y in corners for i in range(8) for j in range(8)}
+    assert abs(area - len(cells) / 64) < 1e-6
