@@ -8,8 +8,10 @@ written out, which cuts the plan and survives lost executors. Routes are told no
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from gridlark.functions.geo import haversine_km
 from gridlark.operators.iterate import saved
 
 
+CORE = 2048  # nodes of a block between which all least costs are made
 DEFAULT_KPH = 40.0  # fixed value: the speed on edges without a travel time
 
 
@@ -367,41 +370,183 @@ def witnessed(short: DataFrame, live: DataFrame, gone: DataFrame, hops: int = 4,
     return short.join(known, ["u", "v"], "left").filter(F.col("d").isNull() | (F.col("d") > F.col("w"))).drop("d")
 
 
-def contract(edges: DataFrame, nodes: DataFrame, hops: int = 4, settled: int = 240) -> tuple[DataFrame, DataFrame]:
+def _contractor(hops: int, settled: int, most: int | None):
+    """What one block does on a level: contracts its inner nodes in the order of importance; of those with more than `most` pairs of an in-edge and an out-edge none."""
+
+    far = float("inf")
+
+    def witnesses(out: dict, start, past, ends: dict) -> dict:
+        """Costs from a node to others past one node, at most so many edges far and over four edges for each of so many nodes; it ends when no end of a shortcut can be bettered."""
+        limit, open_ends = max(ends.values()), dict(ends)
+        done, best, heap, seen = set(), {start: 0.0}, [(0.0, 0, start)], 0
+        while heap and open_ends and seen < 4 * settled:
+            c, n, u = heappop(heap)
+            if u in done:
+                continue
+            done.add(u)
+            open_ends.pop(u, None)
+            if n < hops:
+                seen += len(out[u])
+                for v, (w, _) in out[u].items():
+                    x = c + w
+                    if x <= limit and v != past and x < best.get(v, far):
+                        best[v] = x
+                        if x <= ends.get(v, -1.0):
+                            open_ends.pop(v, None)
+                        heappush(heap, (x, n + 1, v))
+        return best  # costs that are not final are of real routes too
+
+    def core(out: dict) -> tuple[dict, np.ndarray]:
+        """The places of few nodes that are left, and the least costs between all of them."""
+        at = {i: k for k, i in enumerate(out)}
+        d = np.full((len(at), len(at)), np.inf)
+        np.fill_diagonal(d, 0.0)
+        for u, ways in out.items():
+            for v, (w, _) in ways.items():
+                d[at[u], at[v]] = w
+        for k in range(len(at)):
+            np.minimum(d, d[:, k, None] + d[k], out=d)
+        return at, d * (1 + 1e-9)  # sums of another order round otherwise; a shortcut too many does no harm
+
+    def level(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+        out: dict = {i: {} for i in nodes["id"].to_pylist()}
+        into: dict = {i: {} for i in out}
+        inner = {i: h for i, h, x in zip(*(nodes[c].to_pylist() for c in ("id", "_hash", "_inner"))) if x}
+        for u, v, w, via in zip(*(edges[c].to_pylist() for c in ("u", "v", "w", "via"))):
+            out[u][v] = into[v][u] = (w, via)
+
+        def order(i):
+            n, m = len(into[i]), len(out[i])
+            return (n * m - n - m, n * m, n + m, inner[i], i)
+
+        now = {i: order(i) for i in inner}
+        heap = sorted(now.values())
+        rows: list[tuple] = []
+        rank, at = 0, None
+        while heap:
+            if at is None and len(out) <= CORE:
+                at, true = core(out)
+            o = heappop(heap)
+            x = o[-1]
+            if now.get(x) != o or most is not None and o[1] > most:
+                continue
+            del now[x]
+            rows.append((0, x, None, None, None, rank))
+            rank += 1
+            ins, outs = into.pop(x), out.pop(x)
+            rows += [(1, a, x, w, via, None) for a, (w, via) in ins.items()] + [(1, x, b, w, via, None) for b, (w, via) in outs.items()]
+            for a in ins:
+                del out[a][x]
+            for b in outs:
+                del into[b][x]
+            for a, (wa, _) in ins.items():
+                ends, ways = {b: wa + wb for b, (wb, _) in outs.items() if b != a}, out[a]
+                if at is None:
+                    known = witnesses(out, a, x, ends) if ends else {}
+                    need = [b for b, w in ends.items() if not known.get(b, far) <= w]
+                else:  # what is longer than the least cost is on no best route
+                    least = true[at[a]]
+                    need = [b for b, w in ends.items() if w <= least[at[b]] and not (b in ways and ways[b][0] <= w)]
+                for b in need:
+                    ways[b] = into[b][a] = (ends[b], x)
+            for i in ins.keys() | outs.keys():
+                if i in now and now[i] != (o := order(i)):
+                    now[i] = o
+                    heappush(heap, o)
+        rows += [(2, u, v, w, via, None) for u, ways in out.items() for v, (w, via) in ways.items()]
+        kind = nodes.schema.field("id").type
+        names, types = ["kind", "u", "v", "w", "via", "rank"], [pa.int32(), kind, kind, pa.float64(), kind, pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=names)
+
+    return level
+
+
+def contract(edges: DataFrame, nodes: DataFrame, hops: int = 4, settled: int = 240, block: int = 1 << 16, most: int = 256) -> tuple[DataFrame, DataFrame]:
     """A contraction hierarchy: (ranks (id, rank), edges (u, v, w, via)).
 
-    Rounds contract independent sets: nodes that come before all their neighbours in the order
-    (edge difference, product, degree, id). A contracted node leaves a shortcut for each in-edge
-    and out-edge that has no witness; of parallel edges the least stays. A round writes its order, its own ranks and edges, and what is left.
+    On a level nodes are dealt to blocks of neighbouring ids, of about `block` edges, and each block contracts its inner nodes, those whose
+    neighbours are all its own, in the order (edge difference, product, degree, hash), which it keeps up to date. So blocks meet at nodes that stay for
+    the next level, where fewer edges make fewer blocks. A node of more than `most` pairs of edges waits, unless one block is left. A contracted node leaves a
+    shortcut for each in-edge and out-edge that has no witness in its block; of parallel edges the least stays. Where a level contracts few, more pairs are allowed and blocks grow
+    to four times at most; beyond that a round contracts an independent set, so no task ever holds more.
     """
     least = lambda df: df.groupBy("u", "v").agg(F.min_by(F.struct("w", "via"), F.struct("w", F.coalesce("via", F.lit(-1)))).alias("e")).select("u", "v", "e.*")
-    live = saved(collapse_min(edges.select("u", "v", F.col("w").cast("double").alias("w")).filter("u <> v")).withColumn("via", F.lit(None).cast(dict(edges.dtypes)["u"])), "ch")
-    left = nodes.select("id")
-    done = ranks = None
-    r = 0
+    kind = dict(edges.dtypes)["u"]
+    live = saved(collapse_min(edges.select("u", "v", F.col("w").cast("double").alias("w")).filter("u <> v")).withColumn("via", F.lit(None).cast(kind)), "ch")
+    ends = live.select(F.col("u").alias("id")).unionByName(live.select(F.col("v").alias("id")))
+    left = saved(nodes.select(F.col("id").cast(kind)).unionByName(ends).distinct(), "ch-left")
+    ranks, done, base, size, few = [], [], 0, block, False
     while True:
-        imp = left.join(importance(live), "id", "left").na.fill(0)
-        order = F.struct("edge_difference", "shortcut_bound", "degree", F.xxhash64("id"), "id")
-        imp = imp.select("id", order.alias("o"))
-        ends = live.select("u", "v").unionByName(reverse(live.select("u", "v")))
-        near = ends.join(imp.select(F.col("id").alias("v"), "o"), "v").groupBy(F.col("u").alias("id")).agg(F.min("o").alias("m"))
-        state = saved(imp.join(near, "id", "left").select("id", (F.col("m").isNull() | (F.col("o") < F.col("m"))).alias("now")), "ch-nodes")
-        left, gone = state.filter("not now").select("id"), state.filter("now").select("id")
-        now = gone.withColumn("rank", F.lit(r))
-        ranks = now if ranks is None else ranks.unionByName(now)
-        out_of, into = gone.withColumnRenamed("id", "u"), gone.withColumnRenamed("id", "v")
-        touch = live.join(out_of, "u", "left_semi").unionByName(live.join(into, "v", "left_semi"))  # no edge has both ends in an independent set
-        touch = saved(touch, "ch-done")
-        done = touch if done is None else done.unionByName(touch)
-        if left.isEmpty():
-            return saved(ranks, "ch-ranks"), saved(least(done), "ch-edges")
-        ins = live.join(into, "v", "left_semi").select(F.col("v").alias("m"), F.col("u").alias("a"), F.col("w").alias("w1"))
-        outs = live.join(out_of, "u", "left_semi").select(F.col("u").alias("m"), F.col("v").alias("b"), F.col("w").alias("w2"))
-        short = ins.join(outs, "m").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("w1") + F.col("w2")).alias("w"), F.col("m").alias("via"))
-        short = witnessed(saved(least(short), "ch-short"), live, gone, hops, settled)
-        rest = live.join(out_of, "u", "left_anti").join(into, "v", "left_anti")
-        live = saved(least(rest.unionByName(short.select("u", "v", "w", "via"))), "ch")
-        r += 1
+        n_left, n_edges = left.count(), live.count()
+        if not n_left:
+            union = lambda parts, empty: reduce(DataFrame.unionByName, parts) if parts else empty
+            own = nodes.select(F.col("id").cast(kind)).distinct()
+            told = union(ranks, left.withColumn("rank", F.lit(0).cast("long"))).join(own, "id", "left_semi")
+            return saved(told, "ch-ranks"), saved(union(done, live), "ch-edges")
+        n_blocks = max(1, -(-n_edges // size))
+        if few and n_blocks > 1:
+            now, gone, live = _independent(live, left, least, hops, settled)
+            told = now.select("id", F.lit(base).cast("long").alias("rank"))
+            few = False
+        else:
+            place = saved(left.repartitionByRange(n_blocks, "id").select("id", F.spark_partition_id().alias("_block")), "ch-blocks").hint("merge")
+            e = live.join(place.select(F.col("id").alias("u"), "_block"), "u").join(place.select(F.col("id").alias("v"), F.col("_block").alias("_there")), "v")
+            e = saved(e.select("_block", "_there", "u", "v", "w", "via"), "ch-dealt")
+            cross = e.filter("_block <> _there")
+            outer = cross.select(F.col("u").alias("id")).unionByName(cross.select(F.col("v").alias("id"))).distinct().withColumn("_outer", F.lit(True)).hint("merge")
+            n = place.join(outer, "id", "left").select("_block", "id", F.xxhash64("id").alias("_hash"), F.col("_outer").isNull().alias("_inner"))
+            run = _contractor(hops, settled, most if n_blocks > 1 else None)
+            out = n.groupBy("_block").cogroup(e.filter("_block = _there").groupBy("_block")).applyInArrow(run, f"kind int, u {kind}, v {kind}, w double, via {kind}, rank long")
+            out = saved(out, "ch-level")
+            told = out.filter("kind = 0").select(F.col("u").alias("id"), (F.col("rank") + base).alias("rank"))
+            gone = out.filter("kind = 1").select("u", "v", "w", "via")
+            live = saved(out.filter("kind = 2").select("u", "v", "w", "via").unionByName(cross.select("u", "v", "w", "via")), "ch", instead=live)
+        row = told.agg(F.count("*").alias("n"), F.max("rank").alias("top")).first()
+        left = saved(left.join(told.select("id").hint("merge"), "id", "left_anti"), "ch-left", instead=left)
+        ranks.append(told)
+        done.append(gone)
+        base = base if row.top is None else row.top + 1
+        if 8 * row.n < n_left:
+            few = size >= 4 * block and most > 1 << 14
+            size, most = min(2 * size, 4 * block), 4 * most
+
+
+def _independent(live: DataFrame, left: DataFrame, least, hops: int, settled: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A round over the whole graph contracts the nodes that come before all their neighbours: (ids, their edges, edges that are left)."""
+    imp = left.join(importance(live), "id", "left").na.fill(0)
+    imp = imp.select("id", F.struct("edge_difference", "shortcut_bound", "degree", F.xxhash64("id"), "id").alias("o"))
+    ends = live.select("u", "v").unionByName(reverse(live.select("u", "v")))
+    near = ends.join(imp.select(F.col("id").alias("v"), "o"), "v").groupBy(F.col("u").alias("id")).agg(F.min("o").alias("m"))
+    gone = saved(imp.join(near, "id", "left").filter(F.col("m").isNull() | (F.col("o") < F.col("m"))).select("id"), "ch-nodes")
+    out_of, into = gone.withColumnRenamed("id", "u"), gone.withColumnRenamed("id", "v")
+    touch = saved(live.join(out_of, "u", "left_semi").unionByName(live.join(into, "v", "left_semi")), "ch-done")  # no edge has both ends in an independent set
+    ins = live.join(into, "v", "left_semi").select(F.col("v").alias("m"), F.col("u").alias("a"), F.col("w").alias("w1"))
+    outs = live.join(out_of, "u", "left_semi").select(F.col("u").alias("m"), F.col("v").alias("b"), F.col("w").alias("w2"))
+    short = ins.join(outs, "m").filter("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("w1") + F.col("w2")).alias("w"), F.col("m").alias("via"))
+    short = witnessed(saved(least(short), "ch-short"), live, gone, hops, settled)
+    rest = live.join(out_of, "u", "left_anti").join(into, "v", "left_anti")
+    return gone, touch, saved(least(rest.unionByName(short.select("u", "v", "w", "via"))), "ch", instead=live)
+
+
+def street_sums(ch: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """The hierarchy's edges (u, v, w, via) with sums of columns over the streets that they unpack to, halves first.
+
+    ch has the columns of the streets, which shortcuts may lack. A round adds up all shortcuts whose halves are known, so rounds are as many as shortcuts
+    lie in each other, and a row stands for an edge, never for a street of a shortcut.
+    """
+    known = [saved(ch.filter("via is null").select("u", "v", "w", "via", *sums), "known")]
+    wait = saved(ch.filter("via is not null").select("u", "v", "w", "via"), "shortcuts")
+    while not wait.isEmpty():
+        every = reduce(DataFrame.unionByName, known)
+        a = every.select("u", F.col("v").alias("via"), *[F.col(c).alias(f"_a_{c}") for c in sums], F.lit(True).alias("_a")).hint("merge")
+        b = every.select(F.col("u").alias("via"), "v", *[F.col(c).alias(f"_b_{c}") for c in sums], F.lit(True).alias("_b")).hint("merge")
+        got = saved(wait.join(a, ["u", "via"], "left").join(b, ["via", "v"], "left"), "halves", instead=wait)
+        wait = got.filter("_a is null or _b is null").select("u", "v", "w", "via")
+        known.append(got.filter("_a and _b").select("u", "v", "w", "via", *[(F.col(f"_a_{c}") + F.col(f"_b_{c}")).alias(c) for c in sums]))
+        if known[-1].isEmpty():
+            raise ValueError("shortcuts without their halves")
+        wait, known[-1] = saved(wait, "shortcuts"), saved(known[-1], "known")
+    return reduce(DataFrame.unionByName, known)
 
 
 def _two_sides(ranks: DataFrame, ch: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -420,8 +565,30 @@ def _meetings(up: DataFrame, down: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.groupBy("start", "goal").agg(F.min(F.struct("cost", F.col("id").alias("mid"))).alias("m")).select("start", "goal", "m.*")
 
 
-def hierarchy_cost(ranks: DataFrame, ch: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Costs of (start, goal) pairs: upward search from starts, reverse upward from goals, met at the best node; null without a way."""
+def _sweep(ranks: DataFrame, ch: DataFrame, pairs: DataFrame, back: bool, sums: Sequence[str]) -> DataFrame:
+    """Rows (start, goal, cost, sums) for few starts and many goals, or with `back` for few goals: up from the few, then down to all nodes in one search."""
+    ru, rv = ranks.select(F.col("id").alias("u"), F.col("rank").alias("ru")), ranks.select(F.col("id").alias("v"), F.col("rank").alias("rv"))
+    e = ch.join(ru.hint("merge"), "u").join(rv.hint("merge"), "v")
+    up, down = (e.filter(c).select("u", "v", "w", *sums) for c in ("rv > ru", "ru > rv"))
+    if back:
+        up, down = reverse(down), reverse(up)
+    few, many = ("goal", "start") if back else ("start", "goal")
+    src = pairs.select(F.col(few).alias("source")).distinct().select("source", F.col("source").alias("id"), F.lit(0.0).alias("cost"))
+    first = shortest(up, src, sums=sums).select("source", "id", "cost", *sums)
+    all_of = shortest(down, first, sums=sums)
+    told = all_of.select(F.col("source").alias(few), F.col("id").alias(many), "cost", *sums)
+    return pairs.join(told.hint("merge"), ["start", "goal"], "left")
+
+
+def hierarchy_cost(ranks: DataFrame, ch: DataFrame, pairs: DataFrame, sums: Sequence[str] = ()) -> DataFrame:
+    """Costs of (start, goal) pairs; null without a way. sums: columns of ch (see street_sums) that are added up along the routes.
+
+    Upward search from starts, reverse upward from goals, met at the best node. Where one side has far more ends than the
+    other, or sums are asked for, the few ends' searches go on downwards to all nodes instead, so that rows are as many as the few ends times the nodes.
+    """
+    n = pairs.agg(F.count_distinct("start").alias("s"), F.count_distinct("goal").alias("g")).first()
+    if sums or max(n.s, n.g) > 64 * min(n.s, n.g):
+        return _sweep(ranks, ch, pairs, n.g < n.s, sums)
     return pairs.join(_meetings(*_two_sides(ranks, ch, pairs), pairs).drop("mid"), ["start", "goal"], "left")
 
 

@@ -101,3 +101,25 @@ def test_crowded_squares_dissolve(spark):
     area = sum(sum(p[i][0] * p[(i + 1) % len(p)][1] - p[(i + 1) % len(p)][0] * p[i][1] for i in range(len(p))) / 2 for p in rings.values())
     cells = {(int(x * 8) + i, int(y * 8) + j) for x, y in corners for i in range(8) for j in range(8)}
     assert abs(area - len(cells) / 64) < 1e-6
+
+
+def test_hierarchy_by_blocks(spark, monkeypatch):
+    """A level contracts inner nodes of several blocks; one end against many is answered by one search up and down, with sums over unpacked streets."""
+    rng = random.Random(13)
+    n = 12
+    pairs = [(i, i + 1) for i in range(n * n) if i % n < n - 1] + [(i, i + n) for i in range(n * n - n)]
+    rows = [(a, b, float(rng.randrange(1, 9))) for u, v in pairs for a, b in ((u, v), (v, u))]
+    e = spark.createDataFrame(rows, "u long, v long, w double").selectExpr("*", "w as street")
+    nodes = spark.createDataFrame([(i,) for i in range(n * n + 1)], "id long")
+    for core in (2048, 0):  # the rest of a block by least costs between all, and by searches
+        monkeypatch.setattr(graph, "CORE", core)
+        ranks, ch = graph.contract(e, nodes, block=150, most=30)  # four blocks at first
+        assert ranks.count() == ranks.select("id").distinct().count() == n * n + 1
+        want = _least(rows, 5)
+        ask = nodes.selectExpr("5L as start", "id as goal")
+        assert {r.goal: r.cost for r in graph.hierarchy_cost(ranks, ch, ask).collect() if r.cost is not None} == want
+        back = graph.hierarchy_cost(ranks, ch, nodes.selectExpr("id as start", "5L as goal")).collect()
+        turned = _least([(v, u, w) for u, v, w in rows], 5)
+        assert {r.start: r.cost for r in back if r.cost is not None} == turned
+    own = graph.street_sums(ch.join(e.select("u", "v", "street"), ["u", "v"], "left"), ["street"])
+    assert {r.goal: r.street for r in graph.hierarchy_cost(ranks, own, ask, ["street"]).collect() if r.cost is not None} == want
