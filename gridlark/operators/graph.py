@@ -229,23 +229,23 @@ def routes_to(costs: DataFrame, goals: DataFrame | None = None) -> DataFrame:
     """Nodes (source, id, pos, node) of the routes to goals (source, id), by default to all nodes; the source is at 0.
 
     Parents are doubled: a jump of 2^k parents is two jumps of 2^(k-1), and the nodes known of a route double with each jump from the
-    longest down. So routes of n edges take log n joins, and a row holds one node, never a list.
+    longest down. So routes of n edges take log n joins, and a row holds one node, never a list. Joins shuffle: jumps are as many as nodes, so none is broadcast.
     """
     tree = saved(costs.select("source", "id", "parent"), "tree")
-    goals = tree.select("source", "id") if goals is None else goals.select("source", "id").join(tree.select("source", "id"), ["source", "id"])
+    goals = tree.select("source", "id") if goals is None else goals.select("source", "id").join(tree.select("source", "id").hint("merge"), ["source", "id"])
     jumps = [saved(tree.filter("parent is not null").select("source", F.col("id").alias("at"), F.col("parent").alias("to")), "jumps")]
     while True:
         last = jumps[-1]
-        twice = saved(last.join(last.select("source", F.col("at").alias("to"), F.col("to").alias("next")), ["source", "to"]).select("source", "at", F.col("next").alias("to")), "jumps")
+        twice = saved(last.join(last.select("source", F.col("at").alias("to"), F.col("to").alias("next")).hint("merge"), ["source", "to"]).select("source", "at", F.col("next").alias("to")), "jumps")
         if twice.isEmpty():
             break
         jumps.append(twice)
     rows = goals.select("source", "id", F.col("id").alias("at"), F.lit(0).alias("back"))
     for k in range(len(jumps) - 1, -1, -1):
-        rows = rows.unionByName(rows.join(jumps[k], ["source", "at"]).select("source", "id", F.col("to").alias("at"), (F.col("back") + (1 << k)).alias("back")))
+        rows = rows.unionByName(rows.join(jumps[k].hint("merge"), ["source", "at"]).select("source", "id", F.col("to").alias("at"), (F.col("back") + (1 << k)).alias("back")))
         rows = saved(rows, "routes")
     n = rows.groupBy("source", "id").agg(F.max("back").alias("_n"))
-    return rows.join(n, ["source", "id"]).select("source", "id", (F.col("_n") - F.col("back")).alias("pos"), F.col("at").alias("node"))
+    return rows.join(n.hint("merge"), ["source", "id"]).select("source", "id", (F.col("_n") - F.col("back")).alias("pos"), F.col("at").alias("node"))
 
 
 def hops(edges: DataFrame, sources: DataFrame) -> DataFrame:
@@ -262,19 +262,19 @@ def source_rows(spark: SparkSession, ids: Sequence) -> DataFrame:
 def path_edges(paths: DataFrame, key: Sequence[str]) -> DataFrame:
     """Consecutive pairs (key, pos, u, v) of the nodes (key, pos, node) of paths."""
     nxt = paths.select(*key, (F.col("pos") - 1).alias("pos"), F.col("node").alias("v"))
-    return paths.select(*key, "pos", F.col("node").alias("u")).join(nxt, [*key, "pos"])
+    return paths.select(*key, "pos", F.col("node").alias("u")).join(nxt.hint("merge"), [*key, "pos"])
 
 
 def path_metrics(paths: DataFrame, best: DataFrame, key: Sequence[str]) -> DataFrame:
     """Length and time of each path (key, pos, node) over the best parallel edges; an absent edge adds nothing."""
-    e = path_edges(paths, key).join(best, ["u", "v"], "left")
+    e = path_edges(paths, key).join(best.hint("merge"), ["u", "v"], "left")
     m = e.groupBy(*key).agg((F.sum(F.coalesce("length_m", F.lit(0.0))) / 1000).alias("distance_km"), (F.sum(F.coalesce("seconds", F.lit(0.0))) / 60).alias("drive_min"))
-    return paths.select(*key).distinct().join(m, list(key), "left").na.fill(0.0, ["distance_km", "drive_min"])
+    return paths.select(*key).distinct().join(m.hint("merge"), list(key), "left").na.fill(0.0, ["distance_km", "drive_min"])
 
 
 def path_points(paths: DataFrame, nodes: DataFrame, key: Sequence[str]) -> DataFrame:
     """Places (key, pos, x, y) of the paths' nodes in order; nodes without a place are left out."""
-    return paths.join(nodes.select(F.col("id").alias("node"), "x", "y"), "node").select(*key, "pos", "x", "y")
+    return paths.join(nodes.select(F.col("id").alias("node"), "x", "y").hint("merge"), "node").select(*key, "pos", "x", "y")
 
 
 def route_polyline(paths: DataFrame, shapes: DataFrame, nodes: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -285,7 +285,7 @@ def route_polyline(paths: DataFrame, shapes: DataFrame, nodes: DataFrame, key: S
     e = path_edges(paths, key)
     a, b = nodes.select(F.col("id").alias("u"), F.struct("x", "y").alias("a")), nodes.select(F.col("id").alias("v"), F.struct("x", "y").alias("b"))
     own = shapes.groupBy("u", "v").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))  # one edge's points
-    e = e.join(own, ["u", "v"], "left").join(a, "u").join(b, "v")
+    e = e.join(own.hint("merge"), ["u", "v"], "left").join(a.hint("merge"), "u").join(b.hint("merge"), "v")
     points = e.select(*key, F.col("pos").alias("edge"), F.posexplode(F.coalesce("line", F.array("a", "b"))).alias("at", "p")).select(*key, "edge", "at", "p.x", "p.y")
     w = Window.partitionBy(*key).orderBy("edge", "at")
     same = F.lag("x").over(w).eqNullSafe(F.col("x")) & F.lag("y").over(w).eqNullSafe(F.col("y"))
@@ -341,7 +341,7 @@ def straight_bound(nodes: DataFrame, edges: DataFrame, goals: DataFrame) -> Data
     """
     at = lambda c: nodes.select(F.col("id").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
     far = lambda a, b: haversine_km(F.col(f"{a}y"), F.col(f"{a}x"), F.col(f"{b}y"), F.col(f"{b}x"))
-    top = edges.filter("u <> v").join(at("u"), "u").join(at("v"), "v").agg(F.max(F.when(F.col("w") > 0, F.try_divide(far("u", "v"), F.col("w"))).otherwise(float("inf"))).alias("top"))
+    top = edges.filter("u <> v").join(at("u").hint("merge"), "u").join(at("v").hint("merge"), "v").agg(F.max(F.when(F.col("w") > 0, F.try_divide(far("u", "v"), F.col("w"))).otherwise(float("inf"))).alias("top"))
     places = at("goal").join(goals.select(F.col("id").alias("goal")), "goal")
     both = at("id").crossJoin(F.broadcast(places)).crossJoin(F.broadcast(top))  # the goals of one request, and one row
     return both.select("goal", "id", F.coalesce(F.try_divide(far("id", "goal"), F.col("top")) * (1 - 1e-9), F.lit(0.0)).alias("bound"))

@@ -94,7 +94,7 @@ def route_polyline(spark, sf):
     e, n = saved(edges(spark, sf), "edges"), S.road_node(spark, sf)
     paths = R.routes_to(R.shortest(e, R.source_rows(spark, [0])))
     a, b = n.select(F.col("id").alias("u"), F.col("x").alias("ax"), F.col("y").alias("ay")), n.select(F.col("id").alias("v"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    ends = e.select("u", "v").join(a, "u").join(b, "v")
+    ends = e.select("u", "v").join(a.hint("merge"), "u").join(b.hint("merge"), "v")
     mid = [((F.col("ax") + F.col("bx")) / 2 + 0.001).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y")]
     shapes = ends.select("u", "v", F.lit(0).alias("at"), F.col("ax").alias("x"), F.col("ay").alias("y"))
     shapes = shapes.unionByName(ends.select("u", "v", F.lit(1).alias("at"), *mid)).unionByName(ends.select("u", "v", F.lit(2).alias("at"), F.col("bx").alias("x"), F.col("by").alias("y")))

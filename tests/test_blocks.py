@@ -123,3 +123,15 @@ def test_hierarchy_by_blocks(spark, monkeypatch):
         assert {r.start: r.cost for r in back if r.cost is not None} == turned
     own = graph.street_sums(ch.join(e.select("u", "v", "street"), ["u", "v"], "left"), ["street"])
     assert {r.goal: r.street for r in graph.hierarchy_cost(ranks, own, ask, ["street"]).collect() if r.cost is not None} == want
+
+
+def test_routes_send_nothing_through_the_driver(spark):
+    """Jumps and nodes are as many as the graph's nodes; small ones once were broadcast, in each step of the doubling."""
+    rows = [(i, i + 1, 1.0) for i in range(20)]
+    paths = graph.routes_to(graph.shortest(spark.createDataFrame(rows, "u long, v long, w double"), graph.source_rows(spark, [0])))
+    nodes = spark.createDataFrame([(i, float(i), 0.0) for i in range(21)], "id long, x double, y double")
+    best = spark.createDataFrame([(u, v, 10.0, 1.0) for u, v, _ in rows], "u long, v long, length_m double, seconds double")
+    shapes = spark.createDataFrame([(u, v, k, float(u + k), 0.0) for u, v, _ in rows for k in (0, 1)], "u long, v long, at int, x double, y double")
+    outs = [paths, graph.path_metrics(paths, best, ["id"]), graph.path_points(paths, nodes, ["id"]), graph.route_polyline(paths, shapes, nodes, ["id"])]
+    assert [o.count() for o in outs] == [21 * 22 // 2, 21, 21 * 22 // 2, 21 * 22 // 2 - 1]
+    assert not any("Broadcast" in o._jdf.queryExecution().toString() for o in outs)
