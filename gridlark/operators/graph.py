@@ -303,7 +303,7 @@ def select_landmarks(nodes: DataFrame, edges: DataFrame, count: int) -> list:
     least = None
     while len(chosen) < count:
         got = shortest(e, source_rows(spark, chosen[-1:])).select("id", "cost")
-        least = got if least is None else saved(least.withColumnRenamed("cost", "a").join(got, "id").select("id", F.least("a", "cost").alias("cost")), "least")
+        least = got if least is None else saved(least.withColumnRenamed("cost", "a").join(got.hint("merge"), "id").select("id", F.least("a", "cost").alias("cost")), "least")
         far = least.filter("cost > 0").agg(F.max_by("id", F.struct("cost", F.negative("id")))).first()[0]
         if far is None:
             break

@@ -135,3 +135,12 @@ def test_routes_send_nothing_through_the_driver(spark):
     outs = [paths, graph.path_metrics(paths, best, ["id"]), graph.path_points(paths, nodes, ["id"]), graph.route_polyline(paths, shapes, nodes, ["id"])]
     assert [o.count() for o in outs] == [21 * 22 // 2, 21, 21 * 22 // 2, 21 * 22 // 2 - 1]
     assert not any("Broadcast" in o._jdf.queryExecution().toString() for o in outs)
+
+
+def test_straight_bounds_shuffle_nodes(spark):
+    nodes = spark.createDataFrame([(i, 114 + i / 100, 22.5) for i in range(20)], "id long, x double, y double")
+    e = spark.createDataFrame([(i, i + 1, 60.0) for i in range(19)], "u long, v long, w double")
+    out = graph.straight_bound(nodes, e, spark.createDataFrame([(19,)], "id long"))
+    assert out._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") >= 2
+    got = {r.id: r.bound for r in out.collect()}
+    assert all(0 <= got[i] <= 60.0 * (19 - i) for i in range(20))
