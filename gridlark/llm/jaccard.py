@@ -15,7 +15,7 @@ once. Equal sets are one node; of each node one document, its representative, ta
    its prefix.
 3. Candidates of an index key are first compared with the key's first node only; what links is joined to
    components, and then only nodes of different components that share a key are compared, all of them, with a
-   key of many nodes dealt in blocks. So no group of copies is expanded into pairs and no link between
+   key of many nodes dealt in blocks, and each two at the first key that they share. So no group of copies is expanded into pairs and no link between
    components is lost. Candidates must also pass bounds from sizes, from the place of the first common n-gram
    and from parity bits of each set (twice as many as it has members), which no linked pair fails; then they are verified on the whole sets.
 
@@ -42,6 +42,7 @@ from gridlark.llm.graph import components
 BATCH = 4 << 20
 FREQUENT = 2
 KEY_ROWS = 4096  # nodes of one key that one task compares with each other
+LOW = 32  # first keys of a node by which a pair that has met is known
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,6 +246,29 @@ def _verify(num: int, den: int):
     return run
 
 
+def meetings(part: DataFrame, marks: DataFrame, fits: Column, alike: Column) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that share a key and pass the bounds; part: key, sig, n, place, label.
+
+    Two near copies share most of their keys, and are to be a row at one of them only: the first in the order of places, single keys before
+    combinations, where the bound by places holds. A node takes along, of its LOW first keys and its LOW first combinations, those before
+    the one it is at; two nodes that have one of them in common have met there or before. What stands in no such list suppresses
+    nothing, so every pair is made at the first key that it shares, and seldom again.
+    """
+    mixed = part.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).filter("lo <> hi")
+    # a key's nodes are dealt in blocks, and each two blocks meet in a task of their own
+    mixed = mixed.select("key", F.ceil(F.col("many") / KEY_ROWS).cast("int").alias("blocks"))
+    here = stored(part.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int")), "meeting")
+    keys = here.groupBy("sig").agg(F.sort_array(F.collect_list(F.struct("place", "key"))).alias("k"), F.max("place").alias("top"))  # combinations of a node have one place, the last
+    low = keys.select("sig", F.array_union(F.slice("k", 1, LOW), F.slice(F.filter("k", lambda x: x["place"] == F.col("top")), 1, LOW)).alias("low"))
+    some = here.join(low, "sig").join(marks, "sig").withColumn("low", F.transform(F.filter("low", lambda x: x < F.struct("place", "key")), lambda x: x["key"]))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = some.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), F.col("mark").alias("ma"), F.col("low").alias("wa"), F.col("block").alias("i"), every.alias("j"))
+    y = some.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("mark").alias("mb"), F.col("low").alias("wb"), F.col("block").alias("j"), every.alias("i"))
+    # the bounds are part of the join, so what cannot link is never a row
+    first = ~F.arrays_overlap("wa", "wb")
+    return x.join(y, ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits & first & alike).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, frequent: int = FREQUENT) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, n_links): links are pairs of sets with |a & b| * den >= num * |a | b|.
 
@@ -303,17 +327,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     label = components(links)
     part = index.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     part = stored(part, "labelled")
-    mixed = part.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("many")).filter("lo <> hi")
-    # a key's nodes are dealt in blocks, and each two blocks meet in a task of their own
-    mixed = mixed.select("key", F.ceil(F.col("many") / KEY_ROWS).cast("int").alias("blocks"))
-    some = part.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("sig"), "blocks").cast("int")).join(nodes.select("sig", "mark"), "sig")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    x = some.select("key", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), F.col("mark").alias("ma"), F.col("block").alias("i"), every.alias("j"))
-    y = some.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("mark").alias("mb"), F.col("block").alias("j"), every.alias("i"))
-    # the bounds are part of the join, so what cannot link is never a row
-    rest = x.join(y, ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits & alike).select("a", "b").distinct()
-    known = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stored(rest.join(known, ["a", "b"], "left_anti"), "pairs")
+    rest = stored(meetings(part, nodes.select("sig", "mark"), fits, alike).distinct(), "pairs")
     if not rest.isEmpty():
         links = links.unionByName(linked(rest))
     label = components(links)

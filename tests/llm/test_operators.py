@@ -146,6 +146,27 @@ def test_jaccard_combinations_find_pairs(spark):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
 
 
+def test_jaccard_pairs_meet_once(spark):
+    """Nodes that share many keys are a row at the first of them only, where the bound by places holds, and no pair is lost."""
+    r = random.Random(5)
+    nodes = {}
+    for sig in range(-12, 12):
+        single = sorted(r.sample(range(150), 30))  # by a common order, places count what lies before
+        nodes[sig] = {k: 2 * i for i, k in enumerate(single)} | {1000 + k: 400 for k in r.sample(range(100), r.choice([0, 1, 80]))}
+    part = spark.createDataFrame([(k, sig, 500, place, sig % 7) for sig, keys in nodes.items() for k, place in keys.items()], "key long, sig long, n int, place int, label long")
+    marks = spark.createDataFrame([(sig, [sig]) for sig in nodes], "sig long, mark array<long>")
+    order = {(a, b): min((max(nodes[a][k], nodes[b][k]) for k in nodes[a].keys() & nodes[b].keys()), default=None) for a in nodes for b in nodes if a < b and a % 7 != b % 7}
+    block = jaccard.KEY_ROWS
+    try:
+        for jaccard.KEY_ROWS, most in ((4096, 12), (5, 12), (5, 400)):
+            want = sorted(p for p, place in order.items() if place is not None and place <= most)
+            assert 20 < len(want) and (most > 12 or len(want) < len(order))
+            got = [(x.a, x.b) for x in jaccard.meetings(part, marks, F.greatest("pa", "pb") <= most, F.lit(True)).collect()]
+            assert sorted(got) == want
+    finally:
+        jaccard.KEY_ROWS = block
+
+
 def test_jaccard_default_makes_both_kinds():
     """With the default border, the given documents have single keys as well as combinations."""
     texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks().cast(pa.binary()).to_pylist()
