@@ -13,8 +13,9 @@ once. Equal sets are one node; of each node one document, its representative, ta
    the frequent n-grams dealt into m classes, two of these fall into one class, so indexing all pairs within a
    class finds the pair. m follows the set's size, so a document has about as many combinations as n-grams in
    its prefix.
-3. Candidates of an index key are first compared with the key's first node only; what links is joined to
-   components, and then only nodes of different components that share a key are compared, all of them, with a
+3. Candidates of an index key are first compared with the key's hub only, the node whose n-grams are the most frequent ones:
+   of near copies that is the text the others were made from, or the one with the fewest edits, which links with more of them than any
+   other. What links is joined to components, and then only nodes of different components that share a key are compared, all of them, with a
    key of many nodes dealt in blocks, and each two at the first key that they share. So no group of copies is expanded into pairs and no link between
    components is lost. Candidates must also pass bounds from sizes, from the place of the first common n-gram
    and from parity bits of each set (twice as many as it has members), which no linked pair fails; then they are verified on the whole sets.
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlark.llm.blocks import deal, part_of, unzip_arrays, zip_arrays
+from gridlark.llm.blocks import deal, unzip_arrays, zip_arrays
 from gridlark.llm.common import bucketed, chunks, forget, lean, mix, ranges, release, row_key, shuffle_width, stored, word_hashes
 from gridlark.llm.graph import components
 
@@ -136,7 +137,8 @@ class Grams:
 
     def __init__(self, sets: list[np.ndarray], n_parts: int):
         self.key, self.at, self.count = np.unique(np.concatenate(sets) >> np.uint64(16), return_inverse=True, return_counts=True)
-        self.parts = list(deal(part_of(self.key, n_parts), n_parts))
+        # parts are ranges of keys, which are hashes: a part's keys stay as close to each other as a unit's, however many parts there are
+        self.parts = list(deal(((self.key >> np.uint64(16)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64), n_parts))
 
 
 def _send(k: int, n_parts: int):
@@ -210,11 +212,13 @@ def _index(k: int, num: int, den: int, n_parts: int, frequent: int):
                 for i, x in g.parts:
                     freq[x] = told[i]
                 ends = np.cumsum([len(s) for s in sets])
-                rows = [(s, prefix_keys(s, c, frequent, num, den)) for s, c in zip(sets, np.split(freq[g.at], ends[:-1]), strict=True)]
+                told = np.split(freq[g.at], ends[:-1])
+                rows = [(s, prefix_keys(s, c, frequent, num, den)) for s, c in zip(sets, told, strict=True)]
                 n = [len(x[1][0]) for x in rows]
                 yield pa.record_batch({
                     "key": np.concatenate([x[1][0] for x in rows]).view(np.int64), "sig": np.repeat(np.array([signature(s) for s in sets], np.int64), n),
                     "n": np.repeat(np.array([len(s) for s in sets], np.int32), n), "place": np.concatenate([x[1][1] for x in rows]).astype(np.int32),
+                    "rank": np.repeat(np.array([10_000 * c.mean() for c in told], np.int32), n),
                 })
 
     return run
@@ -247,7 +251,7 @@ def _verify(num: int, den: int):
 
 
 def meetings(part: DataFrame, marks: DataFrame, fits: Column, alike: Column) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a key and pass the bounds; part: key, sig, n, place, label.
+    """Pairs (a, b, la, lb) of nodes of different components that share a key and pass the bounds, with their labels; part: key, sig, n, place, label.
 
     Two near copies share most of their keys, and are to be a row at one of them only: the first in the order of places, single keys before
     combinations, where the bound by places holds. A node takes along, of its LOW first keys and its LOW first combinations, those before
@@ -266,7 +270,16 @@ def meetings(part: DataFrame, marks: DataFrame, fits: Column, alike: Column) ->
     y = some.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("mark").alias("mb"), F.col("low").alias("wb"), F.col("block").alias("j"), every.alias("i"))
     # the bounds are part of the join, so what cannot link is never a row
     first = ~F.arrays_overlap("wa", "wb")
-    return x.join(y, ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits & first & alike).select("a", "b")
+    return x.join(y, ["key", "i", "j"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits & first & alike).select("a", "b", "la", "lb")
+
+
+def hubs(index: DataFrame) -> DataFrame:
+    """Rows (key, many, a, na, pa): how many nodes each key of two or more has, and the one of the highest rank.
+
+    One order holds for all keys, so of a group of near copies few nodes are hubs, and of two nodes always the same one.
+    """
+    top = index.groupBy("key").agg(F.max(F.struct("rank", "sig", "n", "place")).alias("c"), F.count("*").alias("many")).filter("many > 1")
+    return top.select("key", "many", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.place").alias("pa"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, frequent: int = FREQUENT) -> DataFrame:
@@ -298,8 +311,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     told = stored(sent.groupBy("part").applyInArrow(_frequencies, "part int, batch long, block binary"), "frequencies")
     release(spark)
     told_of = told.groupBy("batch").agg(F.collect_list(F.struct("part", "block")).alias("told"))
-    index = chosen(nodes).join(told_of, "batch").mapInArrow(_index(k, num, den, n_parts, frequent), "key long, sig long, n int, place int")
-    index = stored(index.groupBy("key", "sig").agg(F.min("n").alias("n"), F.min("place").alias("place")), "index")
+    index = chosen(nodes).join(told_of, "batch").mapInArrow(_index(k, num, den, n_parts, frequent), "key long, sig long, n int, place int, rank int")
+    index = stored(index.groupBy("key", "sig").agg(F.min("n").alias("n"), F.min("place").alias("place"), F.max("rank").alias("rank")), "index")
     forget(told)
 
     fits = (F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)
@@ -308,9 +321,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
     alike = (den + num) * (total - differ(F.col("ma"), F.col("mb"))) >= 2 * num * total
     marks = lambda x: nodes.select(F.col("sig").alias(x), F.col("mark").alias(f"m{x}"))
 
-    center = index.groupBy("key").agg(F.min(F.struct("sig", "n", "place")).alias("c"), F.count("*").alias("many")).filter("many > 1")
-    center = center.select("key", "many", F.col("c.sig").alias("a"), F.col("c.n").alias("na"), F.col("c.place").alias("pa"))
-    star = index.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")).join(center, "key").filter((F.col("a") != F.col("b")) & fits)
+    star = index.select("key", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb")).join(hubs(index), "key").filter((F.col("a") != F.col("b")) & fits)
     star = star.select("a", "b", "na", "nb").distinct().join(marks("a"), "a").join(marks("b"), "b").filter(alike)
     star = stored(star.select("a", "b"), "pairs")
 
@@ -325,12 +336,16 @@ def jaccard_components(docs: DataFrame, k: int = 4, num: int = 85, den: int = 10
 
     links = linked(star)
     label = components(links)
-    part = index.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    part = index.drop("rank").join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     part = stored(part, "labelled")
     rest = stored(meetings(part, nodes.select("sig", "mark"), fits, alike).distinct(), "pairs")
     if not rest.isEmpty():
-        links = links.unionByName(linked(rest))
-    label = components(links)
+        more = linked(rest.select("a", "b"))
+        links = links.unionByName(more)
+        # the new links join components, each two of them once: labels are joined to labels, and nodes follow
+        over = components(more.join(rest, ["a", "b"]).select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+        own = label.unionByName(over.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+        label = stored(own.join(over.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
 
     ends = links.select("a").unionByName(links.select(F.col("b").alias("a"))).groupBy(F.col("a").alias("sig")).agg(F.count("*").alias("n_links"))
     node = nodes.join(label.select(F.col("node").alias("sig"), "label"), "sig", "left").withColumn("label", F.coalesce("label", "sig")).join(ends, "sig", "left")

@@ -167,6 +167,29 @@ def test_jaccard_pairs_meet_once(spark):
         jaccard.KEY_ROWS = block
 
 
+def test_jaccard_pairs_grow_with_near_copies(spark, monkeypatch):
+    """Copies with few edits of one text, of which most do not link with each other, make about as many pairs as there are copies, and lose no link."""
+    r = random.Random(11)
+    rows = [(1000, " ".join(base := prose(200, 41).split()), "en", "x", 0)]
+    for i in range(180):
+        w = list(base)
+        for at in r.sample(range(5, 190), 1 + i % 4):
+            w[at] = f"edit{i}at{at}"
+        rows.append((i, " ".join(w), "en", "x", 0))
+    made = []
+
+    def stored(df, name):
+        out = common.stored(df, name)
+        if name == "pairs":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", stored)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == jaccard_brute([(x[0], x[1]) for x in rows])
+    assert len(made) == 2 and sum(made) <= 2 * len(rows)
+
+
 def test_jaccard_default_makes_both_kinds():
     """With the default border, the given documents have single keys as well as combinations."""
     texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].combine_chunks().cast(pa.binary()).to_pylist()
