@@ -144,3 +144,17 @@ def test_straight_bounds_shuffle_nodes(spark):
     assert out._jdf.queryExecution().sparkPlan().toString().count("SortMergeJoin") >= 2
     got = {r.id: r.bound for r in out.collect()}
     assert all(0 <= got[i] <= 60.0 * (19 - i) for i in range(20))
+
+
+def test_radius_pairs_are_made_from_places(spark, monkeypatch):
+    seen = _watched(monkeypatch)
+    rng = random.Random(11)
+    places = [(114 + rng.random() / 20, 22.5 + rng.random() / 20) for _ in range(9)]
+    at = {i: places[i % 9] if i < 40 else places[0] for i in range(70)}
+    s = spark.createDataFrame([(i, *p) for i, p in at.items()] + [(99, None, 22.5)], "station_id long, lon double, lat double")
+    got = {part: sorted((r.station_id, r["rank"], r.neighbor_id, r.distance_km) for r in spatial.radius_neighbors(s, 2.0, part=part).collect()) for part in (7, 1 << 12)}
+    assert got[7] == got[1 << 12]
+    km = {(r.a, r.b): r.d for r in s.selectExpr("station_id a", "lon x", "lat y").crossJoin(s.selectExpr("station_id b", "lon", "lat")).select("a", "b", haversine_km(F.col("y"), F.col("x"), F.col("lat"), F.col("lon")).alias("d")).collect()}
+    want = [(i, n + 1, j, km[i, j]) for i in at for n, j in enumerate(sorted((j for j in at if j != i and km[i, j] <= 2), key=lambda j: (km[i, j], j)))]
+    assert got[7] == sorted(want)
+    assert seen and all(a <= 9 and b <= 9 for a, b in seen)  # stations of one place meet no others one by one
