@@ -795,3 +795,18 @@ def test_shuffled_words_are_rejected(spark):
     d = spark.createDataFrame([(i, t, "en", None, None) for i, t in enumerate(texts)], DOCS).repartition(3)
     got = dicts(quality.quality(d))
     assert [i for i in got if not got[i]["kept"]] and {i for i in got if not got[i]["kept"]} == set(range(55, 60))
+
+
+def test_whole_copies_are_left_out_of_the_collection(spark):
+    """Copies of whole texts go as a whole and take no part in the search for repeats; a batch that is told nothing cuts its own repeats."""
+    a, b, p = prose(80, 71), prose(80, 72), prose(30, 73)
+    rows = [(4, a + " " + p), (9, a + " " + p), (2, a + " " + p), (2, a + " " + p), (None, a + " " + p), (1, p + " " + b), (7, "short"), (8, "short"), (3, ""), (5, None), (6, a), (11, b + " new " + a), (10, b + " new " + a)]
+    d = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    fields = lambda r: (r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest())
+    want = sorted((x[0] or -1, *x[1:]) for x in suffix.brute_force(rows))
+    assert all(sorted(map(fields, suffix.remove_repeats(d.repartition(n)).collect())) == want for n in (1, 4))
+    b1 = suffix.Batch(blocks.zip_arrays(np.array([4, 9], np.int64), np.array([True, True]), np.array([60, 60], np.int64), np.full(120, 65, np.uint8)), [blocks.zip_arrays(np.array([1], np.int32))])
+    assert len(b1.text) == 60 and [i for i, _ in b1.copies] == [9]
+    # the texts of one batch repeat each other and nothing else
+    got = {r.doc_id: r.text for r in suffix.cut_repeats(spark.createDataFrame([(1, p + " " + a, "en", None, None), (2, b + " left " + p, "en", None, None)], DOCS).coalesce(1)).collect()}
+    assert got[1] == p + " " + a and p not in got[2] and got[2].startswith(b)
