@@ -21,6 +21,7 @@ from gridlark.operators.iterate import saved
 
 
 CORE = 2048  # nodes of a block between which all least costs are made
+DENSE = 12  # edges a node, on average, at which more than CORE nodes are left as they are
 DEFAULT_KPH = 40.0  # fixed value: the speed on edges without a travel time
 
 
@@ -461,7 +462,7 @@ def _contractor(hops: int, settled: int, most: int | None):
     return level
 
 
-def contract(edges: DataFrame, nodes: DataFrame, hops: int = 4, settled: int = 240, block: int = 1 << 16, most: int = 256) -> tuple[DataFrame, DataFrame]:
+def contract(edges: DataFrame, nodes: DataFrame, hops: int = 4, settled: int = 240, block: int = 1 << 16, most: int = 256, dense: float = DENSE, core: int = CORE) -> tuple[DataFrame, DataFrame]:
     """A contraction hierarchy: (ranks (id, rank), edges (u, v, w, via)).
 
     On a level nodes are dealt to blocks of neighbouring ids, of about `block` edges, and each block contracts its inner nodes, those whose
@@ -469,6 +470,9 @@ def contract(edges: DataFrame, nodes: DataFrame, hops: int = 4, settled: int = 2
     the next level, where fewer edges make fewer blocks. A node of more than `most` pairs of edges waits, unless one block is left. A contracted node leaves a
     shortcut for each in-edge and out-edge that has no witness in its block; of parallel edges the least stays. Where a level contracts few, more pairs are allowed and blocks grow
     to four times at most; beyond that a round contracts an independent set, so no task ever holds more.
+
+    Where more than `core` nodes are left after a level, with `dense` edges each on average, more shortcuts would cost more than they save: these nodes share the highest
+    rank and keep the edges between them, and searches go through them from block to block. No other edge joins nodes of one rank.
     """
     least = lambda df: df.groupBy("u", "v").agg(F.min_by(F.struct("w", "via"), F.struct("w", F.coalesce("via", F.lit(-1)))).alias("e")).select("u", "v", "e.*")
     kind = dict(edges.dtypes)["u"]
@@ -478,11 +482,12 @@ def contract(edges: DataFrame, nodes: DataFrame, hops: int = 4, settled: int = 2
     ranks, done, base, size, few = [], [], 0, block, False
     while True:
         n_left, n_edges = left.count(), live.count()
-        if not n_left:
-            union = lambda parts, empty: reduce(DataFrame.unionByName, parts) if parts else empty
+        if not n_left or ranks and n_left > core and n_edges >= dense * n_left:
+            ranks.append(left.select("id", F.lit(base).cast("long").alias("rank")))
+            done.append(live)
             own = nodes.select(F.col("id").cast(kind)).distinct()
-            told = union(ranks, left.withColumn("rank", F.lit(0).cast("long"))).join(own, "id", "left_semi")
-            return saved(told, "ch-ranks"), saved(union(done, live), "ch-edges")
+            told = reduce(DataFrame.unionByName, ranks).join(own, "id", "left_semi")
+            return saved(told, "ch-ranks"), saved(reduce(DataFrame.unionByName, done), "ch-edges")
         n_blocks = max(1, -(-n_edges // size))
         if few and n_blocks > 1:
             now, gone, live = _independent(live, left, least, hops, settled)
@@ -496,7 +501,8 @@ def contract(edges: DataFrame, nodes: DataFrame, hops: int = 4, settled: int = 2
             outer = cross.select(F.col("u").alias("id")).unionByName(cross.select(F.col("v").alias("id"))).distinct().withColumn("_outer", F.lit(True)).hint("merge")
             n = place.join(outer, "id", "left").select("_block", "id", F.xxhash64("id").alias("_hash"), F.col("_outer").isNull().alias("_inner"))
             run = _contractor(hops, settled, most if n_blocks > 1 else None)
-            out = n.groupBy("_block").cogroup(e.filter("_block = _there").groupBy("_block")).applyInArrow(run, f"kind int, u {kind}, v {kind}, w double, via {kind}, rank long")
+            n, inside = (df.repartition(4 * n_blocks, "_block") for df in (n, e.filter("_block = _there")))  # a block is little data and much work: blocks must not share tasks by size
+            out = n.groupBy("_block").cogroup(inside.groupBy("_block")).applyInArrow(run, f"kind int, u {kind}, v {kind}, w double, via {kind}, rank long")
             out = saved(out, "ch-level")
             told = out.filter("kind = 0").select(F.col("u").alias("id"), (F.col("rank") + base).alias("rank"))
             gone = out.filter("kind = 1").select("u", "v", "w", "via")
@@ -554,7 +560,8 @@ def _two_sides(ranks: DataFrame, ch: DataFrame, pairs: DataFrame) -> tuple[DataF
     ru, rv = ranks.select(F.col("id").alias("u"), F.col("rank").alias("ru")), ranks.select(F.col("id").alias("v"), F.col("rank").alias("rv"))
     e = ch.join(ru, "u").join(rv, "v")
     src = lambda c: pairs.select(F.col(c).alias("source")).distinct().select("source", F.col("source").alias("id"), F.lit(0.0).alias("cost"))
-    return shortest(e.filter("rv > ru").select("u", "v", "w"), src("start")), shortest(reverse(e.filter("ru > rv").select("u", "v", "w")), src("goal"))
+    # edges between nodes of one rank are those of the core
+    return shortest(e.filter("rv >= ru").select("u", "v", "w"), src("start")), shortest(reverse(e.filter("ru >= rv").select("u", "v", "w")), src("goal"))
 
 
 def _meetings(up: DataFrame, down: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -569,7 +576,7 @@ def _sweep(ranks: DataFrame, ch: DataFrame, pairs: DataFrame, back: bool, sums:
     """Rows (start, goal, cost, sums) for few starts and many goals, or with `back` for few goals: up from the few, then down to all nodes in one search."""
     ru, rv = ranks.select(F.col("id").alias("u"), F.col("rank").alias("ru")), ranks.select(F.col("id").alias("v"), F.col("rank").alias("rv"))
     e = ch.join(ru.hint("merge"), "u").join(rv.hint("merge"), "v")
-    up, down = (e.filter(c).select("u", "v", "w", *sums) for c in ("rv > ru", "ru > rv"))
+    up, down = (e.filter(c).select("u", "v", "w", *sums) for c in ("rv >= ru", "ru >= rv"))  # those of one rank are the core's
     if back:
         up, down = reverse(down), reverse(up)
     few, many = ("goal", "start") if back else ("start", "goal")

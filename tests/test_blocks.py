@@ -158,3 +158,29 @@ def test_radius_pairs_are_made_from_places(spark, monkeypatch):
     want = [(i, n + 1, j, km[i, j]) for i in at for n, j in enumerate(sorted((j for j in at if j != i and km[i, j] <= 2), key=lambda j: (km[i, j], j)))]
     assert got[7] == sorted(want)
     assert seen and all(a <= 9 and b <= 9 for a, b in seen)  # stations of one place meet no others one by one
+
+
+def test_dense_rest_of_a_hierarchy_stays_whole(spark):
+    """Nodes that are left with many edges share the highest rank; costs, either way and along unpacked routes, are those of a plain search."""
+    rng = random.Random(13)
+    rows = [(u, v, float(rng.randrange(1, 30))) for u in range(80) for v in range(u - 3, u + 4) if 0 <= v < 80 and u != v and rng.random() < 0.7]
+    e = graph.collapse_min(spark.createDataFrame(rows, "u long, v long, w double"))
+    nodes = spark.range(80)
+    ranks, ch = graph.contract(e, nodes, block=60, dense=2, core=10)
+    top = ranks.groupBy("rank").count().orderBy(F.desc("rank")).first()
+    assert ranks.count() == 80 and 10 < top["count"] < 80
+    plain = [(r.u, r.v, r.w) for r in e.collect()]
+    want = {(s, g): c for s in (0, 7, 30) for g, c in _least(plain, s).items()}
+    pairs = spark.createDataFrame([(s, g) for s in (0, 7, 30) for g in range(80)], "start long, goal long")
+    got = {(r.start, r.goal): r.cost for r in graph.hierarchy_cost(ranks, ch, pairs).collect() if r.cost is not None}
+    assert got == want
+    few = spark.createDataFrame([(s, 7) for s in range(0, 80, 3)], "start long, goal long")
+    sums = graph.street_sums(ch.join(e.withColumnRenamed("w", "street"), ["u", "v"], "left"), ["street"])
+    for p in (few, pairs.filter("start = 7")):
+        for r in graph.hierarchy_cost(ranks, sums, p, ["street"]).collect():
+            true = _least(plain, r.start).get(r.goal)
+            assert r.cost == true and r.street == true
+    way = [r for r in graph.hierarchy_routes(ranks, ch, few.filter("start < 20")).collect()]
+    w = {(u, v): x for u, v, x in plain}
+    for s in {r.start for r in way}:
+        assert sum(w[r.u, r.v] for r in way if r.start == s) == _least(plain, s)[7]
